@@ -49,15 +49,12 @@ def feature_distance(a: Column, b: Column) -> Column:
 def dhash(grid: Column) -> Column:
     """64 left < right comparisons of a 9 x 8 grid, row by row, first comparison in the highest bit."""
 
-    def bit(h: Column, k: Column) -> Column:
-        left = (k + F.floor(k / (GRID_COLUMNS - 1))).cast("int")
-        is_less = F.get(grid, left) < F.get(grid, left + 1)
-        return F.shiftleft(h, 1).bitwiseOR(F.when(is_less, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-
-    positions = F.sequence(F.lit(0), F.lit((GRID_COLUMNS - 1) * GRID_ROWS - 1))
-    return F.when(
-        F.size(grid) == GRID_COLUMNS * GRID_ROWS, F.aggregate(positions, F.lit(0).cast("long"), bit)
-    )
+    # the grid stays outside the lambdas: an inlined grid expression would run once per bit
+    rising = F.zip_with(grid, F.slice(grid, 2, GRID_COLUMNS * GRID_ROWS - 1), lambda left, right: left < right)
+    within_row = F.filter(rising, lambda _, i: i % GRID_COLUMNS != GRID_COLUMNS - 1)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bits = F.aggregate(within_row, zero, lambda h, up: F.shiftleft(h, 1).bitwiseOR(F.when(up, one).otherwise(zero)))
+    return F.when(F.size(grid) == GRID_COLUMNS * GRID_ROWS, bits)
 
 
 def hamming(a: Column, b: Column) -> Column:

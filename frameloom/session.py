@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import frameloom
+
+# Task functions travel with their code, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(frameloom)
+
 # Runtime SQL settings the operators count on. Hot keys of a join whose other side is unique
 # per key are split by the adaptive skew join, also where the plan needs one more exchange.
 RUNTIME_CONF = {
