@@ -19,18 +19,16 @@ def l2_norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit vector in double; NULL for empty and all-zero vectors."""
+    """Unit vector in double of a usable vector; empty and all-zero vectors give NULL elements or none,
+    so filter with ``is_usable`` first."""
     v = vector.cast("array<double>")
-    norm = F.nullif(l2_norm(v), F.lit(0.0))
     # array_repeat evaluates the norm once per row; inside the lambda it would be once per element
-    return F.when(F.size(v) > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)).cast(
-        "array<double>"
-    )
+    return F.zip_with(v, F.array_repeat(F.nullif(l2_norm(v), F.lit(0.0)), F.size(v)), lambda x, n: x / n)
 
 
-def drop_unusable(vector: Column) -> Column:
-    """Predicate: the normalised vector exists and holds no NULL."""
-    return vector.isNotNull() & F.get(vector, F.lit(0)).isNotNull()
+def is_usable(vector: Column) -> Column:
+    """Predicate on a raw vector: not empty, no NULL inside, not all zero."""
+    return F.coalesce(l2_norm(vector) > 0, F.lit(False))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -70,6 +68,11 @@ def classify_match(distance: Column, bits: Column, rules: DuplicatePhotoRules =
 
 
 def fingerprint_key(*parts: Column) -> Column:
-    """128 bits of SHA-256 over everything a match depends on: equal keys are identical copies."""
-    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
-    return F.substring(F.sha2(text, 256), 1, 32)
+    """128 hash bits over everything a match depends on: equal keys are identical copies.
+
+    Two 64-bit hashes with different seeds; both read the binary values inside generated code, which is
+    far cheaper than hashing the text of a vector.
+    """
+    return F.concat(
+        F.lpad(F.hex(F.xxhash64(*parts)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second"), *reversed(parts))), 16, "0")
+    )

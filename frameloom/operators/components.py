@@ -22,37 +22,37 @@ def _star_round(edges: DataFrame) -> DataFrame:
         edges.select(F.col("u").alias("n"), F.col("v").alias("x"))
     )
     lowest = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-    large = both.filter("x > n").join(lowest, "n").select(F.col("x").alias("v"), F.col("m").alias("u")).distinct()
+    large = both.filter("x > n").join(lowest, "n").select(F.col("x").alias("v"), F.col("m").alias("u"))
     # small star: a node and its smaller neighbours move to the smallest of them
     parent = large.groupBy("v").agg(F.min("u").alias("m"))
     moved = large.join(parent, "v").filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
     return moved.unionByName(parent.select("v", F.col("m").alias("u"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    digest = F.xxhash64("v", "u").cast("decimal(20,0)")
-    row = edges.agg(F.count("*"), F.sum(digest)).first()
-    return tuple(row)
+def _is_settled(edges: DataFrame) -> bool:
+    """Every node is either a root or a child of exactly one root."""
+    roles = edges.select(F.col("v").alias("n"), F.lit(1).alias("parents"), F.lit(0).alias("children")).unionByName(
+        edges.select(F.col("u").alias("n"), F.lit(0).alias("parents"), F.lit(1).alias("children"))
+    )
+    per_node = roles.groupBy("n").agg(F.sum("parents").alias("parents"), F.max("children").alias("is_parent"))
+    open_nodes = per_node.filter("parents > 1 OR (parents > 0 AND is_parent > 0)")
+    return open_nodes.limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for every node of an edge; the component is named by its smallest node.
 
     Each round is checkpointed, so lineage stays one round deep and a lost executor costs one round.
-    The loop ends when a round changes nothing; rounds grow with the logarithm of the component
+    The loop ends when every node hangs on one root; rounds grow with the logarithm of the component
     size, and running out of them is an error, never a partial result.
     """
-    pairs = edges.filter(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("v"), F.least(a, b).alias("u")
+    current = cut_lineage(
+        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
     )
-    current = cut_lineage(pairs.distinct())
-    state = _state(current)
     for _ in range(max_rounds):
-        current = cut_lineage(_star_round(current))
-        after = _state(current)
-        if after == state:
+        if _is_settled(current):
             members = current.select(F.col("v").alias("node"), F.col("u").alias("component"))
             roots = current.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
             return members.unionByName(roots)
-        state = after
+        current = cut_lineage(_star_round(current))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -295,12 +295,17 @@ def _score_run(rows: pa.Table, scorer: Scorer) -> pa.RecordBatch | None:
     best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
     pick.at(best, ia, value)
     pick.at(best, ib, value)
+    # roots are the smallest names, so that a group found by one task needs no further contraction
     node = rows["node"].to_numpy()
+    order = np.argsort(node)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    root = node[order[local_roots(rank[ia], rank[ib], n)[rank]]]
     hit = np.flatnonzero(matches > 0)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(node[hit], pa.string()),
-            pa.array(node[local_roots(ia, ib, n)[hit]], pa.string()),
+            pa.array(root[hit], pa.string()),
             pa.array(matches[hit].astype(np.int64)),
             pa.array(total[hit]),
             pa.array(best[hit]),

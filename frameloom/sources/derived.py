@@ -46,9 +46,13 @@ class DerivedLibrary:
     @cached_property
     def copies(self) -> DataFrame:
         """vec_id, copy, asset_id and the vector, five rows per vector."""
+        vectors = self.table("embeddings")
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(vectors.inputFiles()) < cores:
+            # one small file is one task: spread the array work over the cores
+            vectors = vectors.repartition(cores, "vec_id")
         return (
-            self.table("embeddings")
-            .select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
+            vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
             .withColumn("asset_id", F.concat(F.lit("a"), F.col("vec_id"), F.lit("_"), F.col("copy")))
         )
 
@@ -92,9 +96,13 @@ class DerivedLibrary:
         )
 
     def _noisy(self, base: Column, noise: Column, shift: Column) -> Column:
-        return F.transform(
+        # the five values of the periodic pattern are built once per row, outside the lambda
+        phase = F.col("vec_id") * 3 + shift
+        pattern = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: noise * (((j * 2 + phase) % 5) - 2))
+        return F.zip_with(
             base.cast("array<double>"),
-            lambda x, i: x + noise * (((i * 7 + F.col("vec_id") * 3 + shift) % 5) - 2).cast("double"),
+            F.slice(F.flatten(F.array_repeat(pattern, (F.size(base) / 5).cast("int") + 1)), F.lit(1), F.size(base)),
+            lambda x, n: x + n,
         )
 
     @cached_property
@@ -116,8 +124,8 @@ class DerivedLibrary:
         grid = F.concat("raw", F.slice("raw", 1, 8))
         return (
             self.raw_vectors.filter(F.col("vec_id") % 5 != 0)
+            .filter(V.is_usable(F.col("raw")))
             .select("asset_id", V.dhash(grid).alias("dhash"), V.l2_normalize(F.col("raw")).alias("vec"))
-            .filter(V.drop_unusable(F.col("vec")))
         )
 
     @cached_property
@@ -132,7 +140,9 @@ class DerivedLibrary:
             self.copies.filter(F.col("vec_id") % 5 == 0)
             .withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))))
             .filter(~((F.col("frame_idx") == 2) & (F.col("copy") == 1) & (F.col("vec_id") % 35 == 0)))
-            .select("asset_id", "frame_idx", V.l2_normalize(self._noisy(rotated, noise, idx)).alias("vec"))
+            .select("asset_id", "frame_idx", self._noisy(rotated, noise, idx).alias("raw"))
+            .filter(V.is_usable(F.col("raw")))
+            .select("asset_id", "frame_idx", V.l2_normalize(F.col("raw")).alias("vec"))
         )
 
     @cached_property
@@ -166,42 +176,42 @@ class DerivedLibrary:
         )
         return self.copies.select("asset_id", "vec_id", "copy", F.array(original, adjustment).alias("resources"))
 
+    @staticmethod
+    def deletion_rows(events: DataFrame) -> DataFrame:
+        """Deletion events in the layout of bin entries, several per asset; works on streams too."""
+        return events.filter(F.col("event_type") == "purchase").select(
+            F.concat(F.lit("b"), F.floor(F.col("event_id") / 3).cast("long")).alias("asset_id"),
+            F.lit("photo").alias("kind"),
+            F.floor(F.col("value") * 1_000_000).cast("long").alias("file_size"),
+            F.col("ts").cast("timestamp").alias("deleted_at"),
+            F.col("event_id").alias("sequence"),
+        )
+
     @cached_property
     def deletions(self) -> DataFrame:
-        """Deletion events in the layout of bin entries, several per asset."""
-        return (
-            self.table("events")
-            .filter(F.col("event_type") == "purchase")
-            .select(
-                F.concat(F.lit("b"), F.floor(F.col("event_id") / 3).cast("long")).alias("asset_id"),
-                F.lit("photo").alias("kind"),
-                F.floor(F.col("value") * 1_000_000).cast("long").alias("file_size"),
-                F.col("ts").cast("timestamp").alias("deleted_at"),
-                F.col("event_id").alias("sequence"),
-            )
-        )
+        return self.deletion_rows(self.table("events"))
 
     @cached_property
     def deleted_ids(self) -> DataFrame:
         return self.copies.filter((F.col("vec_id") % 9 == 0) & (F.col("copy") == 0)).select("asset_id")
 
-    @cached_property
-    def changes(self) -> DataFrame:
-        """Change feed: add / modify / delete per asset."""
+    @staticmethod
+    def change_rows(events: DataFrame) -> DataFrame:
+        """Change feed, add / modify / delete per asset; works on streams too."""
         op = (
             F.when(F.col("event_type") == "signup", F.lit("add"))
             .when(F.col("event_type").isin("click", "view"), F.lit("modify"))
             .when(F.col("event_type") == "purchase", F.lit("delete"))
         )
-        return (
-            self.table("events")
-            .select(
-                F.concat(F.lit("a"), F.col("event_id") * 7 % 500, F.lit("_0")).alias("asset_id"),
-                op.alias("op"),
-                F.col("ts").cast("timestamp").alias("change_ts"),
-            )
-            .filter("op IS NOT NULL")
-        )
+        return events.select(
+            F.concat(F.lit("a"), F.col("event_id") * 7 % 500, F.lit("_0")).alias("asset_id"),
+            op.alias("op"),
+            F.col("ts").cast("timestamp").alias("change_ts"),
+        ).filter("op IS NOT NULL")
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return self.change_rows(self.table("events"))
 
     @cached_property
     def photo_fingerprints(self) -> DataFrame:
