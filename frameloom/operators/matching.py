@@ -445,7 +445,10 @@ def match_nodes(
     totals, feed (node, root) to the components.
     """
     nodes = nodes.select("node", "scope", "weight", *scorer.columns)
-    largest = nodes.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+    blocks = F.ceil(F.col("count") / tuning.block_rows)
+    sizes = nodes.groupBy("scope").count().filter("count >= 2")
+    largest, runs = sizes.agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
+    largest, runs = largest or 0, int(runs or 1)
     defaults = {
         "cell": F.lit(""),
         "home": F.lit(True),
@@ -459,7 +462,9 @@ def match_nodes(
     if is_large:
         cells = scorer.split(_with_vector_cells(nodes, scorer, largest, tuning, connectivity_only))
     cells = cells.withColumns({k: v for k, v in defaults.items() if k not in cells.columns})
+    # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks if is_large else min(tasks, runs)
     laid_out = _blocks(cells, tuning).repartition(tasks, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
