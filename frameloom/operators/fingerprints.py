@@ -32,11 +32,8 @@ VARIANTS: dict[str, tuple[str, Callable[[], Column], Callable[[], Column]]] = {
 }
 
 
-def _matched(index: DataFrame, stored: DataFrame, variant: str, how: str) -> DataFrame:
-    kind = VARIANTS[variant][0]
-    wanted = index.filter(F.col("kind") == kind).withColumn("current_signature", signature())
-    kept = current_fingerprints(stored).drop("schema_version", "analyzed_at")
-    return wanted.join(kept, "asset_id", how)
+def _signed(index: DataFrame, variant: str) -> DataFrame:
+    return index.filter(F.col("kind") == VARIANTS[variant][0]).withColumn("current_signature", signature())
 
 
 def _fresh() -> Column:
@@ -44,17 +41,23 @@ def _fresh() -> Column:
 
 
 def needs_analysis(index: DataFrame, stored: DataFrame, variant: str) -> DataFrame:
-    """Assets without a ready row of the same signature and full payload."""
+    """Assets without a ready row of the same signature and full payload.
+
+    Whether the payload is complete is decided before the join, so no vector is shuffled.
+    """
     complete = VARIANTS[variant][1]()
-    usable = F.coalesce(_fresh() & complete, F.lit(False))
-    return _matched(index, stored, variant, "left").filter(~usable).select(*index.columns)
+    kept = current_fingerprints(stored).filter(complete).select("asset_id", "status", "signature")
+    usable = F.coalesce(_fresh(), F.lit(False))
+    return _signed(index, variant).join(kept, "asset_id", "left").filter(~usable).select(*index.columns)
 
 
 def cache_hits(index: DataFrame, stored: DataFrame, variant: str) -> DataFrame:
     """Stored payloads that are still valid."""
     reusable = VARIANTS[variant][2]()
     payload = ["frames"] if variant == "video" else ["dhash", "feature_vector"]
-    return _matched(index, stored, variant, "inner").filter(_fresh() & reusable).select("asset_id", *payload)
+    kept = current_fingerprints(stored).filter(reusable).select("asset_id", "status", "signature", *payload)
+    current = _signed(index, variant).select("asset_id", "current_signature")
+    return current.join(kept, "asset_id").filter(_fresh()).select("asset_id", *payload)
 
 
 def hits_and_recomputed(hits: DataFrame, recomputed: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def existing_ids(ids: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def summary(index: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Five counters over the index in one pass."""
+    """Five counters over the index in one pass; ``failures`` has one row per asset that failed to index."""
     counts = index.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("kind") == "photo").alias("photos"),
@@ -92,8 +92,11 @@ def summary(index: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     )
     if failures is None:
         return counts
-    failed = failures.agg(F.count("*").alias("failures"))
-    return counts.drop("failures").join(F.broadcast(failed))  # one row by one row
+    zero = F.lit(0).cast("long")
+    failed = failures.agg(F.count("*").alias("failures")).select(
+        *[zero.alias(c) for c in counts.columns if c != "failures"], "failures"
+    )
+    return counts.unionByName(failed).agg(*[F.sum(c).alias(c) for c in counts.columns])
 
 
 def latest_index(index: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ from frameloom.schemas import CATEGORIES
 MIN_SHARE = 0.02
 
 
+def is_unchanged(current: DataFrame, last: DataFrame) -> bool:
+    """Whether an analysis run with digest ``last`` would read the same input again (one or two rows each)."""
+    return current.exceptAll(last).isEmpty() and last.exceptAll(current).isEmpty()
+
+
 def _stack(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -118,20 +123,22 @@ def preview_ids(index: DataFrame, analyses: dict[str, DataFrame | None], size: i
 
 
 def input_digest(index: DataFrame, kind: str, excluded_ids: DataFrame | None = None) -> DataFrame:
-    """Order-independent digest of the records an analysis reads: equal digests mean nothing to redo.
+    """Order-independent digest (part, rows, digest) of what an analysis reads: equal digests mean nothing to
+    redo. The similar-photo analysis also reads the excluded ids, as a second row.
 
     Sums of row hashes merge in any order and any partitioning.
     """
     rows = photos(index) if kind == "photo" else videos(index)
     zero = F.lit(0).cast("decimal(20,0)")
-    own = rows.agg(
-        F.count("*").alias("records"),
-        F.coalesce(F.sum(row_digest(signature_text())), zero).cast("string").alias("digest"),
-    )
+
+    def digest(part: str, texts: DataFrame, text: Column) -> DataFrame:
+        return texts.agg(
+            F.lit(part).alias("part"),
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(row_digest(text)), zero).cast("string").alias("digest"),
+        )
+
+    records = digest("records", rows, signature_text())
     if excluded_ids is None:
-        return own
-    other = excluded_ids.select("asset_id").distinct().agg(
-        F.count("*").alias("excluded"),
-        F.coalesce(F.sum(row_digest(F.col("asset_id"))), zero).cast("string").alias("excluded_digest"),
-    )
-    return own.join(F.broadcast(other))  # one row by one row
+        return records
+    return records.unionByName(digest("excluded", excluded_ids.select("asset_id").distinct(), F.col("asset_id")))

@@ -686,10 +686,8 @@ ORACLE: dict[str, str] = {
         "sim_groups",
     ),
     "analysis_key": _sql(
-        f"""SELECT 'photo' AS kind, count(*) AS records, {_digest(_SIGNATURE_TEXT)} AS digest,
-                   (SELECT count(*) FROM deleted) AS excluded, (SELECT {_digest('asset_id')} FROM deleted) AS excluded_digest
-            FROM assets WHERE kind = 'photo'
-            UNION ALL SELECT 'video', count(*), {_digest(_SIGNATURE_TEXT)}, 0, '0' FROM assets WHERE kind = 'video'""",
+        f"""SELECT kind, 'records' AS part, count(*) AS rows, {_digest(_SIGNATURE_TEXT)} AS digest FROM assets GROUP BY kind
+            UNION ALL SELECT 'photo', 'excluded', count(*), {_digest('asset_id')} FROM deleted""",
         "assets",
         "deleted",
     ),

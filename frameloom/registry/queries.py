@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import enums, media
@@ -567,16 +567,22 @@ def dup_rollup(lib):
     kinds = {"photo": ("duplicatePhotos", "similarPhotos"), "video": ("duplicateVideos",)}
     rolled = report.analysis_rollups(_analyses(lib))
     kind = F.when(F.col("category").isin(*kinds["video"]), F.lit("video")).otherwise(F.lit("photo"))
-    analysed = lib.assets.groupBy("kind").agg(F.count("*").alias("of_kind"))
-    excluded = F.max(F.when(F.col("category") == "duplicatePhotos", F.col("member_count")))
-    total = rolled.agg(excluded.alias("excluded"))
-    # similar photos are analysed after the duplicates are taken out
-    count = F.when(F.col("category") == "similarPhotos", F.col("of_kind") - F.col("excluded")).otherwise(F.col("of_kind"))
+    of_kind = lib.assets.groupBy("kind").agg(F.count("*").alias("of_kind"))
+    # similar photos are analysed after the duplicates are taken out; the window runs over three rows
+    excluded = F.max(F.when(F.col("category") == "duplicatePhotos", F.col("member_count"))).over(Window.partitionBy())
+    less = F.when(F.col("category") == "similarPhotos", excluded).otherwise(F.lit(0))
     return (
         rolled.withColumn("kind", kind)
-        .join(F.broadcast(analysed), "kind")
-        .join(F.broadcast(total))
-        .select("category", "group_count", "member_count", "deletable_copies", "reclaimable_bytes", count.alias("analyzed"))
+        .withColumn("less", less)
+        .join(of_kind, "kind")
+        .select(
+            "category",
+            "group_count",
+            "member_count",
+            "deletable_copies",
+            "reclaimable_bytes",
+            (F.col("of_kind") - F.col("less")).alias("analyzed"),
+        )
     )
 
 
@@ -615,9 +621,7 @@ def preview_top3(lib):
 def analysis_key(lib):
     photo = report.input_digest(lib.assets, "photo", lib.deleted_ids).select(F.lit("photo").alias("kind"), "*")
     video = report.input_digest(lib.assets, "video").select(F.lit("video").alias("kind"), "*")
-    return photo.unionByName(video, allowMissingColumns=True).select(
-        "kind", "records", "digest", F.coalesce("excluded", F.lit(0)).alias("excluded"), F.coalesce("excluded_digest", F.lit("0")).alias("excluded_digest")
-    )
+    return photo.unionByName(video)
 
 
 # --- ranking ----------------------------------------------------------------------------------------
