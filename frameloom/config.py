@@ -69,6 +69,8 @@ class MatchTuning:
     split_rows: int = 50_000
     # bounds of what is collected and shipped to the tasks
     max_pivots: int = 1024
+    # moving one row is reckoned as dear as scoring this many pairs when the number of cells is chosen
+    pairs_per_moved_row: float = 2000.0
     sample_rows: int = 4096
 
 

@@ -122,7 +122,8 @@ def grid_featurizer(pixels: np.ndarray) -> tuple[int, np.ndarray] | None:
     value = int(np.packbits(bits).view(">u8")[0].astype(np.int64))
     centred = (grid - grid.mean()).ravel()
     norm = np.linalg.norm(centred)
-    return (value, centred / norm) if norm > 0 else None
+    # rounding noise of the averaging is no content
+    return (value, centred / norm) if norm > 1e-6 else None
 
 
 def featurize(images: DataFrame, featurizer: Featurizer = grid_featurizer) -> DataFrame:

@@ -331,7 +331,7 @@ def vector_cells(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple
 
 def choose_pivot_count(points: np.ndarray, radius: float, rows: int, tuning: MatchTuning = TUNING) -> int:
     """Number of pivots with the least estimated work on a sample: pair scores plus moved rows."""
-    row_cost = 2000.0  # moving one row costs about as much as scoring this many pairs
+    row_cost = tuning.pairs_per_moved_row
     best_count, best_cost = 1, rows * rows / 2.0 + rows * row_cost
     count = 8
     while count <= min(tuning.max_pivots, len(points)):
