@@ -63,8 +63,10 @@ class BinRules:
 class MatchTuning:
     """Physical knobs of the pair matcher; no value changes a result."""
 
-    # rows of one block; a task holds two blocks and one block x block matrix
-    block_rows: int = 2048
+    # most rows of one block: a task holds two blocks, and each row is copied once per block of its scope
+    block_rows: int = 16_384
+    # a task scores tile x tile pairs at a time, so this bounds its working memory
+    tile_rows: int = 1024
     # scopes above this many rows are split on vector cells (and hash bands where the scorer has hashes)
     split_rows: int = 50_000
     # bounds of what is collected and shipped to the tasks

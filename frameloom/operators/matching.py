@@ -19,12 +19,13 @@ with itself: a hot family of near copies costs linear work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.config import (
@@ -227,19 +228,23 @@ def _take(block: dict, rows: np.ndarray) -> dict:
     return {k: v[rows] for k, v in block.items()}
 
 
-def local_roots(ia: np.ndarray, ib: np.ndarray, rows: int) -> np.ndarray:
-    """Smallest reachable row number of every row."""
-    label = np.arange(rows)
+def join_labels(label: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Component labels (smallest row number) after adding edges to already labelled rows."""
     while True:
-        low = np.minimum(label[ia], label[ib])
-        nxt = label.copy()
-        for side in (ia, ib):
-            np.minimum.at(nxt, side, low)
-            np.minimum.at(nxt, label[side], low)
-        nxt = nxt[nxt]
-        if np.array_equal(nxt, label):
+        a, b = label[ia], label[ib]
+        apart = a != b
+        if not apart.any():
             return label
-        label = nxt
+        ia, ib, a, b = ia[apart], ib[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        label = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -261,51 +266,59 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _score_run(rows: pa.Table, scorer: Scorer) -> pa.RecordBatch | None:
-    """Score the one or two blocks of a run and reduce to one row per matched node."""
+def _score_run(rows: pa.Table, scorer: Scorer, tile_rows: int) -> pa.RecordBatch | None:
+    """Score the one or two blocks of a run tile by tile and reduce to one row per matched node."""
     block_no = rows["block"].to_numpy()
+    is_cross = rows["is_cross"][0].as_py()
     first = np.flatnonzero(block_no == block_no.min())
-    second = np.flatnonzero(block_no != block_no.min())
-    is_self = not rows["is_cross"][0].as_py()
-    if not is_self and not len(second):
+    second = np.flatnonzero(block_no != block_no.min()) if is_cross else first
+    n = rows.num_rows
+    if not len(second) or n < 2:
         return None
     data = scorer.prepare(rows)
-    if is_self:
-        ia, ib, value = scorer.score(data, data)
-        keep = ia < ib
-        ia, ib, value = ia[keep], ib[keep], value[keep]
-    else:
-        ia, ib, value = scorer.score(_take(data, first), _take(data, second))
-        ia, ib = first[ia], second[ib]
-    home = np.asarray(rows["home"])
-    vector_home = np.asarray(rows["vector_home"])
-    keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
+    home, vector_home = np.asarray(rows["home"]), np.asarray(rows["vector_home"])
     band = rows["band"][0].as_py()
-    if band >= 0:
-        keep &= scorer.first_band(data["hash"][ia], data["hash"][ib]) == band
-    ia, ib, value = ia[keep], ib[keep], value[keep]
-    if not len(ia):
-        return None
-
-    n = rows.num_rows
     weight = rows["weight"].to_numpy().astype(float)
-    matches = np.bincount(ia, weight[ib], n) + np.bincount(ib, weight[ia], n)
-    total = np.bincount(ia, value * weight[ib], n) + np.bincount(ib, value * weight[ia], n)
-    pick = np.minimum if scorer.best == "min" else np.maximum
-    best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
-    pick.at(best, ia, value)
-    pick.at(best, ib, value)
-    # roots are the smallest names, so that a group found by one task needs no further contraction
+    # labels run over the rank of the names, so that roots are the smallest names and a group found by
+    # one task needs no further contraction
     node = rows["node"].to_numpy()
     order = np.argsort(node)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    root = node[order[local_roots(rank[ia], rank[ib], n)[rank]]]
+
+    matches, total = np.zeros(n), np.zeros(n)
+    pick = np.minimum if scorer.best == "min" else np.maximum
+    best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
+    label = np.arange(n)
+    for i in range(0, len(first), tile_rows):
+        left = first[i : i + tile_rows]
+        tile = _take(data, left)
+        for j in range(0 if is_cross else i, len(second), tile_rows):
+            right = second[j : j + tile_rows]
+            ia, ib, value = scorer.score(tile, _take(data, right))
+            ia, ib = left[ia], right[ib]
+            keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
+            if not is_cross:
+                keep &= ia < ib
+            if band >= 0:
+                keep &= scorer.first_band(data["hash"][ia], data["hash"][ib]) == band
+            ia, ib, value = ia[keep], ib[keep], value[keep]
+            if not len(ia):
+                continue
+            for one, other in ((ia, ib), (ib, ia)):
+                matches += np.bincount(one, weight[other], n)
+                total += np.bincount(one, value * weight[other], n)
+                pick.at(best, one, value)
+            label = join_labels(label, rank[ia], rank[ib])
+
     hit = np.flatnonzero(matches > 0)
+    if not len(hit):
+        return None
+    root = node[order[label[rank[hit]]]]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(node[hit], pa.string()),
-            pa.array(root[hit], pa.string()),
+            pa.array(root, pa.string()),
             pa.array(matches[hit].astype(np.int64)),
             pa.array(total[hit]),
             pa.array(best[hit]),
@@ -402,7 +415,14 @@ def _with_vector_cells(
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _blocks(cells: DataFrame, tuning: MatchTuning) -> DataFrame:
+def _rows_per_block(rows: Column, tasks: int, tuning: MatchTuning) -> Column:
+    """Large blocks copy rows less often; they shrink only as far as it takes to keep all tasks busy."""
+    blocks_wanted = math.ceil(math.sqrt(2 * tasks))
+    smallest = min(tuning.tile_rows, tuning.block_rows)
+    return F.least(F.lit(tuning.block_rows), F.greatest(F.lit(smallest), F.ceil(rows / blocks_wanted)))
+
+
+def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning) -> DataFrame:
     """Give every row its block and one copy per block pair it takes part in."""
     key = ["scope", "cell", "vector_cell"]
     families = cells.groupBy(*key, "hub").agg(F.count("*").alias("n"))
@@ -414,10 +434,11 @@ def _blocks(cells: DataFrame, tuning: MatchTuning) -> DataFrame:
     )
     sizes = (
         sizes.filter("total >= 2")
-        .withColumn("rest_blocks", F.ceil((F.col("total") - F.col("major_rows")) / tuning.block_rows))
-        .withColumn("major_blocks", F.ceil(F.col("major_rows") / tuning.block_rows))
+        .withColumn("per_block", _rows_per_block(F.col("total"), tasks, tuning))
+        .withColumn("rest_blocks", F.ceil((F.col("total") - F.col("major_rows")) / F.col("per_block")))
+        .withColumn("major_blocks", F.ceil(F.col("major_rows") / F.col("per_block")))
         .filter("rest_blocks > 0")
-        .drop("total", "major_rows")
+        .drop("total", "major_rows", "per_block")
     )
     spread = F.xxhash64("node")
     in_major = F.coalesce(F.col("hub") == F.col("major"), F.lit(False))
@@ -445,10 +466,14 @@ def match_nodes(
     totals, feed (node, root) to the components.
     """
     nodes = nodes.select("node", "scope", "weight", *scorer.columns)
-    blocks = F.ceil(F.col("count") / tuning.block_rows)
+    # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), tasks, tuning))
     sizes = nodes.groupBy("scope").count().filter("count >= 2")
     largest, runs = sizes.agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
-    largest, runs = largest or 0, int(runs or 1)
+    is_large = (largest or 0) > tuning.split_rows
+    if not is_large:
+        tasks = min(tasks, int(runs or 1))
     defaults = {
         "cell": F.lit(""),
         "home": F.lit(True),
@@ -457,19 +482,15 @@ def match_nodes(
         "vector_cell": F.lit(0),
         "vector_home": F.lit(True),
     }
-    is_large = largest > tuning.split_rows
     cells = nodes
     if is_large:
         cells = scorer.split(_with_vector_cells(nodes, scorer, largest, tuning, connectivity_only))
     cells = cells.withColumns({k: v for k, v in defaults.items() if k not in cells.columns})
-    # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = tasks if is_large else min(tasks, runs)
-    laid_out = _blocks(cells, tuning).repartition(tasks, "pair").sortWithinPartitions("pair")
+    laid_out = _blocks(cells, tasks, tuning).repartition(tasks, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            result = _score_run(rows, scorer)
+            result = _score_run(rows, scorer, tuning.tile_rows)
             if result is not None:
                 yield result
 

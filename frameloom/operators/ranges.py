@@ -70,42 +70,69 @@ def candidate_partners(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE
     )
 
 
-def range_links(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> tuple[DataFrame, DataFrame]:
-    """(videos with their cell node, links between cell nodes) with the components of the full pair graph.
-
-    A node is one duration cell and one exact aspect ratio; its videos all match each other, so they need no
-    pairs. Two nodes are linked when their aspect ratios are in bounds and, for different cells, when the
-    longest video of the lower cell and the shortest of the upper one are in tolerance: that is the closest
-    pair, and the tolerance grows with the shorter duration, so no other pair can match if it does not.
+def range_links(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(videos with their cell, links between cells, cells that are groups by themselves): a graph with the
+    components of the graph over all matching pairs.
+
+    A cell is one step of duration and one step of aspect ratio. Any two of its videos match, so a cell is a
+    single node and needs no pairs. Two cells are linked when any of their videos match, which is decided
+    without comparing videos:
+
+    * same duration step: the widest of the narrower cell against the narrowest of the wider one;
+    * same aspect step: the longest of the shorter cell against the shortest of the longer one. That is the
+      closest pair, and the tolerance grows with the shorter duration;
+    * both steps different: the same test for each pair of exact aspect ratios, of which a step holds few.
     """
     placed = (
         video_profiles(videos)
-        .withColumn("cell", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
-        .withColumn("cell_node", F.concat_ws("@", F.col("cell"), F.col("aspect")))
+        .withColumn("step", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
+        .withColumn("shape", F.floor(F.col("aspect") / rules.max_aspect_difference))
     )
-    nodes = placed.groupBy("cell_node", "cell", "aspect").agg(
+    ratios = placed.groupBy("step", "shape", "aspect").agg(
         F.count("*").alias("videos"), F.min("duration").alias("shortest"), F.max("duration").alias("longest")
     )
-    nodes = nodes.withColumn("aspect_cell", F.floor(F.col("aspect") / rules.max_aspect_difference))
-    lower = nodes.select(
-        F.col("cell_node").alias("a"),
-        F.col("cell").alias("a_cell"),
-        F.col("aspect").alias("a_aspect"),
-        F.col("longest").alias("a_longest"),
-        F.explode(F.sequence(F.col("cell"), F.col("cell") + REACH)).alias("cell"),
-        F.col("aspect_cell").alias("own"),
-    ).withColumn("aspect_cell", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
-    upper = nodes.select(
-        F.col("cell_node").alias("b"), "cell", "aspect", "aspect_cell", "shortest"
+    cells = ratios.groupBy("step", "shape").agg(
+        F.sum("videos").alias("videos"),
+        F.min("shortest").alias("shortest"),
+        F.max("longest").alias("longest"),
+        F.min("aspect").alias("narrowest"),
+        F.max("aspect").alias("widest"),
+    )
+
+    def shifted(rows: DataFrame, steps: Column, shapes: Column) -> DataFrame:
+        """Rows as the left side of an equi-join on the step and shape they look at."""
+        own = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+        return own.withColumn("step", F.explode(steps)).withColumn("shape", F.explode(shapes))
+
+    def name(prefix: str = "") -> Column:
+        return F.concat_ws("@", f"{prefix}step", f"{prefix}shape")
+
+    step, shape = F.col("a_step"), F.col("a_shape")
+    later = F.array(*[step + i for i in range(1, REACH + 1)])
+    bound = rules.max_aspect_difference
+    on = ["step", "shape"]
+    side_by_side = (
+        shifted(cells, F.array(step), F.array(shape + 1))
+        .join(cells, on)
+        .filter(F.col("narrowest") - F.col("a_widest") <= bound)
     )
-    reachable = F.when(F.col("a_cell") == F.col("cell"), F.col("a") < F.col("b")).otherwise(
-        in_tolerance(F.col("a_longest"), F.col("shortest"), rules)
+    one_after_another = (
+        shifted(cells, later, F.array(shape))
+        .join(cells, on)
+        .filter(in_tolerance(F.col("a_longest"), F.col("shortest"), rules))
     )
-    links = (
-        lower.join(upper, ["cell", "aspect_cell"])
-        .filter(reachable & (F.abs(F.col("a_aspect") - F.col("aspect")) <= rules.max_aspect_difference))
-        .select("a", "b")
+    across = (
+        shifted(ratios, later, F.array(shape - 1, shape + 1))
+        .join(ratios, on)
+        .filter(
+            in_tolerance(F.col("a_longest"), F.col("shortest"), rules)
+            & (F.abs(F.col("a_aspect") - F.col("aspect")) <= bound)
+        )
+    )
+    links = [part.select(name("a_").alias("a"), name().alias("b")) for part in (side_by_side, one_after_another, across)]
+    own = cells.filter("videos > 1").select(name().alias("cell"))
+    return (
+        placed.select("asset_id", name().alias("cell")),
+        links[0].unionByName(links[1]).unionByName(links[2].distinct()),
+        own,
     )
-    # a node with several videos is a group of its own even without neighbours
-    own = nodes.filter("videos > 1").select("cell_node")
-    return placed.select("asset_id", "cell_node"), links, own

@@ -34,13 +34,13 @@ from frameloom.session import cut_lineage
 def video_candidates(assets: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
     """(asset_id, component) of the videos with a possible partner by duration and shape, transitively.
 
-    The graph has one node per duration cell and aspect ratio, so its size depends on how varied the
-    library is and not on how many videos it holds.
+    The graph has one node per duration and aspect step, so its size depends on how varied the library is
+    and not on how many videos it holds.
     """
     placed, links, own = range_links(videos(assets), rules)
-    linked = connected_components(links, "a", "b").withColumnRenamed("node", "cell_node")
-    alone = own.join(linked, "cell_node", "left_anti").withColumn("component", F.col("cell_node"))
-    return placed.join(linked.unionByName(alone), "cell_node").select("asset_id", "component")
+    linked = connected_components(links, "a", "b").withColumnRenamed("node", "cell")
+    alone = own.join(linked, "cell", "left_anti").withColumn("component", F.col("cell"))
+    return placed.join(linked.unionByName(alone), "cell").select("asset_id", "component")
 
 
 def _frame_rows(candidates: DataFrame, frames: DataFrame, rules: DuplicateVideoRules) -> DataFrame:

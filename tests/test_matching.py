@@ -11,7 +11,7 @@ from frameloom.operators import matching as M
 from frameloom.session import cut_lineage
 
 PLAIN = MatchTuning()
-BLOCKS = MatchTuning(block_rows=7)
+BLOCKS = MatchTuning(block_rows=7, tile_rows=3)
 CELLS = MatchTuning(block_rows=8, split_rows=10, max_pivots=64, sample_rows=128, pairs_per_moved_row=0.0)
 DIMS = 8
 
@@ -163,7 +163,7 @@ def test_hot_family_is_not_compared_with_itself(spark):
     tuning = MatchTuning(block_rows=32, split_rows=50, max_pivots=16, sample_rows=64)
     scorer = M.DuplicateScorer()
     placed = scorer.split(M._with_vector_cells(nodes, scorer, 400, tuning, True)).withColumn("home", F.lit(True))
-    assert M._blocks(placed, tuning).count() == 0
+    assert M._blocks(placed, 4, tuning).count() == 0
     components = M.matched_components(nodes, M.match_nodes(nodes, scorer, tuning, True), scorer).collect()
     assert len(components) == 400 and len({r.component for r in components}) == 1
 
@@ -196,8 +196,10 @@ def test_vector_cells_keep_every_match_together(seed):
         assert inside[i, cell] and inside[j, cell]
 
 
-def test_hash_bands_and_local_roots():
+def test_hash_bands_and_labels():
     edges = M.band_edges(4)
     assert sum(w for _, w in edges) == 64 and len(edges) == 5
     ia, ib = np.array([0, 3, 1]), np.array([1, 4, 2])
-    assert M.local_roots(ia, ib, 6).tolist() == [0, 0, 0, 3, 3, 5]
+    label = M.join_labels(np.arange(6), ia, ib)
+    assert label.tolist() == [0, 0, 0, 3, 3, 5]
+    assert M.join_labels(label, np.array([4]), np.array([2])).tolist() == [0, 0, 0, 0, 0, 5]
