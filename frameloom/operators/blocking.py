@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.config import DUPLICATE_PHOTOS, DuplicatePhotoRules
 from frameloom.functions import vectors as V
+from frameloom.session import cut_lineage
 
 # A band cell above this many hashes is split on bands of its remaining bits.
 MAX_CELL_HASHES = 10_000
@@ -70,7 +71,8 @@ def _split(rows: DataFrame, bands: int, when: Column) -> DataFrame:
 
 def hash_counts(features: DataFrame, *scope: str) -> DataFrame:
     """Distinct hashes per scope with the number of photos behind each."""
-    return features.groupBy(*scope, "dhash").agg(F.count("*").alias("photos"))
+    # few and narrow next to the features, which are read once for all that follows
+    return cut_lineage(features.groupBy(*scope, "dhash").agg(F.count("*").alias("photos")))
 
 
 def close_hash_pairs(
@@ -94,7 +96,9 @@ def close_hash_pairs(
     rows = _split(rows, bands, F.lit(True))
     for _ in range(REFINEMENTS):
         sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2")
-        rows = _split(rows.join(sizes, "key"), bands, F.col("_n") > max_cell_hashes).drop("_n")
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= max_cell_hashes:
+            break
+        rows = cut_lineage(_split(rows.join(sizes, "key"), bands, F.col("_n") > max_cell_hashes).drop("_n"))
     left = rows.select("key", *scope, F.col("dhash").alias("dhash_a"), F.col("photos").alias("photos_a"), F.col("earlier").alias("_a"))
     right = rows.select("key", F.col("dhash").alias("dhash_b"), F.col("photos").alias("photos_b"), F.col("earlier").alias("_b"))
     bits = V.hamming(F.col("dhash_a"), F.col("dhash_b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
@@ -39,5 +39,6 @@ def sample_keyframes(
         .agg(F.min(F.struct(F.col("hit.gap").alias("gap"), F.col("frame_no"))).alias("best"))
         .select("asset_id", "sample_idx", F.col("best.frame_no").alias("frame_no"), F.col("best.gap").alias("gap"))
     )
-    enough = nearest.groupBy("asset_id").count().filter(F.col("count") >= rules.min_sampled_frames)
-    return nearest.join(enough.select("asset_id"), "asset_id", "left_semi")
+    # at most one row per sample point is left of each video, placed by the join already
+    hits = F.count("*").over(Window.partitionBy("asset_id"))
+    return nearest.withColumn("_hits", hits).filter(F.col("_hits") >= rules.min_sampled_frames).drop("_hits")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
 from frameloom.functions import media
+from frameloom.session import cut_lineage
 
 # Durations are measured in steps of their own tolerance, so that "within tolerance" is at most one
 # step everywhere. Cells are a little narrower than a step: any two videos of one cell are in tolerance.
@@ -88,8 +89,11 @@ def range_links(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS
         .withColumn("step", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
         .withColumn("shape", F.floor(F.col("aspect") / rules.max_aspect_difference))
     )
-    ratios = placed.groupBy("step", "shape", "aspect").agg(
-        F.count("*").alias("videos"), F.min("duration").alias("shortest"), F.max("duration").alias("longest")
+    # few rows, read by every test below: one pass over the videos instead of one per test
+    ratios = cut_lineage(
+        placed.groupBy("step", "shape", "aspect").agg(
+            F.count("*").alias("videos"), F.min("duration").alias("shortest"), F.max("duration").alias("longest")
+        )
     )
     cells = ratios.groupBy("step", "shape").agg(
         F.sum("videos").alias("videos"),
