@@ -372,7 +372,7 @@ def _with_vector_cells(
     count = choose_pivot_count(prepared["points"], scorer.radius, rows, tuning)
     names = np.asarray(sample["node"].to_pylist(), object)[np.sort(distinct)]
     scopes = np.asarray(sample["scope"].to_pylist(), object)[np.sort(distinct)]
-    hubs = min(tuning.max_pivots, len(names))
+    hubs = min(tuning.max_hubs, len(names))
     pivots = _take(prepared, np.arange(count))
     hub_block, hub_names, hub_scopes = _take(prepared, np.arange(hubs)), names[:hubs], scopes[:hubs]
     radius = scorer.radius
