@@ -41,16 +41,6 @@ def index_records(library: DataFrame, indexed_at: Column) -> DataFrame:
     return library.withColumns(folded).drop("resources")
 
 
-def records_from_resources(resources: DataFrame) -> DataFrame:
-    """The same fold over a flat resource table; sets stay small because kinds and types are few."""
-    return resources.groupBy("asset_id").agg(
-        F.array_sort(F.collect_set("kind")).alias("resource_types"),
-        F.array_sort(F.collect_set("uti")).alias("uniform_type_identifiers"),
-        F.array_sort(F.collect_set("filename")).alias("original_filenames"),
-        F.max("file_size").alias("file_size"),
-    )
-
-
 def photos(index: DataFrame) -> DataFrame:
     return index.filter(F.col("kind") == "photo")
 

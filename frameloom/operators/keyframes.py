@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
 
 
-def collect_frames(frame_rows: DataFrame) -> DataFrame:
+def collect_frames(frame_rows: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
     """Frame vectors of a video in order; missing frames leave no gap (the rest move up).
 
-    At most ``max_frames`` rows per asset reach this aggregate: they are its sampled keyframes.
+    One slot per sample point, so what is gathered for an asset is bounded however many rows it has.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("frame_idx", "vec")))
-    return frame_rows.groupBy("asset_id").agg(F.transform(ordered, lambda f: f["vec"]).alias("frames"))
+    slots = [
+        F.first(F.when(F.col("frame_idx") == k, F.col("vec")), ignorenulls=True).alias(f"_f{k}")
+        for k in range(rules.max_frames)
+    ]
+    gathered = frame_rows.groupBy("asset_id").agg(*slots)
+    present = F.array_compact(F.array(*[f"_f{k}" for k in range(rules.max_frames)]))
+    return gathered.select("asset_id", present.alias("frames"))
 
 
 def sample_keyframes(

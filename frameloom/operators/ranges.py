@@ -39,36 +39,50 @@ def video_profiles(videos: DataFrame) -> DataFrame:
     )
 
 
+def _placed(videos: DataFrame, rules: DuplicateVideoRules) -> DataFrame:
+    """Videos with their duration step and aspect step. Any two videos of one (step, shape) cell match."""
+    return (
+        video_profiles(videos)
+        .withColumn("step", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
+        .withColumn("shape", F.floor(F.col("aspect") / rules.max_aspect_difference))
+    )
+
+
 def candidate_partners(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
     """Per distinct (duration, aspect): its videos and how many other videos pass the range join.
 
     The binned range join runs over distinct profiles with counts, so any number of videos of one length
-    and shape is a single row, and its result is summed per profile instead of being emitted.
+    and shape is a single row. Profiles of one cell all match, so they are counted by the cell's total; only
+    neighbouring cells are joined, and their matches are summed where they are found, never emitted.
     """
-    profiles = (
-        video_profiles(videos)
-        .groupBy("duration", "aspect")
-        .agg(F.count("*").alias("videos"))
-        .withColumn("cell", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
-        .withColumn("aspect_cell", F.floor(F.col("aspect") / rules.max_aspect_difference))
-    )
-    left = profiles.select(
-        *[F.col(c).alias(f"a_{c}") for c in ("duration", "aspect", "videos")],
-        F.explode(F.sequence(F.col("cell") - REACH, F.col("cell") + REACH)).alias("cell"),
-        F.col("aspect_cell").alias("a_aspect_cell"),
-    ).withColumn("aspect_cell", F.explode(F.sequence(F.col("a_aspect_cell") - 1, F.col("a_aspect_cell") + 1)))
-    joined = left.join(profiles, ["cell", "aspect_cell"]).filter(
-        in_tolerance(F.least("a_duration", "duration"), F.greatest("a_duration", "duration"), rules)
-        & (F.abs(F.col("a_aspect") - F.col("aspect")) <= rules.max_aspect_difference)
+    profiles = cut_lineage(
+        _placed(videos, rules).groupBy("step", "shape", "duration", "aspect").agg(F.count("*").alias("videos"))
     )
-    same = (F.col("a_duration") == F.col("duration")) & (F.col("a_aspect") == F.col("aspect"))
-    return (
-        joined.groupBy(F.col("a_duration").alias("duration"), F.col("a_aspect").alias("aspect"))
-        .agg(
-            F.max("a_videos").alias("videos"),
-            F.sum(F.when(same, F.col("videos") - 1).otherwise(F.col("videos"))).alias("partners"),
+    key = ["step", "shape"]
+    totals = profiles.groupBy(*key).agg(F.sum("videos").alias("in_cell"))
+    own = profiles.join(totals, key).select("duration", "aspect", "videos", (F.col("in_cell") - F.col("videos")).alias("partners"))
+    same = profiles.select("duration", "aspect", "videos", (F.col("videos") - 1).alias("partners"))
+    near = profiles.select(
+        *[F.col(c).alias(f"a_{c}") for c in ("duration", "aspect", "videos", "step", "shape")],
+        F.explode(F.sequence(F.col("step") - REACH, F.col("step") + REACH)).alias("step"),
+    ).withColumn("shape", F.explode(F.sequence(F.col("a_shape") - 1, F.col("a_shape") + 1)))
+    elsewhere = (F.col("step") != F.col("a_step")) | (F.col("shape") != F.col("a_shape"))
+    across = (
+        near.filter(elsewhere)
+        .join(profiles, key)
+        .filter(
+            in_tolerance(F.least("a_duration", "duration"), F.greatest("a_duration", "duration"), rules)
+            & (F.abs(F.col("a_aspect") - F.col("aspect")) <= rules.max_aspect_difference)
+        )
+        .select(
+            F.col("a_duration").alias("duration"),
+            F.col("a_aspect").alias("aspect"),
+            F.col("a_videos").alias("videos"),
+            F.col("videos").alias("partners"),
         )
     )
+    parts = own.unionByName(same).unionByName(across)
+    return parts.groupBy("duration", "aspect").agg(F.max("videos").alias("videos"), F.sum("partners").alias("partners"))
 
 
 def range_links(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,11 +98,7 @@ def range_links(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS
       closest pair, and the tolerance grows with the shorter duration;
     * both steps different: the same test for each pair of exact aspect ratios, of which a step holds few.
     """
-    placed = (
-        video_profiles(videos)
-        .withColumn("step", F.floor(tolerance_scale(F.col("duration"), rules) / CELL_WIDTH))
-        .withColumn("shape", F.floor(F.col("aspect") / rules.max_aspect_difference))
-    )
+    placed = _placed(videos, rules)
     # few rows, read by every test below: one pass over the videos instead of one per test
     ratios = cut_lineage(
         placed.groupBy("step", "shape", "aspect").agg(

@@ -35,8 +35,11 @@ def fingerprint_new_images(
     def handle(batch: DataFrame, batch_id: int) -> None:
         name = F.regexp_extract("image.origin", r"([^/]+?)(?:\.[^./]*)?$", 1)
         arrived = batch.withColumn("asset_id", name)
-        known = index.join(arrived.select("asset_id").distinct(), "asset_id", "left_semi")
-        missing = FP.needs_analysis(known, latest_fingerprints(log.read(before=batch_id)), "similar")
+        ids = arrived.select("asset_id")
+        # only the batch's assets are looked up in index and log
+        known = index.join(ids, "asset_id", "left_semi")
+        stored = latest_fingerprints(log.read(before=batch_id).join(ids, "asset_id", "left_semi"))
+        missing = FP.needs_analysis(known, stored, "similar")
         images = arrived.join(missing.select("asset_id"), "asset_id", "left_semi").select("image")
         log.write(FP.fingerprint_rows(FP.featurize(images, featurizer), missing, analyzed_at), batch_id)
 
