@@ -101,8 +101,9 @@ def selection(groups: DataFrame, keep_best: bool = True) -> DataFrame:
 
 
 def member_ids(groups: DataFrame, what: str = "all_members") -> DataFrame:
-    """The exclusion set built from groups: every member, or only the extra copies."""
-    return selection(groups, keep_best=what == "extra_copies").distinct()
+    """The exclusion set built from groups: every member, or only the extra copies. No asset is in two
+    groups of one analysis, so the ids are distinct as they are."""
+    return selection(groups, keep_best=what == "extra_copies")
 
 
 def group_storage(groups: DataFrame) -> DataFrame:

@@ -59,19 +59,29 @@ def _members(rows: DataFrame, components: DataFrame) -> DataFrame:
     return cut_lineage(rows.select("asset_id", "node").join(components, "node"))
 
 
-def duplicate_photo_groups(
+def duplicate_photo_members(
     assets: DataFrame,
     features: DataFrame,
-    resources: DataFrame | None = None,
     rules: DuplicatePhotoRules = DUPLICATE_PHOTOS,
     tuning: MatchTuning = TUNING,
 ) -> DataFrame:
-    """Groups of re-encoded copies: same shape and size tier, close hash, close vector, transitively."""
+    """(asset_id, node, component) of every photo in a duplicate group: enough to exclude them elsewhere."""
     scorer = DuplicateScorer(rules)
     rows = _duplicate_features(assets, features, rules)
     nodes = collapse_copies(rows, scorer)
     found = match_nodes(nodes, scorer, tuning, connectivity_only=True)
-    members = _members(rows, matched_components(nodes, found, scorer))
+    return _members(rows, matched_components(nodes, found, scorer))
+
+
+def duplicate_photo_groups(
+    assets: DataFrame,
+    features: DataFrame,
+    resources: DataFrame | None = None,
+    rules: DuplicatePhotoRules = DUPLICATE_PHOTOS,
+    tuning: MatchTuning = TUNING,
+) -> DataFrame:
+    """Groups of re-encoded copies: same shape and size tier, close hash, close vector, transitively."""
+    members = duplicate_photo_members(assets, features, rules, tuning)
     return G.assemble_groups(members, assets, resources, G.BEST_BY_SIZE).drop("component")
 
 

@@ -19,7 +19,7 @@ from frameloom.operators import index as I
 from frameloom.operators.components import connected_components
 from frameloom.plans import photos as P
 from frameloom.plans import videos as VD
-from frameloom.session import checkpoint_dir
+from frameloom.session import checkpoint_dir, cut_lineage
 from frameloom.sources.derived import INDEXED_AT, NOW, DerivedLibrary, timestamp
 from frameloom.sources.images import scan_assets
 from frameloom.sources.store import index_table, load_index
@@ -63,8 +63,10 @@ def _duplicate_photos(lib: DerivedLibrary) -> DataFrame:
     return P.duplicate_photo_groups(lib.assets, lib.photo_features, lib.resources)
 
 
-def _similar_photos(lib: DerivedLibrary, duplicates: DataFrame) -> DataFrame:
-    return P.similar_photo_groups(lib.assets, lib.photo_features, G.member_ids(duplicates), lib.resources)
+def _similar_photos(lib: DerivedLibrary, excluded: DataFrame | None = None) -> DataFrame:
+    if excluded is None:
+        excluded = P.duplicate_photo_members(lib.assets, lib.photo_features)
+    return P.similar_photo_groups(lib.assets, lib.photo_features, excluded, lib.resources)
 
 
 def _duplicate_videos(lib: DerivedLibrary) -> DataFrame:
@@ -76,11 +78,11 @@ def _large_videos(lib: DerivedLibrary) -> DataFrame:
 
 
 def _analyses(lib: DerivedLibrary) -> dict[str, DataFrame | None]:
-    duplicates = _duplicate_photos(lib)
+    duplicates = cut_lineage(_duplicate_photos(lib))  # reported on and excluded from the similar photos
     return {
         "duplicatePhotos": duplicates,
         "duplicateVideos": _duplicate_videos(lib),
-        "similarPhotos": _similar_photos(lib, duplicates),
+        "similarPhotos": _similar_photos(lib, G.member_ids(duplicates)),
     }
 
 
@@ -395,7 +397,7 @@ def dup_video_group_filter(lib):
 
 @_query
 def exclude_ids(lib):
-    kept = I.without_ids(I.photos(lib.assets), G.member_ids(_duplicate_photos(lib)))
+    kept = I.without_ids(I.photos(lib.assets), P.duplicate_photo_members(lib.assets, lib.photo_features))
     return kept.select("asset_id")
 
 
@@ -509,7 +511,7 @@ def duplicate_photo_groups(lib):
 
 @_query
 def similar_photo_groups(lib):
-    groups = _similar_photos(lib, _duplicate_photos(lib))
+    groups = _similar_photos(lib)
     return _group_columns(groups, _round("average_similarity"))
 
 
@@ -541,7 +543,7 @@ def groups_removing(lib):
 
 @_query
 def group_similarity(lib):
-    groups = _similar_photos(lib, _duplicate_photos(lib)).filter("member_rank = 1")
+    groups = _similar_photos(lib).filter("member_rank = 1")
     return groups.select(
         "group_id",
         _round("average_similarity"),
