@@ -119,7 +119,7 @@ def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[n
     begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     row = np.repeat(np.arange(n_rows), counts)
     position = np.arange(len(hashes)) - begin[row]
-    multiplier = [U64(2 * i + 1) * U64(0xA0761D6478BD642F) for i in range(size)]
+    multiplier = np.arange(1, 2 * size, 2, dtype=U64) * U64(0xA0761D6478BD642F)
     whole = np.flatnonzero(position + size <= counts[row])
     h = np.zeros(len(whole), dtype=U64)
     for i in range(size):
