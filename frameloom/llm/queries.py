@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import mixing, ngram_join, packing, tokens
+from frameloom.llm import lm, mixing, ngram_join, packing, tokens
 from frameloom.llm.common import table
 from frameloom.session import tune
 
@@ -46,3 +46,12 @@ ORACLE["op7_mixing"] = mixing.MIX_SQL
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@_query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE["op10_lm_scores"] = lm.SCORES_SQL
