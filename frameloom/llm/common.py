@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,9 @@ def blocks(spark: SparkSession, n_bytes: int, per_block: int) -> int:
 def text_size(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.select(F.sum(F.octet_length(column)).alias("n")).first().n or 0
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver notice what is out of use, so that shuffle files of steps that were saved leave the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
