@@ -6,10 +6,10 @@ left of a class is an upper bound on its overlap with anything, and a class whos
 sets goes too. The others are ordered by frequency, and only classes that share an n-gram in the prefixes where their
 overlap must begin are paired, again within size-derived bounds (length, and what can follow a shared n-gram).
 
-Components need not know every link. A class is first verified against its most frequent neighbour and the first class
-in the lists of its prefix, the links found are contracted, and only pairs across the contracted groups are then
-paired in full. A large family of near copies so costs pairs in proportion to its size, and no link that joins two
-groups is lost.
+The product is multiplied in blocks. Classes that prefixes hold together are a family; small families share blocks, a
+large one is several. A task counts the overlaps of its block's pairs and returns a forest of the links, so no pair leaves
+it. Of a large family each block is multiplied with itself and with the first one; then only what is not yet in the
+family's largest group is multiplied with the other blocks, and no link that joins two groups is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm import kernels as K
-from frameloom.llm.common import CHUNK_BYTES, saved
+from frameloom.llm.common import CHUNK_BYTES, released, saved
 from frameloom.operators.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -30,6 +30,8 @@ SHINGLE_WORDS = 4
 THRESHOLD = 85
 # Frequencies at and above this count as one in the order of n-grams; any order is right.
 TOP_FREQUENCY = 1 << 16
+# Classes in a block of the product.
+BLOCK_ROWS = 2000
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,7 +72,11 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(shingle, cls): the incidence, each set once per Arrow batch at most."""
+    """(shingle, cls): the incidence, dealt by n-gram and in order; each set once per Arrow batch at most.
+
+    A set goes out as one row for each partition that gets n-grams of it, which is much less to move than a row each.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +89,15 @@ def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                         seen.add(c)
                         new[i] = True
                 keep = new[r]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[keep])), pa.array(K.signed(cls[r[keep]]))], ["shingle", "cls"])
+                h, r = h[keep], r[keep]
+                # hashes are in order within a row, so those of a partition lie together
+                part = ((h >> K.U64(32)) * K.U64(parts) >> K.U64(32)).astype(np.int32)
+                head = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)).astype(np.int32)), pa.array(K.signed(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(K.signed(cls[r[head]])), lists], ["part", "cls", "shingles"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, cls long")
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, cls long, shingles array<long>").repartitionById(parts, "part")
+    return dealt.select(F.explode("shingles").alias("shingle"), "cls").sortWithinPartitions("shingle", "cls")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,59 +143,128 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_s, held_c, np.full(len(held_s), len(held_s)))
 
 
-def _least_overlap(n: Column, m: Column, threshold: int) -> Column:
-    """Smallest overlap with which sets of these sizes are similar enough."""
-    return F.ceil(F.lit(threshold) * (n + m) / F.lit(100 + threshold))
+class _Forest:
+    """Union-find over the documents of a block."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
 
+    def join(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that bring a new component to ``a``'s."""
+        fresh, at = np.unique(self.label[others], return_index=True)
+        self.label[np.isin(self.label, fresh)] = self.label[a]
+        return others[at]
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough: overlaps counted on the shared n-grams."""
-    left = rows.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = rows.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    overlap = F.size(F.array_intersect("sa", "sb")).cast("long")
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("o"))
-    return counted.filter(F.lit(100) * F.col("o") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
+def _block_product(threshold: int):
+    """Links of a block: overlap counts of the pairs that the bounds leave, less those already connected.
+
+    A block's rows are pairs of sides: those on side 0 are compared with all, those on side 1 with side 0 only.
+    What comes out is a forest, never more rows than the block has documents.
+    """
 
-def _may_match(a: Column, b: Column, threshold: int) -> Column:
-    """Size-derived bounds on two prefix entries of the same n-gram; a has the larger set."""
-    room = F.least(a["k"] - a["pos"], b["k"] - b["pos"])
-    return (F.lit(100) * b["n"] >= F.lit(threshold) * a["n"]) & (room >= _least_overlap(a["n"], b["n"], threshold))
+    def run(table: pa.Table) -> pa.Table:
+        cls, n, k = (np.asarray(table.column(c)) for c in ("cls", "n", "k"))
+        side, reach = np.asarray(table.column("side")), np.asarray(table.column("reach"))
+        lists = table.column("shingles").combine_chunks()
+        ends = np.asarray(lists.offsets)
+        ends, flat = ends - ends[0], np.asarray(lists.flatten())
+        names, column = np.unique(flat, return_inverse=True)
+        forest = _Forest(np.asarray(table.column("g")))
+        begin = ends[:-1]
+        # prefix entries by n-gram
+        doc = np.repeat(np.arange(len(cls)), reach)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(reach) - reach, reach)
+        gram = column[begin[doc] + pos]
+        order = np.lexsort((doc, gram))
+        by_doc, room, gram = doc[order], (k[doc] - pos)[order], gram[order]
+        head = np.searchsorted(gram, gram, side="left")
+        tail = np.searchsorted(gram, gram, side="right")
+        slot = np.empty(len(order), np.int64)
+        slot[order] = np.arange(len(order))
+        slot_ends = np.concatenate([[0], np.cumsum(reach)])
+        marked = np.zeros(len(names), dtype=np.int32)
+        links: list[tuple[int, int]] = []
+        for a in range(len(cls)):
+            near = []
+            for i in slot[slot_ends[a] : slot_ends[a + 1]]:
+                other = by_doc[head[i] : tail[i]]
+                least = -(-threshold * (n[a] + n[other]) // (100 + threshold))
+                fits = (other < a) & (np.minimum(room[i], room[head[i] : tail[i]]) >= least) & (forest.label[other] != forest.label[a])
+                near.append(other[fits])
+            near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+            near = near[(side[near] == 0) | (side[a] == 0)]
+            near = near[100 * np.minimum(n[near], n[a]) >= threshold * np.maximum(n[near], n[a])]
+            if not len(near):
+                continue
+            marked[column[ends[a] : ends[a + 1]]] = 1
+            sizes = ends[near + 1] - ends[near]
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(ends[near] - starts, sizes)
+            overlap = np.add.reduceat(marked[column[at]], starts)
+            marked[column[ends[a] : ends[a + 1]]] = 0
+            linked = near[100 * overlap >= threshold * (n[a] + n[near] - overlap)]
+            if len(linked):
+                links.extend((int(cls[a]), int(cls[b])) for b in forest.join(a, linked))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _multiply(blocks: DataFrame, threshold: int) -> DataFrame:
+    """Links found in ``blocks`` (columns block, side, g and those of the incidence rows)."""
+    return blocks.groupBy("block").applyInArrow(_block_product(threshold), "a long, b long")
 
 
 def class_links(sets: DataFrame, shingles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links between classes with the same connected components as all links.
 
-    ``sets`` has (cls, n_shingles), ``shingles`` the incidence rows.
+    ``sets`` has (cls, n_shingles), ``shingles`` the incidence in order of (shingle, cls) within its partitions.
     """
-    shared = shingles.repartition("shingle").sortWithinPartitions("shingle", "cls").mapInArrow(_shared, "shingle long, cls long, df int")
+    spark = sets.sparkSession
+    shared = shingles.mapInArrow(_shared, "shingle long, cls long, df int")
     by_class = shared.repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("items"))
     sizes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"))
     least = F.ceil(F.lit(threshold) * F.col("n") / F.lit(100))
     rows = by_class.join(sizes, "cls").withColumn("k", F.size("items").cast("long")).filter(F.col("k") >= least)
-    rows = saved(rows.select("cls", "n", "k", F.col("items.shingle").alias("shingles")), "incidence")
     # the set has n - k n-grams of its own at the front of its order
-    reach = (F.col("k") - least + 1).cast("int")
-    prefix = rows.select("cls", "n", "k", F.posexplode(F.slice("shingles", F.lit(1), reach)).alias("pos", "shingle"))
-    prefix = saved(prefix.select("shingle", F.struct("n", "cls", "k", F.col("pos").cast("long").alias("pos")).alias("e")), "prefix")
-
-    in_list = Window.partitionBy("shingle").orderBy("e")
-    near = prefix.select("shingle", "e", F.lag("e").over(in_list).alias("before"), F.first("e").over(in_list).alias("head"))
-    before = near.select("e", F.col("before").alias("o"), F.lit("before").alias("way"))
-    tried = before.unionByName(near.select("e", F.col("head").alias("o"), F.lit("head").alias("way")))
-    tried = tried.filter("o IS NOT NULL AND o.cls <> e.cls").filter(_may_match(F.col("e"), F.col("o"), threshold))
-    counted = tried.groupBy(F.col("e.cls").alias("a"), F.col("o.cls").alias("b"), "way").agg(F.count(F.lit(1)).alias("c"))
-    first = counted.groupBy("a", "way").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b").distinct()
-    links = saved(_verified(first, rows, threshold), "links")
-
-    groups = saved(connected_components(links, "a", "b"), "groups")
-    named = prefix.join(groups, prefix["e.cls"] == groups["node"], "left").select("shingle", "e", F.coalesce("component", "e.cls").alias("g"))
-    over = Window.partitionBy("shingle")
-    named = named.withColumn("lo", F.min("g").over(over)).withColumn("hi", F.max("g").over(over)).filter("lo <> hi").select("shingle", "e", "g")
-    a, b = named.alias("a"), named.alias("b")
-    across = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.g") != F.col("b.g")) & (F.col("a.e") > F.col("b.e"))
-    pairs = a.join(b, across & _may_match(F.col("a.e"), F.col("b.e"), threshold)).select(F.col("a.e.cls").alias("a"), F.col("b.e.cls").alias("b")).distinct()
-    return links.unionByName(_verified(pairs, rows, threshold))
+    reach = (F.col("k") - least + 1).alias("reach")
+    rows = saved(rows.select("cls", "n", "k", reach, F.col("items.shingle").alias("shingles")), "incidence")
+    released(spark)
+
+    # families: what shared prefix n-grams hold together
+    prefix = saved(rows.select("cls", F.explode(F.slice("shingles", F.lit(1), F.col("reach").cast("int"))).alias("shingle")), "prefix")
+    heads = prefix.groupBy("shingle").agg(F.min("cls").alias("head"))
+    families = saved(connected_components(prefix.join(heads, "shingle").filter("cls <> head").select("cls", "head").distinct(), "cls", "head"), "families")
+    families = families.select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    counts = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    n_small = max(1, -(-rows.count() // BLOCK_ROWS))
+    placed = rows.join(families, "cls").join(counts, "family")
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    columns = ["block", "side", "g", "cls", "n", "k", "reach", "shingles"]
+    small = placed.filter("blocks = 1").select(F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(n_small))).alias("block"), F.lit(0).alias("side"), F.col("cls").alias("g"), *columns[3:])
+    # a large family: every block with itself and with the first one
+    spread = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    large = placed.filter("blocks > 1").withColumn("with", F.explode(spread))
+    large = large.select(F.concat_ws("/", F.lit("l"), "family", "with").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("g"), *columns[3:])
+    links = saved(_multiply(small.unionByName(large), threshold), "links")
+    if not counts.filter(F.col("members") > BLOCK_ROWS).limit(1).count():
+        return links
+
+    # what is not in the largest group of its family by now is compared with every block of the family
+    groups = saved(connected_components(links, "a", "b"), "groups").withColumnRenamed("node", "cls")
+    named = placed.filter("blocks > 1").join(groups, "cls", "left").withColumn("g", F.coalesce("component", "cls"))
+    named = saved(named.select("family", "own", "blocks", *columns[2:]), "named")
+    by_group = named.groupBy("family", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("family")
+    main = by_group.agg(F.max_by("g", F.struct("c", "g")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    main = main.withColumn("parts", F.ceil(F.col("others") / F.lit(BLOCK_ROWS)).cast("int")).filter("others > 0")
+    rest = named.join(main, "family").withColumn("is_other", F.col("g") != F.col("main"))
+    queried = rest.filter("is_other").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
+    queried = queried.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    whole = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("with", F.col("own")).withColumn("side", F.lit(1))
+    crossed = queried.select("family", "part", "with", *columns[1:]).unionByName(whole.select("family", "part", "with", *columns[1:]))
+    crossed = crossed.withColumn("block", F.concat_ws("/", "family", "part", "with"))
+    return links.unionByName(saved(_multiply(crossed.select(*columns), threshold), "cross-links"))
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
