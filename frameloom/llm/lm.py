@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,27 @@ from frameloom.llm.common import CHUNK_BYTES, saved
 ORDER = 2
 ALPHA = 0.4
 # Bytes of text in a block, and bytes of corpus text behind a bucket.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 
 
+def squeezed(numbers: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers as compressed bytes; ascending ones by their gaps. Bytes of equal weight lie together."""
+    gaps = np.diff(numbers, prepend=numbers.dtype.type(0)) if ascending else numbers
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8 if not len(numbers) else max(1, 8 - int(np.argmax(planes[::-1].any(axis=1)))) if planes.any() else 1
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
+
+
+def unsqueezed(raw: bytes, ascending: bool = False) -> np.ndarray:
+    used = raw[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(used, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :used] = planes.T
+    out = full.reshape(-1).view("<u8")
+    return np.cumsum(out, dtype=np.uint64) if ascending else out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -45,16 +63,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, end, row = K.words(part, at)
                 hashes.append(K.word_hashes(part, first, end, power))
                 counts.append(np.bincount(row, minlength=b - a))
-            known, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            known, tokens, tally = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            # frequent words get small numbers, which are short when compressed
+            rank = np.empty(len(known), np.int64)
+            rank[np.argsort(-tally, kind="stable")] = np.arange(len(known))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("doc_id").slice(lo, hi - lo)),
-                    pa.array([np.concatenate(counts).astype("<u4").tobytes()], pa.binary()),
-                    pa.array([known.astype("<u8").tobytes()], pa.binary()),
-                    pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([squeezed(np.concatenate(counts))], pa.binary()),
+                    pa.array([squeezed(known, ascending=True)], pa.binary()),
+                    pa.array([squeezed(rank)], pa.binary()),
+                    pa.array([squeezed(rank[tokens])], pa.binary()),
+                    pa.array([len(tokens)], pa.int64()),
                 ],
-                ["block", "doc_ids", "n_words", "words", "tokens"],
+                ["block", "doc_ids", "n_words", "words", "ranks", "tokens", "n_tokens"],
             )
             block += 1
 
@@ -65,10 +88,12 @@ class Grams:
     ``ids[n-1][i]`` is the n-gram of order n that ends at token i, or -1 where the document is too short.
     """
 
-    def __init__(self, n_words: bytes, words: bytes, tokens: bytes, order: int):
-        self.counts = np.frombuffer(n_words, "<u4").astype(np.int64)
-        word = np.frombuffer(words, "<u8")
-        token = np.frombuffer(tokens, "<u4").astype(np.int64)
+    def __init__(self, block: dict, order: int):
+        self.counts = unsqueezed(block["n_words"]).astype(np.int64)
+        rank = unsqueezed(block["ranks"]).astype(np.int64)
+        word = np.empty(len(rank), K.U64)
+        word[rank] = unsqueezed(block["words"], ascending=True)
+        token = unsqueezed(block["tokens"]).astype(np.int64)
         begin = np.cumsum(self.counts) - self.counts
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.position = np.arange(len(token)) - begin[self.row]
@@ -104,7 +129,7 @@ def _asks(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                grams = Grams(r["n_words"], r["words"], r["tokens"], order)
+                grams = Grams(r, order)
                 tally = np.concatenate(grams.tally)[grams.sorted]
                 ends = grams.bucket_ends(bits)
                 starts = np.concatenate([[0], ends[:-1]])
@@ -114,8 +139,8 @@ def _asks(order: int, bits: int):
                         [
                             pa.array(part.astype(np.int64)),
                             pa.array(np.full(len(part), r["block"], dtype=np.int64)),
-                            pa.array([grams.every[starts[b] : ends[b]].astype("<u8").tobytes() for b in part], pa.binary()),
-                            pa.array([tally[starts[b] : ends[b]].astype("<u4").tobytes() for b in part], pa.binary()),
+                            pa.array([squeezed(grams.every[starts[b] : ends[b]], ascending=True) for b in part], pa.binary()),
+                            pa.array([squeezed(tally[starts[b] : ends[b]]) for b in part], pa.binary()),
                         ],
                         ["bucket", "block", "grams", "tally"],
                     )
@@ -125,13 +150,13 @@ def _asks(order: int, bits: int):
 
 def _totals(table: pa.Table) -> pa.Table:
     """Of the asks of a bucket: the counts of all blocks, as each block asked for them."""
-    grams = [np.frombuffer(x.as_py(), "<u8") for x in table.column("grams")]
-    tally = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("tally")]).astype(np.int64)
+    grams = [unsqueezed(x.as_py(), ascending=True) for x in table.column("grams")]
+    tally = np.concatenate([unsqueezed(x.as_py()) for x in table.column("tally")]).astype(np.int64)
     known, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.zeros(len(known), np.int64)
     np.add.at(total, at, tally)
     parts = np.split(total[at], np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([squeezed(p) for p in parts], pa.binary())})
 
 
 def _own(group: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -163,9 +188,9 @@ def _score(order: int, all_words: int, alpha: float):
         ids, words, sums = [], [], []
         if block.num_rows:
             r = block.to_pylist()[0]
-            grams = Grams(r["n_words"], r["words"], r["tokens"], order)
+            grams = Grams(r, order)
             parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist()))
-            totals = grams.by_order(np.concatenate([np.frombuffer(p, "<i8") for _, p in parts])) if parts else grams.tally
+            totals = grams.by_order(np.concatenate([unsqueezed(p) for _, p in parts]).astype(np.int64)) if parts else grams.tally
             end = np.cumsum(grams.counts)
             begin = end - grams.counts
             scores = token_scores(grams, totals, all_words, alpha)
@@ -187,14 +212,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(_blocks, f"block long, doc_ids array<{kind}>, n_words binary, words binary, tokens binary")
+    made = rows.mapInArrow(_blocks, f"block long, doc_ids array<{kind}>, n_words binary, words binary, ranks binary, tokens binary, n_tokens long")
     stored = saved(made, "lm-blocks")
-    size = stored.select(F.sum(F.octet_length("tokens") / 4).cast("long").alias("words"), F.sum(F.octet_length("words") + F.octet_length("tokens")).alias("bytes")).first()
-    bits = max(0, (int(size.bytes or 0) * order // BUCKET_BYTES).bit_length())
-    asks = stored.select("block", "n_words", "words", "tokens").mapInArrow(_asks(order, bits), "bucket long, block long, grams binary, tally binary")
+    all_words = stored.select(F.sum("n_tokens").alias("n")).first().n or 0
+    bits = max(0, (all_words * 4 * order // BUCKET_BYTES).bit_length())
+    asks = stored.select("block", "n_words", "words", "ranks", "tokens").mapInArrow(_asks(order, bits), "bucket long, block long, grams binary, tally binary")
     replies = asks.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, totals binary")
     scored = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        _score(order, int(size.words or 0), alpha), f"doc_id {kind}, n_words long, log_score double"
+        _score(order, all_words, alpha), f"doc_id {kind}, n_words long, log_score double"
     )
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
