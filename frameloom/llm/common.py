@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,5 +40,7 @@ def text_size(docs: DataFrame, column: str = "text") -> int:
 
 def released(spark: SparkSession) -> None:
     """Have the driver notice what is out of use, so that shuffle files of steps that were saved leave the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references from Python go first, those that they held go next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
