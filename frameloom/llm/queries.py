@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import lm, mixing, ngram_join, packing, quality, suffix_dedup, tokens
+from frameloom.llm import lm, mixing, ngram_join, packing, pii, quality, suffix_dedup, tokens
 from frameloom.llm.common import table
 from frameloom.session import tune
 
@@ -35,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", F.round("good_chance", 6).alias("good_chance"))
 
 
+@_query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
