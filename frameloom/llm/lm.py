@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +31,6 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 
 
-def squeezed(numbers: np.ndarray, ascending: bool = False) -> bytes:
-    """Whole numbers as compressed bytes; ascending ones by their gaps. Bytes of equal weight lie together."""
-    gaps = np.diff(numbers, prepend=numbers.dtype.type(0)) if ascending else numbers
-    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = 8 if not len(numbers) else max(1, 8 - int(np.argmax(planes[::-1].any(axis=1)))) if planes.any() else 1
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
-
-
-def unsqueezed(raw: bytes, ascending: bool = False) -> np.ndarray:
-    used = raw[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(used, -1)
-    full = np.zeros((planes.shape[1], 8), np.uint8)
-    full[:, :used] = planes.T
-    out = full.reshape(-1).view("<u8")
-    return np.cumsum(out, dtype=np.uint64) if ascending else out
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -71,10 +53,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([block], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("doc_id").slice(lo, hi - lo)),
-                    pa.array([squeezed(np.concatenate(counts))], pa.binary()),
-                    pa.array([squeezed(known, ascending=True)], pa.binary()),
-                    pa.array([squeezed(rank)], pa.binary()),
-                    pa.array([squeezed(rank[tokens])], pa.binary()),
+                    pa.array([K.squeezed(np.concatenate(counts))], pa.binary()),
+                    pa.array([K.squeezed(known, ascending=True)], pa.binary()),
+                    pa.array([K.squeezed(rank)], pa.binary()),
+                    pa.array([K.squeezed(rank[tokens])], pa.binary()),
                     pa.array([len(tokens)], pa.int64()),
                 ],
                 ["block", "doc_ids", "n_words", "words", "ranks", "tokens", "n_tokens"],
@@ -89,11 +71,11 @@ class Grams:
     """
 
     def __init__(self, block: dict, order: int):
-        self.counts = unsqueezed(block["n_words"]).astype(np.int64)
-        rank = unsqueezed(block["ranks"]).astype(np.int64)
+        self.counts = K.unsqueezed(block["n_words"]).astype(np.int64)
+        rank = K.unsqueezed(block["ranks"]).astype(np.int64)
         word = np.empty(len(rank), K.U64)
-        word[rank] = unsqueezed(block["words"], ascending=True)
-        token = unsqueezed(block["tokens"]).astype(np.int64)
+        word[rank] = K.unsqueezed(block["words"], ascending=True)
+        token = K.unsqueezed(block["tokens"]).astype(np.int64)
         begin = np.cumsum(self.counts) - self.counts
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.position = np.arange(len(token)) - begin[self.row]
@@ -139,8 +121,8 @@ def _asks(order: int, bits: int):
                         [
                             pa.array(part.astype(np.int64)),
                             pa.array(np.full(len(part), r["block"], dtype=np.int64)),
-                            pa.array([squeezed(grams.every[starts[b] : ends[b]], ascending=True) for b in part], pa.binary()),
-                            pa.array([squeezed(tally[starts[b] : ends[b]]) for b in part], pa.binary()),
+                            pa.array([K.squeezed(grams.every[starts[b] : ends[b]], ascending=True) for b in part], pa.binary()),
+                            pa.array([K.squeezed(tally[starts[b] : ends[b]]) for b in part], pa.binary()),
                         ],
                         ["bucket", "block", "grams", "tally"],
                     )
@@ -150,13 +132,13 @@ def _asks(order: int, bits: int):
 
 def _totals(table: pa.Table) -> pa.Table:
     """Of the asks of a bucket: the counts of all blocks, as each block asked for them."""
-    grams = [unsqueezed(x.as_py(), ascending=True) for x in table.column("grams")]
-    tally = np.concatenate([unsqueezed(x.as_py()) for x in table.column("tally")]).astype(np.int64)
+    grams = [K.unsqueezed(x.as_py(), ascending=True) for x in table.column("grams")]
+    tally = np.concatenate([K.unsqueezed(x.as_py()) for x in table.column("tally")]).astype(np.int64)
     known, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.zeros(len(known), np.int64)
     np.add.at(total, at, tally)
     parts = np.split(total[at], np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([squeezed(p) for p in parts], pa.binary())})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([K.squeezed(p) for p in parts], pa.binary())})
 
 
 def _own(group: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -190,7 +172,7 @@ def _score(order: int, all_words: int, alpha: float):
             r = block.to_pylist()[0]
             grams = Grams(r, order)
             parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist()))
-            totals = grams.by_order(np.concatenate([unsqueezed(p) for _, p in parts]).astype(np.int64)) if parts else grams.tally
+            totals = grams.by_order(np.concatenate([K.unsqueezed(p) for _, p in parts]).astype(np.int64)) if parts else grams.tally
             end = np.cumsum(grams.counts)
             begin = end - grams.counts
             scores = token_scores(grams, totals, all_words, alpha)

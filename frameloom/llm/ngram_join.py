@@ -32,6 +32,9 @@ THRESHOLD = 85
 TOP_FREQUENCY = 1 << 16
 # Classes in a block of the product.
 BLOCK_ROWS = 2000
+# Incidence rows that a map task packs at a time, and partitions they go to at least.
+ROWS_AT_ONCE = 1 << 20
+LEAST_PARTS = 64
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -74,13 +77,26 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(shingle, cls): the incidence, dealt by n-gram and in order; each set once per Arrow batch at most.
 
-    A set goes out as one row for each partition that gets n-grams of it, which is much less to move than a row each.
+    What a batch has for a partition goes out as one compressed row, which is much less to move than a row each.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(h: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        part = (h >> K.U64(32)) * K.U64(parts) >> K.U64(32)
+        order = np.argsort(part, kind="stable")
+        h, cls, part = h[order], cls[order], part[order]
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        rows = []
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            head = np.flatnonzero(np.append(True, cls[lo + 1 : hi] != cls[lo : hi - 1]))
+            # hashes ascend within a set, so their gaps are short
+            rows.append((int(part[lo]), K.squeezed(cls[lo:hi][head]), K.squeezed(np.diff(np.append(head, hi - lo))), K.squeezed(h[lo:hi], ascending=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "classes", "sizes", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for _, _, h, r, sizes in _sets(batch.column("text"), size):
                 cls = _classes(h, sizes)
                 new = np.zeros(len(cls), dtype=bool)
@@ -89,15 +105,21 @@ def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                         seen.add(c)
                         new[i] = True
                 keep = new[r]
-                h, r = h[keep], r[keep]
-                # hashes are in order within a row, so those of a partition lie together
-                part = ((h >> K.U64(32)) * K.U64(parts) >> K.U64(32)).astype(np.int32)
-                head = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)).astype(np.int32)), pa.array(K.signed(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(K.signed(cls[r[head]])), lists], ["part", "cls", "shingles"])
-
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, cls long, shingles array<long>").repartitionById(parts, "part")
-    return dealt.select(F.explode("shingles").alias("shingle"), "cls").sortWithinPartitions("shingle", "cls")
+                held.append((h[keep], cls[r[keep]]))
+                if sum(len(x) for x, _ in held) >= ROWS_AT_ONCE:
+                    yield packed(*map(np.concatenate, zip(*held)))
+                    held = []
+            if sum(len(x) for x, _ in held):
+                yield packed(*map(np.concatenate, zip(*held)))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for classes, sizes, shingles in zip(*(batch.column(c).to_pylist() for c in ("classes", "sizes", "shingles"))):
+                cls = np.repeat(K.unsqueezed(classes), K.unsqueezed(sizes).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.unsqueezed(shingles, ascending=True))), pa.array(K.signed(cls))], ["shingle", "cls"])
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, classes binary, sizes binary, shingles binary")
+    return dealt.repartitionById(parts, "part").mapInArrow(unpacked, "shingle long, cls long").sortWithinPartitions("shingle", "cls")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
