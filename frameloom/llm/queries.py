@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import lm, mixing, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity
+from frameloom.llm import ann, lm, mixing, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity
 from frameloom.llm.common import table
 from frameloom.session import tune
 
@@ -69,6 +69,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@_query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.backoff_scores(table(spark, sf_dir, "documents"))
