@@ -6,7 +6,7 @@ import gc
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.session import checkpoint_dir
@@ -28,14 +28,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocks(spark: SparkSession, n_bytes: int, per_block: int) -> int:
-    """Blocks for that many bytes, at least as many as Spark shuffles into by default."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_block))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def text_size(docs: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of all texts."""
-    return docs.select(F.sum(F.octet_length(column)).alias("n")).first().n or 0
+def row_tag(*columns: str) -> Column:
+    """A 64-bit name of these columns' values, nulls included; never null itself."""
+    return F.xxhash64(*(x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())))
+
+
+def one_each(docs: DataFrame, tag: str) -> DataFrame:
+    """One row for each value of ``tag``; costs no shuffle after a join on it."""
+    turn = fresh(docs, "turn")
+    rows = Window.partitionBy(tag).orderBy(F.lit(0))
+    return docs.withColumn(turn, F.row_number().over(rows)).filter(F.col(turn) == 1).drop(turn)
 
 
 def released(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import WORD, saved
+from frameloom.llm.common import WORD, fresh, one_each, row_tag, saved
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -53,15 +53,26 @@ def seeded_order(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repetitions, taken) per row of ``docs``.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    tag, times = fresh(docs, "tag"), fresh(docs, "times")
+    tagged = docs.withColumn(tag, row_tag("doc_id", "source", "text"))
+    plan = mix(tagged.select("doc_id", "source", "text", F.col(tag).alias("tag")), weights, budget, cap, seed, "tag")
+    plan = plan.groupBy("tag").agg(F.sum("repetitions").alias(times)).filter(F.col(times) > 0)
+    plan = saved(plan.withColumnRenamed("tag", tag), "repetitions")
+    taken = one_each(tagged.join(plan, tag), tag)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = MAX_EPOCHS, seed: str = SEED, *keep: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, repetitions, taken, keep..) per row of ``docs``.
 
     Size is the number of words; null and empty texts have size 0 and are taken with 0 words. A null source is a
     source of its own. Repeated rows count each; a null doc_id is ordered like an empty one. Reruns agree: the order
     depends on seed and doc_id alone and all sums are of whole numbers. An empty table gives no rows.
     """
     sized = saved(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
         .withColumn("_order", seeded_order(seed, "doc_id"))
         .withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)),
         "sized",
@@ -79,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     extra = F.col("target") - F.floor(rate) * F.col("source_size")
     half_way = (F.col("_base") + F.col("_before")) * 2 + F.col("size") <= extra * 2
     repetitions = (F.floor(rate) + F.when(half_way, 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(repetitions, F.lit(int(cap)).cast("long")).alias("repetitions")).withColumn("taken", F.col("size") * F.col("repetitions"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(repetitions, F.lit(int(cap)).cast("long")).alias("repetitions"), *keep).withColumn("taken", F.col("size") * F.col("repetitions"))
 
 
 MIX_SQL = r"""

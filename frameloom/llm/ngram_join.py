@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm import kernels as K
-from frameloom.llm.common import CHUNK_BYTES, released, saved
+from frameloom.llm.common import CHUNK_BYTES, fresh, one_each, released, row_tag, saved
 from frameloom.operators.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -59,19 +59,19 @@ def _classes(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, K.mix(sums + sizes.astype(K.U64) * K.U64(0x9FB21C651E98DF25)), K.U64(0))
 
 
-def set_sizes(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, cls) per row; cls names the set and is null for an empty one."""
+def set_sizes(rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``rows`` with n_shingles and cls in place of text; cls names the set and is null for an empty one."""
+    keys = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, K.U64)
             for lo, hi, h, _, sizes in _sets(batch.column("text"), size):
                 n[lo:hi], cls[lo:hi] = sizes, _classes(h, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(K.signed(cls), mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keys), pa.array(n), pa.array(K.signed(cls), mask=n == 0)], [*(f.name for f in keys), "n_shingles", "cls"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
+    return rows.mapInArrow(run, schema + "n_shingles long, cls long")
 
 
 def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -289,6 +289,17 @@ def class_links(sets: DataFrame, shingles: DataFrame, threshold: int = THRESHOLD
     return links.unionByName(saved(_multiply(crossed.select(*columns), threshold), "cross-links"))
 
 
+def grouped(rows: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``rows`` (keys and text) with n_shingles, cls and group in place of text.
+
+    Equal groups are linked; an empty set has neither class nor group.
+    """
+    sets = saved(set_sizes(rows, size), "sets")
+    links = saved(class_links(sets, incidence(rows, size), threshold), "all-links")
+    found = saved(connected_components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("group")), "components")
+    return sets.join(found, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+
+
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) per row of ``docs``.
 
@@ -298,17 +309,27 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, size: int =
     A null doc_id names no component: such a row gets the smallest doc_id it is linked to, or null. An empty table
     gives no rows; other columns are not read. Words and sets are told apart by 64-bit hashes.
     """
-    sets = saved(set_sizes(docs, size), "sets")
-    links = saved(class_links(sets, incidence(docs, size), threshold), "all-links")
-    found = connected_components(links, "a", "b")
-    lowest = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    joined = lowest.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    by_component = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = joined.select("cls", "component").join(by_component, "component").select("cls", "component_id")
-    out = sets.join(by_class, "cls", "left")
+    rows = grouped(docs.select("doc_id", F.col("text").cast("string").alias("text")), threshold, size)
+    lowest = rows.filter("cls IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(lowest, "group", "left")
     return out.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs``, all columns, for each group of linked texts: that of the smallest doc_id.
+
+    Every text with an empty set stays; rows that repeat doc_id and text are one.
+    """
+    tag = fresh(docs, "tag")
+    tagged = docs.withColumn(tag, row_tag("doc_id", "text"))
+    rows = grouped(tagged.select("doc_id", F.col(tag).alias("tag"), F.col("text").cast("string").alias("text")), threshold, size)
+    first = rows.filter("cls IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "tag")).alias("r")).select("r.tag")
+    chosen = saved(first.unionByName(rows.filter("cls IS NULL").select("tag").distinct()), "chosen")
+    released(docs.sparkSession)
+    kept = tagged.join(chosen.withColumnRenamed("tag", tag), tag, "left_semi")
+    return one_each(kept, tag).select(*docs.columns)
+
+
 COMPONENTS_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws

@@ -193,7 +193,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     flows = best_fit_decreasing(counts, capacity)
-    salts = max(1, -(-sum(counts.values()) // NUMBERED_AT_ONCE))
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(parts, -(-sum(counts.values()) // NUMBERED_AT_ONCE))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))

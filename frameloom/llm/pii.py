@@ -284,3 +284,29 @@ def mask(text: str | None, spans: list[dict]) -> str | None:
             out += [text[done : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
         done = s["end"]
     return "".join([*out, text[done:]])
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with personal data masked in text; n_chars, where there is one, follows the text."""
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_find, _FOUND)
+    good = set(accepted_patterns(found))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, out = batch.column(at), []
+            for i in range(batch.num_rows):
+                text = column[i].as_py()
+                if text:
+                    base = base_spans(text)
+                    spans = base + [s for s in loose_spans(text, base) if (s.kind, votes(text, s)) in good]
+                    text = mask(text, [s._asdict() for s in spans])
+                out.append(text)
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            columns[at] = pa.array(out, column.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out

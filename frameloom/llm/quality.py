@@ -22,6 +22,7 @@ from frameloom.llm.common import CHUNK_BYTES, saved
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marked", "n_same")
 REPEAT_WORDS = 8
 BAD, GOOD, ABSTAIN = 0, 1, 2
+KEEP_FROM = 0.5
 
 
 class Rule(NamedTuple):
@@ -202,22 +203,46 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(found[m]) for m in MEASURES), pa.array(pattern)], [*names, *MEASURES, "pattern"])
 
 
-def judged(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
+def _chances(patterns: DataFrame) -> dict[int, float]:
+    """The chance of being good for each vote pattern of the rows; at most 3 ** rules of them."""
+    counted = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counted:
+        return {}
+    found, counts = np.array([r.pattern for r in counted], np.int64), np.array([r.n for r in counted], np.float64)
+    v = votes_of(found, len(RULES))
+    return dict(zip(found.tolist(), fit_votes(v, counts).posterior(v).tolist()))
+
+
+def fails_base(n_words, n_repeat_words):
+    """Fewer than 20 words, or over 30 % of them inside repeated windows; of columns or arrays."""
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
+def judged(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, measures, base_failed, good_chance, kept) per row of ``docs``.
 
-    base_failed: fewer than 20 words, or over 30 % of them inside repeated windows. kept: not base_failed, and the
-    posterior chance of being good is at least ``keep_from``. Null and empty texts have no words and fail. Repeated
-    rows each count; a null doc_id is kept; an empty table gives no rows. Other columns are not read.
+    kept: the base rules hold (see ``fails_base``), and the posterior chance of being good is at least ``keep_from``.
+    Null and empty texts have no words and fail. Repeated rows each count; a null doc_id is kept; an empty table gives no
+    rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + "".join(f"{m} long, " for m in MEASURES) + "pattern long"
     measured = saved(rows.mapInArrow(_measure, schema), "measures")
-    counted = measured.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
-    patterns, counts = np.array([r.pattern for r in counted], np.int64), np.array([r.n for r in counted], np.float64)
-    v = votes_of(patterns, len(RULES))
-    chances = fit_votes(v, counts).posterior(v) if len(counted) else np.zeros(0)
-    known = spark.createDataFrame([(int(p), float(c)) for p, c in zip(patterns, chances)], "pattern long, good_chance double")
-    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    out = measured.join(F.broadcast(known), "pattern").withColumn("base_failed", failed)
+    known = docs.sparkSession.createDataFrame(list(_chances(measured).items()), "pattern long, good_chance double")
+    out = measured.join(F.broadcast(known), "pattern").withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("good_chance") >= keep_from)).drop("pattern")
+
+
+def kept_documents(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``judged`` keeps; texts are measured twice rather than shuffled."""
+    text = F.col("text").cast("string").alias("text")
+    chances = _chances(docs.select(text).mapInArrow(_measure, "".join(f"{m} long, " for m in MEASURES) + "pattern long"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measures(batch.column(at).cast(pa.string()))
+            good = np.array([chances[p] for p in patterns_of(votes(found)).tolist()], dtype=float) >= keep_from
+            yield batch.filter(pa.array(good & ~fails_base(found["n_words"], found["n_repeat_words"])))
+
+    return docs.mapInArrow(run, docs.schema)
