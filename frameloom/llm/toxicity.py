@@ -88,7 +88,7 @@ class Ftrl:
 
 def _train(epochs: int):
     def run(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+        sample = sample.sort_by([("turn", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         labels = np.asarray(sample.column("toxic"))
         rows: list[np.ndarray] = []
         for lo, hi, place, ends in features(sample.column("text")):
@@ -104,12 +104,19 @@ def _train(epochs: int):
     return run
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[int, float]:
-    """Weights by place, the bias at -1, from (doc_id, text, toxic); at most ``rows`` rows are read."""
-    turn = F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string")))
-    sample = labelled.filter("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), turn.alias("turn"))
-    sample = sample.orderBy("turn", "doc_id").limit(rows)
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _train(epochs)(t.drop_columns(["all"]) if "all" in t.column_names else t), "place long, weight double")
+def _turn():
+    return F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string")))
+
+
+def train(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[int, float]:
+    """Weights by place, the bias at -1, from ``docs`` and their labels (doc_id, toxic), one row each.
+
+    The sample is the first ``rows`` labels in the seeded order, so it is small enough to be sent to the texts, and at
+    most ``rows`` texts come back.
+    """
+    chosen = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), _turn().alias("turn")).orderBy("turn", "doc_id").limit(rows)
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("turn", "doc_id", "text").limit(rows)
+    fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(_train(epochs), "place long, weight double")
     return {r.place: r.weight for r in saved(fitted, "weights").collect()}  # at most 2 ** BITS + 1 rows
 
 
@@ -148,6 +155,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out())
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    scored = score(docs, train(labelled)).withColumn("held_out", held_out())
+    scored = score(docs, train(docs, known)).withColumn("held_out", held_out())
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
