@@ -70,9 +70,9 @@ def _split(rows: DataFrame, bands: int, when: Column) -> DataFrame:
 
 
 def hash_counts(features: DataFrame, *scope: str) -> DataFrame:
-    """Distinct hashes per scope with the number of photos behind each."""
+    """Distinct hashes per scope with the number of photos behind each; a photo without a hash has none."""
     # few and narrow next to the features, which are read once for all that follows
-    return cut_lineage(features.groupBy(*scope, "dhash").agg(F.count("*").alias("photos")))
+    return cut_lineage(features.filter("dhash IS NOT NULL").groupBy(*scope, "dhash").agg(F.count("*").alias("photos")))
 
 
 def close_hash_pairs(

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+def _lengths(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+
 def _hashes(column) -> tuple[np.ndarray, np.ndarray]:
     known = ~np.asarray(column.is_null())
     return column.fill_null(0).to_numpy().astype(np.int64).view(np.uint64), known
@@ -81,6 +86,8 @@ class DuplicateScorer:
     def radius(self) -> float:
         return self.rules.max_distance
 
+    widths = staticmethod(lambda rows: _lengths(rows["vec"]))
+
     def prepare(self, rows: pa.Table) -> dict:
         hashes, known = _hashes(rows["dhash"])
         return {"points": _matrix(rows["vec"], rows.num_rows), "hash": hashes, "known": known}
@@ -132,6 +139,8 @@ class SimilarScorer:
     def radius(self) -> float:
         return float(np.sqrt(max(0.0, 2.0 - 2.0 * self.rules.threshold)))
 
+    widths = staticmethod(lambda rows: _lengths(rows["vec"]))
+
     def prepare(self, rows: pa.Table) -> dict:
         hashes, known = _hashes(rows["dhash"])
         return {
@@ -183,6 +192,8 @@ class FrameScorer:
         # root mean square over the first frames is at most the largest frame distance
         return self.rules.max_frame_distance
 
+    widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(rows["n_frames"].to_numpy(), 1))
+
     def prepare(self, rows: pa.Table) -> dict:
         counts = rows["n_frames"].to_numpy()
         column = rows["frames"]
@@ -358,55 +369,75 @@ def choose_pivot_count(points: np.ndarray, radius: float, rows: int, tuning: Mat
     return best_count
 
 
+@dataclass(frozen=True)
+class _Guide:
+    """What the sampled vectors of one length give: pivots of cells, and hubs with their names and scopes."""
+
+    pivots: dict
+    hubs: dict
+    names: np.ndarray
+    scopes: np.ndarray
+
+    @staticmethod
+    def of(sample: pa.Table, scorer: Scorer, rows: int, tuning: MatchTuning) -> _Guide:
+        prepared = scorer.prepare(sample)
+        _, distinct = np.unique(prepared["points"], axis=0, return_index=True)
+        distinct = np.sort(distinct)
+        prepared = _take(prepared, distinct)
+        count = choose_pivot_count(prepared["points"], scorer.radius, rows, tuning)
+        hubs = np.arange(min(tuning.max_hubs, len(distinct)))
+        names = np.asarray(sample["node"].to_pylist(), object)[distinct]
+        scopes = np.asarray(sample["scope"].to_pylist(), object)[distinct]
+        return _Guide(_take(prepared, np.arange(count)), _take(prepared, hubs), names[hubs], scopes[hubs])
+
+
 def _with_vector_cells(
     nodes: DataFrame, scorer: Scorer, rows: int, tuning: MatchTuning, find_hubs: bool
 ) -> DataFrame:
     """One row per (node, vector cell), with the pivot a node matches where hubs are wanted.
 
-    The sample has a fixed size, so what is collected and shipped does not grow with the data.
+    The sample has a fixed size, so what is collected and shipped does not grow with the data. Vectors of
+    different length are never compared: each length has pivots and hubs of its own, and rows of a length
+    that the sample missed are one cell.
     """
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(tuning.sample_rows).toArrow()
-    prepared = scorer.prepare(sample)
-    _, distinct = np.unique(prepared["points"], axis=0, return_index=True)
-    prepared = _take(prepared, np.sort(distinct))
-    count = choose_pivot_count(prepared["points"], scorer.radius, rows, tuning)
-    names = np.asarray(sample["node"].to_pylist(), object)[np.sort(distinct)]
-    scopes = np.asarray(sample["scope"].to_pylist(), object)[np.sort(distinct)]
-    hubs = min(tuning.max_hubs, len(names))
-    pivots = _take(prepared, np.arange(count))
-    hub_block, hub_names, hub_scopes = _take(prepared, np.arange(hubs)), names[:hubs], scopes[:hubs]
+    widths = scorer.widths(sample)
+    guides = {int(w): _Guide.of(sample.take(np.flatnonzero(widths == w)), scorer, rows, tuning) for w in np.unique(widths)}
     radius = scorer.radius
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            data = scorer.prepare(table)
-            hub = np.full(batch.num_rows, None, object)
-            if find_hubs:
-                own_scope = batch.column("scope").to_numpy(zero_copy_only=False)
-                ia, ib, _ = scorer.score(data, hub_block)
-                same = own_scope[ia] == hub_scopes[ib]
-                lowest = np.full(batch.num_rows, len(hub_names))
-                np.minimum.at(lowest, ia[same], ib[same])
-                hit = lowest < len(hub_names)
-                hub[hit] = hub_names[lowest[hit]]
-            if data["points"].shape[1] == pivots["points"].shape[1]:
-                home, inside = vector_cells(data["points"], pivots["points"], radius)
-            else:
-                home, inside = np.zeros(batch.num_rows, int), np.ones((batch.num_rows, 1), bool)
-            row, cell = np.nonzero(inside)
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *out.columns,
-                    pa.array(hub[row], pa.string()),
-                    pa.array(cell.astype(np.int32)),
-                    pa.array(cell == home[row]),
-                ],
-                names=[*out.schema.names, "hub", "vector_cell", "vector_home"],
-            )
+            of_width = scorer.widths(pa.Table.from_batches([batch]))
+            for width in np.unique(of_width):
+                part = batch.take(pa.array(np.flatnonzero(of_width == width)))
+                guide = guides.get(int(width))
+                data = scorer.prepare(pa.Table.from_batches([part]))
+                hub = np.full(part.num_rows, None, object)
+                if find_hubs and guide is not None:
+                    own_scope = part.column("scope").to_numpy(zero_copy_only=False)
+                    ia, ib, _ = scorer.score(data, guide.hubs)
+                    same = own_scope[ia] == guide.scopes[ib]
+                    lowest = np.full(part.num_rows, len(guide.names))
+                    np.minimum.at(lowest, ia[same], ib[same])
+                    hit = lowest < len(guide.names)
+                    hub[hit] = guide.names[lowest[hit]]
+                if guide is not None:
+                    home, inside = vector_cells(data["points"], guide.pivots["points"], radius)
+                else:
+                    home, inside = np.zeros(part.num_rows, int), np.ones((part.num_rows, 1), bool)
+                row, cell = np.nonzero(inside)
+                out = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *out.columns,
+                        pa.array(hub[row], pa.string()),
+                        pa.array(cell.astype(np.int32)),
+                        pa.array(cell == home[row]),
+                    ],
+                    names=[*out.schema.names, "hub", "vector_cell", "vector_home"],
+                )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
     return nodes.mapInArrow(assign, f"{fields}, hub string, vector_cell int, vector_home boolean")

@@ -38,10 +38,15 @@ def photo_tiers(assets: DataFrame, rules: DuplicatePhotoRules = DUPLICATE_PHOTOS
     )
 
 
+def comparable(features: DataFrame) -> DataFrame:
+    """The rows whose vector can be compared at all, as unit vectors: a photo nobody could compare matches nothing."""
+    return features.filter(V.is_usable(F.col("vec"))).withColumn("vec", V.l2_normalize(F.col("vec")))
+
+
 def _duplicate_features(assets: DataFrame, features: DataFrame, rules: DuplicatePhotoRules) -> DataFrame:
     """asset_id, scope, node, dhash, vec. Vectors of different length never match, so length is scope."""
     scope = F.concat_ws("x", "aspect_tier", "megapixel_tier", F.size("vec"))
-    rows = photo_tiers(assets, rules).join(features.filter("dhash IS NOT NULL"), "asset_id")
+    rows = photo_tiers(assets, rules).join(comparable(features).filter("dhash IS NOT NULL"), "asset_id")
     return rows.select("asset_id", scope.alias("scope"), "dhash", "vec").withColumn(
         "node", V.fingerprint_key(F.col("scope"), F.col("dhash"), F.col("vec"))
     )
@@ -49,7 +54,7 @@ def _duplicate_features(assets: DataFrame, features: DataFrame, rules: Duplicate
 
 def _similar_features(assets: DataFrame, features: DataFrame) -> DataFrame:
     aspect = media.photo_aspect_ratio(F.col("pixel_width"), F.col("pixel_height"))
-    rows = photos(assets).select("asset_id", aspect.alias("aspect")).join(features, "asset_id")
+    rows = photos(assets).select("asset_id", aspect.alias("aspect")).join(comparable(features), "asset_id")
     return rows.select(
         "asset_id", F.size("vec").cast("string").alias("scope"), "dhash", "vec", "aspect"
     ).withColumn("node", V.fingerprint_key(F.col("scope"), F.col("dhash"), F.col("aspect"), F.col("vec")))

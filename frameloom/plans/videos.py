@@ -44,11 +44,15 @@ def video_candidates(assets: DataFrame, rules: DuplicateVideoRules = DUPLICATE_V
 
 
 def _frame_rows(candidates: DataFrame, frames: DataFrame, rules: DuplicateVideoRules) -> DataFrame:
-    """asset_id, scope, node, flattened frames. Videos with too few prints cannot match."""
-    usable = F.size("frames") >= rules.min_frames
+    """asset_id, scope, node, flattened frames. Videos with too few prints cannot match.
+
+    A frame without a usable vector is no print: the later ones take its place.
+    """
+    prints = F.transform(F.filter("frames", V.is_usable), V.l2_normalize)
+    enough = F.size("frames") >= rules.min_frames
     width = F.size(F.get("frames", F.lit(0)))
     even = F.forall("frames", lambda f: F.size(f) == width)
-    rows = frames.filter(usable & even).join(candidates, "asset_id")
+    rows = frames.withColumn("frames", prints).filter(enough & even).join(candidates, "asset_id")
     return rows.select(
         "asset_id",
         F.concat_ws("#", F.col("component"), width).alias("scope"),
