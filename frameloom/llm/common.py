@@ -9,13 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.session import checkpoint_dir
+from frameloom.session import checkpoint_dir, tune
 
 # Bytes of text that an array kernel takes at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch: with long texts, many of them are more than a small executor has room for.
+BATCH_ROWS = 2000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with the runtime settings of the library and of these operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return tune(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

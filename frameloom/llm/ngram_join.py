@@ -34,6 +34,7 @@ TOP_FREQUENCY = 1 << 16
 BLOCK_ROWS = 2000
 # Incidence rows that a map task packs at a time, and partitions they go to at least.
 ROWS_AT_ONCE = 1 << 20
+SETS_AT_ONCE = 100_000
 LEAST_PARTS = 64
 
 
@@ -75,7 +76,7 @@ def set_sizes(rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(shingle, cls): the incidence, dealt by n-gram and in order; each set once per Arrow batch at most.
+    """(shingle, cls): the incidence, dealt by n-gram and in order; each set once per task and SETS_AT_ONCE sets at most.
 
     What a batch has for a partition goes out as one compressed row, which is much less to move than a row each.
     """
@@ -94,9 +95,11 @@ def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "classes", "sizes", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            seen: set[int] = set()
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            if len(seen) > SETS_AT_ONCE:
+                seen.clear()
             for _, _, h, r, sizes in _sets(batch.column("text"), size):
                 cls = _classes(h, sizes)
                 new = np.zeros(len(cls), dtype=bool)
@@ -109,8 +112,8 @@ def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 if sum(len(x) for x, _ in held) >= ROWS_AT_ONCE:
                     yield packed(*map(np.concatenate, zip(*held)))
                     held = []
-            if sum(len(x) for x, _ in held):
-                yield packed(*map(np.concatenate, zip(*held)))
+        if sum(len(x) for x, _ in held):
+            yield packed(*map(np.concatenate, zip(*held)))
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import ann, lm, mixing, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity
-from frameloom.llm.common import table
-from frameloom.session import tune
+from frameloom.llm.common import table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = lambda spark, sf_dir: run(tune(spark), sf_dir)
+    QUERIES[run.__name__] = lambda spark, sf_dir: run(tuned(spark), sf_dir)
     return run
 
 
