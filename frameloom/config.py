@@ -1,4 +1,7 @@
-"""All thresholds, as frozen objects that operators take as arguments."""
+"""All thresholds, as frozen objects that operators take as arguments.
+
+The values of the rule classes are fixed values: results depend on them.
+"""
 
 from __future__ import annotations
 
@@ -74,6 +77,9 @@ class MatchTuning:
     # pivots every row is matched with to find hot families; 256 miss one of 5 % of the rows once in 500,000 runs,
     # and a missed family costs time, not results
     max_hubs: int = 256
+    # rows of a run that all others are matched with first where only connectivity is wanted: a family of 2 % of a
+    # block is missed once in four, and then costs time, not results
+    run_hubs: int = 64
     # moving one row is reckoned as dear as scoring this many pairs when the number of cells is chosen
     pairs_per_moved_row: float = 2000.0
     sample_rows: int = 4096

@@ -1,18 +1,14 @@
-"""Blocking of photos and pairs of close hashes, over distinct hashes with counts."""
+"""Blocking of photos and partners by close hashes, over distinct hashes with counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.config import DUPLICATE_PHOTOS, DuplicatePhotoRules
-from frameloom.functions import vectors as V
+from frameloom.config import DUPLICATE_PHOTOS, TUNING, DuplicatePhotoRules, MatchTuning
+from frameloom.operators.matching import HashScorer, match_nodes, node_statistics
 from frameloom.session import cut_lineage
 
-# A band cell above this many hashes is split on bands of its remaining bits.
-MAX_CELL_HASHES = 10_000
-REFINEMENTS = 2
-
 
 def bucket_candidates(tiers: DataFrame) -> DataFrame:
     """Buckets with at least two photos and the comparisons an all-pairs check would need."""
@@ -25,107 +21,45 @@ def bucket_candidates(tiers: DataFrame) -> DataFrame:
     )
 
 
-def _low_bits(width: Column) -> Column:
-    # a band is always narrower than the word, so no shift reaches 64
-    return F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
-
-
-def _shift_right(value: Column, by: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value, by)
-
-
-def _split(rows: DataFrame, bands: int, when: Column) -> DataFrame:
-    """Explode rows into one key per band of their remaining bits; rows outside ``when`` stay as they are.
-
-    ``earlier`` collects the values of the bands before the chosen one: two rows are paired in the first
-    band they agree in, so no later band of the same split may count them again.
-    """
-    i, bits = F.col("_i"), F.col("rest_bits")
-    low = F.floor(i * bits / bands).cast("int")
-    high = F.floor((i + 1) * bits / bands).cast("int")
-    value = _shift_right(F.col("rest"), F.col("_low")).bitwiseAND(_low_bits(F.col("_width")))
-    before = F.transform(
-        F.slice(F.sequence(F.lit(0), F.lit(bands - 1)), F.lit(1), i),
-        lambda j: _shift_right(F.col("rest"), F.floor(j * bits / bands).cast("int")).bitwiseAND(
-            _low_bits((F.floor((j + 1) * bits / bands) - F.floor(j * bits / bands)).cast("int"))
-        ),
-    )
-    below = F.col("rest").bitwiseAND(_low_bits(F.col("_low")))
-    # the bits above the band; nothing is left above the topmost one
-    above = F.when(
-        F.col("_low") + F.col("_width") < bits,
-        F.call_function("shiftleft", _shift_right(F.col("rest"), F.col("_low") + F.col("_width")), F.col("_low")),
-    ).otherwise(F.lit(0).cast("long"))
-    every = F.sequence(F.lit(0), F.lit(bands - 1))
-    return (
-        rows.withColumn("_i", F.explode(F.when(when, every).otherwise(F.array(F.lit(-1)))))
-        .withColumn("_low", F.when(i >= 0, low).otherwise(F.lit(0)))
-        .withColumn("_width", F.when(i >= 0, high - low).otherwise(F.lit(0)))
-        .withColumn("key", F.when(i >= 0, F.concat_ws("/", "key", i, value)).otherwise(F.col("key")))
-        .withColumn("earlier", F.when(i >= 0, F.concat("earlier", before)).otherwise(F.col("earlier")))
-        .withColumn("rest", F.when(i >= 0, below.bitwiseOR(above)).otherwise(F.col("rest")))
-        .withColumn("rest_bits", F.when(i >= 0, bits - F.col("_width")).otherwise(bits))
-        .drop("_i", "_low", "_width")
-    )
-
-
 def hash_counts(features: DataFrame, *scope: str) -> DataFrame:
     """Distinct hashes per scope with the number of photos behind each; a photo without a hash has none."""
     # few and narrow next to the features, which are read once for all that follows
     return cut_lineage(features.filter("dhash IS NOT NULL").groupBy(*scope, "dhash").agg(F.count("*").alias("photos")))
 
 
-def close_hash_pairs(
+def close_hashes(
     hashes: DataFrame,
     scope: list[str],
     rules: DuplicatePhotoRules = DUPLICATE_PHOTOS,
-    max_cell_hashes: int = MAX_CELL_HASHES,
+    tuning: MatchTuning = TUNING,
 ) -> DataFrame:
-    """All pairs of different hashes of one scope within the Hamming bound, exactly.
+    """Per hash with a photo within the Hamming bound: how many photos, photo pairs and the nearest other hash.
 
-    d differing bits leave one of d + 1 bands untouched, so an equi-join on (band, bits) finds every pair.
-    Cells that hold too many hashes (an even sky sets the same bits everywhere) are split again by the same
-    argument on their remaining bits, as often as ``REFINEMENTS`` says. Hashes are distinct, so copies of one
-    picture are one row however many there are.
+    (scope.., dhash, photos, near_photos, photo_pairs, nearest_hamming): near_photos are those a photo of this hash can
+    be paired with, copies of its own hash included; photo_pairs counts each pair at both of its hashes, pairs inside a
+    hash twice at it; nearest_hamming is 0 where the hash has copies. No pair leaves the task that found it, so a million
+    hashes close to each other are a million rows.
     """
-    bands = rules.max_hamming + 1
-    rows = hashes.withColumn("key", F.concat_ws(":", *scope) if scope else F.lit(""))
-    rows = rows.withColumns(
-        {"rest": F.col("dhash"), "rest_bits": F.lit(64), "earlier": F.array().cast("array<bigint>")}
-    )
-    rows = _split(rows, bands, F.lit(True))
-    for _ in range(REFINEMENTS):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2")
-        if (sizes.agg(F.max("_n")).first()[0] or 0) <= max_cell_hashes:
-            break
-        rows = cut_lineage(_split(rows.join(sizes, "key"), bands, F.col("_n") > max_cell_hashes).drop("_n"))
-    left = rows.select("key", *scope, F.col("dhash").alias("dhash_a"), F.col("photos").alias("photos_a"), F.col("earlier").alias("_a"))
-    right = rows.select("key", F.col("dhash").alias("dhash_b"), F.col("photos").alias("photos_b"), F.col("earlier").alias("_b"))
-    bits = V.hamming(F.col("dhash_a"), F.col("dhash_b"))
-    seen_before = F.exists(F.zip_with("_a", "_b", lambda x, y: x == y), lambda same: same)
-    return (
-        left.join(right, "key")
-        .filter((F.col("dhash_a") < F.col("dhash_b")) & (bits <= rules.max_hamming) & ~seen_before)
-        .select(*scope, "dhash_a", "dhash_b", bits.alias("hamming"), "photos_a", "photos_b")
+    scorer = HashScorer(rules)
+    name = F.concat_ws(":", *scope, F.hex("dhash"))
+    place = F.concat_ws(":", *scope) if scope else F.lit("")
+    nodes = cut_lineage(hashes.withColumn("node", name).withColumn("scope", place).withColumn("weight", F.col("photos")))
+    found = node_statistics(nodes, match_nodes(nodes, scorer, tuning), scorer)
+    joined = nodes.select("node", *scope, "dhash", "photos").join(found.drop("weight"), "node")
+    return joined.select(
+        *scope,
+        "dhash",
+        "photos",
+        F.col("matches").alias("near_photos"),
+        (F.col("photos") * F.col("matches")).alias("photo_pairs"),
+        F.col("best_score").cast("int").alias("nearest_hamming"),
     )
 
 
-def candidate_hash_pairs(tiers: DataFrame, features: DataFrame, rules: DuplicatePhotoRules = DUPLICATE_PHOTOS) -> DataFrame:
-    """Hash pairs inside each bucket that pass the cheap check, with the photo pairs behind them.
-
-    A hash shared by several photos is one row of Hamming distance 0.
-    """
+def candidate_hashes(
+    tiers: DataFrame, features: DataFrame, rules: DuplicatePhotoRules = DUPLICATE_PHOTOS, tuning: MatchTuning = TUNING
+) -> DataFrame:
+    """``close_hashes`` inside each bucket: what passes the cheap check before vectors are compared."""
     scope = ["aspect_tier", "megapixel_tier"]
     hashes = hash_counts(tiers.join(features.select("asset_id", "dhash"), "asset_id"), *scope)
-    n = F.col("photos")
-    same = hashes.filter(n >= 2).select(
-        *scope,
-        F.col("dhash").alias("dhash_a"),
-        F.col("dhash").alias("dhash_b"),
-        F.lit(0).alias("hamming"),
-        (n * (n - 1) / 2).cast("long").alias("photo_pairs"),
-    )
-    different = close_hash_pairs(hashes, scope, rules)
-    return different.select(
-        *scope, "dhash_a", "dhash_b", "hamming", (F.col("photos_a") * F.col("photos_b")).alias("photo_pairs")
-    ).unionByName(same)
+    return close_hashes(hashes, scope, rules, tuning)

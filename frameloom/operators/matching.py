@@ -80,6 +80,7 @@ class DuplicateScorer:
     rules: DuplicatePhotoRules = DUPLICATE_PHOTOS
     columns = ("dhash", "vec")
     best = "min"
+    has_points = True
     self_score = 0.0
 
     @property
@@ -133,6 +134,7 @@ class SimilarScorer:
     rules: SimilarPhotoRules = SIMILAR_PHOTOS
     columns = ("dhash", "vec", "aspect")
     best = "max"
+    has_points = True
     self_score = 1.0
 
     @property
@@ -185,6 +187,7 @@ class FrameScorer:
     rules: DuplicateVideoRules = DUPLICATE_VIDEOS
     columns = ("frames", "n_frames")
     best = "min"
+    has_points = True
     self_score = 0.0
 
     @property
@@ -227,9 +230,34 @@ class FrameScorer:
         return nodes
 
 
+@dataclass(frozen=True)
+class HashScorer:
+    """Close hashes alone; the score is the number of differing bits."""
+
+    rules: DuplicatePhotoRules = DUPLICATE_PHOTOS
+    columns = ("dhash",)
+    best = "min"
+    has_points = False
+    self_score = 0.0
+
+    def prepare(self, rows: pa.Table) -> dict:
+        return {"hash": _hashes(rows["dhash"])[0]}
+
+    def score(self, a: dict, b: dict) -> Hits:
+        bits = np.bitwise_count(a["hash"][:, None] ^ b["hash"][None, :])
+        ia, ib = np.nonzero(bits <= self.rules.max_hamming)
+        return ia, ib, bits[ia, ib].astype(float)
+
+    def split(self, nodes: DataFrame) -> DataFrame:
+        return DuplicateScorer(self.rules).split(nodes)
+
+    def first_band(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return DuplicateScorer(self.rules).first_band(a, b)
+
+
 _NO_HITS: Hits = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
-Scorer = DuplicateScorer | SimilarScorer | FrameScorer
+Scorer = DuplicateScorer | SimilarScorer | FrameScorer | HashScorer
 
 
 # --- inside a task --------------------------------------------------------------------------------
@@ -277,8 +305,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _score_run(rows: pa.Table, scorer: Scorer, tile_rows: int) -> pa.RecordBatch | None:
-    """Score the one or two blocks of a run tile by tile and reduce to one row per matched node."""
+def _near_hubs(data: dict, label: np.ndarray, rank: np.ndarray, scorer: Scorer, tuning: MatchTuning) -> np.ndarray:
+    """Labels after matching every row of a run with a few of them: families of any size become one label."""
+    n = len(label)
+    hubs = np.unique(np.linspace(0, n - 1, min(n, tuning.run_hubs)).astype(int))
+    block = _take(data, hubs)
+    for lo in range(0, n, tuning.tile_rows):
+        own = np.arange(lo, min(lo + tuning.tile_rows, n))
+        ia, ib, _ = scorer.score(_take(data, own), block)
+        label = join_labels(label, rank[own[ia]], rank[hubs[ib]])
+    return label
+
+
+def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool) -> pa.RecordBatch | None:
+    """Score the one or two blocks of a run tile by tile and reduce to one row per matched node.
+
+    Where only connectivity is wanted, rows are put in order of what some hubs connect already, and tiles
+    of a single component are not scored.
+    """
+    tile_rows = tuning.tile_rows
     block_no = rows["block"].to_numpy()
     is_cross = rows["is_cross"][0].as_py()
     first = np.flatnonzero(block_no == block_no.min())
@@ -301,11 +346,16 @@ def _score_run(rows: pa.Table, scorer: Scorer, tile_rows: int) -> pa.RecordBatch
     pick = np.minimum if scorer.best == "min" else np.maximum
     best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
     label = np.arange(n)
+    if connectivity_only and n > tuning.run_hubs:
+        label = _near_hubs(data, label, rank, scorer, tuning)
+        first, second = (x[np.argsort(label[rank[x]], kind="stable")] for x in (first, second))
     for i in range(0, len(first), tile_rows):
         left = first[i : i + tile_rows]
         tile = _take(data, left)
         for j in range(0 if is_cross else i, len(second), tile_rows):
             right = second[j : j + tile_rows]
+            if connectivity_only and len(np.unique(label[rank[np.concatenate([left, right])]])) == 1:
+                continue
             ia, ib, value = scorer.score(tile, _take(data, right))
             ia, ib = left[ia], right[ib]
             keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
@@ -316,13 +366,13 @@ def _score_run(rows: pa.Table, scorer: Scorer, tile_rows: int) -> pa.RecordBatch
             ia, ib, value = ia[keep], ib[keep], value[keep]
             if not len(ia):
                 continue
-            for one, other in ((ia, ib), (ib, ia)):
+            for one, other in () if connectivity_only else ((ia, ib), (ib, ia)):
                 matches += np.bincount(one, weight[other], n)
                 total += np.bincount(one, value * weight[other], n)
                 pick.at(best, one, value)
             label = join_labels(label, rank[ia], rank[ib])
 
-    hit = np.flatnonzero(matches > 0)
+    hit = np.flatnonzero(label[rank] != rank if connectivity_only else matches > 0)
     if not len(hit):
         return None
     root = node[order[label[rank[hit]]]]
@@ -332,7 +382,7 @@ def _score_run(rows: pa.Table, scorer: Scorer, tile_rows: int) -> pa.RecordBatch
             pa.array(root, pa.string()),
             pa.array(matches[hit].astype(np.int64)),
             pa.array(total[hit]),
-            pa.array(best[hit]),
+            pa.array(best[hit], mask=~np.isfinite(best[hit])),
         ],
         names=["node", "root", "matches", "score_sum", "best_score"],
     )
@@ -514,22 +564,26 @@ def match_nodes(
         "vector_home": F.lit(True),
     }
     cells = nodes
-    if is_large:
-        cells = scorer.split(_with_vector_cells(nodes, scorer, largest, tuning, connectivity_only))
+    if is_large and scorer.has_points:
+        placed = _with_vector_cells(nodes, scorer, largest, tuning, connectivity_only)
+        # read again for the hubs' edges
+        placed = cut_lineage(placed) if connectivity_only else placed
+        cells = scorer.split(placed)
+    elif is_large:
+        cells = scorer.split(nodes)
     cells = cells.withColumns({k: v for k, v in defaults.items() if k not in cells.columns})
     laid_out = _blocks(cells, tasks, tuning).repartition(tasks, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            result = _score_run(rows, scorer, tuning.tile_rows)
+            result = _score_run(rows, scorer, tuning, connectivity_only)
             if result is not None:
                 yield result
 
     found = laid_out.mapInArrow(run, MATCH_SCHEMA)
-    if is_large and connectivity_only:
+    if is_large and scorer.has_points and connectivity_only:
         hub_edges = (
-            _with_vector_cells(nodes, scorer, largest, tuning, True)
-            .filter("vector_home AND hub IS NOT NULL AND hub <> node")
+            placed.filter("vector_home AND hub IS NOT NULL AND hub <> node")
             .select(
                 "node",
                 F.col("hub").alias("root"),
@@ -577,7 +631,7 @@ def copies_match(scorer: Scorer):
     """Whether the identical copies behind one node match each other."""
     if isinstance(scorer, SimilarScorer):
         return F.col("dhash").isNull()  # with a hash they are duplicates, not similar
-    if isinstance(scorer, DuplicateScorer):
+    if isinstance(scorer, DuplicateScorer | HashScorer):
         return F.col("dhash").isNotNull()
     return F.col("n_frames") >= scorer.rules.min_frames
 

@@ -543,20 +543,24 @@ ORACLE: dict[str, str] = {
     ),
     # joins
     "photo_candidate_pairs": _sql(
-        """SELECT aspect_tier, megapixel_tier, a.dhash AS dhash_a, b.dhash AS dhash_b, CAST(bit_count(xor(a.dhash, b.dhash)) AS INT) AS hamming,
-                  CAST(CASE WHEN a.dhash = b.dhash THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS BIGINT) AS photo_pairs
-           FROM (SELECT aspect_tier, megapixel_tier, dhash, count(*) AS n FROM features JOIN tiers USING (asset_id) GROUP BY ALL) a
-           JOIN (SELECT aspect_tier, megapixel_tier, dhash, count(*) AS n FROM features JOIN tiers USING (asset_id) GROUP BY ALL) b
-           USING (aspect_tier, megapixel_tier)
-           WHERE bit_count(xor(a.dhash, b.dhash)) <= 4 AND (a.dhash < b.dhash OR (a.dhash = b.dhash AND a.n >= 2))""",
+        """SELECT aspect_tier, megapixel_tier, dhash, photos, CAST(sum(m) AS BIGINT) AS near_photos, CAST(photos * sum(m) AS BIGINT) AS photo_pairs, min(h) AS nearest_hamming
+           FROM (SELECT aspect_tier, megapixel_tier, a.dhash AS dhash, a.n AS photos, CASE WHEN a.dhash = b.dhash THEN b.n - 1 ELSE b.n END AS m,
+                        CAST(bit_count(xor(a.dhash, b.dhash)) AS INT) AS h
+                 FROM (SELECT aspect_tier, megapixel_tier, dhash, count(*) AS n FROM features JOIN tiers USING (asset_id) WHERE dhash IS NOT NULL GROUP BY ALL) a
+                 JOIN (SELECT aspect_tier, megapixel_tier, dhash, count(*) AS n FROM features JOIN tiers USING (asset_id) WHERE dhash IS NOT NULL GROUP BY ALL) b
+                 USING (aspect_tier, megapixel_tier)
+                 WHERE bit_count(xor(a.dhash, b.dhash)) <= 4 AND (a.dhash <> b.dhash OR a.n >= 2))
+           GROUP BY aspect_tier, megapixel_tier, dhash, photos""",
         "features",
         "tiers",
     ),
     "hamming_band_pairs": _sql(
-        """SELECT a.dhash AS dhash_a, b.dhash AS dhash_b, CAST(bit_count(xor(a.dhash, b.dhash)) AS INT) AS hamming, a.n AS photos_a, b.n AS photos_b
-           FROM (SELECT dhash, count(*) AS n FROM features GROUP BY dhash) a
-           JOIN (SELECT dhash, count(*) AS n FROM features GROUP BY dhash) b ON a.dhash < b.dhash
-           WHERE bit_count(xor(a.dhash, b.dhash)) <= 4""",
+        """SELECT dhash, photos, CAST(sum(m) AS BIGINT) AS near_photos, CAST(photos * sum(m) AS BIGINT) AS photo_pairs, min(h) AS nearest_hamming
+           FROM (SELECT a.dhash AS dhash, a.n AS photos, CASE WHEN a.dhash = b.dhash THEN b.n - 1 ELSE b.n END AS m, CAST(bit_count(xor(a.dhash, b.dhash)) AS INT) AS h
+                 FROM (SELECT dhash, count(*) AS n FROM features WHERE dhash IS NOT NULL GROUP BY dhash) a
+                 JOIN (SELECT dhash, count(*) AS n FROM features WHERE dhash IS NOT NULL GROUP BY dhash) b
+                 ON bit_count(xor(a.dhash, b.dhash)) <= 4 AND (a.dhash <> b.dhash OR a.n >= 2))
+           GROUP BY dhash, photos""",
         "features",
     ),
     "duplicate_photo_pairs": _sql(

@@ -437,12 +437,12 @@ def bucket_candidates(lib):
 
 @_query
 def photo_candidate_pairs(lib):
-    return blocking.candidate_hash_pairs(P.photo_tiers(lib.assets), lib.photo_features)
+    return blocking.candidate_hashes(P.photo_tiers(lib.assets), lib.photo_features)
 
 
 @_query
 def hamming_band_pairs(lib):
-    return blocking.close_hash_pairs(blocking.hash_counts(lib.photo_features), [])
+    return blocking.close_hashes(blocking.hash_counts(lib.photo_features), [])
 
 
 @_query

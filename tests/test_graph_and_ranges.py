@@ -3,8 +3,11 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from frameloom.config import MatchTuning
 from frameloom.operators import blocking, ranges
 from frameloom.operators.components import connected_components
 from frameloom.plans.videos import video_candidates
@@ -90,19 +93,29 @@ def test_range_join_has_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_hash_bands_equal_all_pairs(spark):
-    rng = random.Random(5)
-    bases = [rng.getrandbits(64) for _ in range(4)] + [0]
-    values = set()
-    for base in bases:
-        for _ in range(40):
-            x = base
-            for _ in range(rng.randint(0, 3)):
-                x ^= 1 << rng.randrange(64)
-            values.add(x)
-    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v, 1) for v in values], "dhash long, photos long")
-    want = sum((a ^ b).bit_count() <= 4 for a, b in itertools.combinations(values, 2))
-    for limit in (10_000, 3):
-        rows = blocking.close_hash_pairs(df, [], max_cell_hashes=limit).collect()
-        assert len(rows) == len({(r.dhash_a, r.dhash_b) for r in rows}) == want
-        assert all(r.dhash_a < r.dhash_b and r.hamming <= 4 for r in rows)
+@pytest.mark.parametrize("split_rows", [50_000, 10])
+def test_close_hashes_equal_all_pairs(spark, split_rows):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**63))
+    values = {base}
+    for _ in range(300):
+        v = base
+        for b in rng.choice(64, rng.integers(0, 9), replace=False):
+            v ^= 1 << int(b)
+        values.add(v)
+    values |= {int(v) for v in rng.integers(0, 2**63, 50)}
+    photos = {v: 1 + i % 3 for i, v in enumerate(sorted(values))}
+    want = {}
+    for v in values:
+        near = [(photos[w] - (w == v), (v ^ w).bit_count()) for w in values if (v ^ w).bit_count() <= 4 and (w != v or photos[v] > 1)]
+        if near:
+            want[v - 2**64 if v >= 2**63 else v] = (photos[v], sum(n for n, _ in near), photos[v] * sum(n for n, _ in near), min(h for _, h in near))
+    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v, n) for v, n in photos.items()], "dhash long, photos long")
+    tuning = MatchTuning(split_rows=split_rows, block_rows=16, tile_rows=5)
+    rows = blocking.close_hashes(df, [], tuning=tuning).collect()
+    assert {r.dhash: tuple(r)[1:] for r in rows} == want
+
+
+def test_photos_without_a_hash_are_nobody_s_partner(spark):
+    df = spark.createDataFrame([(None,)] * 10 + [(7,), (7,)], "dhash long")
+    assert [tuple(r) for r in blocking.close_hashes(blocking.hash_counts(df), []).collect()] == [(7, 2, 1, 2, 0)]
