@@ -15,6 +15,7 @@ from frameloom.config import (
 )
 from frameloom.functions import media
 from frameloom.functions import vectors as V
+from frameloom.operators import fingerprints as FP
 from frameloom.operators import groups as G
 from frameloom.operators.index import photos, without_ids
 from frameloom.operators.matching import (
@@ -90,6 +91,25 @@ def duplicate_photo_groups(
     return G.assemble_groups(members, assets, resources, G.BEST_BY_SIZE).drop("component")
 
 
+def incremental_duplicate_groups(
+    assets: DataFrame,
+    stored: DataFrame,
+    computed: DataFrame,
+    resources: DataFrame | None = None,
+    rules: DuplicatePhotoRules = DUPLICATE_PHOTOS,
+    tuning: MatchTuning = TUNING,
+) -> DataFrame:
+    """Duplicate groups from the stored fingerprints that are still valid and ``computed`` features of the others.
+
+    ``computed`` may cover more than is missing: only what ``needs_analysis`` names is taken from it.
+    """
+    hits = FP.cache_hits(assets, stored, "duplicate")
+    missing = FP.needs_analysis(assets, stored, "duplicate").select("asset_id")
+    recomputed = computed.withColumnRenamed("vec", "feature_vector").join(missing, "asset_id", "left_semi")
+    features = FP.hits_and_recomputed(hits, recomputed).withColumnRenamed("feature_vector", "vec")
+    return duplicate_photo_groups(assets, features, resources, rules, tuning)
+
+
 def similar_photo_groups(
     assets: DataFrame,
     features: DataFrame,

@@ -26,7 +26,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     WHEN (e.vec_id*5 + c.copy) % 17 = 0 THEN CAST(0 AS BIGINT)
                     ELSE CAST(floor(o.o_totalprice * (CASE WHEN e.vec_id % 5 = 0 THEN 5000 ELSE 20 END)) AS BIGINT) END AS file_size
         FROM embeddings e CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS c(copy)
-        JOIN orders o ON o.o_orderkey = (e.vec_id*5 + c.copy) % 1500""",
+        JOIN orders o ON o.o_orderkey = (e.vec_id*5 + c.copy) * 7919 % (SELECT count(*) FROM orders)""",
     ),
     "raw": (
         (),
@@ -390,7 +390,10 @@ ORACLE: dict[str, str] = {
         "resources",
     ),
     "load_index": _sql(
-        f"SELECT asset_id, kind, TRUE AS no_location, file_size, {NOW} AS indexed_at FROM assets", "assets"
+        f"""SELECT asset_id, kind, n % 3 = 0 OR n % 4 = 0 AS no_location, CASE WHEN n % 3 <> 0 AND n % 4 <> 0 THEN n % 90 + 0.5::DOUBLE END AS latitude,
+                   CASE WHEN n % 3 <> 0 AND n % 4 <> 0 THEN n % 180 - 90.25::DOUBLE END AS longitude, file_size, {NOW} AS indexed_at
+            FROM (SELECT *, vec_id * 5 + copy AS n FROM assets)""",
+        "assets",
     ),
     "fingerprint_upsert": _sql(
         """SELECT s.asset_id, CASE WHEN m.asset_id IS NULL THEN s.status ELSE 'ready' END AS status,
@@ -604,6 +607,9 @@ ORACLE: dict[str, str] = {
     "duplicate_photo_groups": _sql(
         "SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage FROM dup_groups", "dup_groups"
     ),
+    "incremental_photo_groups": _sql(
+        "SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage FROM dup_groups", "dup_groups"
+    ),
     "similar_photo_groups": _sql(
         """SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage, round(average_similarity, 6) AS average_similarity
            FROM sim_groups JOIN sim_means USING (comp)""",
@@ -710,16 +716,25 @@ ORACLE: dict[str, str] = {
         """SELECT a.asset_id, a.kind, coalesce(c.change_ts, a.modification_date) AS modification_date
            FROM assets a LEFT JOIN (
                SELECT asset_id, op, change_ts FROM (
-                   SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY change_ts DESC, op DESC) AS rn FROM (
-                       SELECT concat('a', event_id * 7 % 500, '_0') AS asset_id, ts AS change_ts,
+                   SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY change_ts DESC, event_id DESC) AS rn FROM (
+                       SELECT concat('a', event_id * 7 % (SELECT count(*) FROM embeddings), '_0') AS asset_id, event_id, ts AS change_ts,
                               CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'modify' WHEN 'view' THEN 'modify' WHEN 'purchase' THEN 'delete' END AS op
-                       FROM events) WHERE op IS NOT NULL) WHERE rn = 1) c USING (asset_id)
+                       FROM events) WHERE op IS NOT NULL) WHERE rn = 1) c ON c.asset_id = a.asset_id AND c.change_ts >= a.modification_date
            WHERE c.op IS NULL OR c.op <> 'delete'""",
         "assets",
     ),
     "stream_bin": _sql(
         "SELECT asset_id, file_size, deleted_at, days_remaining FROM bin WHERE days_remaining >= 1", "bin"
     ),
+    "stream_fingerprints": _sql(
+        """SELECT asset_id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS dhash, 1::BIGINT AS stored
+           FROM (SELECT asset_id, sqrt(list_dot_product(centred, centred)) AS norm,
+                        list_reduce(list_transform(range(0, 64), lambda k: CASE WHEN g[k + k // 8 + 1] < g[k + k // 8 + 2] THEN 1::HUGEINT ELSE 0::HUGEINT END),
+                                    lambda a, x: a * 2 + x) AS h
+                 FROM images) JOIN assets USING (asset_id) WHERE norm > 0 AND kind = 'photo'""",
+        "images",
+        "assets",
+    ),
     "featurize": _sql(
         """SELECT asset_id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS dhash,
                   CAST(i - 1 AS INT) AS dim, round(centred[i] / norm, 6) AS x

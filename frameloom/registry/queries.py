@@ -25,9 +25,12 @@ from frameloom.sources.images import scan_assets
 from frameloom.sources.store import index_table, load_index
 from frameloom.streaming import changes as stream_changes
 from frameloom.streaming import deletions as stream_deletions
+from frameloom.streaming import fingerprints as stream_prints
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Micro-batches that the events come in.
+STREAM_TURNS = 4
 
 
 def _query(build: Callable[[DerivedLibrary], DataFrame]) -> Callable[[DerivedLibrary], DataFrame]:
@@ -143,9 +146,18 @@ def build_index(lib):
 
 @_query
 def load_index_query(lib):
-    rows = load_index(lib.assets)
+    """The stored table, written and read back."""
+    table = index_table(lib.spark, _scratch(lib, "index"))
+    table.replace(lib.assets)
+    rows = load_index(table.read())
     return rows.select(
-        "asset_id", "kind", F.col("location").isNull().alias("no_location"), "file_size", _plain_time("indexed_at")
+        "asset_id",
+        "kind",
+        F.col("location").isNull().alias("no_location"),
+        F.round("location.latitude", 6).alias("latitude"),
+        F.round("location.longitude", 6).alias("longitude"),
+        "file_size",
+        _plain_time("indexed_at"),
     )
 
 
@@ -509,6 +521,13 @@ def duplicate_photo_groups(lib):
     return _group_columns(_duplicate_photos(lib))
 
 
+@_query
+def incremental_photo_groups(lib):
+    """Duplicate groups from stored fingerprints where they are valid, recomputed ones elsewhere."""
+    groups = P.incremental_duplicate_groups(lib.assets, lib.photo_fingerprints, lib.photo_features, lib.resources)
+    return _group_columns(groups)
+
+
 @_query
 def similar_photo_groups(lib):
     groups = _similar_photos(lib)
@@ -649,19 +668,26 @@ def large_videos_removing(lib):
 # --- streaming and featurizer -----------------------------------------------------------------------
 
 
-def _event_stream(lib: DerivedLibrary) -> DataFrame:
-    return (
-        lib.spark.readStream.schema(lib.table("events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(lib.sf_dir)
-    )
+def _in_turn(rows: DataFrame, by: Column, root: str, turns: int = STREAM_TURNS) -> DataFrame:
+    """``rows`` as a stream of ``turns`` micro-batches: those with by = 0 come first, and so on."""
+    for turn in range(turns):
+        rows.filter(by == turn).coalesce(1).write.mode("append").parquet(root)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def _event_stream(lib: DerivedLibrary, root: str) -> DataFrame:
+    """The events in order of time, in equal spans of it."""
+    events = lib.table("events")
+    lo, hi = events.select(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
+    share = (F.col("ts").cast("timestamp").cast("double") - (lo or 0.0)) / max((hi or 0.0) - (lo or 0.0), 1.0)
+    return _in_turn(events, F.least(F.floor(share * STREAM_TURNS), F.lit(STREAM_TURNS - 1)), f"{root}/events")
 
 
 @_query
 def stream_index(lib):
     root = _scratch(lib, "changes")
     log = stream_changes.change_log(lib.spark, f"{root}/log")
-    feed = lib.change_rows(_event_stream(lib))
+    feed = lib.change_rows(_event_stream(lib, root))
     stream_changes.maintain_index(feed, log, f"{root}/checkpoint").awaitTermination()
     current = stream_changes.apply_changes(lib.assets, log.read())
     return current.select("asset_id", "kind", _plain_time("modification_date"))
@@ -671,11 +697,26 @@ def stream_index(lib):
 def stream_bin(lib):
     root = _scratch(lib, "bin")
     log = stream_deletions.bin_log(lib.spark, f"{root}/log")
-    feed = lib.deletion_rows(_event_stream(lib))
+    feed = lib.deletion_rows(_event_stream(lib, root))
     stream_deletions.fill_bin(feed, log, f"{root}/checkpoint", ["deleted_at", "sequence"]).awaitTermination()
     return B.active(log.read(), _now()).select("asset_id", "file_size", _plain_time("deleted_at"), "days_remaining")
 
 
+@_query
+def stream_fingerprints(lib):
+    """Fingerprints of a feed of images of which every third comes twice."""
+    root = _scratch(lib, "fingerprints")
+    log = stream_prints.fingerprint_log(lib.spark, f"{root}/log")
+    number = F.regexp_extract("image.origin", r"a(\d+)_", 1).cast("long")
+    again = lib.images.filter(number % 3 == 0).withColumn("turn", F.lit(3))
+    images = lib.images.withColumn("turn", (number % 3).cast("int")).unionByName(again)
+    feed = _in_turn(images, F.col("turn"), f"{root}/images", 4).select("image")
+    photos = cut_lineage(I.photos(lib.assets))
+    stream_prints.fingerprint_new_images(feed, photos, log, f"{root}/checkpoint", _now()).awaitTermination()
+    rows = log.read().groupBy("asset_id").agg(F.count(F.lit(1)).alias("stored"), F.first("dhash").alias("dhash"))
+    return rows.select("asset_id", "dhash", "stored")
+
+
 @_query
 def featurize(lib):
     rows = FP.featurize(lib.images)

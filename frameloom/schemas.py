@@ -135,6 +135,7 @@ CHANGES = T.StructType(
         T.StructField("asset_id", T.StringType(), False),
         T.StructField("op", T.StringType()),
         T.StructField("change_ts", T.TimestampType()),
+        T.StructField("sequence", T.LongType()),
     ]
 )
 

@@ -23,6 +23,7 @@ HEIGHTS = (3024, 4032, 2160, 1080, 720, 2532)
 PHOTO_NOISE = (0.0, 0.002, 0.03, 0.05, 0.002)
 FRAME_NOISE = (0.0, 0.002, 0.03, 0.02, 0.01)
 FRAMES = 5
+ORDER_STEP = 7919
 INDEXED_AT = "2024-02-15 00:00:00"
 NOW = "2024-02-15 00:00:00"
 
@@ -66,7 +67,9 @@ class DerivedLibrary:
         rows = self.copies.drop("embedding").withColumn("number", number)
         date = F.col("o_orderdate").cast("timestamp")
         no_text = F.array().cast("array<string>")
-        return rows.join(orders, F.col("o_orderkey") == F.col("number") % 1500).select(
+        # the step is prime, so neighbours draw orders from all over the table and every order is somebody's in time
+        drawn = F.col("number") * ORDER_STEP % F.lit(max(1, orders.count()))
+        return rows.join(orders, F.col("o_orderkey") == drawn).select(
             "asset_id",
             "vec_id",
             "copy",
@@ -76,8 +79,8 @@ class DerivedLibrary:
             (_pick(vec % 6, WIDTHS) * half).cast("int").alias("pixel_width"),
             (_pick(vec % 6, HEIGHTS) * half).cast("int").alias("pixel_height"),
             F.when(is_video, 5 + (vec % 200) * 1.5 + F.col("copy") * 0.2).otherwise(F.lit(0.0)).alias("duration"),
-            F.lit(None).cast("double").alias("latitude"),
-            F.lit(None).cast("double").alias("longitude"),
+            F.when(F.col("number") % 3 != 0, F.col("number") % 90 + 0.5).alias("latitude"),
+            F.when(F.col("number") % 4 != 0, F.col("number") % 180 - 90.25).alias("longitude"),
             F.lit("userLibrary").alias("source"),
             F.lit(False).alias("is_favorite"),
             F.lit(False).alias("is_hidden"),
@@ -195,8 +198,11 @@ class DerivedLibrary:
     def deleted_ids(self) -> DataFrame:
         return self.copies.filter((F.col("vec_id") % 9 == 0) & (F.col("copy") == 0)).select("asset_id")
 
-    @staticmethod
-    def change_rows(events: DataFrame) -> DataFrame:
+    @cached_property
+    def n_vectors(self) -> int:
+        return self.table("embeddings").count()
+
+    def change_rows(self, events: DataFrame) -> DataFrame:
         """Change feed, add / modify / delete per asset; works on streams too."""
         op = (
             F.when(F.col("event_type") == "signup", F.lit("add"))
@@ -204,9 +210,10 @@ class DerivedLibrary:
             .when(F.col("event_type") == "purchase", F.lit("delete"))
         )
         return events.select(
-            F.concat(F.lit("a"), F.col("event_id") * 7 % 500, F.lit("_0")).alias("asset_id"),
+            F.concat(F.lit("a"), F.col("event_id") * 7 % F.lit(max(1, self.n_vectors)), F.lit("_0")).alias("asset_id"),
             op.alias("op"),
             F.col("ts").cast("timestamp").alias("change_ts"),
+            F.col("event_id").cast("long").alias("sequence"),
         ).filter("op IS NOT NULL")
 
     @cached_property

@@ -38,9 +38,23 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._path(versions[-1]))
 
+    def _next_version(self) -> int:
+        """After every committed version and every one that a writer, which may have died, has claimed."""
+        jvm = self.spark._jvm
+        claims = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims")
+        fs = claims.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(claims)] if fs.exists(claims) else []
+        return max([0, *self.versions(), *(int(n[1:]) for n in names if n.startswith("v"))]) + 1
+
     def replace(self, rows: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
+        """Write the next version; of two writers that take the same one, the second fails and nothing is overwritten."""
+        version = self._next_version()
+        jvm = self.spark._jvm
+        claim = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version:08d}")
+        fs = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.createNewFile(claim):
+            raise FileExistsError(f"version {version} of {self.root} is being written by another writer")
+        writer = rows.select(*self.schema.fieldNames()).write.mode("errorifexists")
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)
         writer.parquet(self._path(version))
@@ -53,12 +67,12 @@ def index_table(spark: SparkSession, root: str) -> VersionedTable:
 
 
 def load_index(table: DataFrame) -> DataFrame:
-    """Newest index first; the location exists only with both coordinates."""
+    """Newest index first, then by asset_id; the location exists only with both coordinates."""
     located = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
         F.struct("latitude", "longitude"),
     )
-    return table.withColumn("location", located).drop("latitude", "longitude").orderBy(F.desc("indexed_at"))
+    return table.withColumn("location", located).drop("latitude", "longitude").orderBy(F.desc("indexed_at"), "asset_id")
 
 
 def current_fingerprints(stored: DataFrame) -> DataFrame:

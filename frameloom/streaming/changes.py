@@ -11,18 +11,25 @@ from frameloom.streaming.sink import BatchLog, run_available
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last change of each asset; a merging aggregate, so a busy asset is no hot task."""
-    last = F.max(F.struct("change_ts", "op"))
-    return changes.groupBy("asset_id").agg(last.alias("_last")).select("asset_id", "_last.op", "_last.change_ts")
+    """The last change of each asset; a merging aggregate, so a busy asset is no hot task.
+
+    Changes of one time are in order of ``sequence``, the number the feed gives them.
+    """
+    last = F.max(F.struct("change_ts", "sequence", "op"))
+    return changes.groupBy("asset_id").agg(last.alias("_last")).select("asset_id", "_last.op", "_last.change_ts", "_last.sequence")
 
 
 def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
     """The index after the feed: deletes drop rows, the others touch or create them.
 
-    Late changes older than one already seen lose, deletes included, because the log keeps every
-    asset's last change and not only the surviving rows.
+    Late changes lose, deletes included: against later changes of the log, which keeps every asset's last one, and
+    against an index row that was modified later.
     """
     last = latest_changes(changes)
+    if "modification_date" in index.columns:
+        known = index.select("asset_id", F.col("modification_date").alias("_stored"))
+        late = F.coalesce(F.col("change_ts") < F.col("_stored"), F.lit(False))
+        last = last.join(known, "asset_id", "left").filter(~late).drop("_stored")
     merged = index.join(last, "asset_id", "full_outer").filter(F.coalesce(F.col("op") != "delete", F.lit(True)))
     filled = {
         "modification_date": F.coalesce("change_ts", "modification_date"),
@@ -33,10 +40,23 @@ def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
     return merged.withColumns(present).select(*index.columns)
 
 
+def tombstones(changes: DataFrame) -> DataFrame:
+    """The last change of every asset that is deleted by it."""
+    return latest_changes(changes).filter("op = 'delete'")
+
+
+def fold(index: DataFrame, log: BatchLog, folded: BatchLog) -> DataFrame:
+    """The current index, to be written as a new version; ``folded`` starts the log that goes on from there.
+
+    Only tombstones go over: a row's own date decides about late changes to it, a deleted row has none.
+    """
+    folded.write(tombstones(log.read()), -1)
+    return apply_changes(index, log.read())
+
+
 def maintain_index(stream: DataFrame, log: BatchLog, checkpoint: str) -> StreamingQuery:
     """Reduce each micro-batch to the last change per asset and append it: work is in the size of the
-    batch, not of the index. ``apply_changes(index, log.read())`` is the current index, and writing that as
-    a new index version compacts the log."""
+    batch, not of the index. ``apply_changes(index, log.read())`` is the current index, ``fold`` compacts the log."""
     return run_available(stream, lambda batch, batch_id: log.write(latest_changes(batch), batch_id), checkpoint)
 
 

@@ -120,10 +120,10 @@ def feed(spark, folder, batches, schema):
 
 
 def test_change_stream_equals_batch_and_late_changes_lose(spark, tmp_path):
-    schema = "asset_id string, op string, change_ts timestamp"
+    schema = "asset_id string, op string, change_ts timestamp, sequence long"
     batches = [
-        [("a", "modify", moment("2024-01-02")), ("b", "delete", moment("2024-01-05")), ("new", "add", moment("2024-01-03"))],
-        [("b", "modify", moment("2024-01-04")), ("a", "modify", moment("2024-01-01")), ("c", "delete", moment("2024-01-01"))],
+        [("a", "modify", moment("2024-01-02"), 1), ("b", "delete", moment("2024-01-05"), 2), ("new", "add", moment("2024-01-03"), 3)],
+        [("b", "modify", moment("2024-01-04"), 4), ("a", "modify", moment("2024-01-01"), 5), ("c", "delete", moment("2024-01-01"), 6)],
     ]
     index = spark.createDataFrame([record(x) for x in "abcd"], INDEX)
     stream = feed(spark, str(tmp_path / "in"), batches, schema)
@@ -136,6 +136,36 @@ def test_change_stream_equals_batch_and_late_changes_lose(spark, tmp_path):
     assert got == want == {"a": moment("2024-01-02"), "d": moment("2024-01-01"), "new": moment("2024-01-03")}
 
 
+def test_changes_of_one_time_are_in_sequence(spark):
+    schema = "asset_id string, op string, change_ts timestamp, sequence long"
+    at = moment("2024-03-01")
+    rows = [("a", "modify", at, 1), ("a", "delete", at, 2), ("b", "delete", at, 3), ("b", "add", at, 4)]
+    index = spark.createDataFrame([record(x) for x in "ab"], INDEX)
+    assert [r.asset_id for r in changes.apply_changes(index, spark.createDataFrame(rows, schema)).collect()] == ["b"]
+
+
+def test_late_changes_lose_after_the_log_was_folded(spark, tmp_path):
+    schema = "asset_id string, op string, change_ts timestamp, sequence long"
+    index = spark.createDataFrame([record(x) for x in "abc"], INDEX)
+    log, folded = (changes.change_log(spark, str(tmp_path / x)) for x in ("log", "folded"))
+    log.write(spark.createDataFrame([("a", "delete", moment("2024-03-02"), 1), ("b", "modify", moment("2024-03-02"), 2)], schema), 0)
+    current = spark.createDataFrame(changes.fold(index, log, folded).collect(), INDEX)
+    late = [("a", "modify", moment("2024-03-01"), 3), ("b", "modify", moment("2024-03-01"), 4), ("c", "delete", moment("2023-01-01"), 5)]
+    folded.write(spark.createDataFrame(late, schema), 0)
+    got = {r.asset_id: r.modification_date for r in changes.apply_changes(current, folded.read()).collect()}
+    assert got == {"b": moment("2024-03-02"), "c": moment("2024-01-01")}
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    one, other = (photo_fingerprint_table(spark, str(tmp_path / "p")) for _ in range(2))
+    rows = one.read()
+    other._next_version = lambda: 1  # it looked before the first wrote
+    assert one.replace(rows) == 1
+    with pytest.raises(FileExistsError):
+        other.replace(rows)
+    assert one.replace(rows) == 2 and one.versions() == [1, 2]
+
+
 def test_bin_stream_first_deletion_wins_across_batches(spark, tmp_path):
     schema = "asset_id string, kind string, file_size long, deleted_at timestamp"
     batches = [
