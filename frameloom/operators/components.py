@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.session import cut_lineage
 
 MAX_ROUNDS = 60
+# Edges that a task contracts at a time before the first round.
+LOCAL_EDGES = 200_000
+
+
+def join_labels(label: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Component labels (smallest row number) after adding edges to already labelled rows."""
+    while True:
+        a, b = label[ia], label[ib]
+        apart = a != b
+        if not apart.any():
+            return label
+        ia, ib, a, b = ia[apart], ib[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        label = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+
+
+def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task sees of the graph as trees of depth one: the same components, and most of the depth gone."""
+    held: list[pa.RecordBatch] = []
+
+    def trees() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*table.column("v").chunks, *table.column("u").chunks]).combine_chunks()
+        names = ends.unique()
+        names = names.take(pc.sort_indices(names))
+        at = pc.index_in(ends, names).to_numpy(zero_copy_only=False)
+        label = join_labels(np.arange(len(names)), at[: table.num_rows], at[table.num_rows :])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(label[moved]))], ["v", "u"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= LOCAL_EDGES:
+            yield trees()
+    if held:
+        yield trees()
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -42,13 +92,13 @@ def _is_settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for every node of an edge; the component is named by its smallest node.
 
-    Each round is checkpointed, so lineage stays one round deep and a lost executor costs one round.
+    Every task first contracts the edges it reads. Each round is checkpointed, so lineage stays one round deep and a lost executor costs one round.
     The loop ends when every node hangs on one root; rounds grow with the logarithm of the component
     size, and running out of them is an error, never a partial result.
     """
-    current = cut_lineage(
-        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
-    )
+    ends = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema.fields)
+    current = cut_lineage(ends.mapInArrow(_local_trees, schema).distinct())
     for _ in range(max_rounds):
         if _is_settled(current):
             members = current.select(F.col("v").alias("node"), F.col("u").alias("component"))

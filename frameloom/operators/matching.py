@@ -39,6 +39,7 @@ from frameloom.config import (
     MatchTuning,
     SimilarPhotoRules,
 )
+from frameloom.operators.components import connected_components, join_labels
 from frameloom.session import cut_lineage
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -267,25 +268,6 @@ def _take(block: dict, rows: np.ndarray) -> dict:
     return {k: v[rows] for k, v in block.items()}
 
 
-def join_labels(label: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
-    """Component labels (smallest row number) after adding edges to already labelled rows."""
-    while True:
-        a, b = label[ia], label[ib]
-        apart = a != b
-        if not apart.any():
-            return label
-        ia, ib, a, b = ia[apart], ib[apart], a[apart], b[apart]
-        low = np.minimum(a, b)
-        label = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of one ``pair`` value at a time from batches sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -638,8 +620,6 @@ def copies_match(scorer: Scorer):
 
 def matched_components(nodes: DataFrame, found: DataFrame, scorer: Scorer) -> DataFrame:
     """(node, component) of every node in a group of at least two assets."""
-    from frameloom.operators.components import connected_components
-
     linked = connected_components(found, "node", "root")
     alone = (
         nodes.filter(copies_match(scorer) & (F.col("weight") > 1))
