@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
 
 
-def collect_frames(frame_rows: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
-    """Frame vectors of a video in order; missing frames leave no gap (the rest move up).
+def collect_frames(
+    frame_rows: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS, keep_places: bool = False
+) -> DataFrame:
+    """Frame vectors of a video in order; missing frames leave no gap (the rest move up), or a null with ``keep_places``.
 
     One slot per sample point, so what is gathered for an asset is bounded however many rows it has.
     """
@@ -18,8 +20,8 @@ def collect_frames(frame_rows: DataFrame, rules: DuplicateVideoRules = DUPLICATE
         for k in range(rules.max_frames)
     ]
     gathered = frame_rows.groupBy("asset_id").agg(*slots)
-    present = F.array_compact(F.array(*[f"_f{k}" for k in range(rules.max_frames)]))
-    return gathered.select("asset_id", present.alias("frames"))
+    frames = F.array(*[f"_f{k}" for k in range(rules.max_frames)])
+    return gathered.select("asset_id", (frames if keep_places else F.array_compact(frames)).alias("frames"))
 
 
 def sample_keyframes(

@@ -183,47 +183,64 @@ class SimilarScorer:
 
 @dataclass(frozen=True)
 class FrameScorer:
-    """Frame k against frame k: every distance and the mean in bounds; the score is the mean."""
+    """Frame k against frame k, where both are there: every distance and the mean in bounds; the score is the mean.
+
+    ``frames`` are the frames of a video one after another, ``present`` says which of them are there. With
+    ``align="position"`` missing frames were left out before, so the first ones are always there; with
+    ``align="fraction"`` every frame keeps its place in the video.
+    """
 
     rules: DuplicateVideoRules = DUPLICATE_VIDEOS
-    columns = ("frames", "n_frames")
+    align: str = "position"
+    columns = ("frames", "n_frames", "present")
     best = "min"
-    has_points = True
     self_score = 0.0
 
+    @property
+    def has_points(self) -> bool:
+        # frames that two videos share may be any, so no fixed ones bound the distance
+        return self.align == "position"
+
     @property
     def radius(self) -> float:
         # root mean square over the first frames is at most the largest frame distance
         return self.rules.max_frame_distance
 
-    widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(rows["n_frames"].to_numpy(), 1))
+    widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(_lengths(rows["present"]), 1))
 
     def prepare(self, rows: pa.Table) -> dict:
-        counts = rows["n_frames"].to_numpy()
+        places = _lengths(rows["present"])
         column = rows["frames"]
         flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-        frames = flat.to_numpy(zero_copy_only=False).reshape(int(counts.sum()), -1)
-        padded = np.zeros((len(counts), int(counts.max()), frames.shape[1]))
-        padded[np.arange(padded.shape[1])[None, :] < counts[:, None]] = frames
-        first = padded[:, : self.rules.min_frames, :]
-        points = first.reshape(len(counts), -1) / np.sqrt(self.rules.min_frames)
-        return {"points": points, "frames": padded, "count": counts}
+        frames = flat.to_numpy(zero_copy_only=False).reshape(int(places.sum()), -1)
+        filled = np.arange(int(places.max()))[None, :] < places[:, None]
+        padded = np.zeros((*filled.shape, frames.shape[1]))
+        padded[filled] = frames
+        column = rows["present"]
+        flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        present = np.zeros(filled.shape, bool)
+        present[filled] = flat.to_numpy(zero_copy_only=False)
+        data = {"frames": padded, "present": present}
+        if self.has_points:
+            first = padded[:, : self.rules.min_frames, :]
+            data["points"] = first.reshape(len(places), -1) / np.sqrt(self.rules.min_frames)
+        return data
 
     def score(self, a: dict, b: dict) -> Hits:
         limit = self.rules.max_frame_distance
         most = min(a["frames"].shape[1], b["frames"].shape[1])
-        both = np.minimum(a["count"][:, None], b["count"][None, :])
+        both = a["present"][:, :most].astype(int) @ b["present"][:, :most].astype(int).T
         total = np.zeros(both.shape)
-        close = np.ones(both.shape, bool)
+        close = both >= self.rules.min_frames
         for k in range(most):
-            distance = _distances(a["frames"][:, k, :], b["frames"][:, k, :])
-            compared = both > k
-            close &= ~compared | (distance <= limit)
             if not close.any():
                 return _NO_HITS
+            distance = _distances(a["frames"][:, k, :], b["frames"][:, k, :])
+            compared = a["present"][:, k][:, None] & b["present"][:, k][None, :]
+            close &= ~compared | (distance <= limit)
             total += np.where(compared, distance, 0.0)
-        mean = total / both
-        close &= (both >= self.rules.min_frames) & (mean <= self.rules.max_mean_distance)
+        mean = total / np.maximum(both, 1)
+        close &= mean <= self.rules.max_mean_distance
         ia, ib = np.nonzero(close)
         return ia, ib, mean[ia, ib]
 

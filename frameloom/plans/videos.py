@@ -43,22 +43,34 @@ def video_candidates(assets: DataFrame, rules: DuplicateVideoRules = DUPLICATE_V
     return placed.join(linked.unionByName(alone), "cell").select("asset_id", "component")
 
 
-def _frame_rows(candidates: DataFrame, frames: DataFrame, rules: DuplicateVideoRules) -> DataFrame:
+def _frame_rows(candidates: DataFrame, frames: DataFrame, rules: DuplicateVideoRules, align: str) -> DataFrame:
     """asset_id, scope, node, flattened frames. Videos with too few prints cannot match.
 
-    A frame without a usable vector is no print: the later ones take its place.
+    A frame without a usable vector is no print. By position the later ones take its place; by fraction the place
+    stays empty.
     """
-    prints = F.transform(F.filter("frames", V.is_usable), V.l2_normalize)
-    enough = F.size("frames") >= rules.min_frames
-    width = F.size(F.get("frames", F.lit(0)))
-    even = F.forall("frames", lambda f: F.size(f) == width)
-    rows = frames.withColumn("frames", prints).filter(enough & even).join(candidates, "asset_id")
-    return rows.select(
+    if align not in ("position", "fraction"):
+        raise ValueError(f"align is position or fraction, not {align!r}")
+    usable = F.filter("frames", V.is_usable)
+    width = F.size(F.get(usable, F.lit(0)))
+    even = F.forall(usable, lambda f: F.size(f) == width)
+    if align == "position":
+        places, present = usable, F.transform(usable, lambda f: F.lit(True))
+    else:
+        blank = F.array_repeat(F.lit(0.0), width)
+        places = F.transform("frames", lambda f: F.when(V.is_usable(f), f.cast("array<double>")).otherwise(blank))
+        present = F.transform("frames", V.is_usable)
+    rows = frames.filter((F.size(usable) >= rules.min_frames) & even).select(
+        "asset_id", width.alias("width"), present.alias("present"), F.size(usable).alias("n_frames"), places.alias("places")
+    )
+    unit = F.transform("places", lambda f: F.when(V.is_usable(f), V.l2_normalize(f)).otherwise(f.cast("array<double>")))
+    return rows.join(candidates, "asset_id").select(
         "asset_id",
-        F.concat_ws("#", F.col("component"), width).alias("scope"),
-        F.flatten("frames").alias("frames"),
-        F.size("frames").alias("n_frames"),
-    ).withColumn("node", V.fingerprint_key(F.col("scope"), F.col("n_frames"), F.col("frames")))
+        F.concat_ws("#", F.col("component"), F.col("width")).alias("scope"),
+        F.flatten(unit).alias("frames"),
+        "n_frames",
+        "present",
+    ).withColumn("node", V.fingerprint_key(F.col("scope"), F.col("n_frames"), F.col("present"), F.col("frames")))
 
 
 def duplicate_video_groups(
@@ -67,10 +79,15 @@ def duplicate_video_groups(
     resources: DataFrame | None = None,
     rules: DuplicateVideoRules = DUPLICATE_VIDEOS,
     tuning: MatchTuning = TUNING,
+    align: str = "position",
 ) -> DataFrame:
-    """Groups of videos whose keyframes agree, within the candidates of one duration-and-shape component."""
-    scorer = FrameScorer(rules)
-    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules)
+    """Groups of videos whose keyframes agree, within the candidates of one duration-and-shape component.
+
+    ``frames`` has a video's frames in order, null where one is missing. ``align="position"`` compares the frames that
+    are there in turn, so a missing one shifts the rest; ``align="fraction"`` compares frames of one place only.
+    """
+    scorer = FrameScorer(rules, align)
+    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align)
     nodes = collapse_copies(rows, scorer)
     found = match_nodes(nodes, scorer, tuning, connectivity_only=True)
     components = matched_components(nodes, found, scorer)
@@ -83,10 +100,11 @@ def duplicate_video_matches(
     frames: DataFrame,
     rules: DuplicateVideoRules = DUPLICATE_VIDEOS,
     tuning: MatchTuning = TUNING,
+    align: str = "position",
 ) -> DataFrame:
     """Per video with a verified duplicate: how many, and the nearest and mean frame distance."""
-    scorer = FrameScorer(rules)
-    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules)
+    scorer = FrameScorer(rules, align)
+    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align)
     nodes = collapse_copies(rows, scorer)
     statistics = node_statistics(nodes, match_nodes(nodes, scorer, tuning), scorer).drop("weight")
     return rows.select("asset_id", "node").join(statistics, "node").select(

@@ -47,11 +47,8 @@ class DerivedLibrary:
     @cached_property
     def copies(self) -> DataFrame:
         """vec_id, copy, asset_id and the vector, five rows per vector."""
-        vectors = self.table("embeddings")
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(vectors.inputFiles()) < cores:
-            # one small file is one task: spread the array work over the cores
-            vectors = vectors.repartition(cores, "vec_id")
+        # the array work per row is heavy next to its bytes, so it is dealt out before it begins
+        vectors = self.table("embeddings").repartition("vec_id")
         return (
             vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
             .withColumn("asset_id", F.concat(F.lit("a"), F.col("vec_id"), F.lit("_"), F.col("copy")))

@@ -77,8 +77,9 @@ def test_photo_groups(spark, library, tuning):
     assert matches == {n: k for n in names if (k := sum(n in e for e in similar))}
 
 
+@pytest.mark.parametrize("align", ["position", "fraction"])
 @pytest.mark.parametrize("tuning", TUNINGS[::2])
-def test_video_groups(spark, tuning):
+def test_video_groups(spark, tuning, align):
     rng = np.random.default_rng(9)
     rows = []
     for c, size in enumerate((6, 10)):
@@ -94,16 +95,16 @@ def test_video_groups(spark, tuning):
             rows.append((f"v{c}_{i}", frames))
     assets = spark.createDataFrame([(n, "video", 10.0, 40, 40, 5) for n, _ in rows], VIDEO)
     frames = spark.createDataFrame(rows, "asset_id string, frames array<array<double>>")
-    prints = {n: [u for f in fs if (u := unit(f)) is not None] for n, fs in rows}
+    prints = {n: [unit(f) for f in fs if align == "fraction" or unit(f) is not None] for n, fs in rows}
     edges = []
     for a, b in itertools.combinations(prints, 2):
-        n = min(len(prints[a]), len(prints[b]))
-        if n >= 4 and len(prints[a][0]) == len(prints[b][0]):
-            d = [np.linalg.norm(x - y) for x, y in zip(prints[a], prints[b])]
+        pairs = [(x, y) for x, y in zip(prints[a], prints[b]) if x is not None and y is not None]
+        if len(pairs) >= 4 and len(pairs[0][0]) == len(pairs[0][1]):
+            d = [np.linalg.norm(x - y) for x, y in pairs]
             if max(d) <= 0.22 and np.mean(d) <= 0.16:
                 edges.append((a, b))
     assert len(edges) > 10
-    assert same_groups(VD.duplicate_video_groups(assets, frames, tuning=tuning).collect()) == brute_components(list(prints), edges)
+    assert same_groups(VD.duplicate_video_groups(assets, frames, tuning=tuning, align=align).collect()) == brute_components(list(prints), edges)
 
 
 def test_photos_nobody_could_compare_are_no_duplicates(spark):

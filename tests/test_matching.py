@@ -136,7 +136,10 @@ def test_frames_equal_brute_force(spark, tuning):
             rows.append((f"v{len(rows):03d}", "s" + str(c % 2), 1, frames.ravel().tolist(), count))
     rows = [r for r in rows if r[4] >= 4]
     nodes = cut_lineage(
-        spark.createDataFrame(rows, "node string, scope string, weight long, frames array<double>, n_frames int")
+        spark.createDataFrame(
+            [(*r, [True] * r[4]) for r in rows],
+            "node string, scope string, weight long, frames array<double>, n_frames int, present array<boolean>",
+        )
     )
     edges = []
     for a, b in itertools.combinations(rows, 2):
