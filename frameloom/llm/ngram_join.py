@@ -33,7 +33,7 @@ TOP_FREQUENCY = 1 << 16
 # Classes in a block of the product.
 BLOCK_ROWS = 2000
 # Incidence rows that a map task packs at a time, and partitions they go to at least.
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 18
 SETS_AT_ONCE = 100_000
 LEAST_PARTS = 64
 
