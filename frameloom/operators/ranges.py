@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from frameloom.session import cut_lineage
 # step everywhere. Cells are a little narrower than a step: any two videos of one cell are in tolerance.
 CELL_WIDTH = 0.98
 REACH = 2
+# Distinct profiles of a cell that a task holds.
+LOT_PROFILES = 100_000
 
 
 def tolerance_scale(duration: Column, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> Column:
@@ -48,12 +52,56 @@ def _placed(videos: DataFrame, rules: DuplicateVideoRules) -> DataFrame:
     )
 
 
-def candidate_partners(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
+def videos_in_range(asked: np.ndarray, durations: np.ndarray, videos: np.ndarray, rules: DuplicateVideoRules) -> np.ndarray:
+    """For each asked duration: how many videos have one in tolerance, from running counts over sorted ``durations``."""
+
+    def fits(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
+        return longer - shorter <= np.maximum(rules.min_tolerance_seconds, shorter * rules.tolerance_ratio)
+
+    n = len(durations)
+    padded = np.append(durations, np.nan)  # fits nothing
+    high = np.searchsorted(durations, asked + np.maximum(rules.min_tolerance_seconds, asked * rules.tolerance_ratio), "right")
+    low = np.searchsorted(durations, np.minimum(asked - rules.min_tolerance_seconds, asked / (1 + rules.tolerance_ratio)), "left")
+    # the last place of rounding is decided by the rule itself
+    while (more := fits(asked, padded[high])).any():
+        high += more
+    while (less := (high > 0) & (padded[high - 1] >= asked) & ~fits(asked, padded[high - 1])).any():
+        high -= less
+    while (more := (low > 0) & fits(padded[low - 1], asked)).any():
+        low -= more
+    while (less := (low < n) & (padded[low] < asked) & ~fits(padded[low], asked)).any():
+        low += less
+    running = np.concatenate([[0], np.cumsum(videos)])
+    return running[np.maximum(high, low)] - running[low]
+
+
+def _count_in_range(rules: DuplicateVideoRules):
+    """Profiles with those of a neighbouring cell: per aspect ratio of the cell, partners are a range of durations."""
+
+    def run(askers: pa.Table, cell: pa.Table) -> pa.Table:
+        duration, aspect = (np.asarray(askers.column(c)) for c in ("a_duration", "a_aspect"))
+        partners = np.zeros(askers.num_rows, np.int64)
+        if cell.num_rows and askers.num_rows:
+            d, a, v = (np.asarray(cell.column(c)) for c in ("duration", "aspect", "videos"))
+            order = np.lexsort((d, a))
+            d, a, v = d[order], a[order], v[order]
+            for lo, hi in zip(starts := np.flatnonzero(np.append(True, a[1:] != a[:-1])), np.append(starts[1:], len(a))):
+                mine = np.flatnonzero(np.abs(aspect - a[lo]) <= rules.max_aspect_difference)
+                partners[mine] += videos_in_range(duration[mine], d[lo:hi], v[lo:hi], rules)
+        found = np.flatnonzero(partners)
+        return pa.table({"duration": pa.array(duration[found]), "aspect": pa.array(aspect[found]), "videos": askers.column("a_videos").take(pa.array(found)), "partners": pa.array(partners[found])})
+
+    return run
+
+
+def candidate_partners(
+    videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS, lot_profiles: int = LOT_PROFILES
+) -> DataFrame:
     """Per distinct (duration, aspect): its videos and how many other videos pass the range join.
 
     The binned range join runs over distinct profiles with counts, so any number of videos of one length
-    and shape is a single row. Profiles of one cell all match, so they are counted by the cell's total; only
-    neighbouring cells are joined, and their matches are summed where they are found, never emitted.
+    and shape is a single row. Profiles of one cell all match, so they are counted by the cell's total; between
+    neighbouring cells the partners of a profile are ranges of sorted durations, counted without visiting them.
     """
     profiles = cut_lineage(
         _placed(videos, rules).groupBy("step", "shape", "duration", "aspect").agg(F.count("*").alias("videos"))
@@ -67,19 +115,19 @@ def candidate_partners(videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE
         F.explode(F.sequence(F.col("step") - REACH, F.col("step") + REACH)).alias("step"),
     ).withColumn("shape", F.explode(F.sequence(F.col("a_shape") - 1, F.col("a_shape") + 1)))
     elsewhere = (F.col("step") != F.col("a_step")) | (F.col("shape") != F.col("a_shape"))
+    # a busy cell is several lots on either side, so no task holds a whole one; those who ask are its neighbours
+    lots = profiles.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(lot_profiles)).cast("int").alias("lots"))
+    dealt = F.pmod(F.xxhash64("duration", "aspect"), F.col("lots")).cast("int")
+    asked = F.pmod(F.xxhash64("a_duration", "a_aspect", F.lit(1)), F.col("lots") * 4).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("lots") - 1))
+    held = profiles.join(lots, key).withColumn("lot", dealt).withColumn("from", F.explode(F.sequence(F.lit(0), F.col("lots") * 4 - 1)))
+    askers = near.filter(elsewhere).join(lots, key).withColumn("from", asked).withColumn("lot", every)
+    group = [*key, "lot", "from"]
+    askers = askers.select(*[F.col(c).alias(f"q_{c}") for c in group], "a_duration", "a_aspect", "a_videos")
     across = (
-        near.filter(elsewhere)
-        .join(profiles, key)
-        .filter(
-            in_tolerance(F.least("a_duration", "duration"), F.greatest("a_duration", "duration"), rules)
-            & (F.abs(F.col("a_aspect") - F.col("aspect")) <= rules.max_aspect_difference)
-        )
-        .select(
-            F.col("a_duration").alias("duration"),
-            F.col("a_aspect").alias("aspect"),
-            F.col("a_videos").alias("videos"),
-            F.col("videos").alias("partners"),
-        )
+        askers.groupBy(*[f"q_{c}" for c in group])
+        .cogroup(held.select(*group, "duration", "aspect", "videos").groupBy(*group))
+        .applyInArrow(_count_in_range(rules), "duration double, aspect double, videos long, partners long")
     )
     parts = own.unionByName(same).unionByName(across)
     return parts.groupBy("duration", "aspect").agg(F.max("videos").alias("videos"), F.sum("partners").alias("partners"))

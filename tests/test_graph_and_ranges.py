@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.config import MatchTuning
+from frameloom.config import DUPLICATE_VIDEOS, MatchTuning
 from frameloom.operators import blocking, ranges
 from frameloom.operators.components import connected_components
 from frameloom.plans.videos import video_candidates
@@ -73,14 +73,26 @@ def test_range_links_have_the_components_of_all_pairs(spark):
         assert {frozenset(g) for g in groups.values()} == brute_components([v[0] for v in videos], pairs)
 
 
-def test_candidate_partner_counts(spark):
+@pytest.mark.parametrize("lot_profiles", [100_000, 5])
+def test_candidate_partner_counts(spark, lot_profiles):
     videos = random_videos(9)
     df = spark.createDataFrame(videos, SCHEMA)
-    partners = ranges.candidate_partners(df)
+    partners = ranges.candidate_partners(df, lot_profiles=lot_profiles)
     total = partners.agg(F.sum(F.col("videos") * F.col("partners"))).first()[0]
     assert total == 2 * sum(matches(a, b) for a, b in itertools.combinations(videos, 2))
 
 
+def test_videos_in_range_equals_the_rule():
+    rng = np.random.default_rng(11)
+    rules = DUPLICATE_VIDEOS
+    durations = np.unique(np.concatenate([rng.uniform(0, 200, 400), rng.integers(0, 200, 60) * 1.0, rng.integers(0, 200, 60) * 1.03]))
+    videos = rng.integers(1, 5, len(durations))
+    asked = np.concatenate([durations, durations * 1.03, durations + 1.0, rng.uniform(0, 300, 200)])
+    low, high = np.minimum(asked[:, None], durations[None, :]), np.maximum(asked[:, None], durations[None, :])
+    fits = high - low <= np.maximum(rules.min_tolerance_seconds, low * rules.tolerance_ratio)
+    assert (ranges.videos_in_range(asked, durations, videos, rules) == (fits * videos).sum(1)).all()
+
+
 def test_tolerance_bounds_are_inclusive(spark):
     videos = [("a", "video", 10.0, 4, 3), ("b", "video", 11.0, 4, 3), ("c", "video", 12.5, 4, 3)]
     rows = video_candidates(spark.createDataFrame(videos, SCHEMA)).collect()
