@@ -39,11 +39,11 @@ class Rule(NamedTuple):
 
 INF = float("inf")
 RULES = (
-    Rule("length", "n_words", "", 25, 50, INF, INF),
+    Rule("length", "n_words", "", 20, 50, INF, INF),
     Rule("word length", "word_chars", "n_words", 2.5, 3.5, 8.0, 11.0),
     Rule("symbols", "n_symbols", "n_words", -INF, -INF, 0.05, 0.25),
-    Rule("repeated lines", "n_dup_lines", "n_lines", -INF, -INF, 0.1, 0.3),
-    Rule("repeated words", "n_repeat_words", "n_words", -INF, -INF, 0.1, 0.25),
+    Rule("repeated lines", "n_dup_lines", "n_lines", -INF, -INF, 0.1, 0.5),
+    Rule("repeated words", "n_repeat_words", "n_words", -INF, -INF, 0.1, 0.3),
     Rule("capitals", "n_upper", "n_letters", -INF, -INF, 0.2, 0.5),
     Rule("stutter", "n_same", "n_words", -INF, -INF, 0.1, 0.3),
     Rule("marks", "n_marked", "n_words", -INF, 0.01, 0.35, 0.6),
