@@ -85,9 +85,30 @@ class MatchTuning:
     sample_rows: int = 4096
 
 
+@dataclass(frozen=True)
+class ReportRules:
+    # smallest share of the overview's ring that a category is drawn with
+    min_share: float = 0.02
+
+
+@dataclass(frozen=True)
+class PlanTuning:
+    """Physical knobs of the other operators; no value changes a result."""
+
+    # rounds of component contraction before it is an error, and edges a task contracts before the first
+    component_rounds: int = 60
+    local_edges: int = 200_000
+    # ranks within a group use a window up to this many rows of one group, ranges of the full key beyond
+    window_rows: int = 1_000_000
+    # distinct duration profiles of a cell that a task holds
+    lot_profiles: int = 100_000
+
+
 DUPLICATE_PHOTOS = DuplicatePhotoRules()
 SIMILAR_PHOTOS = SimilarPhotoRules()
 DUPLICATE_VIDEOS = DuplicateVideoRules()
 LARGE_VIDEOS = LargeVideoRules()
 BIN = BinRules()
 TUNING = MatchTuning()
+REPORT = ReportRules()
+PLANS = PlanTuning()

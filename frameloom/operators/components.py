@@ -10,12 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.config import PLANS
 from frameloom.session import cut_lineage
 
-MAX_ROUNDS = 60
-# Edges that a task contracts at a time before the first round.
-LOCAL_EDGES = 200_000
-
 
 def join_labels(label: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
     """Component labels (smallest row number) after adding edges to already labelled rows."""
@@ -54,7 +51,7 @@ def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= LOCAL_EDGES:
+        if sum(b.num_rows for b in held) >= PLANS.local_edges:
             yield trees()
     if held:
         yield trees()
@@ -89,7 +86,7 @@ def _is_settled(edges: DataFrame) -> bool:
     return open_nodes.limit(1).count() == 0
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = PLANS.component_rounds) -> DataFrame:
     """(node, component) for every node of an edge; the component is named by its smallest node.
 
     Every task first contracts the edges it reads. Each round is checkpointed, so lineage stays one round deep and a lost executor costs one round.

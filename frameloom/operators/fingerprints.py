@@ -9,25 +9,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.config import DUPLICATE_VIDEOS
+from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
 from frameloom.functions.signature import signature
 from frameloom.operators.index import with_ids
 from frameloom.schemas import FINGERPRINT_SCHEMA_VERSION
 from frameloom.sources.store import current_fingerprints
 
 
-def _has_hash_and_vector() -> Column:
+def _has_hash_and_vector(rules: DuplicateVideoRules) -> Column:
     return F.col("dhash").isNotNull() & F.col("feature_vector").isNotNull()
 
 
-def _has_frames() -> Column:
-    return F.coalesce(F.size("frames") >= DUPLICATE_VIDEOS.min_frames, F.lit(False))
+def _has_frames(rules: DuplicateVideoRules) -> Column:
+    return F.coalesce(F.size("frames") >= rules.min_frames, F.lit(False))
 
 
 # variant -> (asset kind, payload that makes a row complete, payload that makes it reusable)
-VARIANTS: dict[str, tuple[str, Callable[[], Column], Callable[[], Column]]] = {
+VARIANTS: dict[str, tuple[str, Callable[[DuplicateVideoRules], Column], Callable[[DuplicateVideoRules], Column]]] = {
     "duplicate": ("photo", _has_hash_and_vector, _has_hash_and_vector),
-    "similar": ("photo", _has_hash_and_vector, lambda: F.col("feature_vector").isNotNull()),
+    "similar": ("photo", _has_hash_and_vector, lambda rules: F.col("feature_vector").isNotNull()),
     "video": ("video", _has_frames, _has_frames),
 }
 
@@ -40,20 +40,24 @@ def _fresh() -> Column:
     return (F.col("status") == "ready") & F.col("signature").eqNullSafe(F.col("current_signature"))
 
 
-def needs_analysis(index: DataFrame, stored: DataFrame, variant: str) -> DataFrame:
+def needs_analysis(
+    index: DataFrame, stored: DataFrame, variant: str, rules: DuplicateVideoRules = DUPLICATE_VIDEOS
+) -> DataFrame:
     """Assets without a ready row of the same signature and full payload.
 
     Whether the payload is complete is decided before the join, so no vector is shuffled.
     """
-    complete = VARIANTS[variant][1]()
+    complete = VARIANTS[variant][1](rules)
     kept = current_fingerprints(stored).filter(complete).select("asset_id", "status", "signature")
     usable = F.coalesce(_fresh(), F.lit(False))
     return _signed(index, variant).join(kept, "asset_id", "left").filter(~usable).select(*index.columns)
 
 
-def cache_hits(index: DataFrame, stored: DataFrame, variant: str) -> DataFrame:
+def cache_hits(
+    index: DataFrame, stored: DataFrame, variant: str, rules: DuplicateVideoRules = DUPLICATE_VIDEOS
+) -> DataFrame:
     """Stored payloads that are still valid."""
-    reusable = VARIANTS[variant][2]()
+    reusable = VARIANTS[variant][2](rules)
     payload = ["frames"] if variant == "video" else ["dhash", "feature_vector"]
     kept = current_fingerprints(stored).filter(reusable).select("asset_id", "status", "signature", *payload)
     current = _signed(index, variant).select("asset_id", "current_signature")
@@ -86,9 +90,9 @@ def upsert_photos(stored: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(stored, new, ["dhash", "feature_vector"])
 
 
-def upsert_videos(stored: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_videos(stored: DataFrame, new: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> DataFrame:
     """Rows with too few frames are not stored."""
-    return upsert(stored, new.filter(_has_frames()), [])
+    return upsert(stored, new.filter(_has_frames(rules)), [])
 
 
 def prune(stored: DataFrame, index: DataFrame) -> DataFrame:

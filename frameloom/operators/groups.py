@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.config import PLANS
 from frameloom.functions import media
 from frameloom.operators.index import without_ids
-from frameloom.operators.ranking import MAX_WINDOW_ROWS, rank_in_group
+from frameloom.operators.ranking import rank_in_group
 from frameloom.operators.sizes import resolve_sizes
 
 
@@ -34,7 +35,7 @@ def largest_group(members: DataFrame, group: str) -> int:
 
 
 def rank_members(
-    rows: DataFrame, group: str, order: list[Column], largest: int, max_window_rows: int = MAX_WINDOW_ROWS
+    rows: DataFrame, group: str, order: list[Column], largest: int, max_window_rows: int = PLANS.window_rows
 ) -> DataFrame:
     """Adds member_rank, the id of the best member and the group's storage.
 
@@ -62,7 +63,7 @@ def assemble_groups(
     assets: DataFrame,
     resources: DataFrame | None,
     best: str,
-    max_window_rows: int = MAX_WINDOW_ROWS,
+    max_window_rows: int = PLANS.window_rows,
 ) -> DataFrame:
     """Groups table from (asset_id, component). File sizes are looked up for group members only."""
     rows = members.join(
@@ -133,7 +134,7 @@ def filter_by_group_size(groups: DataFrame, name: str) -> DataFrame:
     return groups.join(keep.select("group_id"), "group_id", "left_semi")
 
 
-def remove_from_groups(groups: DataFrame, ids: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def remove_from_groups(groups: DataFrame, ids: DataFrame, max_window_rows: int = PLANS.window_rows) -> DataFrame:
     """Drop ids, then groups with one member left. Group ids and order stay, the next member moves up."""
     left = without_ids(groups, ids).withColumnRenamed("member_rank", "_rank").drop("total_storage")
     alive = left.groupBy("group_id").agg(F.count("*").alias("_left")).filter("_left >= 2")

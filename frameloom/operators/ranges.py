@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.config import DUPLICATE_VIDEOS, DuplicateVideoRules
+from frameloom.config import DUPLICATE_VIDEOS, PLANS, DuplicateVideoRules
 from frameloom.functions import media
 from frameloom.session import cut_lineage
 
@@ -17,8 +17,6 @@ from frameloom.session import cut_lineage
 # step everywhere. Cells are a little narrower than a step: any two videos of one cell are in tolerance.
 CELL_WIDTH = 0.98
 REACH = 2
-# Distinct profiles of a cell that a task holds.
-LOT_PROFILES = 100_000
 
 
 def tolerance_scale(duration: Column, rules: DuplicateVideoRules = DUPLICATE_VIDEOS) -> Column:
@@ -95,7 +93,7 @@ def _count_in_range(rules: DuplicateVideoRules):
 
 
 def candidate_partners(
-    videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS, lot_profiles: int = LOT_PROFILES
+    videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS, lot_profiles: int = PLANS.lot_profiles
 ) -> DataFrame:
     """Per distinct (duration, aspect): its videos and how many other videos pass the range join.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.config import LARGE_VIDEOS, LargeVideoRules
+from frameloom.config import LARGE_VIDEOS, PLANS, LargeVideoRules
 from frameloom.session import cut_lineage
 
 _ROW_BITS = 33
@@ -36,12 +36,8 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitio
     )
 
 
-# Above this many members a group is ranked by range partitioning instead of a window in one task.
-MAX_WINDOW_ROWS = 1_000_000
-
-
 def rank_in_group(
-    df: DataFrame, group: str, order: list[Column], rank: str = "member_rank", max_window_rows: int = MAX_WINDOW_ROWS
+    df: DataFrame, group: str, order: list[Column], rank: str = "member_rank", max_window_rows: int = PLANS.window_rows
 ) -> DataFrame:
     """1-based rank within each group under a total order.
 

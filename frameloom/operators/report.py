@@ -7,13 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.config import REPORT
 from frameloom.functions.signature import row_digest, signature_text
 from frameloom.operators import groups as G
 from frameloom.operators.index import newest_first, photos, screenshots, summary, videos
 from frameloom.schemas import CATEGORIES
 
-MIN_SHARE = 0.02
-
 
 def is_unchanged(current: DataFrame, last: DataFrame) -> bool:
     """Whether an analysis run with digest ``last`` would read the same input again (one or two rows each)."""
@@ -100,7 +99,7 @@ def category_shares(index: DataFrame, analyses: dict[str, DataFrame | None]) ->
     visible minimum; the window runs over six rows."""
     counts = _counts(index, analyses, "member_count")
     total = F.greatest(F.sum("count").over(Window.partitionBy()), F.lit(1))
-    share = F.greatest(F.col("count") / total, F.lit(MIN_SHARE))
+    share = F.greatest(F.col("count") / total, F.lit(REPORT.min_share))
     return counts.withColumn("share", F.when(F.col("count") > 0, share)).orderBy(_ordinal())
 
 
