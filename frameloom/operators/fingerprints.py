@@ -64,6 +64,33 @@ def cache_hits(
     return current.join(kept, "asset_id").filter(_fresh()).select("asset_id", *payload)
 
 
+def fingerprint_states(
+    index: DataFrame, stored_photos: DataFrame, stored_videos: DataFrame, rules: DuplicateVideoRules = DUPLICATE_VIDEOS
+) -> DataFrame:
+    """(variant, asset_id, is_missing, is_hit) for every asset and analysis of its kind, in one pass over index and prints.
+
+    The same as ``needs_analysis`` and ``cache_hits`` of each variant, without payloads.
+    """
+    parts = []
+    for kind, stored in (("photo", stored_photos), ("video", stored_videos)):
+        variants = {name: v for name, v in VARIANTS.items() if v[0] == kind}
+        # payloads are looked at before the join, so no vector is shuffled
+        marks = [x for name, v in variants.items() for x in (v[1](rules).alias(f"full_{name}"), v[2](rules).alias(f"reusable_{name}"))]
+        kept = current_fingerprints(stored).select("asset_id", "status", "signature", *marks)
+        joined = _signed(index, next(iter(variants))).select("asset_id", "current_signature").join(kept, "asset_id", "left")
+        fresh = F.coalesce(_fresh(), F.lit(False))
+        states = [
+            F.struct(
+                F.lit(name).alias("variant"),
+                (~(fresh & F.coalesce(f"full_{name}", F.lit(False)))).alias("is_missing"),
+                (fresh & F.coalesce(f"reusable_{name}", F.lit(False))).alias("is_hit"),
+            )
+            for name in variants
+        ]
+        parts.append(joined.select("asset_id", F.explode(F.array(*states)).alias("s")).select("s.variant", "asset_id", "s.is_missing", "s.is_hit"))
+    return parts[0].unionByName(parts[1])
+
+
 def hits_and_recomputed(hits: DataFrame, recomputed: DataFrame) -> DataFrame:
     return hits.unionByName(recomputed.select(*hits.columns))
 

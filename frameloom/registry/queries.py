@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +18,7 @@ from frameloom.operators import index as I
 from frameloom.operators.components import connected_components
 from frameloom.plans import photos as P
 from frameloom.plans import videos as VD
-from frameloom.session import checkpoint_dir, cut_lineage
+from frameloom.session import cut_lineage, scratch_path
 from frameloom.sources.derived import INDEXED_AT, NOW, DerivedLibrary, timestamp
 from frameloom.sources.images import scan_assets
 from frameloom.sources.store import index_table, load_index
@@ -52,7 +51,7 @@ def _round(name: str) -> Column:
 
 
 def _scratch(lib: DerivedLibrary, name: str) -> str:
-    return f"{checkpoint_dir(lib.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(lib.spark, name)
 
 
 # --- analyses shared by several queries -------------------------------------------------------------
@@ -420,23 +419,18 @@ def bin_active(lib):
     )
 
 
-def _for_variants(lib: DerivedLibrary, operator) -> DataFrame:
-    stored = {"duplicate": lib.photo_fingerprints, "similar": lib.photo_fingerprints, "video": lib.video_fingerprints}
-    parts = [
-        operator(lib.assets, table, variant).select(F.lit(variant).alias("variant"), "asset_id")
-        for variant, table in stored.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def _fingerprint_states(lib: DerivedLibrary) -> DataFrame:
+    return FP.fingerprint_states(lib.assets, lib.photo_fingerprints, lib.video_fingerprints)
 
 
 @_query
 def needs_analysis(lib):
-    return _for_variants(lib, FP.needs_analysis)
+    return _fingerprint_states(lib).filter("is_missing").select("variant", "asset_id")
 
 
 @_query
 def cache_hits(lib):
-    return _for_variants(lib, FP.cache_hits)
+    return _fingerprint_states(lib).filter("is_hit").select("variant", "asset_id")
 
 
 @_query

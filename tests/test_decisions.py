@@ -363,6 +363,8 @@ def test_payload_rules_per_variant(spark):
     assert FP.cache_hits(index, no_hash, "similar").count() == 1
     assert FP.cache_hits(index, no_hash, "duplicate").count() == 0
     assert FP.needs_analysis(index, no_hash, "similar").count() == 1
+    states = FP.fingerprint_states(index, no_hash, no_hash.withColumn("frames", F.array(F.array(F.lit(1.0)))))
+    assert sorted(map(tuple, states.collect())) == [("duplicate", "a", True, False), ("similar", "a", True, True)]
     old = stored(spark, index, schema_version=F.lit(0))
     assert FP.needs_analysis(index, old, "duplicate").count() == 1
     failed = stored(spark, index, status=F.lit("failed"))
