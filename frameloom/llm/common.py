@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.session import checkpoint_dir, tune
+from frameloom.session import scratch_path, tune
 
 # Bytes of text that an array kernel takes at a time.
 CHUNK_BYTES = 1 << 19
@@ -33,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
