@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from frameloom.config import BIN, BinRules
 from frameloom.operators import bin as B
-from frameloom.schemas import BIN
+from frameloom.schemas import BIN as BIN_SCHEMA
 from frameloom.streaming.sink import BatchLog, run_available
 
-_COLUMNS = T.StructType([f for f in BIN.fields if f.name != "thumbnail"])
+# Buckets of the log; a batch opens as many as it has assets, at most all.
+LOG_BUCKETS = 64
+_COLUMNS = T.StructType([f for f in BIN_SCHEMA.fields if f.name != "thumbnail"])
 
 
 def bin_log(spark, root: str) -> BatchLog:
-    return BatchLog(spark, root, _COLUMNS)
+    return BatchLog(spark, root, _COLUMNS, LOG_BUCKETS)
 
 
 def fill_bin(stream: DataFrame, log: BatchLog, checkpoint: str, order: list[str]) -> StreamingQuery:
     """Insert-if-absent per micro-batch: the first deletion of an asset wins, within and across batches."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        log.write(B.new_entries(log.read(before=batch_id), batch, order), batch_id)
+        log.write(B.new_entries(log.read(before=batch_id, asked=batch), batch, order), batch_id)
 
     return run_available(stream, handle, checkpoint)
 
@@ -30,3 +34,17 @@ def first_deletions(stream: DataFrame, retention: str = "30 days") -> DataFrame:
     """Stateful form with bounded state: one deletion per asset within the retention, in arrival order.
     State of an asset is dropped when the watermark passes its retention."""
     return stream.withWatermark("deleted_at", retention).dropDuplicatesWithinWatermark(["asset_id"])
+
+
+def expired_entries(stream: DataFrame, rules: BinRules = BIN, lateness_days: int = 1, step: str = "1 hour") -> DataFrame:
+    """(asset_id, deleted_at, leaves_at) of every entry once the stream's time says that it has left the bin by age.
+
+    An entry leaves when less than a whole day of its retention is left. The watermark runs on that moment, so it waits
+    for the retention and the lateness after a deletion; until then later deletions of the asset are dropped, and after
+    that an asset has no state. Entries are told in steps of ``step``.
+    """
+    stay = rules.retention_days - 1
+    leaving = stream.select("asset_id", "deleted_at", (F.col("deleted_at") + F.expr(f"INTERVAL {stay} DAYS")).alias("leaves_at"))
+    first = leaving.withWatermark("leaves_at", f"{stay + lateness_days} days").dropDuplicatesWithinWatermark(["asset_id"])
+    told = first.groupBy("asset_id", F.window("leaves_at", step)).agg(F.min("deleted_at").alias("deleted_at"), F.min("leaves_at").alias("leaves_at"))
+    return told.select("asset_id", "deleted_at", "leaves_at")

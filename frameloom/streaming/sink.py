@@ -4,27 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
 class BatchLog:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    """With ``buckets`` each batch is laid out by a hash of asset_id, so a lookup opens only the buckets it asks for."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int = 0):
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("asset_id"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
+        columns = self.schema.fieldNames()
+        writer = rows.select(*columns, self._bucket()).write.partitionBy("bucket") if self.buckets else rows.select(*columns).write
+        writer.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
+
+    def read(self, before: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """All rows with their batch_id; ``before`` leaves out a batch being written again.
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows with their batch_id; ``before`` leaves out a batch being written again."""
+        ``asked``: only the buckets of these rows' assets are read, which is at least every row of theirs.
+        """
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+        plain = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+        schema = T.StructType([*plain.fields, T.StructField("bucket", T.IntegerType())]) if self.buckets else plain
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], plain)
         rows = self.spark.read.schema(schema).parquet(self.root)
-        return rows if before is None else rows.filter(rows["batch_id"] < before)
+        if self.buckets and asked is not None:
+            wanted = [r.bucket for r in asked.select(self._bucket()).distinct().collect()]  # at most one per bucket
+            rows = rows.filter(F.col("bucket").isin(wanted))
+        rows = rows if before is None else rows.filter(F.col("batch_id") < before)
+        return rows.select(*plain.fieldNames())
 
 
 def run_available(

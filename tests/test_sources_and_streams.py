@@ -194,6 +194,36 @@ def test_stateful_first_deletions(spark, tmp_path):
     assert sorted(r.asset_id for r in spark.table("first_deletions").collect()) == ["a", "b"]
 
 
+def test_entries_leave_the_bin_by_age(spark, tmp_path):
+    schema = "asset_id string, deleted_at timestamp"
+    batches = [
+        [("a", moment("2024-01-01")), ("b", moment("2024-01-20"))],
+        [("a", moment("2024-01-03"))],
+        [("c", moment("2024-02-01"))],
+        [("d", moment("2024-02-02"))],
+    ]
+    stream = deletions.expired_entries(feed(spark, str(tmp_path / "in"), batches, schema))
+    query = (
+        stream.writeStream.format("memory").queryName("left_the_bin").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    # the last deletion says it is 2 February less a day; a left on 30 January, b leaves on 18 February
+    assert [tuple(r) for r in spark.table("left_the_bin").collect()] == [("a", moment("2024-01-01"), moment("2024-01-30"))]
+
+
+def test_bin_log_opens_only_the_buckets_of_a_batch(spark, tmp_path):
+    log = deletions.bin_log(spark, str(tmp_path / "log"))
+    rows = [(f"x{i}", "photo", 1, moment("2024-02-01")) for i in range(200)]
+    schema = "asset_id string, kind string, file_size long, deleted_at timestamp"
+    log.write(spark.createDataFrame(rows, schema), 0)
+    asked = spark.createDataFrame(rows[:1], schema)
+    found = log.read(before=1, asked=asked)
+    assert "x0" in {r.asset_id for r in found.collect()} and found.count() < 20 and log.read().count() == 200
+    assert log.read(before=0, asked=asked).count() == 0
+    assert "PartitionFilters: [" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprint_stream_handles_only_misses(spark, tmp_path, pictures):
     images = read_images(spark, pictures)
     images.write.parquet(str(tmp_path / "in"))
