@@ -66,8 +66,10 @@ class BinRules:
 class MatchTuning:
     """Physical knobs of the pair matcher; no value changes a result."""
 
-    # most rows of one block: a task holds two blocks, and each row is copied once per block of its scope
-    block_rows: int = 16_384
+    # most rows and bytes of vectors of one block: a task holds two blocks, and each row is copied once per block
+    # of its scope, so blocks are as large as a task has room for
+    block_rows: int = 65_536
+    block_bytes: int = 32 * MIB
     # a task scores tile x tile pairs at a time, so this bounds its working memory
     tile_rows: int = 1024
     # scopes above this many rows are split on vector cells (and hash bands where the scorer has hashes)

@@ -90,6 +90,10 @@ class DuplicateScorer:
 
     widths = staticmethod(lambda rows: _lengths(rows["vec"]))
 
+    @staticmethod
+    def row_bytes() -> Column:
+        return F.greatest(F.size("vec") * 8, F.lit(8))
+
     def prepare(self, rows: pa.Table) -> dict:
         hashes, known = _hashes(rows["dhash"])
         return {"points": _matrix(rows["vec"], rows.num_rows), "hash": hashes, "known": known}
@@ -144,6 +148,10 @@ class SimilarScorer:
 
     widths = staticmethod(lambda rows: _lengths(rows["vec"]))
 
+    @staticmethod
+    def row_bytes() -> Column:
+        return F.greatest(F.size("vec") * 8, F.lit(8))
+
     def prepare(self, rows: pa.Table) -> dict:
         hashes, known = _hashes(rows["dhash"])
         return {
@@ -208,6 +216,10 @@ class FrameScorer:
 
     widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(_lengths(rows["present"]), 1))
 
+    @staticmethod
+    def row_bytes() -> Column:
+        return F.greatest(F.size("frames") * 8, F.lit(8))
+
     def prepare(self, rows: pa.Table) -> dict:
         places = _lengths(rows["present"])
         column = rows["frames"]
@@ -258,6 +270,10 @@ class HashScorer:
     has_points = False
     self_score = 0.0
 
+    @staticmethod
+    def row_bytes() -> Column:
+        return F.greatest(F.lit(8), F.lit(8))
+
     def prepare(self, rows: pa.Table) -> dict:
         return {"hash": _hashes(rows["dhash"])[0]}
 
@@ -495,30 +511,33 @@ def _with_vector_cells(
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _rows_per_block(rows: Column, tasks: int, tuning: MatchTuning) -> Column:
+def _rows_per_block(rows: Column, row_bytes: Column, tasks: int, tuning: MatchTuning) -> Column:
     """Large blocks copy rows less often; they shrink only as far as it takes to keep all tasks busy."""
     blocks_wanted = math.ceil(math.sqrt(2 * tasks))
-    smallest = min(tuning.tile_rows, tuning.block_rows)
-    return F.least(F.lit(tuning.block_rows), F.greatest(F.lit(smallest), F.ceil(rows / blocks_wanted)))
+    most = F.least(F.lit(tuning.block_rows), F.greatest(F.lit(1), F.floor(F.lit(tuning.block_bytes) / row_bytes)))
+    smallest = F.least(F.lit(tuning.tile_rows), most)
+    return F.least(most, F.greatest(smallest, F.ceil(rows / blocks_wanted)))
 
 
 def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning) -> DataFrame:
     """Give every row its block and one copy per block pair it takes part in."""
     key = ["scope", "cell", "vector_cell"]
-    families = cells.groupBy(*key, "hub").agg(F.count("*").alias("n"))
+    row_bytes = F.max("row_bytes") if "row_bytes" in cells.columns else F.lit(8)
+    families = cells.groupBy(*key, "hub").agg(F.count("*").alias("n"), row_bytes.alias("bytes"))
     is_family = F.col("hub").isNotNull()
     sizes = families.groupBy(*key).agg(
         F.sum("n").alias("total"),
+        F.max("bytes").alias("bytes"),
         F.coalesce(F.max(F.when(is_family, F.col("n"))), F.lit(0)).alias("major_rows"),
         F.max_by("hub", F.when(is_family, F.struct("n", "hub"))).alias("major"),
     )
     sizes = (
         sizes.filter("total >= 2")
-        .withColumn("per_block", _rows_per_block(F.col("total"), tasks, tuning))
+        .withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning))
         .withColumn("rest_blocks", F.ceil((F.col("total") - F.col("major_rows")) / F.col("per_block")))
         .withColumn("major_blocks", F.ceil(F.col("major_rows") / F.col("per_block")))
         .filter("rest_blocks > 0")
-        .drop("total", "major_rows", "per_block")
+        .drop("total", "bytes", "major_rows", "per_block")
     )
     spread = F.xxhash64("node")
     in_major = F.coalesce(F.col("hub") == F.col("major"), F.lit(False))
@@ -532,7 +551,7 @@ def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning) -> DataFrame:
         .withColumn("other", F.explode(partners))
         .withColumn("is_cross", F.col("block") != F.col("other"))
         .withColumn("pair", F.concat_ws("/", *key, F.least("block", "other"), F.greatest("block", "other")))
-        .drop("major", "rest_blocks", "major_blocks", "other", *key, "hub")
+        .drop("major", "rest_blocks", "major_blocks", "other", *key, "hub", "row_bytes")
     )
 
 
@@ -545,11 +564,11 @@ def match_nodes(
     checkpointed or stored table. Rows of one node come from several tasks; aggregate by node for
     totals, feed (node, root) to the components.
     """
-    nodes = nodes.select("node", "scope", "weight", *scorer.columns)
+    nodes = nodes.select("node", "scope", "weight", *scorer.columns, scorer.row_bytes().alias("row_bytes"))
     # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), tasks, tuning))
-    sizes = nodes.groupBy("scope").count().filter("count >= 2")
+    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("bytes"), tasks, tuning))
+    sizes = nodes.groupBy("scope").agg(F.count("*").alias("count"), F.max("row_bytes").alias("bytes")).filter("count >= 2")
     largest, runs = sizes.agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
     is_large = (largest or 0) > tuning.split_rows
     if not is_large:
