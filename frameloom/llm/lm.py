@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm import kernels as K
-from frameloom.llm.common import CHUNK_BYTES, saved
+from frameloom.llm.common import CHUNK_BYTES
 
 ORDER = 2
 ALPHA = 0.4
@@ -57,13 +57,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([K.squeezed(known, ascending=True)], pa.binary()),
                     pa.array([K.squeezed(rank)], pa.binary()),
                     pa.array([K.squeezed(rank[tokens])], pa.binary()),
-                    pa.array([len(tokens)], pa.int64()),
                 ],
-                ["block", "doc_ids", "n_words", "words", "ranks", "tokens", "n_tokens"],
+                ["block", "doc_ids", "n_words", "words", "ranks", "tokens"],
             )
             block += 1
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = K.text_bytes(batch.column("text"))
+        n = sum(len(K.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]) for lo, hi in K.slices(offsets, CHUNK_BYTES))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
 class Grams:
     """The n-grams of a block: per order, each token's n-gram and the n-grams' hashes and counts.
 
@@ -194,11 +200,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(_blocks, f"block long, doc_ids array<{kind}>, n_words binary, words binary, ranks binary, tokens binary, n_tokens long")
-    stored = saved(made, "lm-blocks")
-    all_words = stored.select(F.sum("n_tokens").alias("n")).first().n or 0
+    all_words = rows.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n").alias("n")).first().n or 0
     bits = max(0, (all_words * 4 * order // BUCKET_BYTES).bit_length())
-    asks = stored.select("block", "n_words", "words", "ranks", "tokens").mapInArrow(_asks(order, bits), "bucket long, block long, grams binary, tally binary")
+    # both readers take all columns, so one exchange serves the asks and, once the replies are there, the scores
+    stored = rows.mapInArrow(_blocks, f"block long, doc_ids array<{kind}>, n_words binary, words binary, ranks binary, tokens binary").repartition("block")
+    asks = stored.mapInArrow(_asks(order, bits), "bucket long, block long, grams binary, tally binary")
     replies = asks.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, totals binary")
     scored = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         _score(order, all_words, alpha), f"doc_id {kind}, n_words long, log_score double"
