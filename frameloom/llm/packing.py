@@ -130,17 +130,29 @@ class Encoder:
             with open(public_path("byte_bpe_50k.tiktoken"), "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        # outside this, or in runs too long for a backtracking pattern, the plain library decides
-        self.other = re.compile("[^\t\n\r -~ -ſ‐-‧]|<\\|endoftext\\|>|[^ \n]{2000}|\\s{500}")
+        self.uncommon = re.compile("[^\t\n\r -~\u00a0-\u017f\u2010-\u2027]")
+        self.blanks = re.compile(r"\s{500}")
+
+    def is_plain(self, text: str) -> bool:
+        """Whether the fast way is known to agree: common characters, no special token's text, no run that a
+        backtracking pattern would stumble over."""
+        if self.fast is None or self.uncommon.search(text) or "<|endoftext|>" in text:
+            return False
+        if len(text) < 500:
+            return True
+        lengths = list(map(len, text.split()))
+        if max(lengths, default=0) >= 2000:
+            return False
+        return len(text) - sum(lengths) < len(lengths) + 500 or not self.blanks.search(text)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         slow = []
         for i, text in enumerate(texts):
-            if self.fast is None or self.other.search(text):
-                slow.append(i)
+            if self.is_plain(text):
+                out[i] = np.array(self.fast.encode_ordinary(text), dtype="<u4")
             else:
-                out[i] = np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+                slow.append(i)
         if slow:
             for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)):
                 out[i] = np.array(e.ids, dtype="<u4")
