@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.llm import kernels as K
 from frameloom.llm.common import saved
 
 # Vectors of a cell, and queries compared with it at a time.
@@ -150,9 +151,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, index: Index = Index(), k
         axes = 2 << max(1, (dim - 1).bit_length())
         turns[dim] = max(1, round(math.log(max(1.0, n / index.bucket_rows)) / math.log(axes)))
     kind = "dim int, table int, bucket long, id long"
-    places = saved(rows.select("id", "dim", "vector").mapInArrow(_assign(index, turns, False), kind), "buckets")
+    places = saved(rows.select("id", "dim", "vector").mapInArrow(K.thrifty(_assign(index, turns, False)), kind), "buckets")
     queries = rows.filter("is_query").select("id", "dim", "vector")
-    probed = saved(queries.mapInArrow(_assign(index, turns, True), kind), "probes")
+    probed = saved(queries.mapInArrow(K.thrifty(_assign(index, turns, True)), kind), "probes")
     found = saved(_top(_in_cells(probed, places, queries, rows, k), k), "found")
 
     # whoever found fewer than there were: all vectors of the first table's buckets, which are all there are

@@ -8,7 +8,9 @@ equal hashes; different ones share a hash with a chance of about 2^-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,3 +170,25 @@ def unsqueezed(raw: bytes, ascending: bool = False) -> np.ndarray:
     full[:, :used] = planes.T
     out = full.reshape(-1).view("<u8")
     return np.cumsum(out, dtype=np.uint64) if ascending else out
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def thrifty(run: Callable) -> Callable:
+    """An Arrow function that gives its memory back at the end: Python workers live on, idle, beside the next ones."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

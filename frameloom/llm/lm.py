@@ -200,11 +200,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    all_words = rows.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n").alias("n")).first().n or 0
+    all_words = rows.select("text").mapInArrow(K.thrifty(_word_counts), "n long").agg(F.sum("n").alias("n")).first().n or 0
     bits = max(0, (all_words * 4 * order // BUCKET_BYTES).bit_length())
     # both readers take all columns, so one exchange serves the asks and, once the replies are there, the scores
-    stored = rows.mapInArrow(_blocks, f"block long, doc_ids array<{kind}>, n_words binary, words binary, ranks binary, tokens binary").repartition("block")
-    asks = stored.mapInArrow(_asks(order, bits), "bucket long, block long, grams binary, tally binary")
+    stored = rows.mapInArrow(K.thrifty(_blocks), f"block long, doc_ids array<{kind}>, n_words binary, words binary, ranks binary, tokens binary").repartition("block")
+    asks = stored.mapInArrow(K.thrifty(_asks(order, bits)), "bucket long, block long, grams binary, tally binary")
     replies = asks.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, totals binary")
     scored = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         _score(order, all_words, alpha), f"doc_id {kind}, n_words long, log_score double"

@@ -72,7 +72,7 @@ def set_sizes(rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keys), pa.array(n), pa.array(K.signed(cls), mask=n == 0)], [*(f.name for f in keys), "n_shingles", "cls"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
-    return rows.mapInArrow(run, schema + "n_shingles long, cls long")
+    return rows.mapInArrow(K.thrifty(run), schema + "n_shingles long, cls long")
 
 
 def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -121,8 +121,8 @@ def incidence(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 cls = np.repeat(K.unsqueezed(classes), K.unsqueezed(sizes).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.unsqueezed(shingles, ascending=True))), pa.array(K.signed(cls))], ["shingle", "cls"])
 
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, classes binary, sizes binary, shingles binary")
-    return dealt.repartitionById(parts, "part").mapInArrow(unpacked, "shingle long, cls long").sortWithinPartitions("shingle", "cls")
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(K.thrifty(run), "part int, classes binary, sizes binary, shingles binary")
+    return dealt.repartitionById(parts, "part").mapInArrow(K.thrifty(unpacked), "shingle long, cls long").sortWithinPartitions("shingle", "cls")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def class_links(sets: DataFrame, shingles: DataFrame, threshold: int = THRESHOLD
     ``sets`` has (cls, n_shingles), ``shingles`` the incidence in order of (shingle, cls) within its partitions.
     """
     spark = sets.sparkSession
-    shared = shingles.mapInArrow(_shared, "shingle long, cls long, df int")
+    shared = shingles.mapInArrow(K.thrifty(_shared), "shingle long, cls long, df int")
     by_class = shared.repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("items"))
     sizes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"))
     least = F.ceil(F.lit(threshold) * F.col("n") / F.lit(100))

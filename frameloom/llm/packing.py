@@ -9,6 +9,8 @@ length and its number among the pieces of that length; these numbers are counted
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.llm import kernels as K
 from frameloom.llm.common import saved
 from frameloom.llm.tokens import byte_batches, public_path
 
@@ -113,13 +116,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary if vocabulary.startswith("/") else public_path(vocabulary))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = vocabulary if vocabulary.startswith("/") else public_path(vocabulary)
         self.fast = None
         if vocabulary == "byte_bpe_50k.json":
             import base64
@@ -133,6 +130,16 @@ class Encoder:
         self.uncommon = re.compile("[^\t\n\r -~\u00a0-\u017f\u2010-\u2027]")
         self.blanks = re.compile(r"\s{500}")
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The plain library, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def is_plain(self, text: str) -> bool:
         """Whether the fast way is known to agree: common characters, no special token's text, no run that a
         backtracking pattern would stumble over."""
@@ -190,7 +197,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every text's ids and the end id, cut to at most ``capacity``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(_pieces(vocabulary, capacity, end_id, with_ids), "key long, piece int, start long, length long, ids_crc32 long, ids binary")
+    made = rows.mapInArrow(K.thrifty(_pieces(vocabulary, capacity, end_id, with_ids)), "key long, piece int, start long, length long, ids_crc32 long, ids binary")
     made = made.withColumnRenamed("key", "doc_id")
     return made if with_ids else made.drop("ids")
 
@@ -234,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = [f for f in numbered.schema.fields if f.name != "_at"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return numbered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return numbered.mapInArrow(K.thrifty(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm import kernels as K
 from frameloom.llm.common import saved
 
 # Fixed order of the kinds in results.
@@ -241,7 +242,7 @@ def found_spans(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep.., base, added): the base spans of every text, and those that the method adds."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text") + _FOUND
-    found = saved(rows.mapInArrow(_find, schema), "spans")
+    found = saved(rows.mapInArrow(K.thrifty(_find), schema), "spans")
     good = [k * 3 ** len(LABELERS) + v for k, v in accepted_patterns(found)]
     code = lambda s: s["kind"] * 3 ** len(LABELERS) + s["votes"]
     added = F.filter("loose", lambda s: code(s).isin(good)) if good else F.filter("loose", lambda s: F.lit(False))
@@ -269,7 +270,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found_spans(docs, "doc_id").mapInArrow(_texts, f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
+    return found_spans(docs, "doc_id").mapInArrow(K.thrifty(_texts), f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
 
 
 def mask(text: str | None, spans: list[dict]) -> str | None:
@@ -288,7 +289,7 @@ def mask(text: str | None, spans: list[dict]) -> str | None:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with personal data masked in text; n_chars, where there is one, follows the text."""
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_find, _FOUND)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(K.thrifty(_find), _FOUND)
     good = set(accepted_patterns(found))
     at = docs.columns.index("text")
 
@@ -306,7 +307,7 @@ def masked(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(out, column.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(K.thrifty(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -227,7 +227,7 @@ def judged(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + "".join(f"{m} long, " for m in MEASURES) + "pattern long"
-    measured = saved(rows.mapInArrow(_measure, schema), "measures")
+    measured = saved(rows.mapInArrow(K.thrifty(_measure), schema), "measures")
     known = docs.sparkSession.createDataFrame(list(_chances(measured).items()), "pattern long, good_chance double")
     out = measured.join(F.broadcast(known), "pattern").withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("good_chance") >= keep_from)).drop("pattern")
@@ -236,7 +236,7 @@ def judged(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
 def kept_documents(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs``, all columns, that ``judged`` keeps; texts are measured twice rather than shuffled."""
     text = F.col("text").cast("string").alias("text")
-    chances = _chances(docs.select(text).mapInArrow(_measure, "".join(f"{m} long, " for m in MEASURES) + "pattern long"))
+    chances = _chances(docs.select(text).mapInArrow(K.thrifty(_measure), "".join(f"{m} long, " for m in MEASURES) + "pattern long"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +245,4 @@ def kept_documents(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
             good = np.array([chances[p] for p in patterns_of(votes(found)).tolist()], dtype=float) >= keep_from
             yield batch.filter(pa.array(good & ~fails_base(found["n_words"], found["n_repeat_words"])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.thrifty(run), docs.schema)

@@ -266,16 +266,16 @@ def repeated_places(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     ``rows`` has doc, tag and text.
     """
     order = ["key", "full", "doc", "at"]
-    runs = rows.mapInArrow(_map_runs(depth), _KINDS)
-    first = saved(runs.repartition("key").sortWithinPartitions(*order).mapInArrow(_first_digit, _KINDS), "digit-1")
+    runs = rows.mapInArrow(K.thrifty(_map_runs(depth)), _KINDS)
+    first = saved(runs.repartition("key").sortWithinPartitions(*order).mapInArrow(K.thrifty(_first_digit), _KINDS), "digit-1")
     released(rows.sparkSession)
     tag = F.col("at").bitwiseAND(F.lit(65535)).cast("int").alias("tag")
     asked = first.filter(F.col("kind") == OPEN).groupBy("doc", tag).agg(F.collect_list("at").alias("runs"))
-    cells = rows.join(asked, ["doc", "tag"]).select("doc", "text", "runs").mapInArrow(_map_cells(depth), "key long, full long, doc long, at long, windows binary")
-    second = saved(cells.repartition("key").sortWithinPartitions(*order).mapInArrow(_second_digit, _KINDS), "digit-2")
+    cells = rows.join(asked, ["doc", "tag"]).select("doc", "text", "runs").mapInArrow(K.thrifty(_map_cells(depth)), "key long, full long, doc long, at long, windows binary")
+    second = saved(cells.repartition("key").sortWithinPartitions(*order).mapInArrow(K.thrifty(_second_digit), _KINDS), "digit-2")
     released(rows.sparkSession)
     windows = second.filter(F.col("kind") == OPEN).repartition("key").sortWithinPartitions(*order)
-    third = windows.mapInArrow(_last_digit, _KINDS)
+    third = windows.mapInArrow(K.thrifty(_last_digit), _KINDS)
     found = first.filter(F.col("kind") == SPAN).unionByName(second.filter(F.col("kind") == SPAN)).unionByName(third)
     return found.groupBy("doc", tag).agg(F.collect_list("at").alias("places"))
 
@@ -293,4 +293,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = rows.select("doc_id", F.coalesce("doc_id", lowest).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(65535)).cast("int").alias("tag"), "text")
     places = repeated_places(rows.select("doc", "tag", "text"), depth)
     joined = rows.join(places, ["doc", "tag"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_cut_out(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(K.thrifty(_cut_out(depth)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm import kernels as K
+
 # Bytes of text encoded at a time, and the length from which a text is cut.
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 15
@@ -107,5 +109,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = rows.schema["key"].dataType.simpleString()
-    counted = rows.mapInArrow(_count_batches(path_of), f"key {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(K.thrifty(_count_batches(path_of)), f"key {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens")

@@ -138,7 +138,7 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chance)], ["doc_id", "score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(K.thrifty(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
