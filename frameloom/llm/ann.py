@@ -5,6 +5,9 @@ the signed axis it comes nearest to; several such axes make a bucket, and severa
 index. A query looks into the buckets next best for it too (multiprobe). What lies there is compared exactly, in double
 precision, on the original vectors.
 
+Buckets see directions only, nearness also lengths. So vectors are put into bands of about one length, each band is an index
+of its own, and a query goes to all bands of its dimension: a long vector at a wide angle is looked for among long ones.
+
 A bucket is cut into cells of bounded size by vec_id, and a query goes to each of them, so a bucket that holds a third of
 all vectors is many tasks. A cell returns the best of each of its queries; the best of all cells are the answer.
 
@@ -19,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import kernels as K
@@ -28,12 +31,16 @@ from frameloom.llm.common import saved
 # Vectors of a cell, and queries compared with it at a time.
 CELL_ROWS = 2048
 QUERY_ROWS = 1024
+# Longest to shortest vector of a band, and bands of a dimension at most; the last one holds all that are shorter.
+BAND_RATIO = 1.25
+BANDS = 40
 
 
 class Index(NamedTuple):
     """Axes are put together until buckets hold about ``bucket_rows`` vectors; a query looks into the ``probes`` nearest
-    axes of each turn, and into every bucket that these make. For data without clusters, as random vectors are, more
-    probes or tables are the price of recall."""
+    axes of each turn, and into every bucket that these make. There are ``tables`` tables for each turn, so that recall
+    does not fall where a turn is added; a band too small for a turn is one bucket. For data without clusters, as random
+    vectors are, more probes or tables are the price of recall."""
 
     tables: int = 12
     probes: int = 10
@@ -75,23 +82,33 @@ def buckets_of(units: np.ndarray, table: int, turns: int, seed: int, probes: int
     return out
 
 
-def _assign(index: Index, turns: dict[int, int], probing: bool):
+def _assign(index: Index, turns: dict[int, dict[int, int]], probing: bool):
+    """Rows by their buckets: in the tables of their band, or when ``probing`` in those of all bands of their dimension."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, dims = np.asarray(batch.column("id")), np.asarray(batch.column("dim"))
+            own = None if probing else np.asarray(batch.column("band"))
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                vectors = batch.column("vector").take(pa.array(rows))
-                full = np.asarray(vectors.flatten()).astype(np.float64).reshape(len(rows), dim)
-                full = full / np.abs(full).max(axis=1, keepdims=True)
-                units = full / np.linalg.norm(full, axis=1, keepdims=True)
-                for table in range(index.tables):
-                    found = buckets_of(units, table, turns[int(dim)], index.seed, index.probes if probing else 1)
-                    n = found.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, table, np.int32)), pa.array(found.reshape(-1)), pa.array(np.repeat(ids[rows], found.shape[1]))],
-                        ["dim", "table", "bucket", "id"],
-                    )
+                bands = turns[int(dim)]
+                for n_turns in sorted(set(bands.values())):
+                    alike = [b for b, t in bands.items() if t == n_turns]
+                    rows = np.flatnonzero((dims == dim) if probing else (dims == dim) & np.isin(own, alike))
+                    if not len(rows):
+                        continue
+                    vectors = batch.column("vector").take(pa.array(rows))
+                    full = np.asarray(vectors.flatten()).astype(np.float64).reshape(len(rows), dim)
+                    full = full / np.abs(full).max(axis=1, keepdims=True)
+                    units = full / np.linalg.norm(full, axis=1, keepdims=True)
+                    for table in range(index.tables * n_turns or 1):
+                        found = buckets_of(units, table, n_turns, index.seed, index.probes if probing else 1)
+                        n = found.size
+                        for band in alike if probing else [None]:
+                            of = np.full(n, band, np.int32) if probing else own[rows].astype(np.int32)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(n, dim, np.int32)), pa.array(of), pa.array(np.full(n, table, np.int32)), pa.array(found.reshape(-1)), pa.array(np.repeat(ids[rows], found.shape[1]))],
+                                ["dim", "band", "table", "bucket", "id"],
+                            )
 
     return run
 
@@ -144,33 +161,50 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, index: Index = Index(), k
     value = F.col(vector).cast(plain)
     fine = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.filter(F.col(key).isNotNull() & fine)
-    rows = saved(rows.select(F.col(key).cast("long").alias("id"), F.size(value).alias("dim"), value.alias("vector"), is_query.alias("is_query")), "vectors")
-    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    turns = {}
-    for dim, n in sizes.items():
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.size(value).alias("dim"), value.alias("vector"), is_query.alias("is_query"))
+    rows = saved(rows.withColumn("log_length", _log_length(F.col("vector"))), "vectors")
+    longest = {r.dim: r.longest for r in rows.groupBy("dim").agg(F.max("log_length").alias("longest")).collect()}
+    rows = rows.withColumn("band", _by_dim(longest) - F.col("log_length")) if longest else rows.withColumn("band", F.lit(0.0))
+    rows = rows.withColumn("band", F.least(F.floor(F.col("band") / F.lit(math.log(BAND_RATIO))), F.lit(BANDS - 1)).cast("int")).drop("log_length")
+    turns: dict[int, dict[int, int]] = {}
+    sizes: dict[int, int] = {}
+    for dim, band, n in rows.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).orderBy("dim", "band").collect():
         axes = 2 << max(1, (dim - 1).bit_length())
-        turns[dim] = max(1, round(math.log(max(1.0, n / index.bucket_rows)) / math.log(axes)))
-    kind = "dim int, table int, bucket long, id long"
-    places = saved(rows.select("id", "dim", "vector").mapInArrow(K.thrifty(_assign(index, turns, False)), kind), "buckets")
+        turns.setdefault(dim, {})[band] = round(math.log(max(1.0, n / index.bucket_rows)) / math.log(axes))
+        sizes[dim] = sizes.get(dim, 0) + n
+    kind = "dim int, band int, table int, bucket long, id long"
+    places = saved(rows.select("id", "dim", "band", "vector").mapInArrow(K.thrifty(_assign(index, turns, False)), kind), "buckets")
     queries = rows.filter("is_query").select("id", "dim", "vector")
     probed = saved(queries.mapInArrow(K.thrifty(_assign(index, turns, True)), kind), "probes")
     found = saved(_top(_in_cells(probed, places, queries, rows, k), k), "found")
 
     # whoever found fewer than there were: all vectors of the first table's buckets, which are all there are
-    enough = F.least(F.lit(k), F.create_map(*(F.lit(x) for p in sizes.items() for x in p))[F.col("dim")] - 1) if sizes else F.lit(0)
+    enough = F.least(F.lit(k), _by_dim(sizes) - 1) if sizes else F.lit(0)
     counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
     short = queries.select("id", "dim").join(counts, "id", "left").filter(F.coalesce("have", F.lit(0)) < enough).select("id", "dim").distinct()
     if sizes and short.limit(1).count():
         first = places.filter("table = 0")
-        everywhere = first.select("dim", "table", "bucket").distinct().join(short, "dim").select("dim", "table", "bucket", "id")
+        everywhere = first.select("dim", "band", "table", "bucket").distinct().join(short, "dim").select("dim", "band", "table", "bucket", "id")
         more = _top(_in_cells(everywhere, first, queries, rows, k), k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def _by_dim(values: dict[int, float]) -> Column:
+    """What ``values`` has for the column dim."""
+    return F.create_map(*(F.lit(x) for p in values.items() for x in p))[F.col("dim")]
+
+
+def _log_length(vector: Column) -> Column:
+    """Logarithm of a vector's length; its largest component is taken out first, so squares neither over- nor underflow."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    total = F.aggregate(vector, F.lit(0.0), lambda t, x: t + F.pow(x.cast("double") / most, F.lit(2.0)))
+    return F.log(most) + F.log(total) / F.lit(2.0)
+
+
 def _in_cells(probed: DataFrame, places: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The best k of every query in every cell of its buckets; vectors and queries are cut into cells alike."""
-    bucket = ["dim", "table", "bucket"]
+    bucket = ["dim", "band", "table", "bucket"]
     size = lambda df, most, name: df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
     cut = size(places, CELL_ROWS, "cells").join(size(probed, QUERY_ROWS, "lots"), bucket)
     cell, lot = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("lots")).cast("int")

@@ -102,6 +102,22 @@ def test_nearest(spark, monkeypatch, dim, index, least):
         assert {q: [o for o, _ in x] for q, x in found.items()} == {q: [o for o, _ in x] for q, x in true.items()}
 
 
+@pytest.mark.parametrize("n,spread", [(3000, 0.0), (6000, 1.0)])
+def test_recall_with_two_turns_and_uneven_lengths(spark, n, spread):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(n, 32))
+    base *= np.exp(spread * rng.normal(size=n))[:, None] / np.linalg.norm(base, axis=1)[:, None]
+    rows = [(i, v.tolist(), 3, "x") for i, v in enumerate(base)]
+    index = ann.Index(bucket_rows=1)
+    assert (index.tables, index.probes) == (ann.Index().tables, ann.Index().probes)
+    asked = np.arange(0, n, 100)
+    found = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA_V), F.col("vec_id") % 100 == 0, 20, index).collect()}
+    scores = base[asked] @ base.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = {(int(q), int(o)) for q, line in zip(asked, np.argsort(-scores, axis=1)[:, :20]) for o in line}
+    assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
+
+
 def test_few_candidates_and_several_lengths(spark):
     rows = [(i, list(map(float, v))) for i, v in enumerate(vectors(9, 4, 2))] + [(20 + i, list(map(float, v))) for i, v in enumerate(vectors(30, 5, 3))] + [(100, [1.0])]
     df = spark.createDataFrame([(i, v, 3, "x") for i, v in rows], SCHEMA_V)
