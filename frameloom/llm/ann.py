@@ -8,8 +8,8 @@ precision, on the original vectors.
 Buckets see directions only, nearness also lengths. So vectors are put into bands of about one length, each band is an index
 of its own, and a query goes to all bands of its dimension: a long vector at a wide angle is looked for among long ones.
 
-A bucket is cut into cells of bounded size by vec_id, and a query goes to each of them, so a bucket that holds a third of
-all vectors is many tasks. A cell returns the best of each of its queries; the best of all cells are the answer.
+A bucket is cut into cells of bounded size by row, and a query goes to each of them, so a bucket that holds a third of
+all vectors is many tasks. A cell returns the best vec_ids of each of its queries; the best of all cells are the answer.
 
 Probes and tables are chosen for recall, which the tests measure against brute force.
 """
@@ -31,6 +31,8 @@ from frameloom.llm.common import saved
 # Vectors of a cell, and queries compared with it at a time.
 CELL_ROWS = 2048
 QUERY_ROWS = 1024
+# Pairs whose products a task holds at a time.
+PAIRS_AT_ONCE = 1 << 16
 # Longest to shortest vector of a band, and bands of a dimension at most; the last one holds all that are shorter.
 BAND_RATIO = 1.25
 BANDS = 40
@@ -87,7 +89,7 @@ def _assign(index: Index, turns: dict[int, dict[int, int]], probing: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims = np.asarray(batch.column("id")), np.asarray(batch.column("dim"))
+            ids, dims = np.asarray(batch.column("row")), np.asarray(batch.column("dim"))
             own = None if probing else np.asarray(batch.column("band"))
             for dim in np.unique(dims):
                 bands = turns[int(dim)]
@@ -107,14 +109,14 @@ def _assign(index: Index, turns: dict[int, dict[int, int]], probing: bool):
                             of = np.full(n, band, np.int32) if probing else own[rows].astype(np.int32)
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(n, dim, np.int32)), pa.array(of), pa.array(np.full(n, table, np.int32)), pa.array(found.reshape(-1)), pa.array(np.repeat(ids[rows], found.shape[1]))],
-                                ["dim", "band", "table", "bucket", "id"],
+                                ["dim", "band", "table", "bucket", "row"],
                             )
 
     return run
 
 
 def _compare(k: int):
-    """Queries with the vectors of a cell: the best k of each."""
+    """Queries with the vectors of a cell: for each the best k vec_ids, with the best of their vectors."""
 
     def run(queries: pa.Table, cell: pa.Table) -> pa.Table:
         cols: tuple[list, ...] = ([], [], [])
@@ -122,20 +124,34 @@ def _compare(k: int):
             dim = cell.column("dim")[0].as_py()
             matrix = lambda t, name: np.asarray(t.column(name).combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, dim)
             ids, base = np.asarray(cell.column("id")), matrix(cell, "vector")
+            by_id = np.argsort(ids, kind="stable")
+            ids, base = ids[by_id], base[by_id]
+            heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            names, of = ids[heads], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids))))
             asked, all_asked = np.asarray(queries.column("q_id")), matrix(queries, "q_vector")
             for lo in range(0, len(asked), QUERY_ROWS):
                 q = all_asked[lo : lo + QUERY_ROWS]
                 rough = q @ base.T
                 slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(base, axis=1)[None, :].max()
-                if len(ids) > k + 1:
-                    bound = np.partition(rough, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1][:, None] - slack
+                best = np.maximum.reduceat(rough, heads, axis=1)
+                best[names[None, :] == asked[lo : lo + QUERY_ROWS, None]] = -np.inf
+                if len(names) > k:
+                    bound = np.partition(best, len(names) - k, axis=1)[:, len(names) - k][:, None] - slack
                 else:
                     bound = np.full((len(q), 1), -np.inf)
-                row, at = np.nonzero(rough >= bound)
+                # of an id only what may be its best
+                row, at = np.nonzero((best >= bound)[:, of] & (rough >= best[:, of] - slack))
                 other = ids[at] != asked[lo + row]
                 row, at = row[other], at[other]
                 # summed in one order for every pair, so equal vectors have equal scores
-                exact = (q[row] * base[at]).sum(axis=1)
+                exact = np.empty(len(row))
+                for i in range(0, len(row), PAIRS_AT_ONCE):
+                    part = slice(i, i + PAIRS_AT_ONCE)
+                    exact[part] = (q[row[part]] * base[at[part]]).sum(axis=1)
+                order = np.lexsort((-exact, of[at], row))
+                row, at, exact = row[order], at[order], exact[order]
+                once = np.append(True, (row[1:] != row[:-1]) | (of[at[1:]] != of[at[:-1]]))[: len(row)]
+                row, at, exact = row[once], at[once], exact[once]
                 order = np.lexsort((ids[at], -exact, row))
                 row, at, exact = row[order], at[order], exact[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
@@ -162,30 +178,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, index: Index = Index(), k
     fine = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.filter(F.col(key).isNotNull() & fine)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.size(value).alias("dim"), value.alias("vector"), is_query.alias("is_query"))
-    rows = saved(rows.withColumn("log_length", _log_length(F.col("vector"))), "vectors")
+    # rows are told apart by a number of their own, as several may have one id
+    rows = saved(rows.withColumn("log_length", _log_length(F.col("vector"))).withColumn("row", F.monotonically_increasing_id()), "vectors")
     longest = {r.dim: r.longest for r in rows.groupBy("dim").agg(F.max("log_length").alias("longest")).collect()}
     rows = rows.withColumn("band", _by_dim(longest) - F.col("log_length")) if longest else rows.withColumn("band", F.lit(0.0))
     rows = rows.withColumn("band", F.least(F.floor(F.col("band") / F.lit(math.log(BAND_RATIO))), F.lit(BANDS - 1)).cast("int")).drop("log_length")
     turns: dict[int, dict[int, int]] = {}
-    sizes: dict[int, int] = {}
     for dim, band, n in rows.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).orderBy("dim", "band").collect():
         axes = 2 << max(1, (dim - 1).bit_length())
         turns.setdefault(dim, {})[band] = round(math.log(max(1.0, n / index.bucket_rows)) / math.log(axes))
-        sizes[dim] = sizes.get(dim, 0) + n
-    kind = "dim int, band int, table int, bucket long, id long"
-    places = saved(rows.select("id", "dim", "band", "vector").mapInArrow(K.thrifty(_assign(index, turns, False)), kind), "buckets")
-    queries = rows.filter("is_query").select("id", "dim", "vector")
+    kind = "dim int, band int, table int, bucket long, row long"
+    places = saved(rows.select("row", "dim", "band", "vector").mapInArrow(K.thrifty(_assign(index, turns, False)), kind), "buckets")
+    queries = rows.filter("is_query").select("row", "id", "dim", "vector")
     probed = saved(queries.mapInArrow(K.thrifty(_assign(index, turns, True)), kind), "probes")
     found = saved(_top(_in_cells(probed, places, queries, rows, k), k), "found")
 
-    # whoever found fewer than there were: all vectors of the first table's buckets, which are all there are
+    # whoever found fewer ids than there were: all vectors of the first table's buckets, which are all there are
+    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.countDistinct("id").alias("n")).collect()}
     enough = F.least(F.lit(k), _by_dim(sizes) - 1) if sizes else F.lit(0)
     counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
-    short = queries.select("id", "dim").join(counts, "id", "left").filter(F.coalesce("have", F.lit(0)) < enough).select("id", "dim").distinct()
+    every = queries.join(counts, "id", "left")
+    short = every.filter(F.coalesce("have", F.lit(0)) < enough).select("id").distinct()
     if sizes and short.limit(1).count():
         first = places.filter("table = 0")
-        everywhere = first.select("dim", "band", "table", "bucket").distinct().join(short, "dim").select("dim", "band", "table", "bucket", "id")
-        more = _top(_in_cells(everywhere, first, queries, rows, k), k)
+        again = queries.join(short, "id", "left_semi")
+        everywhere = first.select("dim", "band", "table", "bucket").distinct().join(again.select("row", "dim"), "dim").select("dim", "band", "table", "bucket", "row")
+        more = _top(_in_cells(everywhere, first, again, rows, k), k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found.select("query_id", "rank", "vec_id", "score")
 
@@ -207,12 +225,12 @@ def _in_cells(probed: DataFrame, places: DataFrame, queries: DataFrame, rows: Da
     bucket = ["dim", "band", "table", "bucket"]
     size = lambda df, most, name: df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
     cut = size(places, CELL_ROWS, "cells").join(size(probed, QUERY_ROWS, "lots"), bucket)
-    cell, lot = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("lots")).cast("int")
+    cell, lot = F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("lots")).cast("int")
     group = [*bucket, "cell", "lot"]
     stored = places.join(cut, bucket).withColumn("cell", cell).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     asked = probed.join(cut, bucket).withColumn("lot", lot).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    stored = stored.join(rows.select("id", "dim", "vector"), ["id", "dim"]).select(*group, "id", "vector")
-    asked = asked.join(queries, ["id", "dim"]).select(*(F.col(c).alias(f"q_{c}") for c in (*group, "id", "vector")))
+    stored = stored.join(rows.select("row", "id", "vector"), "row").select(*group, "id", "vector")
+    asked = asked.join(queries.drop("dim"), "row").select(*(F.col(c).alias(f"q_{c}") for c in (*group, "id", "vector")))
     return asked.groupBy(*(f"q_{c}" for c in group)).cogroup(stored.groupBy(*group)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
 
 

@@ -128,6 +128,30 @@ def test_few_candidates_and_several_lengths(spark):
     assert found.keys() == true.keys() and len(found[0]) == 8 and sorted(found[0]) == sorted(true[0]) and found[20] == true[20]
 
 
+@pytest.mark.parametrize("index", [ann.Index(), ann.Index(tables=1, probes=1, bucket_rows=1)])
+def test_ids_of_many_rows(spark, index):
+    base = vectors(200, 8, 5)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(base)]
+    # a hot id nearest to the first queries, and many rows of a query's own id
+    rows += [(500, [float(x) for x in 3 * base[0] + 0.01 * v]) for v in vectors(60, 8, 6)]
+    rows += [(40, [float(x) for x in 2 * base[40] + 0.01 * v]) for v in vectors(60, 8, 7)]
+    best = {}
+    for key, q in rows:
+        for other, v in rows:
+            if key % 20 == 0 and other != key:
+                score = sum(a * b for a, b in zip(q, v))
+                best.setdefault(key, {})
+                best[key][other] = max(best[key].get(other, -math.inf), score)
+    true = {q: {o for o, _ in sorted(x.items(), key=lambda p: (-p[1], p[0]))[:20]} for q, x in best.items()}
+    found = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v, 3, "x") for i, v in rows], SCHEMA_V), F.col("vec_id") % 20 == 0, 20, index).collect():
+        assert math.isclose(r.score, best[r.query_id][r.vec_id], rel_tol=1e-9)
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found.keys() == true.keys() and all(len(x) == len(set(x)) == 20 for x in found.values())
+    if index.probes > 1:
+        assert {q: set(x) for q, x in found.items()} == true
+
+
 def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA_V), F.col("vec_id") % 20 == 0).count() == 0
 
