@@ -12,6 +12,9 @@ from frameloom.llm import mixing, ngram_join, packing, pii, quality
 from frameloom.llm.common import released, saved, table, tuned
 
 VOCABULARY = "byte_bpe_50k.json"
+# Near copies: words of an n-gram and similarity in per cent. Those of op1 are its own.
+NEAR_WORDS = 5
+NEAR_THRESHOLD = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     tuned(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, threshold=NEAR_THRESHOLD, size=NEAR_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

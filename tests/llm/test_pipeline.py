@@ -78,6 +78,15 @@ def test_pipeline_equals_plain_version(spark):
     assert len({r.sequence_id for r in out}) == plain_best_fit(lengths, 1024)
 
 
+def test_near_copies_of_eighty_per_cent_go(spark):
+    base = prose(3, 200, 4000).split()
+    rows = [(1, " ".join(base), "en", "a", 0), (2, " ".join(base[:164]), "en", "a", 0), (3, " ".join(base[:150]), "en", "a", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows[:2]), FOLDER).collect()
+    assert [r.doc_id for r in kept] == [1]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, [rows[0], rows[2]]), FOLDER).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
 def by_component(rows):
     smallest = {c[0]: c[2] for c in plain_components(rows)}
     return [r for r in rows if smallest[r[0]] == r[0]]
