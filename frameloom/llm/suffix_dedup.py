@@ -33,18 +33,18 @@ CELL = 8
 # Rows that a map task compares with each other before they are shuffled.
 ROWS_AT_ONCE = 1 << 20
 _SEED = 5
-# A place: first window (31 bits), windows - 1 (8), anchor - first window (8), tag of the text (16).
-_COLUMNS = ["kind", "key", "full", "doc", "at"]
-_KINDS = "kind byte, key long, full long, doc long, at long"
+# A place: first window (31 bits), windows - 1 (8), anchor - first window (8). The text it is in is named by doc and tag.
+_COLUMNS = ["kind", "key", "full", "doc", "at", "tag"]
+_KINDS = "kind byte, key long, full long, doc long, at long, tag long"
 SPAN, OPEN = 0, 1
 
 
-def _packed(start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << 32) | ((windows - 1).astype(np.int64) << 24) | (anchor.astype(np.int64) << 16) | tag
+def _packed(start: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 32) | ((windows - 1).astype(np.int64) << 24) | (anchor.astype(np.int64) << 16)
 
 
-def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 32, ((at >> 24) & 255) + 1, (at >> 16) & 255, at & 65535
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 32, ((at >> 24) & 255) + 1, (at >> 16) & 255
 
 
 def _leftmost_smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -93,8 +93,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, depth: int, power: K.Powers, ta
     return grams[anchor[first]], full, row, first - offsets[row], last - first + 1, anchor[first] - first
 
 
-def _out(kind: int, key: np.ndarray, full: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(key), pa.array(full), pa.array(doc), pa.array(at)], _COLUMNS)
+def _out(kind: int, key: np.ndarray, full: np.ndarray, doc: np.ndarray, at: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), *map(pa.array, (key, full, doc, at, tag))], _COLUMNS)
 
 
 def _map_runs(depth: int):
@@ -103,24 +103,26 @@ def _map_runs(depth: int):
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, full, doc, at = (np.concatenate(x) for x in zip(*held))
+            key, full, doc, at, tag = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((at, doc, full, key))
-            key, full, doc, at = key[order], full[order], doc[order], at[order]
+            order = np.lexsort((tag, at, doc, full, key))
+            key, full, doc, at, tag = key[order], full[order], doc[order], at[order], tag[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (full[1:] != full[:-1])])
             # equal to an earlier run of this task; the same place of a repeated row is not earlier
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = ~new & ((doc != doc[lead]) | (at >> 32 != at[lead] >> 32))
-            yield _out(OPEN, key[new], full[new], doc[new], at[new])
+            # another text of the doc with the first one's content and place
+            new |= ~later & np.concatenate([[True], tag[1:] != tag[:-1]])
+            yield _out(OPEN, key[new], full[new], doc[new], at[new], tag[new])
             if later.any():
-                yield _out(SPAN, K.signed(K.mix(at[later].view(K.U64) + doc[later].view(K.U64))), np.zeros(int(later.sum()), np.int64), doc[later], at[later])
+                yield _out(SPAN, K.signed(K.mix(at[later].view(K.U64) + doc[later].view(K.U64))), np.zeros(int(later.sum()), np.int64), doc[later], at[later], tag[later])
 
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
             docs, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
             for lo, hi in K.slices(offsets, CHUNK_BYTES):
                 key, full, row, first, windows, anchor = _runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], depth, power, table)
-                held.append((K.signed(key), K.signed(full), docs[lo + row], _packed(first, windows, anchor, tags[lo + row])))
+                held.append((K.signed(key), K.signed(full), docs[lo + row], _packed(first, windows, anchor), tags[lo + row]))
                 if sum(len(x[0]) for x in held) >= ROWS_AT_ONCE:
                     yield from flush()
         if held:
@@ -130,19 +132,20 @@ def _map_runs(depth: int):
 
 
 def _split(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[int, dict[str, np.ndarray], list | None]]:
-    """Of rows in order of (key, full, doc, at): (SPAN, rows equal to an earlier one) and (OPEN, the first of each
-    content whose key has several contents). One row is carried from batch to batch."""
-    lead_key = lead_full = lead_doc = lead_at = None
+    """Of rows in order of (key, full, doc, at, tag): (SPAN, rows equal to an earlier one) and (OPEN, the first of each
+    content whose key has several contents, and other texts of its doc that have it at the same place). One row is
+    carried from batch to batch."""
+    lead_key = lead_full = lead_doc = lead_at = last_tag = None
     pending = None  # the only content so far of the running key
     for batch in batches:
         kind = np.asarray(batch.column("kind")) if "kind" in batch.schema.names else None
-        cols = {n: np.asarray(batch.column(n)) for n in ("key", "full", "doc", "at")}
+        cols = {n: np.asarray(batch.column(n)) for n in ("key", "full", "doc", "at", "tag")}
         blobs = batch.column(extra) if extra else None
         if kind is not None and (kind == SPAN).any():
             ready = kind == SPAN
             yield SPAN, {n: c[ready] for n, c in cols.items()}, None
             cols = {n: c[~ready] for n, c in cols.items()}
-        key, full, doc, at = cols["key"], cols["full"], cols["doc"], cols["at"]
+        key, full, doc, at, tag = (cols[n] for n in ("key", "full", "doc", "at", "tag"))
         n = len(key)
         if not n:
             continue
@@ -155,7 +158,9 @@ def _split(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Itera
         later = same_full & ((doc != first_doc) | (at >> 32 != first_at >> 32))
         if later.any():
             yield SPAN, {k: c[later] for k, c in cols.items()}, None
-        new = np.flatnonzero(~same_full)
+        other_tag = np.concatenate([[last_tag is None or tag[0] != last_tag], tag[1:] != tag[:-1]])
+        last_tag = tag[-1]
+        new = np.flatnonzero(~same_full | (~later & other_tag))
         if len(new):
             head = ~same_key[new]  # starts a key
             next_head = np.concatenate([head[1:], [True]])
@@ -177,7 +182,7 @@ def _split(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Itera
 
 def _first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, c, _ in _split(batches):
-        yield _out(kind, c["key"], c["full"], c["doc"], c["at"])
+        yield _out(kind, *(c[n] for n in _COLUMNS[1:]))
 
 
 def _map_cells(depth: int):
@@ -185,7 +190,7 @@ def _map_cells(depth: int):
         power, table, other = K.Powers(), K.byte_table(_SEED), K.byte_table(_SEED + 1)
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            docs, runs = np.asarray(batch.column("doc")), batch.column("runs")
+            docs, tags, runs = np.asarray(batch.column("doc")), np.asarray(batch.column("tag")), batch.column("runs")
             run_ends = np.asarray(runs.offsets)
             places = np.asarray(runs.flatten())
             run_ends = run_ends - run_ends[0]
@@ -194,7 +199,7 @@ def _map_cells(depth: int):
                 text, again = Bytes(part, power, table), Bytes(part, power, other)
                 mine = places[run_ends[lo] : run_ends[hi]]
                 row = np.repeat(np.arange(lo, hi), np.diff(run_ends[lo : hi + 1]))
-                start, windows, anchor, tag = _unpacked(mine)
+                start, windows, anchor = _unpacked(mine)
                 base = (offsets[row] - offsets[lo])
                 which = np.repeat(np.arange(len(mine)), windows)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -210,8 +215,8 @@ def _map_cells(depth: int):
                 full = text.hashes(first[heads], first[heads] + sizes - 1 + depth) + back[heads].astype(K.U64)
                 each = K.signed(again.hashes(first, first + depth)).astype("<i8").tobytes()
                 blobs = [each[8 * h : 8 * (h + s)] for h, s in zip(heads.tolist(), sizes.tolist())]
-                at = _packed(start[w] + place[heads], sizes, np.zeros(len(w), np.int64), tag[w])
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(K.signed(full)), pa.array(docs[row[w]]), pa.array(at), pa.array(blobs, pa.binary())], ["key", "full", "doc", "at", "windows"])
+                at = _packed(start[w] + place[heads], sizes, np.zeros(len(w), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(K.signed(full)), pa.array(docs[row[w]]), pa.array(at), pa.array(tags[row[w]]), pa.array(blobs, pa.binary())], [*_COLUMNS[1:], "windows"])
 
     return run
 
@@ -219,21 +224,21 @@ def _map_cells(depth: int):
 def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, c, blobs in _split(batches, "windows"):
         if kind == SPAN:
-            yield _out(SPAN, c["key"], c["full"], c["doc"], c["at"])
+            yield _out(SPAN, *(c[n] for n in _COLUMNS[1:]))
             continue
-        start, windows, _, tag = _unpacked(c["at"])
+        start, windows, _ = _unpacked(c["at"])
         which = np.repeat(np.arange(len(windows)), windows)
         place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         one = np.ones(len(which), np.int64)
-        at = _packed(start[which] + place, one, one * 0, tag[which])
-        yield _out(OPEN, c["key"][which], np.frombuffer(b"".join(blobs), "<i8").astype(np.int64), c["doc"][which], at)
+        at = _packed(start[which] + place, one, one * 0)
+        yield _out(OPEN, c["key"][which], np.frombuffer(b"".join(blobs), "<i8").astype(np.int64), c["doc"][which], at, c["tag"][which])
 
 
 def _last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, full, doc, at), full being the window: all but the first."""
+    """Rows in order of (key, full, doc, at, tag), full being the window: all but the first."""
     for kind, c, _ in _split(batches):
         if kind == SPAN:
-            yield _out(SPAN, c["key"], c["full"], c["doc"], c["at"])
+            yield _out(SPAN, *(c[n] for n in _COLUMNS[1:]))
 
 
 def _cut_out(depth: int):
@@ -244,7 +249,7 @@ def _cut_out(depth: int):
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
                 if places[i].is_valid and len(places[i]):
-                    start, windows, _, _ = _unpacked(np.asarray(places[i].values))
+                    start, windows, _ = _unpacked(np.asarray(places[i].values))
                     edge = np.zeros(len(raw) + 1, dtype=np.int32)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + windows - 1 + depth, -1)
@@ -265,19 +270,18 @@ def repeated_places(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ``rows`` has doc, tag and text.
     """
-    order = ["key", "full", "doc", "at"]
+    order = ["key", "full", "doc", "at", "tag"]
     runs = rows.mapInArrow(K.thrifty(_map_runs(depth)), _KINDS)
     first = saved(runs.repartition("key").sortWithinPartitions(*order).mapInArrow(K.thrifty(_first_digit), _KINDS), "digit-1")
     released(rows.sparkSession)
-    tag = F.col("at").bitwiseAND(F.lit(65535)).cast("int").alias("tag")
-    asked = first.filter(F.col("kind") == OPEN).groupBy("doc", tag).agg(F.collect_list("at").alias("runs"))
-    cells = rows.join(asked, ["doc", "tag"]).select("doc", "text", "runs").mapInArrow(K.thrifty(_map_cells(depth)), "key long, full long, doc long, at long, windows binary")
+    asked = first.filter(F.col("kind") == OPEN).groupBy("doc", "tag").agg(F.collect_list("at").alias("runs"))
+    cells = rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(K.thrifty(_map_cells(depth)), "key long, full long, doc long, at long, tag long, windows binary")
     second = saved(cells.repartition("key").sortWithinPartitions(*order).mapInArrow(K.thrifty(_second_digit), _KINDS), "digit-2")
     released(rows.sparkSession)
     windows = second.filter(F.col("kind") == OPEN).repartition("key").sortWithinPartitions(*order)
     third = windows.mapInArrow(K.thrifty(_last_digit), _KINDS)
     found = first.filter(F.col("kind") == SPAN).unionByName(second.filter(F.col("kind") == SPAN)).unionByName(third)
-    return found.groupBy("doc", tag).agg(F.collect_list("at").alias("places"))
+    return found.groupBy("doc", "tag").agg(F.collect_list("at").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -290,7 +294,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", lowest).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(65535)).cast("int").alias("tag"), "text")
+    rows = rows.select("doc_id", F.coalesce("doc_id", lowest).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     places = repeated_places(rows.select("doc", "tag", "text"), depth)
     joined = rows.join(places, ["doc", "tag"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(K.thrifty(_cut_out(depth)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

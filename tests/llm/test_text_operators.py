@@ -311,6 +311,18 @@ def test_repeats(spark, monkeypatch, at_once):
     assert by_row(found) == plain_removed([r[:2] for r in rows])
 
 
+def test_repeats_of_many_texts_under_one_doc_id(spark):
+    shared = [prose(500 + i, 30) for i in range(40)]
+    rows = []
+    for i in range(2400):
+        # passages at equal and other places of texts of one doc_id; whole, or a part that is longer elsewhere
+        lead = f"{i % 3} " if i % 5 else ""
+        text = lead + shared[i % 40][: 110 + i % 60] + prose(9000 + i, 6 + i % 30)
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 else i, text, "en", "a", 0))
+    found = suffix_dedup.remove_repeats(documents(spark, rows))
+    assert by_row(found) == plain_removed([r[:2] for r in rows])
+
+
 # --- 7: mixing ---------------------------------------------------
 
 
