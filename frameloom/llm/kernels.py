@@ -2,14 +2,16 @@
 
 A text column is looked at as one byte array with offsets, straight from Arrow's buffers. Words are the
 maximal runs of bytes other than space and 0x09-0x0D; in UTF-8 these bytes occur only as themselves.
-Hashes are 64-bit: a polynomial over a random byte table modulo 2^64, then mixed. Equal inputs always get
-equal hashes; different ones share a hash with a chance of about 2^-64 a pair.
+Word hashes are 64-bit: the eight-byte pieces of a word go one after the other through ``mix``, which is no sum of
+parts, so a pattern within a text does not cancel out as it does in a polynomial modulo 2^64; long words go through BLAKE2b.
+Equal inputs always get equal hashes; different ones share a hash with a chance of about 2^-64 a pair.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,9 @@ RADIX = 0x9E3779B97F4A7C15
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Words of more bytes are hashed one by one. The lowest 0 to 8 bytes of a number.
+LONG_WORD = 256
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +42,6 @@ def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95) + U64(seed))
 
 
-_TABLE = byte_table(0)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -103,14 +107,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, end, np.searchsorted(offsets, first, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, power: Powers, lower: bool = False) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes from each ``first`` to its ``end``, with A-Z as a-z if ``lower``."""
+    size = end - first
+    h = size.astype(U64) * U64(0xD1342543DE82EF95) + U64(0x9E3779B97F4A7C15)
     if len(first) == 0:
-        return np.zeros(0, U64)
-    power.reach(len(data))
-    total = np.zeros(len(data) + 1, dtype=U64)
-    table = _TABLE[_LOWER] if lower else _TABLE
-    np.cumsum(table[data] * power.up[: len(data)], out=total[1:])
-    return mix((total[end] - total[first]) * power.down[first] + (end - first).astype(U64))
+        return h
+    data = _LOWER[data] if lower else data
+    pieces = eights(data)
+    todo = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        todo = todo[size[todo] > k]
+        if not len(todo):
+            break
+        left = np.minimum(size[todo] - k, 8)
+        h[todo] = mix(h[todo] ^ (pieces[first[todo] + k] & _LOW_BYTES[left]) * U64(0xA0761D6478BD642F)) + U64(0x632BE59BD9B4E019)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
 
 
 def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ BUCKET_BYTES = 8 << 20
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    block, power = TaskContext.get().partitionId() << 32, K.Powers()
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, offsets = K.text_bytes(batch.column("text"))
         for lo, hi in K.slices(offsets, BLOCK_BYTES):
@@ -43,7 +43,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in K.slices(local, CHUNK_BYTES):
                 part, at = data[local[a] : local[b]], local[a : b + 1] - local[a]
                 first, end, row = K.words(part, at)
-                hashes.append(K.word_hashes(part, first, end, power))
+                hashes.append(K.word_hashes(part, first, end))
                 counts.append(np.bincount(row, minlength=b - a))
             known, tokens, tally = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             # frequent words get small numbers, which are short when compressed

@@ -41,12 +41,11 @@ LEAST_PARTS = 64
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For ranges of rows: (first row, end row, hashes by row, their rows, set sizes)."""
     data, offsets = K.text_bytes(column)
-    power = K.Powers()
     for lo, hi in K.slices(offsets, CHUNK_BYTES):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         first, end, row = K.words(part, at)
         counts = np.bincount(row, minlength=hi - lo)
-        h, r = K.shingle_hashes(K.word_hashes(part, first, end, power, lower=True), counts, size)
+        h, r = K.shingle_hashes(K.word_hashes(part, first, end, lower=True), counts, size)
         h, r, _ = K.distinct_by_row(h, r)
         yield lo, hi, h, r, np.bincount(r, minlength=hi - lo)
 

@@ -63,7 +63,6 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
     """MEASURES of every text of a column."""
     data, offsets = K.text_bytes(column)
     out = {m: np.zeros(len(offsets) - 1, np.int64) for m in MEASURES}
-    power = K.Powers()
     for lo, hi in K.slices(offsets, CHUNK_BYTES):
         part, at, n = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hi - lo
         first, end, row = K.words(part, at)
@@ -82,8 +81,8 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
             "n_upper": per_row(_UPPER[part]),
             "n_marked": np.bincount(row, weights=_MARK[part[end - 1]] if len(end) else None, minlength=n).astype(np.int64),
         }
-        found["n_lines"], found["n_dup_lines"] = _lines(part, at, first, power)
-        hashes = K.word_hashes(part, first, end, power)
+        found["n_lines"], found["n_dup_lines"] = _lines(part, at, first)
+        hashes = K.word_hashes(part, first, end)
         found["n_repeat_words"] = _repeated(hashes, counts, row)
         again = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
         found["n_same"] = np.bincount(row[1:], weights=again, minlength=n).astype(np.int64)
@@ -92,7 +91,7 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _lines(part: np.ndarray, at: np.ndarray, first_words: np.ndarray, power: K.Powers) -> tuple[np.ndarray, np.ndarray]:
+def _lines(part: np.ndarray, at: np.ndarray, first_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them that equal an earlier line, by text."""
     n = len(at) - 1
     breaks = np.flatnonzero(part == 10)
@@ -105,7 +104,7 @@ def _lines(part: np.ndarray, at: np.ndarray, first_words: np.ndarray, power: K.P
     stop = stop - (part[stop - 1] == 10)
     words_before = np.searchsorted(first_words, begin), np.searchsorted(first_words, stop)
     full = words_before[1] > words_before[0]
-    h = K.word_hashes(part, begin[full], stop[full], power)
+    h = K.word_hashes(part, begin[full], stop[full])
     _, r, times = K.distinct_by_row(h, row[full])
     lines = np.bincount(row[full], minlength=n)
     return lines, np.bincount(r, weights=times - 1, minlength=n).astype(np.int64)

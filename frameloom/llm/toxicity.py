@@ -36,7 +36,6 @@ _TRIM[list(_EDGE)] = True
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges of rows: (first row, end row, feature places by row, ends of the rows in them)."""
     data, offsets = K.text_bytes(column)
-    power = K.Powers()
     mask = K.U64((1 << BITS) - 1)
     for lo, hi in K.slices(offsets, CHUNK_BYTES):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -45,8 +44,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         longer = end - first > 1
         first = first + (longer & _TRIM[part[first]]) if len(first) else first
         end = end - ((end - first > 1) & _TRIM[part[end - 1]]) if len(end) else end
-        h = K.word_hashes(part, first, end, power, lower=True)
-        stem = K.word_hashes(part, first, np.minimum(end, first + STEM_BYTES), power, lower=True)
+        h = K.word_hashes(part, first, end, lower=True)
+        stem = K.word_hashes(part, first, np.minimum(end, first + STEM_BYTES), lower=True)
         long = end - first > STEM_BYTES
         found, rows = [h, K.mix(stem[long] + K.U64(0x3C6EF372FE94F82B))], [row, row[long]]
         for gap, salt in ((1, 0x1F83D9ABFB41BD6B), (2, 0x5BE0CD19137E2179)):
