@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import ann, lm, mixing, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity
+from frameloom.llm import ann, lm, mixing, negatives, ngram_join, packing, periodic, pii, quality, sharding, suffix_dedup, tokens, toxicity
 from frameloom.llm.common import table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,26 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_lm_scores"] = lm.SCORES_SQL
+
+
+@_query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_sharding"] = sharding.SHARDS_SQL
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op12_hard_negatives"] = negatives.NEGATIVES_SQL
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.echoed_tails(table(spark, sf_dir, "documents"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
