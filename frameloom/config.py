@@ -71,7 +71,7 @@ class MatchTuning:
     block_rows: int = 65_536
     block_bytes: int = 32 * MIB
     # a task scores tile x tile pairs at a time, so this bounds its working memory
-    tile_rows: int = 1024
+    tile_rows: int = 512
     # scopes above this many rows are split on vector cells (and hash bands where the scorer has hashes)
     split_rows: int = 50_000
     # bounds of what is collected and shipped to the tasks
@@ -85,6 +85,19 @@ class MatchTuning:
     # moving one row is reckoned as dear as scoring this many pairs when the number of cells is chosen
     pairs_per_moved_row: float = 2000.0
     sample_rows: int = 4096
+    # partitions that are put together at most
+    partitions: int = 4
+    # principal directions that a grid of cells may cut and pieces of one at most; sample rows that its work is estimated on
+    grid_directions: int = 12
+    grid_bins: int = 64
+    cost_rows: int = 2048
+    # families whose pairs are summed at most; the least rows of one in the sample, and the least share of it
+    max_families: int = 64
+    family_rows: int = 8
+    family_share: float = 0.005
+    # principal directions that tiles are told apart by, and rows of a run that they come from
+    tile_directions: int = 16
+    direction_rows: int = 512
 
 
 @dataclass(frozen=True)

@@ -7,14 +7,20 @@ matching nodes therefore costs O(k) rows per block pair and never k * k rows.
 
 Scopes beyond ``split_rows`` are first cut into cells that keep every possible match together:
 
-* vector cells: each node goes to its nearest pivot's cell and, with a lower number, to every cell whose
+* vector cells: each node goes to its nearest pivot's cell and, among those with a lower number, to every cell whose
   bisecting plane is within the match radius. Two matching points always meet in the lower of their two
   home cells, and only there is the pair scored;
 * cells of the scorer itself: bands of the difference hash, or bins of the aspect ratio.
 
+Pivots may be taken by a single frame of videos, and cells may be boxes over the leading principal directions of a sample, for a
+projection never lengthens a distance. Several such partitions are put together, as long as one more lessens the work
+estimated on the sample. Inside a task rows are put in order of their own principal directions, and tiles whose boxes are
+too far apart are not scored.
+
 Where only connectivity is wanted, nodes are first compared with the pivots. Nodes matching the same pivot
 are connected already, so the largest such family of a cell is compared with the rest of the cell but not
-with itself: a hot family of near copies costs linear work.
+with itself: a hot family of near copies costs linear work. Callers can name such sets themselves: nodes that share a
+value of ``settled`` are not compared with each other.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ from frameloom.config import (
     SimilarPhotoRules,
 )
 from frameloom.operators.components import connected_components, join_labels
+from frameloom.operators.hamming import close_pairs
 from frameloom.session import cut_lineage
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -66,6 +73,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _pair_distances(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Distances of single pairs by their differences: exact to the last digits, also near zero."""
+    out = np.empty(len(ia))
+    step = max(1, (1 << 20) // max(1, a.shape[1]))
+    for i in range(0, len(ia), step):
+        gap = a[ia[i : i + step]] - b[ib[i : i + step]]
+        out[i : i + step] = np.sqrt((gap * gap).sum(axis=1))
+    return out
+
+
 # Hash bands: with 4 differing bits spread over 5 bands, one band is equal.
 def band_edges(max_hamming: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of max_hamming + 1 bands over 64 bits."""
@@ -103,10 +120,12 @@ class DuplicateScorer:
         close &= a["known"][:, None] & b["known"][None, :]
         if not close.any():
             return _NO_HITS
-        distance = _distances(a["points"], b["points"])
-        close &= distance <= self.rules.max_distance
+        if close.mean() > 0.05:  # one product is less work than many pairs; what it finds is measured again
+            close &= _distances(a["points"], b["points"]) <= self.rules.max_distance + 1e-6
         ia, ib = np.nonzero(close)
-        return ia, ib, distance[ia, ib]
+        distance = _pair_distances(a["points"], b["points"], ia, ib)
+        near = distance <= self.rules.max_distance
+        return ia[near], ib[near], distance[near]
 
     def split(self, nodes: DataFrame) -> DataFrame:
         keys = [
@@ -211,8 +230,9 @@ class FrameScorer:
 
     @property
     def radius(self) -> float:
-        # root mean square over the first frames is at most the largest frame distance
-        return self.rules.max_frame_distance
+        # squares of the first frames sum to at most the largest distance times the sum of all distances
+        rules = self.rules
+        return min(rules.max_frame_distance, math.sqrt(rules.max_frame_distance * rules.max_mean_distance * rules.max_frames / rules.min_frames))
 
     widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(_lengths(rows["present"]), 1))
 
@@ -269,11 +289,18 @@ class HashScorer:
     best = "min"
     has_points = False
     self_score = 0.0
+    # rows are narrow and a task does not compare all of them, so blocks are large
+    block_factor = 16
 
     @staticmethod
     def row_bytes() -> Column:
         return F.greatest(F.lit(8), F.lit(8))
 
+    def pairs(self, hashes: np.ndarray) -> Iterator[Hits]:
+        """All close pairs of a run, in parts."""
+        for ia, ib, bits in close_pairs(hashes, self.rules.max_hamming):
+            yield ia, ib, bits.astype(float)
+
     def prepare(self, rows: pa.Table) -> dict:
         return {"hash": _hashes(rows["dhash"])[0]}
 
@@ -289,6 +316,9 @@ class HashScorer:
         return DuplicateScorer(self.rules).first_band(a, b)
 
 
+# Room for rounding in bounds on distances.
+_ROOM = 1e-9
+
 _NO_HITS: Hits = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 Scorer = DuplicateScorer | SimilarScorer | FrameScorer | HashScorer
@@ -332,11 +362,54 @@ def _near_hubs(data: dict, label: np.ndarray, rank: np.ndarray, scorer: Scorer,
     return label
 
 
-def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool) -> pa.RecordBatch | None:
+def _settled_codes(rows: pa.Table) -> np.ndarray:
+    """A number for each value of ``settled``, -1 where there is none."""
+    if "settled" not in rows.column_names:
+        return np.full(rows.num_rows, -1)
+    return rows["settled"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+
+
+def principal_directions(sample: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` orthonormal directions, as columns, along which the sample is spread most."""
+    centred = sample - sample.mean(axis=0)
+    _, spread, directions = np.linalg.svd(centred, full_matrices=False)
+    return directions[: min(most, int((spread > 1e-9).sum()))].T
+
+
+def _kd_order(projected: np.ndarray, leaf: int) -> np.ndarray:
+    """Rows so that runs of ``leaf`` of them lie close together: halved at the median of the widest direction, over and over."""
+    done, todo = [], [np.arange(len(projected))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf or not projected.shape[1]:
+            done.append(rows)
+            continue
+        part = projected[rows]
+        widest = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        # whole leaves on the left, so that tiles are leaves
+        half = leaf * max(1, len(rows) // leaf // 2)
+        order = np.argpartition(part[:, widest], half - 1)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(done)
+
+
+def _tile_boxes(projected: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.arange(0, len(projected), leaf)
+    return np.minimum.reduceat(projected, starts), np.maximum.reduceat(projected, starts)
+
+
+def _box_gaps(a: tuple[np.ndarray, np.ndarray], i: int, b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distance of box i of a to every box of b: no two of their rows are closer."""
+    gap = np.maximum(0.0, np.maximum(a[0][i] - b[1], b[0] - a[1][i]))
+    return np.sqrt((gap * gap).sum(axis=1))
+
+
+def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool, tally: list | None = None) -> pa.RecordBatch | None:
     """Score the one or two blocks of a run tile by tile and reduce to one row per matched node.
 
-    Where only connectivity is wanted, rows are put in order of what some hubs connect already, and tiles
-    of a single component are not scored.
+    Tiles whose boxes are apart by more than the match radius are not scored, nor are tiles of one settled set. Where only
+    connectivity is wanted, rows are put in order of what some hubs connect already, and tiles of a single component
+    are not scored. ``tally`` gets the number of pairs of each tile that is.
     """
     tile_rows = tuning.tile_rows
     block_no = rows["block"].to_numpy()
@@ -357,35 +430,62 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
 
+    settled = _settled_codes(rows)
     matches, total = np.zeros(n), np.zeros(n)
     pick = np.minimum if scorer.best == "min" else np.maximum
     best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
     label = np.arange(n)
+
+    def count(ia: np.ndarray, ib: np.ndarray, value: np.ndarray) -> None:
+        nonlocal label
+        keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
+        keep &= (settled[ia] < 0) | (settled[ia] != settled[ib])
+        if band >= 0:
+            keep &= scorer.first_band(data["hash"][ia], data["hash"][ib]) == band
+        ia, ib, value = ia[keep], ib[keep], value[keep]
+        if not len(ia):
+            return
+        for one, other in () if connectivity_only else ((ia, ib), (ib, ia)):
+            np.add.at(matches, one, weight[other])
+            np.add.at(total, one, value * weight[other])
+            pick.at(best, one, value)
+        label = join_labels(label, rank[ia], rank[ib])
+
+    if isinstance(scorer, HashScorer) and n > tile_rows:
+        side = block_no == block_no.min()
+        for ia, ib, value in scorer.pairs(data["hash"]):
+            across = (side[ia] != side[ib]) if is_cross else np.ones(len(ia), bool)
+            count(ia[across], ib[across], value[across])
+        first = first[:0]
+    boxes = None
+    if scorer.has_points and n > tile_rows:
+        projected = data["points"] @ principal_directions(data["points"][:: max(1, n // tuning.direction_rows)], tuning.tile_directions)
+        first, second = (x[_kd_order(projected[x], tile_rows)] for x in (first, second))
+        first, second = (x[np.argsort(settled[x], kind="stable")] for x in (first, second))
     if connectivity_only and n > tuning.run_hubs:
         label = _near_hubs(data, label, rank, scorer, tuning)
         first, second = (x[np.argsort(label[rank[x]], kind="stable")] for x in (first, second))
+    if scorer.has_points and n > tile_rows:
+        boxes = [_tile_boxes(projected[x], tile_rows) for x in (first, second)]
     for i in range(0, len(first), tile_rows):
         left = first[i : i + tile_rows]
         tile = _take(data, left)
+        near = None if boxes is None else _box_gaps(boxes[0], i // tile_rows, boxes[1]) <= scorer.radius + _ROOM
         for j in range(0 if is_cross else i, len(second), tile_rows):
             right = second[j : j + tile_rows]
+            if near is not None and not near[j // tile_rows]:
+                continue
+            if settled[left[0]] >= 0 and (settled[left] == settled[left[0]]).all() and (settled[right] == settled[left[0]]).all():
+                continue
             if connectivity_only and len(np.unique(label[rank[np.concatenate([left, right])]])) == 1:
                 continue
+            if tally is not None:
+                tally.append(len(left) * len(right))
             ia, ib, value = scorer.score(tile, _take(data, right))
-            ia, ib = left[ia], right[ib]
-            keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
-            if not is_cross:
-                keep &= ia < ib
-            if band >= 0:
-                keep &= scorer.first_band(data["hash"][ia], data["hash"][ib]) == band
-            ia, ib, value = ia[keep], ib[keep], value[keep]
-            if not len(ia):
-                continue
-            for one, other in () if connectivity_only else ((ia, ib), (ib, ia)):
-                matches += np.bincount(one, weight[other], n)
-                total += np.bincount(one, value * weight[other], n)
-                pick.at(best, one, value)
-            label = join_labels(label, rank[ia], rank[ib])
+            if not is_cross and i == j:
+                once = ia < ib
+                ia, ib, value = ia[once], ib[once], value[once]
+            count(left[ia], right[ib], value)
 
     hit = np.flatnonzero(label[rank] != rank if connectivity_only else matches > 0)
     if not len(hit):
@@ -406,39 +506,166 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
 # --- cells ----------------------------------------------------------------------------------------
 
 
-def vector_cells(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell per row, membership matrix): home plus every lower cell a match could live in."""
+def voronoi(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell per row, membership matrix): home plus every cell a match could live in."""
     to_pivot = _distances(points, pivots) ** 2
     home = to_pivot.argmin(1)
     gap = to_pivot - to_pivot[np.arange(len(points)), home][:, None]
     # distance to the bisecting plane of pivots i and j is (d_i^2 - d_j^2) / (2 |i - j|)
-    inside = gap <= 2.0 * (radius + 1e-9) * _distances(pivots, pivots)[home] + 1e-9
-    inside &= np.arange(len(pivots))[None, :] <= home[:, None]
+    inside = gap <= 2.0 * (radius + _ROOM) * _distances(pivots, pivots)[home] + _ROOM
     inside[np.arange(len(points)), home] = True
     return home, inside
 
 
-def choose_pivot_count(points: np.ndarray, radius: float, rows: int, tuning: MatchTuning = TUNING) -> int:
-    """Number of pivots with the least estimated work on a sample: pair scores plus moved rows."""
-    row_cost = tuning.pairs_per_moved_row
-    best_count, best_cost = 1, rows * rows / 2.0 + rows * row_cost
-    count = 8
-    while count <= min(tuning.max_pivots, len(points)):
-        home, inside = vector_cells(points, points[:count], radius)
-        owned = np.bincount(home, minlength=count) / len(points)
-        held = inside.sum(0) / len(points)
-        cost = float((owned * (held - owned / 2.0)).sum()) * rows * rows + held.sum() * rows * row_cost
-        if cost < best_cost:
-            best_count, best_cost = count, cost
-        count *= 4
-    return best_count
+@dataclass(frozen=True)
+class Pivots:
+    """Cells around pivots, by ``points`` or by one frame: then reference videos are the pivots."""
+
+    pivots: np.ndarray
+    radius: float
+    frame: int | None = None
+
+    @property
+    def size(self) -> int:
+        return len(self.pivots)
+
+    def bins(self, data: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own bin of every row, row, bin): the bins that a row's matches can lie in, by row."""
+        home, inside = voronoi(_space(data, self.frame), self.pivots, self.radius)
+        row, bin_ = np.nonzero(inside)
+        return home.astype(np.int64), row, bin_.astype(np.int64)
+
+
+@dataclass(frozen=True)
+class PrincipalGrid:
+    """Boxes over principal directions; their number is the product over the directions, so it is not bounded by the sample
+    that the cuts come from. A projection never lengthens a distance, so a row's matches lie in boxes within the radius."""
+
+    directions: np.ndarray
+    cuts: tuple[np.ndarray, ...]
+    radius: float
+
+    @property
+    def size(self) -> int:
+        return math.prod(len(c) + 1 for c in self.cuts)
+
+    def bins(self, data: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        projected = data["points"] @ self.directions
+        n = len(projected)
+        home = np.zeros(n, np.int64)
+        row, cell, squares = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+        limit = (self.radius + _ROOM) ** 2
+        for k, cut in enumerate(self.cuts):
+            x = projected[:, k]
+            home = home * (len(cut) + 1) + np.searchsorted(cut, x, side="right")
+            edges = np.concatenate([[-np.inf], cut, [np.inf]])
+            gap = np.maximum(0.0, np.maximum(edges[None, :-1] - x[:, None], x[:, None] - edges[None, 1:]))
+            total = squares[:, None] + (gap * gap)[row]
+            at, bin_ = np.nonzero(total <= limit)
+            row, cell, squares = row[at], cell[at] * (len(cut) + 1) + bin_, total[at, bin_]
+        return home, row, cell
+
+
+def _space(data: dict, frame: int | None) -> np.ndarray:
+    return data["points"] if frame is None else data["frames"][:, frame, :]
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Cells that several partitions make together: rows match only if all of them allow it."""
+
+    parts: tuple[Pivots | PrincipalGrid, ...] = ()
+
+    def place(self, data: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's own): its own cell and every cell before it that could hold a match.
+
+        Of two matching rows the one with the later cell thus comes to the earlier one, and only there they are scored.
+        """
+        n = len(data["points"])
+        home, row, cell = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64)
+        for part in self.parts:
+            own, of, bin_ = part.bins(data)
+            home = home * part.size + own
+            count = np.bincount(of, minlength=n)
+            start = np.cumsum(count) - count
+            times = count[row]
+            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[row], times)
+            cell = np.repeat(cell, times) * part.size + bin_[at]
+            row = np.repeat(row, times)
+        before = cell <= home[row]
+        row, cell = row[before], cell[before]
+        return row, cell, cell == home[row]
+
+    def cost(self, data: dict, rows: int, tuning: MatchTuning) -> float:
+        """Estimated work of ``rows`` rows like the sample ``data``: pairs scored plus rows moved."""
+        n = len(data["points"])
+        _, cell, own = self.place(data)
+        _, cell = np.unique(cell, return_inverse=True)
+        owned, held = np.bincount(cell[own], minlength=cell.max() + 1).astype(float), np.bincount(cell).astype(float)
+        pairs = (owned * (held - owned) + owned * np.maximum(owned - 1, 0) / 2.0).sum() / max(1, n * (n - 1))
+        return pairs * rows * rows + held.sum() / n * rows * tuning.pairs_per_moved_row
+
+
+def _partitions(data: dict, scorer: Scorer, tuning: MatchTuning) -> Iterator[Pivots | PrincipalGrid]:
+    """Ways to part rows like the sample: around some of them, by all that is compared or by one frame."""
+    frames = range(scorer.rules.min_frames) if isinstance(scorer, FrameScorer) else []
+    for frame, radius in [(None, scorer.radius), *((f, scorer.rules.max_frame_distance) for f in frames)]:
+        space = _space(data, frame)
+        _, distinct = np.unique(space, axis=0, return_index=True)
+        space = space[np.sort(distinct)]
+        count = 8
+        while count <= min(tuning.max_pivots, len(space) // 2):
+            yield Pivots(space[:count], radius, frame)
+            count *= 4
+
+
+def finest_grid(cells: Cells, cost: float, data: dict, radius: float, rows: int, tuning: MatchTuning) -> tuple[Cells, float]:
+    """``cells`` and a grid of least estimated work: the direction that helps most is cut twice as fine, as long as one helps."""
+    points = data["points"]
+    directions = principal_directions(points, tuning.grid_directions)
+    projected = points @ directions
+    shape, best = [1] * directions.shape[1], cells
+
+    def grid(bins: list[int]) -> Cells:
+        used = [k for k, n in enumerate(bins) if n > 1]
+        cuts = tuple(np.unique(np.quantile(projected[:, k], np.arange(1, bins[k]) / bins[k])) for k in used)
+        return Cells((*cells.parts, PrincipalGrid(directions[:, used], cuts, radius)))
+
+    while True:
+        tried = []
+        for k in range(len(shape)):
+            finer = [2 * n if i == k else n for i, n in enumerate(shape)]
+            candidate = grid(finer)
+            if finer[k] <= tuning.grid_bins and math.prod(p.size for p in candidate.parts) < 2**62:
+                tried.append((candidate.cost(data, rows, tuning), k, finer, candidate))
+        if not tried or min(t[:2] for t in tried)[0] >= 0.98 * cost:
+            return best, cost
+        cost, _, shape, best = min(tried, key=lambda t: t[:2])
+
+
+def choose_cells(data: dict, scorer: Scorer, rows: int, tuning: MatchTuning = TUNING) -> Cells:
+    """Cells of least estimated work on a sample: partitions are put together as long as one more pays. None is always a choice."""
+    few = _take(data, np.arange(min(len(data["points"]), tuning.cost_rows)))
+    best = Cells()
+    cost = best.cost(few, rows, tuning)
+    for _ in range(tuning.partitions):
+        tried = [finest_grid(best, cost, few, scorer.radius, rows, tuning)] if not any(isinstance(p, PrincipalGrid) for p in best.parts) else []
+        for part in _partitions(data, scorer, tuning):
+            candidate = Cells((*best.parts, part))
+            if math.prod(p.size for p in candidate.parts) < 2**62:
+                tried.append((candidate, candidate.cost(few, rows, tuning)))
+        better = min(tried, key=lambda t: t[1], default=(best, cost))
+        if better[1] >= 0.98 * cost:
+            return best
+        best, cost = better
+    return best
 
 
 @dataclass(frozen=True)
 class _Guide:
-    """What the sampled vectors of one length give: pivots of cells, and hubs with their names and scopes."""
+    """What the sampled vectors of one length give: cells, and hubs with their names and scopes."""
 
-    pivots: dict
+    cells: Cells
     hubs: dict
     names: np.ndarray
     scopes: np.ndarray
@@ -449,11 +676,11 @@ class _Guide:
         _, distinct = np.unique(prepared["points"], axis=0, return_index=True)
         distinct = np.sort(distinct)
         prepared = _take(prepared, distinct)
-        count = choose_pivot_count(prepared["points"], scorer.radius, rows, tuning)
+        cells = choose_cells(prepared, scorer, rows, tuning) if len(distinct) > 1 else Cells()
         hubs = np.arange(min(tuning.max_hubs, len(distinct)))
         names = np.asarray(sample["node"].to_pylist(), object)[distinct]
         scopes = np.asarray(sample["scope"].to_pylist(), object)[distinct]
-        return _Guide(_take(prepared, np.arange(count)), _take(prepared, hubs), names[hubs], scopes[hubs])
+        return _Guide(cells, _take(prepared, hubs), names[hubs], scopes[hubs])
 
 
 def _with_vector_cells(
@@ -468,7 +695,6 @@ def _with_vector_cells(
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(tuning.sample_rows).toArrow()
     widths = scorer.widths(sample)
     guides = {int(w): _Guide.of(sample.take(np.flatnonzero(widths == w)), scorer, rows, tuning) for w in np.unique(widths)}
-    radius = scorer.radius
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,37 +715,36 @@ def _with_vector_cells(
                     hit = lowest < len(guide.names)
                     hub[hit] = guide.names[lowest[hit]]
                 if guide is not None:
-                    home, inside = vector_cells(data["points"], guide.pivots["points"], radius)
+                    row, cell, own = guide.cells.place(data)
                 else:
-                    home, inside = np.zeros(part.num_rows, int), np.ones((part.num_rows, 1), bool)
-                row, cell = np.nonzero(inside)
+                    row, cell, own = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), np.ones(part.num_rows, bool)
                 out = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *out.columns,
                         pa.array(hub[row], pa.string()),
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(cell == home[row]),
+                        pa.array(cell),
+                        pa.array(own),
                     ],
                     names=[*out.schema.names, "hub", "vector_cell", "vector_home"],
                 )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.mapInArrow(assign, f"{fields}, hub string, vector_cell int, vector_home boolean")
+    return nodes.mapInArrow(assign, f"{fields}, hub string, vector_cell bigint, vector_home boolean")
 
 
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _rows_per_block(rows: Column, row_bytes: Column, tasks: int, tuning: MatchTuning) -> Column:
+def _rows_per_block(rows: Column, row_bytes: Column, tasks: int, tuning: MatchTuning, factor: int = 1) -> Column:
     """Large blocks copy rows less often; they shrink only as far as it takes to keep all tasks busy."""
     blocks_wanted = math.ceil(math.sqrt(2 * tasks))
-    most = F.least(F.lit(tuning.block_rows), F.greatest(F.lit(1), F.floor(F.lit(tuning.block_bytes) / row_bytes)))
+    most = F.least(F.lit(tuning.block_rows * factor), F.greatest(F.lit(1), F.floor(F.lit(tuning.block_bytes) / row_bytes)))
     smallest = F.least(F.lit(tuning.tile_rows), most)
     return F.least(most, F.greatest(smallest, F.ceil(rows / blocks_wanted)))
 
 
-def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning) -> DataFrame:
+def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning, factor: int = 1) -> DataFrame:
     """Give every row its block and one copy per block pair it takes part in."""
     key = ["scope", "cell", "vector_cell"]
     row_bytes = F.max("row_bytes") if "row_bytes" in cells.columns else F.lit(8)
@@ -533,7 +758,7 @@ def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning) -> DataFrame:
     )
     sizes = (
         sizes.filter("total >= 2")
-        .withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning))
+        .withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning, factor))
         .withColumn("rest_blocks", F.ceil((F.col("total") - F.col("major_rows")) / F.col("per_block")))
         .withColumn("major_blocks", F.ceil(F.col("major_rows") / F.col("per_block")))
         .filter("rest_blocks > 0")
@@ -561,16 +786,19 @@ def match_nodes(
     """Partial match rows (MATCH_SCHEMA): tree edges and, unless ``connectivity_only``, exact statistics.
 
     ``nodes`` needs node, scope, weight and the scorer's columns, and is read more than once: pass a
-    checkpointed or stored table. Rows of one node come from several tasks; aggregate by node for
-    totals, feed (node, root) to the components.
+    checkpointed or stored table. With a column ``settled``, nodes that share a value of it are not compared with
+    each other; of such sets the largest of a cell is not even laid out against itself. Rows of one node come from several
+    tasks; aggregate by node for totals, feed (node, root) to the components.
     """
-    nodes = nodes.select("node", "scope", "weight", *scorer.columns, scorer.row_bytes().alias("row_bytes"))
+    named = "settled" in nodes.columns
+    nodes = nodes.select("node", "scope", "weight", *scorer.columns, scorer.row_bytes().alias("row_bytes"), *(["settled"] if named else []))
     # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("bytes"), tasks, tuning))
+    factor = getattr(scorer, "block_factor", 1)
+    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("bytes"), tasks, tuning, factor))
     sizes = nodes.groupBy("scope").agg(F.count("*").alias("count"), F.max("row_bytes").alias("bytes")).filter("count >= 2")
     largest, runs = sizes.agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
-    is_large = (largest or 0) > tuning.split_rows
+    is_large = (largest or 0) > tuning.split_rows * factor
     if not is_large:
         tasks = min(tasks, int(runs or 1))
     defaults = {
@@ -578,19 +806,21 @@ def match_nodes(
         "home": F.lit(True),
         "band": F.lit(-1),
         "hub": F.lit(None).cast("string"),
-        "vector_cell": F.lit(0),
+        "vector_cell": F.lit(0).cast("long"),
         "vector_home": F.lit(True),
     }
     cells = nodes
+    find_hubs = connectivity_only and not named
     if is_large and scorer.has_points:
-        placed = _with_vector_cells(nodes, scorer, largest, tuning, connectivity_only)
+        placed = _with_vector_cells(nodes, scorer, largest, tuning, find_hubs)
         # read again for the hubs' edges
-        placed = cut_lineage(placed) if connectivity_only else placed
+        placed = cut_lineage(placed) if find_hubs else placed
         cells = scorer.split(placed)
     elif is_large:
         cells = scorer.split(nodes)
     cells = cells.withColumns({k: v for k, v in defaults.items() if k not in cells.columns})
-    laid_out = _blocks(cells, tasks, tuning).repartition(tasks, "pair").sortWithinPartitions("pair")
+    cells = cells.withColumn("hub", F.col("settled")) if named else cells
+    laid_out = _blocks(cells, tasks, tuning, factor).repartition(tasks, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -599,7 +829,7 @@ def match_nodes(
                 yield result
 
     found = laid_out.mapInArrow(run, MATCH_SCHEMA)
-    if is_large and scorer.has_points and connectivity_only:
+    if is_large and scorer.has_points and find_hubs:
         hub_edges = (
             placed.filter("vector_home AND hub IS NOT NULL AND hub <> node")
             .select(

@@ -17,6 +17,8 @@ from frameloom.functions import media
 from frameloom.functions import vectors as V
 from frameloom.operators import fingerprints as FP
 from frameloom.operators import groups as G
+from frameloom.operators.delta import MatchState, grouped_members, match_state, update_state
+from frameloom.operators.families import match_similar
 from frameloom.operators.index import photos, without_ids
 from frameloom.operators.matching import (
     DuplicateScorer,
@@ -110,6 +112,34 @@ def incremental_duplicate_groups(
     return duplicate_photo_groups(assets, features, resources, rules, tuning)
 
 
+def duplicate_match_state(
+    assets: DataFrame, features: DataFrame, rules: DuplicatePhotoRules = DUPLICATE_PHOTOS, tuning: MatchTuning = TUNING
+) -> MatchState:
+    """What is stored of a library so that later changes cost little: its distinct fingerprints with their components."""
+    return match_state(_duplicate_features(assets, features, rules), DuplicateScorer(rules), tuning)
+
+
+def updated_match_state(
+    state: MatchState,
+    changed: DataFrame,
+    features: DataFrame,
+    deleted_ids: DataFrame,
+    rules: DuplicatePhotoRules = DUPLICATE_PHOTOS,
+    tuning: MatchTuning = TUNING,
+) -> MatchState:
+    """The state after ``changed`` assets, new or edited, with their ``features``, and after deletions: only what changed is matched."""
+    gone = changed.select("asset_id").unionByName(deleted_ids.select("asset_id"))
+    return update_state(state, _duplicate_features(changed, features, rules), gone, DuplicateScorer(rules), tuning)
+
+
+def duplicate_groups_of(
+    state: MatchState, assets: DataFrame, resources: DataFrame | None = None, rules: DuplicatePhotoRules = DUPLICATE_PHOTOS
+) -> DataFrame:
+    """The groups that a stored state holds, as ``duplicate_photo_groups`` gives them."""
+    members = grouped_members(state, DuplicateScorer(rules))
+    return G.assemble_groups(members, assets, resources, G.BEST_BY_SIZE).drop("component")
+
+
 def similar_photo_groups(
     assets: DataFrame,
     features: DataFrame,
@@ -123,7 +153,7 @@ def similar_photo_groups(
     left = without_ids(photos(assets), excluded_ids)
     rows = _similar_features(left, features)
     nodes = collapse_copies(rows, scorer)
-    found = cut_lineage(match_nodes(nodes, scorer, tuning))
+    found = cut_lineage(match_similar(nodes, scorer, tuning))
     components = cut_lineage(matched_components(nodes, found, scorer))
     averages = component_similarity(node_statistics(nodes, found, scorer), components, rules)
     members = _members(rows, components)

@@ -128,6 +128,29 @@ class DerivedLibrary:
             .select("asset_id", V.dhash(grid).alias("dhash"), V.l2_normalize(F.col("raw")).alias("vec"))
         )
 
+    @cached_property
+    def earlier(self) -> tuple[DataFrame, DataFrame]:
+        """(assets, features) of the library some time before: a fiftieth of the assets was not there yet, as many had other
+        pictures, and twice as many are there that went since, half of them copies of pictures that stayed."""
+        turn = (F.col("vec_id") * COPIES + F.col("copy")) % 50
+        numbers = self.copies.select("asset_id", turn.alias("turn"))
+        gone = F.concat(F.lit("gone_"), "asset_id")
+        assets = self.assets.withColumn("turn", (F.col("vec_id") * COPIES + F.col("copy")) % 50)
+        extra = assets.filter("turn IN (3, 13)").withColumn("asset_id", gone)
+        features = self.photo_features.join(numbers, "asset_id")
+        went = features.filter("turn IN (3, 13)").withColumn("asset_id", gone)
+        rows = features.filter("turn <> 1").unionByName(went)
+        other = (F.col("turn") == 2) | ((F.col("turn") == 3) & F.col("asset_id").startswith("gone_"))
+        rows = rows.select("asset_id", F.when(other, F.bitwise_not("dhash")).otherwise(F.col("dhash")).alias("dhash"), F.when(other, F.reverse("vec")).otherwise(F.col("vec")).alias("vec"))
+        return assets.filter("turn <> 1").unionByName(extra).drop("turn"), rows
+
+    @cached_property
+    def since_earlier(self) -> tuple[DataFrame, DataFrame]:
+        """(changed assets, ids of deleted ones) between ``earlier`` and now."""
+        turn = (F.col("vec_id") * COPIES + F.col("copy")) % 50
+        deleted = self.copies.filter(turn.isin(3, 13)).select(F.concat(F.lit("gone_"), "asset_id").alias("asset_id"))
+        return self.assets.filter(turn.isin(1, 2)), deleted
+
     @cached_property
     def frame_rows(self) -> DataFrame:
         """asset_id, frame_idx, vec: keyframes of the videos; one frame is missing on some copies."""

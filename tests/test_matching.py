@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from frameloom.config import MatchTuning
 from frameloom.operators import matching as M
+from frameloom.operators.hamming import close_pairs
 from frameloom.session import cut_lineage
 
 PLAIN = MatchTuning()
 BLOCKS = MatchTuning(block_rows=7, tile_rows=3)
-CELLS = MatchTuning(block_rows=8, split_rows=10, max_pivots=64, sample_rows=128, pairs_per_moved_row=0.0)
+CELLS = MatchTuning(block_rows=8, split_rows=10, max_pivots=64, sample_rows=128, pairs_per_moved_row=0.0, grid_directions=0, partitions=1)
+# grids too, several partitions put together, and tiles that boxes tell apart
+GRIDS = MatchTuning(block_rows=8, tile_rows=3, split_rows=10, max_pivots=64, sample_rows=128, pairs_per_moved_row=0.0)
+TUNINGS = pytest.mark.parametrize("tuning", [PLAIN, BLOCKS, CELLS, GRIDS], ids=["plain", "blocks", "cells", "grids"])
 DIMS = 8
 
 
@@ -93,7 +97,7 @@ def check(spark, nodes, scorer, tuning, names, edges):
     assert collected(spark, nodes, scorer, tuning, connectivity_only=True)[1] == groups
 
 
-@pytest.mark.parametrize("tuning", [PLAIN, BLOCKS, CELLS], ids=["plain", "blocks", "cells"])
+@TUNINGS
 def test_duplicates_equal_brute_force(spark, tuning):
     rows = photo_rows(1, spread=0.012)
     schema = "node string, scope string, weight long, dhash long, vec array<double>, aspect double"
@@ -107,7 +111,7 @@ def test_duplicates_equal_brute_force(spark, tuning):
     check(spark, nodes, M.DuplicateScorer(), tuning, [r[0] for r in rows], edges)
 
 
-@pytest.mark.parametrize("tuning", [PLAIN, BLOCKS, CELLS], ids=["plain", "blocks", "cells"])
+@TUNINGS
 def test_similar_equal_brute_force(spark, tuning):
     rows = [(n, "s", w, None if i % 9 == 0 else h, v, a) for i, (n, s, w, h, v, a) in enumerate(photo_rows(2, spread=0.12))]
     schema = "node string, scope string, weight long, dhash long, vec array<double>, aspect double"
@@ -124,7 +128,7 @@ def test_similar_equal_brute_force(spark, tuning):
     check(spark, nodes, M.SimilarScorer(), tuning, [r[0] for r in rows], edges)
 
 
-@pytest.mark.parametrize("tuning", [PLAIN, BLOCKS, CELLS], ids=["plain", "blocks", "cells"])
+@TUNINGS
 def test_frames_equal_brute_force(spark, tuning):
     rng = np.random.default_rng(3)
     rows = []
@@ -188,15 +192,48 @@ def test_identical_copies_are_one_weighted_node(spark):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_vector_cells_keep_every_match_together(seed):
+def test_cells_keep_every_match_together(seed):
+    """Pivots, a single frame's pivots, a grid, and all of them put together."""
     rng = np.random.default_rng(seed)
-    points = unit(np.concatenate([unit(rng.normal(size=(8, 6))) + rng.normal(size=(8, 6)) * 0.1 for _ in range(40)]))
-    radius = 0.3
-    home, inside = M.vector_cells(points, points[:32], radius)
+    frames = unit(np.concatenate([unit(rng.normal(size=(8, 2, 6))) + rng.normal(size=(8, 2, 6)) * 0.1 for _ in range(40)]))
+    points = frames.reshape(len(frames), -1) / np.sqrt(2)
+    data, radius = {"points": points, "frames": frames}, 0.3
+    pivots, by_frame = M.Pivots(points[:32], radius), M.Pivots(frames[:32, 1], radius, 1)
+    grid = M.finest_grid(M.Cells(), np.inf, data, radius, 10_000, PLAIN)[0].parts
+    assert len(grid) == 1 and grid[0].size > 1
     distance = np.linalg.norm(points[:, None] - points[None, :], axis=2)
-    for i, j in zip(*np.nonzero(np.triu(distance <= radius, 1))):
-        cell = min(home[i], home[j])
-        assert inside[i, cell] and inside[j, cell]
+    by_frames = np.linalg.norm(frames[:, None] - frames[None, :], axis=3)
+    match = (distance <= radius) & (by_frames <= radius).all(axis=2)
+    for parts in [(pivots,), (by_frame,), grid, (pivots, by_frame, *grid)]:
+        row, cell, own = M.Cells(parts).place(data)
+        assert (np.bincount(row[own], minlength=len(points)) == 1).all()
+        home = np.empty(len(points), np.int64)
+        home[row[own]] = cell[own]
+        held = set(zip(row.tolist(), cell.tolist()))
+        for i, j in zip(*np.nonzero(np.triu(match, 1))):
+            low = int(min(home[i], home[j]))
+            assert (int(i), low) in held and (int(j), low) in held
+
+
+@pytest.mark.parametrize("spread, n", [(64, 5000), (30, 20_000), (14, 9000)])
+def test_close_pairs_equal_all_pairs(spread, n):
+    """Hashes over all bits, over some, and so many over few that sets are cut again and again."""
+    rng = np.random.default_rng(n)
+    bits = rng.permutation(64)[:spread].astype(np.uint64)
+    raw = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) << np.uint64(1)
+    hashes = np.unique(np.bitwise_or.reduce([((raw >> np.uint64(i)) & np.uint64(1)) << b for i, b in enumerate(bits)]))
+    near = hashes[: len(hashes) // 4] ^ (np.uint64(1) << bits[3]) ^ (np.uint64(1) << bits[9])
+    hashes = rng.permutation(np.unique(np.concatenate([hashes, near])))
+    got = {}
+    for i, j, apart in close_pairs(hashes, 4):
+        for x, y, d in zip(i.tolist(), j.tolist(), apart.tolist()):
+            assert x < y and (x, y) not in got
+            got[x, y] = d
+    for i in range(len(hashes)):
+        d = np.bitwise_count(hashes[i + 1 :] ^ hashes[i])
+        for j in np.flatnonzero(d <= 4).tolist():
+            assert got.pop((i, i + 1 + j)) == d[j]
+    assert not got
 
 
 def test_hash_bands_and_labels():
