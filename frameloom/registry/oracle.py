@@ -610,6 +610,9 @@ ORACLE: dict[str, str] = {
     "incremental_photo_groups": _sql(
         "SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage FROM dup_groups", "dup_groups"
     ),
+    "delta_photo_groups": _sql(
+        "SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage FROM dup_groups", "dup_groups"
+    ),
     "similar_photo_groups": _sql(
         """SELECT group_id, member_rank, asset_id, file_size, pixels, total_storage, round(average_similarity, 6) AS average_similarity
            FROM sim_groups JOIN sim_means USING (comp)""",

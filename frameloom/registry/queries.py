@@ -18,10 +18,11 @@ from frameloom.operators import index as I
 from frameloom.operators.components import connected_components
 from frameloom.plans import photos as P
 from frameloom.plans import videos as VD
+from frameloom.schemas import PHOTO_FINGERPRINTS
 from frameloom.session import cut_lineage, scratch_path
 from frameloom.sources.derived import INDEXED_AT, NOW, DerivedLibrary, timestamp
 from frameloom.sources.images import scan_assets
-from frameloom.sources.store import index_table, load_index
+from frameloom.sources.store import load_index, read_index, write_index
 from frameloom.streaming import changes as stream_changes
 from frameloom.streaming import deletions as stream_deletions
 from frameloom.streaming import fingerprints as stream_prints
@@ -124,12 +125,12 @@ def index_records(lib):
 
 @_query
 def build_index(lib):
-    """Scan, project, write a new version, read it back."""
+    """Scan, project, write the index, read it back."""
     folded = I.index_records(lib.library, timestamp(INDEXED_AT))
     drop = [c for c in folded.columns if c not in ("asset_id",)]
-    table = index_table(lib.spark, _scratch(lib, "index"))
-    table.replace(lib.assets.drop(*drop).join(folded, "asset_id"))
-    return table.read().select(
+    path = _scratch(lib, "index")
+    write_index(lib.assets.drop(*drop).join(folded, "asset_id"), path)
+    return read_index(lib.spark, path).select(
         "asset_id",
         "kind",
         "pixel_width",
@@ -146,9 +147,9 @@ def build_index(lib):
 @_query
 def load_index_query(lib):
     """The stored table, written and read back."""
-    table = index_table(lib.spark, _scratch(lib, "index"))
-    table.replace(lib.assets)
-    rows = load_index(table.read())
+    path = _scratch(lib, "index")
+    write_index(lib.assets, path)
+    rows = load_index(read_index(lib.spark, path))
     return rows.select(
         "asset_id",
         "kind",
@@ -522,6 +523,16 @@ def incremental_photo_groups(lib):
     return _group_columns(groups)
 
 
+@_query
+def delta_photo_groups(lib):
+    """Duplicate groups of an earlier state of the library, brought up to date by what was added, edited and deleted since."""
+    state = P.duplicate_match_state(*lib.earlier)
+    changed, deleted = lib.since_earlier
+    features = I.with_ids(lib.photo_features, changed)
+    state = P.updated_match_state(state, changed, features, deleted)
+    return _group_columns(P.duplicate_groups_of(state, lib.assets, lib.resources))
+
+
 @_query
 def similar_photo_groups(lib):
     groups = _similar_photos(lib)
@@ -662,11 +673,12 @@ def large_videos_removing(lib):
 # --- streaming and featurizer -----------------------------------------------------------------------
 
 
-def _in_turn(rows: DataFrame, by: Column, root: str, turns: int = STREAM_TURNS) -> DataFrame:
-    """``rows`` as a stream of ``turns`` micro-batches: those with by = 0 come first, and so on."""
+def _in_turn(rows: DataFrame, by: Column, key: str, root: str, turns: int = STREAM_TURNS) -> DataFrame:
+    """``rows`` as a stream of ``turns`` micro-batches of several files each: those with by = 0 come first, and so on."""
+    files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(turns):
-        rows.filter(by == turn).coalesce(1).write.mode("append").parquet(root)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        rows.filter(by == turn).repartition(files, key).write.mode("append").parquet(root)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(root)
 
 
 def _event_stream(lib: DerivedLibrary, root: str) -> DataFrame:
@@ -674,41 +686,43 @@ def _event_stream(lib: DerivedLibrary, root: str) -> DataFrame:
     events = lib.table("events")
     lo, hi = events.select(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
     share = (F.col("ts").cast("timestamp").cast("double") - (lo or 0.0)) / max((hi or 0.0) - (lo or 0.0), 1.0)
-    return _in_turn(events, F.least(F.floor(share * STREAM_TURNS), F.lit(STREAM_TURNS - 1)), f"{root}/events")
+    return _in_turn(events, F.least(F.floor(share * STREAM_TURNS), F.lit(STREAM_TURNS - 1)), "event_id", f"{root}/events")
 
 
 @_query
 def stream_index(lib):
     root = _scratch(lib, "changes")
-    log = stream_changes.change_log(lib.spark, f"{root}/log")
     feed = lib.change_rows(_event_stream(lib, root))
-    stream_changes.maintain_index(feed, log, f"{root}/checkpoint").awaitTermination()
-    current = stream_changes.apply_changes(lib.assets, log.read())
+    index = cut_lineage(lib.assets)
+    stream_changes.maintain_index(feed, index, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    current = stream_changes.apply_changes(index, stream_changes.read_changes(lib.spark, f"{root}/log"))
     return current.select("asset_id", "kind", _plain_time("modification_date"))
 
 
 @_query
 def stream_bin(lib):
     root = _scratch(lib, "bin")
-    log = stream_deletions.bin_log(lib.spark, f"{root}/log")
     feed = lib.deletion_rows(_event_stream(lib, root))
-    stream_deletions.fill_bin(feed, log, f"{root}/checkpoint", ["deleted_at", "sequence"]).awaitTermination()
-    return B.active(log.read(), _now()).select("asset_id", "file_size", _plain_time("deleted_at"), "days_remaining")
+    stream_deletions.fill_bin(feed, f"{root}/events-of-bin", f"{root}/checkpoint").awaitTermination()
+    entries = stream_deletions.bin_entries(stream_deletions.read_events(lib.spark, f"{root}/events-of-bin"))
+    return B.active(entries, _now()).select("asset_id", "file_size", _plain_time("deleted_at"), "days_remaining")
 
 
 @_query
 def stream_fingerprints(lib):
     """Fingerprints of a feed of images of which every third comes twice."""
     root = _scratch(lib, "fingerprints")
-    log = stream_prints.fingerprint_log(lib.spark, f"{root}/log")
     number = F.regexp_extract("image.origin", r"a(\d+)_", 1).cast("long")
     again = lib.images.filter(number % 3 == 0).withColumn("turn", F.lit(3))
     images = lib.images.withColumn("turn", (number % 3).cast("int")).unionByName(again)
-    feed = _in_turn(images, F.col("turn"), f"{root}/images", 4).select("image")
+    feed = _in_turn(images, F.col("turn"), "image.origin", f"{root}/images", 4).select("image")
     photos = cut_lineage(I.photos(lib.assets))
-    stream_prints.fingerprint_new_images(feed, photos, log, f"{root}/checkpoint", _now()).awaitTermination()
-    rows = log.read().groupBy("asset_id").agg(F.count(F.lit(1)).alias("stored"), F.first("dhash").alias("dhash"))
-    return rows.select("asset_id", "dhash", "stored")
+    stored = lib.spark.createDataFrame([], PHOTO_FINGERPRINTS)
+    stream_prints.fingerprint_new_images(feed, photos, stored, f"{root}/prints", f"{root}/checkpoint").awaitTermination()
+    prints = stream_prints.read_prints(lib.spark, f"{root}/prints")
+    rows = prints.groupBy("asset_id").agg(F.count(F.lit(1)).alias("stored"))
+    kept = stream_prints.fingerprints_of(prints, photos, _now()).select("asset_id", "dhash")
+    return kept.join(rows, "asset_id").select("asset_id", "dhash", "stored")
 
 
 @_query

@@ -1,5 +1,4 @@
-"""Tables kept as full versions in a shared folder: each write is a new directory, readers take the last
-complete one, so a table can be rewritten from itself."""
+"""Index and fingerprint tables as Parquet below a path that the caller owns; a full replace is Spark's own overwrite."""
 
 from __future__ import annotations
 
@@ -7,63 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameloom.schemas import ASSET_INDEX, FINGERPRINT_SCHEMA_VERSION, PHOTO_FINGERPRINTS, VIDEO_FINGERPRINTS
+from frameloom.schemas import ASSET_INDEX, FINGERPRINT_SCHEMA_VERSION
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, partition_by: str | None = None):
-        self.spark, self.root, self.schema, self.partition_by = spark, root.rstrip("/"), schema, partition_by
+def write_table(rows: DataFrame, path: str, schema: T.StructType, *partition_by: str) -> None:
+    """Replace the whole table. ``rows`` must not read from ``path``: write what comes from it elsewhere first."""
+    rows.select(*schema.fieldNames()).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/v{version:08d}"
 
-    def versions(self) -> list[int]:
-        """Committed versions, oldest first."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
 
-    def read(self) -> DataFrame:
-        """The last version; an empty table before the first."""
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(versions[-1]))
 
-    def _next_version(self) -> int:
-        """After every committed version and every one that a writer, which may have died, has claimed."""
-        jvm = self.spark._jvm
-        claims = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims")
-        fs = claims.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(claims)] if fs.exists(claims) else []
-        return max([0, *self.versions(), *(int(n[1:]) for n in names if n.startswith("v"))]) + 1
-
-    def replace(self, rows: DataFrame) -> int:
-        """Write the next version; of two writers that take the same one, the second fails and nothing is overwritten."""
-        version = self._next_version()
-        jvm = self.spark._jvm
-        claim = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version:08d}")
-        fs = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.createNewFile(claim):
-            raise FileExistsError(f"version {version} of {self.root} is being written by another writer")
-        writer = rows.select(*self.schema.fieldNames()).write.mode("errorifexists")
-        if self.partition_by:
-            writer = writer.partitionBy(self.partition_by)
-        writer.parquet(self._path(version))
-        return version
+def write_index(rows: DataFrame, path: str) -> None:
+    """The asset index, laid out by kind so that every analysis prunes to its partition."""
+    write_table(rows, path, ASSET_INDEX, "kind")
 
 
-def index_table(spark: SparkSession, root: str) -> VersionedTable:
-    """The asset index, laid out by kind so that every analysis prunes to its partition."""
-    return VersionedTable(spark, root, ASSET_INDEX, partition_by="kind")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, ASSET_INDEX)
 
 
 def load_index(table: DataFrame) -> DataFrame:
@@ -78,11 +39,3 @@ def load_index(table: DataFrame) -> DataFrame:
 def current_fingerprints(stored: DataFrame) -> DataFrame:
     """Rows of another schema version count as absent."""
     return stored.filter(F.col("schema_version") == FINGERPRINT_SCHEMA_VERSION)
-
-
-def photo_fingerprint_table(spark: SparkSession, root: str) -> VersionedTable:
-    return VersionedTable(spark, root, PHOTO_FINGERPRINTS)
-
-
-def video_fingerprint_table(spark: SparkSession, root: str) -> VersionedTable:
-    return VersionedTable(spark, root, VIDEO_FINGERPRINTS)

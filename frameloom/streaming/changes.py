@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from frameloom.schemas import CHANGES
-from frameloom.streaming.sink import BatchLog, run_available
+from frameloom.streaming.state import CHANGE_EVENTS, NO_TIME, LastChange, append_available
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
     """The index after the feed: deletes drop rows, the others touch or create them.
 
-    Late changes lose, deletes included: against later changes of the log, which keeps every asset's last one, and
+    Late changes lose, deletes included: against later changes of the feed, and
     against an index row that was modified later.
     """
     last = latest_changes(changes)
@@ -45,20 +44,19 @@ def tombstones(changes: DataFrame) -> DataFrame:
     return latest_changes(changes).filter("op = 'delete'")
 
 
-def fold(index: DataFrame, log: BatchLog, folded: BatchLog) -> DataFrame:
-    """The current index, to be written as a new version; ``folded`` starts the log that goes on from there.
+def maintain_index(stream: DataFrame, index: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to ``path`` every change that is the last of its asset when it comes.
 
-    Only tombstones go over: a row's own date decides about late changes to it, a deleted row has none.
+    The last change of every asset, deletions included, is in the state store, which starts with the dates of ``index``: late changes
+    lose without a look at index or feed. ``apply_changes(index, read_changes(spark, path))`` is the current index.
     """
-    folded.write(tombstones(log.read()), -1)
-    return apply_changes(index, log.read())
+    # a change without a time is earlier than all others
+    micros = F.coalesce(F.unix_micros("change_ts"), F.lit(NO_TIME))
+    rows = stream.select("asset_id", "op", micros.alias("change_us"), F.coalesce("sequence", F.lit(0)).alias("sequence"))
+    known = index.select("asset_id", F.unix_micros("modification_date").alias("modified_us"))
+    last = rows.groupBy("asset_id").transformWithStateInPandas(LastChange(), CHANGE_EVENTS, "Append", "None", known.groupBy("asset_id"))
+    return append_available(last, path, checkpoint)
 
 
-def maintain_index(stream: DataFrame, log: BatchLog, checkpoint: str) -> StreamingQuery:
-    """Reduce each micro-batch to the last change per asset and append it: work is in the size of the
-    batch, not of the index. ``apply_changes(index, log.read())`` is the current index, ``fold`` compacts the log."""
-    return run_available(stream, lambda batch, batch_id: log.write(latest_changes(batch), batch_id), checkpoint)
-
-
-def change_log(spark, root: str) -> BatchLog:
-    return BatchLog(spark, root, CHANGES)
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHANGE_EVENTS).parquet(path)

@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from frameloom.config import BIN, BinRules
-from frameloom.operators import bin as B
-from frameloom.schemas import BIN as BIN_SCHEMA
-from frameloom.streaming.sink import BatchLog, run_available
+from frameloom.streaming.state import ENTRY_EVENTS, FirstDeletion, append_available
 
-# Buckets of the log; a batch opens as many as it has assets, at most all.
-LOG_BUCKETS = 64
-_COLUMNS = T.StructType([f for f in BIN_SCHEMA.fields if f.name != "thumbnail"])
 
+def fill_bin(
+    stream: DataFrame, path: str, checkpoint: str, existing: DataFrame | None = None, rules: BinRules = BIN, lateness: str = "1 day"
+) -> StreamingQuery:
+    """Append to ``path`` an event for every entry of the bin: when it comes in, and when it leaves by age.
 
-def bin_log(spark, root: str) -> BatchLog:
-    return BatchLog(spark, root, _COLUMNS, LOG_BUCKETS)
+    Insert-if-absent: the first deletion of an asset wins, within a micro-batch by time and ``sequence``, and across batches as its state
+    says; later ones are dropped while it is in the bin. A timer of its own ends an entry when less than a whole day of its
+    retention is left by the stream's time; after that the asset has no state, and a deletion is a new entry.
+    Deletions without a time are dropped. ``existing``: entries that are in the bin already when the stream starts.
+    """
+    micros = F.unix_micros("deleted_at").alias("deleted_us")
+    timed = stream.filter("deleted_at IS NOT NULL").withWatermark("deleted_at", lateness)
+    sequence = F.col("sequence") if "sequence" in stream.columns else F.lit(0).cast("long")
+    rows = timed.select("asset_id", "kind", "file_size", "deleted_at", micros, sequence.alias("sequence"))
+    known = None
+    if existing is not None:
+        known = existing.filter("deleted_at IS NOT NULL").select("asset_id", "kind", "file_size", micros).groupBy("asset_id")
+    processor = FirstDeletion(rules.retention_days - 1)
+    events = rows.groupBy("asset_id").transformWithStateInPandas(processor, ENTRY_EVENTS, "Append", "EventTime", known)
+    return append_available(events, path, checkpoint)
 
 
-def fill_bin(stream: DataFrame, log: BatchLog, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Insert-if-absent per micro-batch: the first deletion of an asset wins, within and across batches."""
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ENTRY_EVENTS).parquet(path)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        log.write(B.new_entries(log.read(before=batch_id, asked=batch), batch, order), batch_id)
 
-    return run_available(stream, handle, checkpoint)
+def bin_entries(events: DataFrame) -> DataFrame:
+    """The entries that came in, as rows of the bin; those that have left are among them, ``B.active`` knows them by age."""
+    return events.filter("event = 'entered'").select("asset_id", "kind", "file_size", "deleted_at")
 
 
 def first_deletions(stream: DataFrame, retention: str = "30 days") -> DataFrame:

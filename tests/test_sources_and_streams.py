@@ -11,12 +11,8 @@ from frameloom import session
 from frameloom.operators import bin as B
 from frameloom.operators import fingerprints as FP
 from frameloom.sources.images import read_file_facts, read_images, scan_assets
-from frameloom.sources.store import (
-    index_table,
-    load_index,
-    photo_fingerprint_table,
-    video_fingerprint_table,
-)
+from frameloom.schemas import PHOTO_FINGERPRINTS, VIDEO_FINGERPRINTS
+from frameloom.sources.store import load_index, read_index, read_table, write_index, write_table
 from frameloom.streaming import changes, deletions
 from frameloom.streaming import fingerprints as stream_fp
 from tests.test_decisions import INDEX, moment, now, record
@@ -70,9 +66,8 @@ def test_own_featurizer_and_colour(spark, pictures):
     assert FP.grid_featurizer(red)[0] == int.from_bytes(bytes([0b00010000] * 8), "big")
 
 
-def test_versions_replace_and_read_back(spark, tmp_path):
-    table = index_table(spark, str(tmp_path / "index"))
-    assert table.read().count() == 0
+def test_index_is_replaced_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "index")
     rows = spark.createDataFrame([record("a"), record("v", kind="video")], INDEX).withColumns(
         {
             "latitude": F.when(F.col("asset_id") == "a", F.lit(1.5)),
@@ -85,26 +80,27 @@ def test_versions_replace_and_read_back(spark, tmp_path):
             "processing_state": F.lit("metadataIndexed"),
         }
     )
-    assert table.replace(rows) == 1
-    assert table.replace(table.read().filter("asset_id = 'a'")) == 2
-    loaded = load_index(table.read()).collect()
+    write_index(rows, path)
+    assert read_index(spark, path).count() == 2
+    write_index(rows.filter("asset_id = 'a'"), path)
+    loaded = load_index(read_index(spark, path)).collect()
     assert [(r.asset_id, tuple(r.location)) for r in loaded] == [("a", (1.5, 2.5))]
-    assert table.versions() == [1, 2]
-    plan = table.read().filter("kind = 'photo'")._jdf.queryExecution().executedPlan().toString()
+    plan = read_index(spark, path).filter("kind = 'photo'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan
 
 
-def test_fingerprint_tables_start_empty(spark, tmp_path):
-    assert photo_fingerprint_table(spark, str(tmp_path / "p")).read().count() == 0
-    table = video_fingerprint_table(spark, str(tmp_path / "v"))
+def test_fingerprints_are_stored_and_pruned(spark, tmp_path):
+    nothing = spark.createDataFrame([], VIDEO_FINGERPRINTS)
     index = spark.createDataFrame([record("v", kind="video"), record("w", kind="video")], INDEX)
     four = F.array_repeat(F.array(F.lit(1.0)), 4)
     new = FP.fingerprint_rows(index.select("asset_id", F.lit(0).cast("long").alias("dhash"), F.array(F.lit(1.0)).alias("feature_vector")), index, now())
     new = new.drop("dhash", "feature_vector").withColumn("frames", F.when(F.col("asset_id") == "v", four).otherwise(F.slice(four, 1, 3)))
-    table.replace(FP.upsert_videos(table.read(), new))
-    assert [r.asset_id for r in table.read().collect()] == ["v"]
-    assert {r.asset_id for r in FP.needs_analysis(index, table.read(), "video").collect()} == {"w"}
-    assert FP.prune(table.read(), index.filter("asset_id = 'w'")).count() == 0
+    path = str(tmp_path / "v")
+    write_table(FP.upsert_videos(nothing, new), path, VIDEO_FINGERPRINTS)
+    stored = read_table(spark, path, VIDEO_FINGERPRINTS)
+    assert [r.asset_id for r in stored.collect()] == ["v"]
+    assert {r.asset_id for r in FP.needs_analysis(index, stored, "video").collect()} == {"w"}
+    assert FP.prune(stored, index.filter("asset_id = 'w'")).count() == 0
 
 
 def feed(spark, folder, batches, schema):
@@ -119,21 +115,33 @@ def feed(spark, folder, batches, schema):
     )
 
 
+CHANGES = "asset_id string, op string, change_ts timestamp, sequence long"
+
+
+def in_steps(spark, folder, batches, schema, start):
+    """Runs a query over each batch of rows as it arrives, several files a batch; what a run keeps is in its checkpoint alone."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(folder)).awaitTermination()
+
+
 def test_change_stream_equals_batch_and_late_changes_lose(spark, tmp_path):
-    schema = "asset_id string, op string, change_ts timestamp, sequence long"
     batches = [
         [("a", "modify", moment("2024-01-02"), 1), ("b", "delete", moment("2024-01-05"), 2), ("new", "add", moment("2024-01-03"), 3)],
-        [("b", "modify", moment("2024-01-04"), 4), ("a", "modify", moment("2024-01-01"), 5), ("c", "delete", moment("2024-01-01"), 6)],
+        [("b", "modify", moment("2024-01-04"), 4), ("a", "modify", moment("2024-01-01"), 5), ("c", "delete", moment("2023-12-31"), 6), ("d", "modify", None, 7)],
+        [("b", "add", moment("2024-01-06"), 8), ("b", "delete", moment("2024-01-06"), 9)],
     ]
     index = spark.createDataFrame([record(x) for x in "abcd"], INDEX)
-    stream = feed(spark, str(tmp_path / "in"), batches, schema)
-    log = changes.change_log(spark, str(tmp_path / "log"))
-    for _ in range(2):  # the second run finds nothing new
-        changes.maintain_index(stream, log, str(tmp_path / "cp")).awaitTermination()
-    got = {r.asset_id: r.modification_date for r in changes.apply_changes(index, log.read()).collect()}
-    everything = spark.createDataFrame(batches[0] + batches[1], schema)
+    path = str(tmp_path / "log")
+    in_steps(spark, str(tmp_path / "in"), batches, CHANGES, lambda s: changes.maintain_index(s, index, path, str(tmp_path / "cp")))
+    feed_rows = changes.read_changes(spark, path)
+    got = {r.asset_id: r.modification_date for r in changes.apply_changes(index, feed_rows).collect()}
+    everything = spark.createDataFrame([r for b in batches for r in b], CHANGES)
     want = {r.asset_id: r.modification_date for r in changes.apply_changes(index, everything).collect()}
-    assert got == want == {"a": moment("2024-01-02"), "d": moment("2024-01-01"), "new": moment("2024-01-03")}
+    assert got == want == {"a": moment("2024-01-02"), "c": moment("2024-01-01"), "d": moment("2024-01-01"), "new": moment("2024-01-03")}
+    # what was late when it came was not written, also behind a deletion
+    assert {(r.asset_id, r.sequence) for r in feed_rows.collect()} >= {("a", 1), ("b", 2), ("new", 3), ("b", 9)}
+    assert not {4, 5, 6, 7} & {r.sequence for r in feed_rows.collect()}
 
 
 def test_changes_of_one_time_are_in_sequence(spark):
@@ -144,42 +152,27 @@ def test_changes_of_one_time_are_in_sequence(spark):
     assert [r.asset_id for r in changes.apply_changes(index, spark.createDataFrame(rows, schema)).collect()] == ["b"]
 
 
-def test_late_changes_lose_after_the_log_was_folded(spark, tmp_path):
-    schema = "asset_id string, op string, change_ts timestamp, sequence long"
-    index = spark.createDataFrame([record(x) for x in "abc"], INDEX)
-    log, folded = (changes.change_log(spark, str(tmp_path / x)) for x in ("log", "folded"))
-    log.write(spark.createDataFrame([("a", "delete", moment("2024-03-02"), 1), ("b", "modify", moment("2024-03-02"), 2)], schema), 0)
-    current = spark.createDataFrame(changes.fold(index, log, folded).collect(), INDEX)
-    late = [("a", "modify", moment("2024-03-01"), 3), ("b", "modify", moment("2024-03-01"), 4), ("c", "delete", moment("2023-01-01"), 5)]
-    folded.write(spark.createDataFrame(late, schema), 0)
-    got = {r.asset_id: r.modification_date for r in changes.apply_changes(current, folded.read()).collect()}
-    assert got == {"b": moment("2024-03-02"), "c": moment("2024-01-01")}
-
-
-def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
-    one, other = (photo_fingerprint_table(spark, str(tmp_path / "p")) for _ in range(2))
-    rows = one.read()
-    other._next_version = lambda: 1  # it looked before the first wrote
-    assert one.replace(rows) == 1
-    with pytest.raises(FileExistsError):
-        other.replace(rows)
-    assert one.replace(rows) == 2 and one.versions() == [1, 2]
-
-
-def test_bin_stream_first_deletion_wins_across_batches(spark, tmp_path):
-    schema = "asset_id string, kind string, file_size long, deleted_at timestamp"
+ENTRIES = "asset_id string, kind string, file_size long, deleted_at timestamp, sequence long"
+
+
+def test_bin_stream_first_deletion_wins_and_entries_leave_by_age(spark, tmp_path):
     batches = [
-        [("a", "photo", 1, moment("2024-02-01")), ("a", "photo", 2, moment("2024-01-31"))],
-        [("a", "photo", 3, moment("2024-02-05")), ("b", "video", 4, moment("2024-02-02"))],
+        [("a", "photo", 1, moment("2024-02-01"), 2), ("a", "photo", 2, moment("2024-01-31"), 1), ("n", "photo", 9, None, 3)],
+        [("a", "photo", 3, moment("2024-02-05"), 4), ("b", "video", None, moment("2024-02-02"), 5), ("old", "photo", 8, moment("2024-02-03"), 6)],
+        [("c", "photo", 6, moment("2024-03-02"), 7)],
+        [("a", "photo", 7, moment("2024-03-10"), 8)],
     ]
-    stream = feed(spark, str(tmp_path / "in"), batches, schema)
-    log = deletions.bin_log(spark, str(tmp_path / "log"))
-    deletions.fill_bin(stream, log, str(tmp_path / "cp"), ["deleted_at"]).awaitTermination()
-    sizes = {r.asset_id: r.file_size for r in log.read().collect()}
-    # files are listed in no fixed order; whichever batch came first decides for a
-    assert sizes["b"] == 4 and sizes["a"] in (2, 3) and len(sizes) == 2
-    assert log.read().count() == 2
-    assert B.totals(log.read(), now()).first().active_items == 2
+    existing = spark.createDataFrame([("old", "photo", 5, moment("2024-01-20"), 0)], ENTRIES)
+    path = str(tmp_path / "events")
+    in_steps(spark, str(tmp_path / "in"), batches, ENTRIES, lambda s: deletions.fill_bin(s, path, str(tmp_path / "cp"), existing))
+    events = deletions.read_events(spark, path)
+    entered = sorted((r.asset_id, r.file_size, r.deleted_at) for r in deletions.bin_entries(events).collect())
+    # the first deletion of a batch by time, the first batch of all; after a has left, a deletion is a new entry
+    assert entered == [("a", 2, moment("2024-01-31")), ("a", 7, moment("2024-03-10")), ("b", None, moment("2024-02-02")), ("c", 6, moment("2024-03-02"))]
+    left = {(r.asset_id, r.event_at) for r in events.filter("event = 'left'").collect()}
+    # 29 days after the deletion less than a whole day is left; the watermark is a day behind
+    assert {("old", moment("2024-02-18")), ("a", moment("2024-02-29"))} <= left
+    assert not {a for a, _ in left} & {"c"}
 
 
 def test_stateful_first_deletions(spark, tmp_path):
@@ -212,30 +205,43 @@ def test_entries_leave_the_bin_by_age(spark, tmp_path):
     assert [tuple(r) for r in spark.table("left_the_bin").collect()] == [("a", moment("2024-01-01"), moment("2024-01-30"))]
 
 
-def test_bin_log_opens_only_the_buckets_of_a_batch(spark, tmp_path):
-    log = deletions.bin_log(spark, str(tmp_path / "log"))
-    rows = [(f"x{i}", "photo", 1, moment("2024-02-01")) for i in range(200)]
-    schema = "asset_id string, kind string, file_size long, deleted_at timestamp"
-    log.write(spark.createDataFrame(rows, schema), 0)
-    asked = spark.createDataFrame(rows[:1], schema)
-    found = log.read(before=1, asked=asked)
-    assert "x0" in {r.asset_id for r in found.collect()} and found.count() < 20 and log.read().count() == 200
-    assert log.read(before=0, asked=asked).count() == 0
-    assert "PartitionFilters: [" in found._jdf.queryExecution().executedPlan().toString()
-
-
 def test_fingerprint_stream_handles_only_misses(spark, tmp_path, pictures):
     images = read_images(spark, pictures)
-    images.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(images.schema).parquet(str(tmp_path / "in"))
     index = spark.createDataFrame([record(x) for x in ("ramp", "back", "elsewhere")], INDEX)
-    log = stream_fp.fingerprint_log(spark, str(tmp_path / "log"))
-    done = FP.fingerprint_rows(FP.featurize(images), index.filter("asset_id = 'ramp'"), now())
-    log.write(done, -1)
-    stream_fp.fingerprint_new_images(stream, index, log, str(tmp_path / "cp"), now()).awaitTermination()
-    assert {(r.asset_id, r.batch_id) for r in log.read().collect()} == {("ramp", -1), ("back", 0)}
-    latest = stream_fp.latest_fingerprints(log.read())
-    assert FP.needs_analysis(index, latest, "similar").count() == 1  # no image of it has come
+    stored = FP.fingerprint_rows(FP.featurize(images), index.filter("asset_id = 'ramp'"), now())
+    seen = []
+    path, folder = str(tmp_path / "prints"), str(tmp_path / "in")
+    for _ in range(2):  # the second time every image comes again
+        images.repartition(3).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(images.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        stream_fp.fingerprint_new_images(stream, index, stored, path, str(tmp_path / "cp")).awaitTermination()
+        seen.append(sorted(r.asset_id for r in stream_fp.read_prints(spark, path).collect()))
+    assert seen == [["back"], ["back"]]
+    new = stream_fp.fingerprints_of(stream_fp.read_prints(spark, path), index, now())
+    merged = FP.upsert_photos(stored, new)
+    assert [r.asset_id for r in FP.needs_analysis(index, merged, "similar").collect()] == ["elsewhere"]  # no image of it has come
+    # a print of an earlier state of the asset is not stored
+    edited = index.withColumn("pixel_width", F.lit(7))
+    assert stream_fp.fingerprints_of(stream_fp.read_prints(spark, path), edited, now()).count() == 0
+
+
+def test_batches_do_not_scan_index_or_log(spark, tmp_path):
+    """After the first batch a micro-batch reads its own files and the state of its own keys."""
+    index = spark.createDataFrame([record(x) for x in "abcd"], INDEX)
+    folder, path = str(tmp_path / "in"), str(tmp_path / "log")
+    rows = [[("a", "modify", moment("2024-01-02"), 1)], [("b", "modify", moment("2024-01-03"), 2)]]
+    progress = []
+
+    def start(stream):
+        query = changes.maintain_index(stream, index, path, str(tmp_path / "cp"))
+        query.awaitTermination()
+        progress.append([p for p in query.recentProgress if p.numInputRows])
+        return query
+
+    in_steps(spark, folder, rows, CHANGES, start)
+    last = progress[-1][-1]
+    assert last.numInputRows == 1 and len(last.sources) == 1
+    assert last.stateOperators[0].numRowsTotal == 4  # two changed assets beside the two that only the index named
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
