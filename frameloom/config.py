@@ -95,8 +95,13 @@ class MatchTuning:
     max_families: int = 64
     family_rows: int = 8
     family_share: float = 0.005
-    # principal directions that tiles are told apart by, and rows of a run that they come from
-    tile_directions: int = 16
+    # near rows that balls are sought in, at most 8,192, and the least rows of one; sides of directions that put rows in order, and rows
+    # that directions come from where a task finds them
+    chunk_rows: int = 2048
+    ball_rows: int = 4
+    # share of rows in balls from which no cells are made
+    balls_share: float = 0.75
+    code_bits: int = 24
     direction_rows: int = 512
 
 

@@ -14,8 +14,9 @@ Scopes beyond ``split_rows`` are first cut into cells that keep every possible m
 
 Pivots may be taken by a single frame of videos, and cells may be boxes over the leading principal directions of a sample, for a
 projection never lengthens a distance. Several such partitions are put together, as long as one more lessens the work
-estimated on the sample. Inside a task rows are put in order of their own principal directions, and tiles whose boxes are
-too far apart are not scored.
+estimated on the sample. Rows that lie close together are put into small balls beforehand and stay together in
+blocks; inside a task, balls too far apart to hold a match are not scored: clusters cost their own pairs, and a pair of centres for each
+pair of balls.
 
 Where only connectivity is wanted, nodes are first compared with the pivots. Nodes matching the same pivot
 are connected already, so the largest such family of a cell is compared with the rest of the cell but not
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -376,38 +378,59 @@ def principal_directions(sample: np.ndarray, most: int) -> np.ndarray:
     return directions[: min(most, int((spread > 1e-9).sum()))].T
 
 
-def _kd_order(projected: np.ndarray, leaf: int) -> np.ndarray:
-    """Rows so that runs of ``leaf`` of them lie close together: halved at the median of the widest direction, over and over."""
-    done, todo = [], [np.arange(len(projected))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= leaf or not projected.shape[1]:
-            done.append(rows)
-            continue
-        part = projected[rows]
-        widest = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-        # whole leaves on the left, so that tiles are leaves
-        half = leaf * max(1, len(rows) // leaf // 2)
-        order = np.argpartition(part[:, widest], half - 1)
-        todo += [rows[order[half:]], rows[order[:half]]]
-    return np.concatenate(done)
+def place_code(points: np.ndarray, middle: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """On which side of the middle a row lies along each direction, the first in the highest bit: rows of near codes are near."""
+    sides = (points - middle) @ directions > 0
+    return (sides.astype(np.int64) << np.arange(directions.shape[1])[::-1]).sum(axis=1)
+
+
+def tight_balls(points: np.ndarray, reach: float, tuning: MatchTuning) -> np.ndarray:
+    """A ball number for every row, chunk by chunk: rows within ``reach`` of a first one. Loose rows, which make no ball of some
+    rows, are one wide ball of their chunk; its number is negative."""
+    out = np.zeros(len(points), np.int64)
+    used = 0
+    for lo in range(0, len(points), tuning.chunk_rows):
+        part = points[lo : lo + tuning.chunk_rows]
+        close = _distances(part, part) <= reach
+        own, n = np.full(len(part), -1), 0
+        for i in range(len(part)):
+            if own[i] < 0:
+                members = close[i] & (own < 0)
+                members[i] = True
+                own[members] = n
+                n += 1
+        sizes = np.bincount(own, minlength=n)
+        kept = sizes >= tuning.ball_rows
+        number = np.where(kept, used + np.cumsum(kept), -1 - used)
+        out[lo : lo + len(part)] = number[own]
+        used += int(kept.sum()) + 1
+    return out
 
 
-def _tile_boxes(projected: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.arange(0, len(projected), leaf)
-    return np.minimum.reduceat(projected, starts), np.maximum.reduceat(projected, starts)
+class _Balls:
+    """Centres and radii of balls of rows."""
 
+    def __init__(self, points: np.ndarray, ball: np.ndarray) -> None:
+        _, self.of = np.unique(ball, return_inverse=True)
+        order = np.argsort(self.of, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(self.of[order]) > 0))
+        sizes = np.diff(np.append(starts, len(order)))
+        self.centres = np.add.reduceat(points[order], starts) / sizes[:, None]
+        away = points[order] - np.repeat(self.centres, sizes, axis=0)
+        self.radii = np.sqrt(np.maximum.reduceat((away * away).sum(axis=1), starts))
 
-def _box_gaps(a: tuple[np.ndarray, np.ndarray], i: int, b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Distance of box i of a to every box of b: no two of their rows are closer."""
-    gap = np.maximum(0.0, np.maximum(a[0][i] - b[1], b[0] - a[1][i]))
-    return np.sqrt((gap * gap).sum(axis=1))
+    def near(self, rows: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each row's ball is so near to a ball of ``rows`` that two of their rows may be within ``radius``."""
+        own = np.unique(self.of[rows])
+        gap = _distances(self.centres[own], self.centres) - self.radii[own][:, None] - self.radii[None, :]
+        # distances by product lose digits near zero
+        return (gap <= radius + 1e-6).any(axis=0)[self.of]
 
 
 def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool, tally: list | None = None) -> pa.RecordBatch | None:
     """Score the one or two blocks of a run tile by tile and reduce to one row per matched node.
 
-    Tiles whose boxes are apart by more than the match radius are not scored, nor are tiles of one settled set. Where only
+    A tile is scored with the rows of balls that may hold a match of it; tiles of one settled set are not scored. Where only
     connectivity is wanted, rows are put in order of what some hubs connect already, and tiles of a single component
     are not scored. ``tally`` gets the number of pairs of each tile that is.
     """
@@ -457,24 +480,34 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
             across = (side[ia] != side[ib]) if is_cross else np.ones(len(ia), bool)
             count(ia[across], ib[across], value[across])
         first = first[:0]
-    boxes = None
+    balls = None
     if scorer.has_points and n > tile_rows:
-        projected = data["points"] @ principal_directions(data["points"][:: max(1, n // tuning.direction_rows)], tuning.tile_directions)
-        first, second = (x[_kd_order(projected[x], tile_rows)] for x in (first, second))
-        first, second = (x[np.argsort(settled[x], kind="stable")] for x in (first, second))
+        if "ball" in rows.column_names:
+            ball = rows["ball"].to_numpy()
+        else:
+            some = data["points"][:: max(1, n // tuning.direction_rows)]
+            middle, directions = np.median(some, axis=0), principal_directions(some, tuning.code_bits)
+            order_by_code = np.argsort(place_code(data["points"], middle, directions), kind="stable")
+            ball = np.empty(n, np.int64)
+            ball[order_by_code] = tight_balls(data["points"][order_by_code], scorer.radius / 2.0, tuning)
+        balls = _Balls(data["points"], ball)
+        # loose rows last: what is compared with them is nearly everything
+        for key in (ball, ball < 0, settled):
+            first, second = (x[np.argsort(key[x], kind="stable")] for x in (first, second))
     if connectivity_only and n > tuning.run_hubs:
         label = _near_hubs(data, label, rank, scorer, tuning)
         first, second = (x[np.argsort(label[rank[x]], kind="stable")] for x in (first, second))
-    if scorer.has_points and n > tile_rows:
-        boxes = [_tile_boxes(projected[x], tile_rows) for x in (first, second)]
-    for i in range(0, len(first), tile_rows):
-        left = first[i : i + tile_rows]
+    # few balls to a tile, so few are near one of them; as many pairs at a time
+    high, wide = (tile_rows, tile_rows) if balls is None else (max(1, tile_rows // 4), 4 * tile_rows)
+    for i in range(0, len(first), high):
+        left = first[i : i + high]
         tile = _take(data, left)
-        near = None if boxes is None else _box_gaps(boxes[0], i // tile_rows, boxes[1]) <= scorer.radius + _ROOM
-        for j in range(0 if is_cross else i, len(second), tile_rows):
-            right = second[j : j + tile_rows]
-            if near is not None and not near[j // tile_rows]:
-                continue
+        places = np.arange(0 if is_cross else i, len(second))
+        if balls is not None:
+            places = places[balls.near(left, scorer.radius)[second[places]]]
+        for j in range(0, len(places), wide):
+            at = places[j : j + wide]
+            right = second[at]
             if settled[left[0]] >= 0 and (settled[left] == settled[left[0]]).all() and (settled[right] == settled[left[0]]).all():
                 continue
             if connectivity_only and len(np.unique(label[rank[np.concatenate([left, right])]])) == 1:
@@ -482,8 +515,8 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
             if tally is not None:
                 tally.append(len(left) * len(right))
             ia, ib, value = scorer.score(tile, _take(data, right))
-            if not is_cross and i == j:
-                once = ia < ib
+            if not is_cross:
+                once = i + ia < at[ib]
                 ia, ib, value = ia[once], ib[once], value[once]
             count(left[ia], right[ib], value)
 
@@ -614,14 +647,16 @@ def _partitions(data: dict, scorer: Scorer, tuning: MatchTuning) -> Iterator[Piv
         _, distinct = np.unique(space, axis=0, return_index=True)
         space = space[np.sort(distinct)]
         count = 8
-        while count <= min(tuning.max_pivots, len(space) // 2):
+        while count <= min(tuning.max_pivots, len(space)):
             yield Pivots(space[:count], radius, frame)
             count *= 4
 
 
-def finest_grid(cells: Cells, cost: float, data: dict, radius: float, rows: int, tuning: MatchTuning) -> tuple[Cells, float]:
-    """``cells`` and a grid of least estimated work: the direction that helps most is cut twice as fine, as long as one helps."""
-    points = data["points"]
+def finest_grid(cells: Cells, cost: float, points: np.ndarray, data: dict, radius: float, rows: int, tuning: MatchTuning) -> tuple[Cells, float]:
+    """``cells`` and a grid of least estimated work: the direction that helps most is cut twice as fine, as long as one helps.
+
+    Directions and cuts come from ``points``, the estimate from other rows, ``data``.
+    """
     directions = principal_directions(points, tuning.grid_directions)
     projected = points @ directions
     shape, best = [1] * directions.shape[1], cells
@@ -645,12 +680,17 @@ def finest_grid(cells: Cells, cost: float, data: dict, radius: float, rows: int,
 
 def choose_cells(data: dict, scorer: Scorer, rows: int, tuning: MatchTuning = TUNING) -> Cells:
     """Cells of least estimated work on a sample: partitions are put together as long as one more pays. None is always a choice."""
-    few = _take(data, np.arange(min(len(data["points"]), tuning.cost_rows)))
+    # rows that cells are made from look better placed than others, so the work is estimated on others
+    half = len(data["points"]) // 2
+    makers = _take(data, np.arange(half))
+    few = _take(data, np.arange(half, min(len(data["points"]), half + tuning.cost_rows)))
     best = Cells()
+    if half < 2:
+        return best
     cost = best.cost(few, rows, tuning)
     for _ in range(tuning.partitions):
-        tried = [finest_grid(best, cost, few, scorer.radius, rows, tuning)] if not any(isinstance(p, PrincipalGrid) for p in best.parts) else []
-        for part in _partitions(data, scorer, tuning):
+        tried = [finest_grid(best, cost, makers["points"], few, scorer.radius, rows, tuning)] if not any(isinstance(p, PrincipalGrid) for p in best.parts) else []
+        for part in _partitions(makers, scorer, tuning):
             candidate = Cells((*best.parts, part))
             if math.prod(p.size for p in candidate.parts) < 2**62:
                 tried.append((candidate, candidate.cost(few, rows, tuning)))
@@ -671,20 +711,66 @@ class _Guide:
     scopes: np.ndarray
 
     @staticmethod
-    def of(sample: pa.Table, scorer: Scorer, rows: int, tuning: MatchTuning) -> _Guide:
+    def of(sample: pa.Table, scorer: Scorer, rows: int, tuning: MatchTuning, find_cells: bool) -> _Guide:
         prepared = scorer.prepare(sample)
         _, distinct = np.unique(prepared["points"], axis=0, return_index=True)
         distinct = np.sort(distinct)
         prepared = _take(prepared, distinct)
-        cells = choose_cells(prepared, scorer, rows, tuning) if len(distinct) > 1 else Cells()
+        cells = choose_cells(prepared, scorer, rows, tuning) if find_cells else Cells()
         hubs = np.arange(min(tuning.max_hubs, len(distinct)))
         names = np.asarray(sample["node"].to_pylist(), object)[distinct]
         scopes = np.asarray(sample["scope"].to_pylist(), object)[distinct]
         return _Guide(cells, _take(prepared, hubs), names[hubs], scopes[hubs])
 
 
+def _with_balls(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning) -> DataFrame:
+    """``nodes`` with the ball of each row and the chunk that the ball was made in; chunks have a bounded number of near rows.
+
+    Rows are dealt by range of their code and then by name, so a hot code is many chunks. What is shipped is a few directions
+    for each length of vector in a bounded sample.
+    """
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(tuning.sample_rows).toArrow()
+    widths = scorer.widths(sample)
+    guides = {}
+    for width in np.unique(widths):
+        points = scorer.prepare(sample.take(np.flatnonzero(widths == width)))["points"]
+        guides[int(width)] = np.median(points, axis=0), principal_directions(points, tuning.code_bits)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            widths, code = scorer.widths(rows), np.zeros(batch.num_rows, np.int64)
+            for width in np.unique(widths):
+                if int(width) in guides:
+                    at = np.flatnonzero(widths == width)
+                    code[at] = place_code(scorer.prepare(rows.take(at))["points"], *guides[int(width)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code), pa.array(widths.astype(np.int32))], names=[*batch.schema.names, "code", "width"])
+
+    def balled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, chunk = TaskContext.get().partitionId() << 36, 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, tuning.chunk_rows):
+                part = batch.slice(lo, tuning.chunk_rows)
+                rows = pa.Table.from_batches([part])
+                widths, ball = scorer.widths(rows), np.zeros(part.num_rows, np.int64)
+                for width in np.unique(widths):
+                    at = np.flatnonzero(widths == width)
+                    found = tight_balls(scorer.prepare(rows.take(at))["points"], scorer.radius / 2.0, tuning)
+                    number = base + (chunk << 13)
+                    ball[at] = np.where(found < 0, -1 - number, number + found)
+                    chunk += 1
+                names = [n for n in part.schema.names if n not in ("code", "width")]
+                of = np.where(ball < 0, -1 - ball, ball) >> 13
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(of), pa.array(ball)], names=[*names, "chunk", "ball"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    order = ["scope", "width", "code", F.xxhash64("node")]
+    dealt = cut_lineage(nodes.mapInArrow(coded, f"{fields}, code bigint, width int")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(dealt.mapInArrow(balled, f"{fields}, chunk bigint, ball bigint"))
+
+
 def _with_vector_cells(
-    nodes: DataFrame, scorer: Scorer, rows: int, tuning: MatchTuning, find_hubs: bool
+    nodes: DataFrame, scorer: Scorer, rows: int, tuning: MatchTuning, find_hubs: bool, find_cells: bool = True
 ) -> DataFrame:
     """One row per (node, vector cell), with the pivot a node matches where hubs are wanted.
 
@@ -694,7 +780,7 @@ def _with_vector_cells(
     """
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(tuning.sample_rows).toArrow()
     widths = scorer.widths(sample)
-    guides = {int(w): _Guide.of(sample.take(np.flatnonzero(widths == w)), scorer, rows, tuning) for w in np.unique(widths)}
+    guides = {int(w): _Guide.of(sample.take(np.flatnonzero(widths == w)), scorer, rows, tuning, find_cells) for w in np.unique(widths)}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -730,7 +816,8 @@ def _with_vector_cells(
                 )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.mapInArrow(assign, f"{fields}, hub string, vector_cell bigint, vector_home boolean")
+    placed = nodes.mapInArrow(assign, f"{fields}, hub string, vector_cell bigint, vector_home boolean")
+    return placed.withColumn("has_guests", F.lit(any(g.cells.parts for g in guides.values())))
 
 
 # --- the operator ---------------------------------------------------------------------------------
@@ -745,38 +832,64 @@ def _rows_per_block(rows: Column, row_bytes: Column, tasks: int, tuning: MatchTu
 
 
 def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning, factor: int = 1) -> DataFrame:
-    """Give every row its block and one copy per block pair it takes part in."""
+    """Give every row its block and one copy per block pair it takes part in.
+
+    A cell has blocks of four kinds: rows of its own or visitors, each of its largest family or not. Visitors are not compared
+    with each other, nor is the family.
+    """
     key = ["scope", "cell", "vector_cell"]
     row_bytes = F.max("row_bytes") if "row_bytes" in cells.columns else F.lit(8)
-    families = cells.groupBy(*key, "hub").agg(F.count("*").alias("n"), row_bytes.alias("bytes"))
-    is_family = F.col("hub").isNotNull()
+    # visitors of a vector cell, or else those of the scorer's own cells
+    cells = cells.withColumn("is_own", F.when(F.col("has_guests"), F.col("vector_home")).otherwise(F.col("home")))
+    own_rows = F.count_if("is_own")
+    families = cells.groupBy(*key, "hub").agg(F.count("*").alias("n"), own_rows.alias("own"), row_bytes.alias("bytes"))
+    of_major = lambda value: F.max_by(value, F.when(F.col("hub").isNotNull(), F.struct("n", "hub")))
+    zero = F.lit(0).cast("long")
     sizes = families.groupBy(*key).agg(
         F.sum("n").alias("total"),
+        F.sum("own").alias("total_own"),
         F.max("bytes").alias("bytes"),
-        F.coalesce(F.max(F.when(is_family, F.col("n"))), F.lit(0)).alias("major_rows"),
-        F.max_by("hub", F.when(is_family, F.struct("n", "hub"))).alias("major"),
+        of_major("hub").alias("major"),
+        F.coalesce(of_major("n"), zero).alias("major_rows"),
+        F.coalesce(of_major("own"), zero).alias("major_own"),
     )
-    sizes = (
-        sizes.filter("total >= 2")
-        .withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning, factor))
-        .withColumn("rest_blocks", F.ceil((F.col("total") - F.col("major_rows")) / F.col("per_block")))
-        .withColumn("major_blocks", F.ceil(F.col("major_rows") / F.col("per_block")))
-        .filter("rest_blocks > 0")
-        .drop("total", "bytes", "major_rows", "per_block")
-    )
-    spread = F.xxhash64("node")
+    rows = {
+        "own": F.col("total_own") - F.col("major_own"),
+        "own_major": F.col("major_own"),
+        "guest": F.col("total") - F.col("total_own") - F.col("major_rows") + F.col("major_own"),
+        "guest_major": F.col("major_rows") - F.col("major_own"),
+    }
+    sizes = sizes.filter("total >= 2").withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning, factor))
+    sizes = sizes.withColumns({f"n_{kind}": F.ceil(n / F.col("per_block")) for kind, n in rows.items()})
+    sizes = sizes.select(*key, "major", *(f"n_{kind}" for kind in rows)).filter("n_own > 0 OR (n_own_major > 0 AND n_guest > 0)")
+    own, own_major, guest, guest_major = (F.col(f"n_{kind}") for kind in rows)
+
+    def numbers(first: Column, n: Column) -> Column:
+        return F.when(n > 0, F.sequence(first, first + n - 1)).otherwise(F.array().cast("array<bigint>"))
+
     in_major = F.coalesce(F.col("hub") == F.col("major"), F.lit(False))
-    rest, major = F.col("rest_blocks"), F.col("major_blocks")
-    block = F.when(in_major, rest + F.pmod(spread, F.greatest(major, F.lit(1)))).otherwise(F.pmod(spread, rest))
-    # the family is compared with the rest only; the rest with everything
-    partners = F.sequence(F.lit(0).cast("long"), F.when(in_major, rest - 1).otherwise(rest + major - 1))
+    near = "chunk" if "chunk" in cells.columns else "node"
+    spread = lambda first, n: first + F.pmod(F.xxhash64(near), F.greatest(n, F.lit(1)))
+    is_own = F.col("is_own")
+    block = (
+        F.when(is_own & ~in_major, spread(zero, own))
+        .when(is_own, spread(own, own_major))
+        .when(~in_major, spread(own + own_major, guest))
+        .otherwise(spread(own + own_major + guest, guest_major))
+    )
+    partners = (
+        F.when(is_own & ~in_major, numbers(zero, own + own_major + guest + guest_major))
+        .when(is_own, F.concat(numbers(zero, own), numbers(own + own_major, guest)))
+        .when(~in_major, numbers(zero, own + own_major))
+        .otherwise(numbers(zero, own))
+    )
     return (
         cells.join(sizes, key)
         .withColumn("block", block)
         .withColumn("other", F.explode(partners))
         .withColumn("is_cross", F.col("block") != F.col("other"))
         .withColumn("pair", F.concat_ws("/", *key, F.least("block", "other"), F.greatest("block", "other")))
-        .drop("major", "rest_blocks", "major_blocks", "other", *key, "hub", "row_bytes")
+        .drop("major", "other", *key, "hub", "chunk", "is_own", "has_guests", "row_bytes", *(f"n_{kind}" for kind in rows))
     )
 
 
@@ -808,11 +921,15 @@ def match_nodes(
         "hub": F.lit(None).cast("string"),
         "vector_cell": F.lit(0).cast("long"),
         "vector_home": F.lit(True),
+        "has_guests": F.lit(False),
     }
     cells = nodes
     find_hubs = connectivity_only and not named
     if is_large and scorer.has_points:
-        placed = _with_vector_cells(nodes, scorer, largest, tuning, find_hubs)
+        nodes = _with_balls(nodes, scorer, tuning)
+        # where most rows lie in balls, those spare more work than cells, and no row is copied for it
+        in_balls = nodes.agg(F.avg((F.col("ball") >= 0).cast("double"))).first()[0] or 0.0
+        placed = _with_vector_cells(nodes, scorer, largest, tuning, find_hubs, in_balls < tuning.balls_share)
         # read again for the hubs' edges
         placed = cut_lineage(placed) if find_hubs else placed
         cells = scorer.split(placed)

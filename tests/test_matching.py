@@ -199,7 +199,7 @@ def test_cells_keep_every_match_together(seed):
     points = frames.reshape(len(frames), -1) / np.sqrt(2)
     data, radius = {"points": points, "frames": frames}, 0.3
     pivots, by_frame = M.Pivots(points[:32], radius), M.Pivots(frames[:32, 1], radius, 1)
-    grid = M.finest_grid(M.Cells(), np.inf, data, radius, 10_000, PLAIN)[0].parts
+    grid = M.finest_grid(M.Cells(), np.inf, points, data, radius, 10_000, PLAIN)[0].parts
     assert len(grid) == 1 and grid[0].size > 1
     distance = np.linalg.norm(points[:, None] - points[None, :], axis=2)
     by_frames = np.linalg.norm(frames[:, None] - frames[None, :], axis=3)
