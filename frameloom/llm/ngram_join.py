@@ -6,10 +6,13 @@ left of a class is an upper bound on its overlap with anything, and a class whos
 sets goes too. The others are ordered by frequency, and only classes that share an n-gram in the prefixes where their
 overlap must begin are paired, again within size-derived bounds (length, and what can follow a shared n-gram).
 
-The product is multiplied in blocks. Classes that prefixes hold together are a family; small families share blocks, a
-large one is several. A task counts the overlaps of its block's pairs and returns a forest of the links, so no pair leaves
-it. Of a large family each block is multiplied with itself and with the first one; then only what is not yet in the
-family's largest group is multiplied with the other blocks, and no link that joins two groups is lost.
+The product is multiplied in blocks. Classes that prefixes hold together are a family; small families share blocks. A large
+family is dealt in the way that moves fewer rows: every part of it with every other, as suits one great group of near copies,
+or by prefix n-gram, as suits what chance alone holds together: then a class goes where an n-gram of its prefix is, a pair
+counts where its first common n-gram is, and only a frequent n-gram is cut into parts.
+
+A task counts the overlaps of its block's pairs, every pair of classes in one block only, and returns for each class how many
+documents it is linked with there, and a forest of the links. So no pair leaves it, and no link is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm import kernels as K
@@ -30,8 +33,11 @@ SHINGLE_WORDS = 4
 THRESHOLD = 85
 # Frequencies at and above this count as one in the order of n-grams; any order is right.
 TOP_FREQUENCY = 1 << 16
-# Classes in a block of the product.
+# Classes in a part of the product, and n-grams of all of them.
 BLOCK_ROWS = 2000
+BLOCK_ITEMS = 1 << 20
+# N-grams that a class is compared with at a time.
+ITEMS_AT_ONCE = 1 << 21
 # Incidence rows that a map task packs at a time, and partitions they go to at least.
 ROWS_AT_ONCE = 1 << 18
 SETS_AT_ONCE = 100_000
@@ -180,25 +186,29 @@ class _Forest:
         return others[at]
 
 
-def _block_product(threshold: int):
-    """Links of a block: overlap counts of the pairs that the bounds leave, less those already connected.
+def _block_product(threshold: int, n_buckets: int):
+    """Links of a block: overlap counts of the pairs that the bounds leave.
 
-    A block's rows are pairs of sides: those on side 0 are compared with all, those on side 1 with side 0 only.
-    What comes out is a forest, never more rows than the block has documents.
+    A block's rows have a side: 0 and 1 are compared with each other, -1 with all. In a block of a bucket only n-grams of that bucket
+    make pairs, and a pair counts if its first common n-gram is one of them. What comes out is a row for each class that
+    has links, with the documents it is linked with, and a forest: never more than two rows a class.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        cls, n, k = (np.asarray(table.column(c)) for c in ("cls", "n", "k"))
-        side, reach = np.asarray(table.column("side")), np.asarray(table.column("reach"))
+        cls, n, k, copies = (np.asarray(table.column(c)) for c in ("cls", "n", "k", "copies"))
+        side, reach, bucket = np.asarray(table.column("side")), np.asarray(table.column("reach")), table.column("bucket")[0].as_py()
         lists = table.column("shingles").combine_chunks()
         ends = np.asarray(lists.offsets)
         ends, flat = ends - ends[0], np.asarray(lists.flatten())
         names, column = np.unique(flat, return_inverse=True)
-        forest = _Forest(np.asarray(table.column("g")))
+        forest = _Forest(np.arange(len(cls)))
         begin = ends[:-1]
         # prefix entries by n-gram
         doc = np.repeat(np.arange(len(cls)), reach)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(reach) - reach, reach)
+        if bucket >= 0:
+            here = flat[begin[doc] + pos] % n_buckets == bucket
+            doc, pos = doc[here], pos[here]
         gram = column[begin[doc] + pos]
         order = np.lexsort((doc, gram))
         by_doc, room, gram = doc[order], (k[doc] - pos)[order], gram[order]
@@ -206,115 +216,149 @@ def _block_product(threshold: int):
         tail = np.searchsorted(gram, gram, side="right")
         slot = np.empty(len(order), np.int64)
         slot[order] = np.arange(len(order))
-        slot_ends = np.concatenate([[0], np.cumsum(reach)])
+        slot_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(cls)))])
         marked = np.zeros(len(names), dtype=np.int32)
         links: list[tuple[int, int]] = []
+        linked_with = np.zeros(len(cls), np.int64)
         for a in range(len(cls)):
             near = []
             for i in slot[slot_ends[a] : slot_ends[a + 1]]:
                 other = by_doc[head[i] : tail[i]]
                 least = -(-threshold * (n[a] + n[other]) // (100 + threshold))
-                fits = (other < a) & (np.minimum(room[i], room[head[i] : tail[i]]) >= least) & (forest.label[other] != forest.label[a])
+                fits = (other < a) & (np.minimum(room[i], room[head[i] : tail[i]]) >= least)
                 near.append(other[fits])
             near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
-            near = near[(side[near] == 0) | (side[a] == 0)]
+            near = near[(side[near] < 0) | (side[near] != side[a])]
             near = near[100 * np.minimum(n[near], n[a]) >= threshold * np.maximum(n[near], n[a])]
             if not len(near):
                 continue
             marked[column[ends[a] : ends[a + 1]]] = 1
-            sizes = ends[near + 1] - ends[near]
-            starts = np.cumsum(sizes) - sizes
-            at = np.arange(sizes.sum()) + np.repeat(ends[near] - starts, sizes)
-            overlap = np.add.reduceat(marked[column[at]], starts)
+            all_sizes = ends[near + 1] - ends[near]
+            cuts = np.unique(np.searchsorted(np.cumsum(all_sizes), np.arange(0, all_sizes.sum(), ITEMS_AT_ONCE)))
+            for some in np.split(near, cuts[cuts > 0]):
+                sizes = ends[some + 1] - ends[some]
+                starts = np.cumsum(sizes) - sizes
+                at = np.arange(sizes.sum()) + np.repeat(ends[some] - starts, sizes)
+                shared = marked[column[at]]
+                overlap = np.add.reduceat(shared, starts)
+                found = 100 * overlap >= threshold * (n[a] + n[some] - overlap)
+                if bucket >= 0 and found.any():
+                    first = np.minimum.reduceat(np.where(shared > 0, at, len(flat) - 1), starts)
+                    found &= flat[first] % n_buckets == bucket
+                linked = some[found]
+                if len(linked):
+                    linked_with[a] += copies[linked].sum()
+                    linked_with[linked] += copies[a]
+                    links.extend((int(cls[a]), int(cls[b])) for b in forest.join(a, linked))
             marked[column[ends[a] : ends[a + 1]]] = 0
-            linked = near[100 * overlap >= threshold * (n[a] + n[near] - overlap)]
-            if len(linked):
-                links.extend((int(cls[a]), int(cls[b])) for b in forest.join(a, linked))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        some = linked_with > 0
+        one, other = [np.array(x, np.int64) for x in zip(*links)] if links else [np.zeros(0, np.int64)] * 2
+        return pa.table({
+            "a": pa.array(np.concatenate([cls[some], one])),
+            "b": pa.array(np.concatenate([cls[some], other])),
+            "links": pa.array(np.concatenate([linked_with[some], np.zeros(len(one), np.int64)])),
+        })
 
     return run
 
 
-def _multiply(blocks: DataFrame, threshold: int) -> DataFrame:
-    """Links found in ``blocks`` (columns block, side, g and those of the incidence rows)."""
-    return blocks.groupBy("block").applyInArrow(_block_product(threshold), "a long, b long")
+def _parts(rows: Column, items: Column) -> Column:
+    """Parts of bounded size that so many classes with so many n-grams make."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(BLOCK_ROWS)), F.ceil(items / F.lit(BLOCK_ITEMS))).cast("int")
+
+
+def _pairs_of_parts(rows: DataFrame, name: Column) -> DataFrame:
+    """Every row in a block with each part of its set (columns parts and bucket), itself included: block and side."""
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, -1).when(F.col("own") == low, 0).otherwise(1)
+    return rows.withColumn("block", F.concat_ws("/", name, low, high)).withColumn("side", side).select(*BLOCK_COLUMNS)
+
+
+BLOCK_COLUMNS = ["block", "side", "bucket", "cls", "n", "k", "copies", "reach", "shingles"]
 
 
 def class_links(sets: DataFrame, shingles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): links between classes with the same connected components as all links.
+    """(a, b, links): links between classes.
 
-    ``sets`` has (cls, n_shingles), ``shingles`` the incidence in order of (shingle, cls) within its partitions.
+    Rows with a = b have the number of documents that the class is linked with, one or more rows a class; the others are links
+    with the same connected components as all links. ``sets`` has (cls, n_shingles), ``shingles`` the incidence in
+    order of (shingle, cls) within its partitions.
     """
     spark = sets.sparkSession
     shared = shingles.mapInArrow(K.thrifty(_shared), "shingle long, cls long, df int")
     by_class = shared.repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("items"))
-    sizes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"))
+    sizes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     least = F.ceil(F.lit(threshold) * F.col("n") / F.lit(100))
     rows = by_class.join(sizes, "cls").withColumn("k", F.size("items").cast("long")).filter(F.col("k") >= least)
     # the set has n - k n-grams of its own at the front of its order
     reach = (F.col("k") - least + 1).alias("reach")
-    rows = saved(rows.select("cls", "n", "k", reach, F.col("items.shingle").alias("shingles")), "incidence")
+    rows = saved(rows.select("cls", "n", "k", "copies", reach, F.col("items.shingle").alias("shingles")), "incidence")
     released(spark)
 
     # families: what shared prefix n-grams hold together
-    prefix = saved(rows.select("cls", F.explode(F.slice("shingles", F.lit(1), F.col("reach").cast("int"))).alias("shingle")), "prefix")
+    grams = F.slice("shingles", F.lit(1), F.col("reach").cast("int"))
+    prefix = saved(rows.select("cls", "k", F.explode(grams).alias("shingle")), "prefix")
     heads = prefix.groupBy("shingle").agg(F.min("cls").alias("head"))
     families = saved(connected_components(prefix.join(heads, "shingle").filter("cls <> head").select("cls", "head").distinct(), "cls", "head"), "families")
     families = families.select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    counts = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    n_small = max(1, -(-rows.count() // BLOCK_ROWS))
-    placed = rows.join(families, "cls").join(counts, "family")
-    placed = placed.withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    columns = ["block", "side", "g", "cls", "n", "k", "reach", "shingles"]
-    small = placed.filter("blocks = 1").select(F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(n_small))).alias("block"), F.lit(0).alias("side"), F.col("cls").alias("g"), *columns[3:])
-    # a large family: every block with itself and with the first one
-    spread = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    large = placed.filter("blocks > 1").withColumn("with", F.explode(spread))
-    large = large.select(F.concat_ws("/", F.lit("l"), "family", "with").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("g"), *columns[3:])
-    links = saved(_multiply(small.unionByName(large), threshold), "links")
-    if not counts.filter(F.col("members") > BLOCK_ROWS).limit(1).count():
-        return links
-
-    # what is not in the largest group of its family by now is compared with every block of the family
-    groups = saved(connected_components(links, "a", "b"), "groups").withColumnRenamed("node", "cls")
-    named = placed.filter("blocks > 1").join(groups, "cls", "left").withColumn("g", F.coalesce("component", "cls"))
-    named = saved(named.select("family", "own", "blocks", *columns[2:]), "named")
-    by_group = named.groupBy("family", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("family")
-    main = by_group.agg(F.max_by("g", F.struct("c", "g")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    main = main.withColumn("parts", F.ceil(F.col("others") / F.lit(BLOCK_ROWS)).cast("int")).filter("others > 0")
-    rest = named.join(main, "family").withColumn("is_other", F.col("g") != F.col("main"))
-    queried = rest.filter("is_other").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
-    queried = queried.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    whole = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("with", F.col("own")).withColumn("side", F.lit(1))
-    crossed = queried.select("family", "part", "with", *columns[1:]).unionByName(whole.select("family", "part", "with", *columns[1:]))
-    crossed = crossed.withColumn("block", F.concat_ws("/", "family", "part", "with"))
-    return links.unionByName(saved(_multiply(crossed.select(*columns), threshold), "cross-links"))
-
-
-def grouped(rows: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``rows`` (keys and text) with n_shingles, cls and group in place of text.
-
-    Equal groups are linked; an empty set has neither class nor group.
+    of_family = rows.select("cls", "k").join(families, "cls").groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("k").alias("items"))
+    of_family = saved(of_family.withColumn("parts", _parts(F.col("members"), F.col("items"))), "family-sizes")
+    members, items = of_family.filter("parts = 1").agg(F.sum("members"), F.sum("items")).first()
+    n_small = max(1, -(-(members or 0) // BLOCK_ROWS), -(-(items or 0) // BLOCK_ITEMS))
+    nowhere = F.lit(-1).cast("long").alias("bucket")
+    small = families.join(of_family.filter("parts = 1").select("family"), "family")
+    packed = F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(n_small)))
+    blocks = rows.join(small, "cls").select(packed.alias("block"), F.lit(-1).alias("side"), nowhere, *BLOCK_COLUMNS[3:])
+
+    large = of_family.filter("parts > 1")
+    n_buckets = 1
+    if large.limit(1).count():
+        by_gram = prefix.join(families, "cls").join(large.select("family"), "family").groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("items"))
+        dealt = by_gram.groupBy("family").agg(F.sum(F.col("c") * _parts(F.col("c"), F.col("items"))).alias("dealt"), F.sum("c").alias("entries"))
+        ways = saved(large.join(dealt, "family").withColumn("by_gram", F.col("dealt") < F.col("members") * F.col("parts")), "ways")
+        of_large = rows.join(families, "cls").join(ways.select("family", "parts", "by_gram", "entries"), "family")
+        whole = of_large.filter("NOT by_gram").withColumn("bucket", nowhere)
+        blocks = blocks.unionByName(_pairs_of_parts(whole, F.concat_ws("/", F.lit("f"), "family")))
+        entries = ways.filter("by_gram").agg(F.sum("entries")).first()[0] or 0
+        # half full, so that few but those of frequent n-grams are cut
+        n_buckets = max(1, -(-2 * entries // BLOCK_ROWS))
+        places = F.array_distinct(F.transform(grams, lambda g: F.pmod(g, F.lit(n_buckets).cast("long"))))
+        spread = of_large.filter("by_gram").drop("parts").withColumn("bucket", F.explode(places))
+        of_bucket = saved(spread.groupBy("bucket").agg(_parts(F.count(F.lit(1)), F.sum("k")).alias("parts")), "buckets")
+        blocks = blocks.unionByName(_pairs_of_parts(spread.join(of_bucket, "bucket"), F.concat_ws("/", F.lit("g"), "bucket")))
+    return saved(blocks.groupBy("block").applyInArrow(_block_product(threshold, n_buckets), "a long, b long, links long"), "links")
+
+
+def grouped(rows: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (keys and text) with n_shingles and cls in place of text, and (cls, group, links) of the classes that have links.
+
+    Classes of one group are linked; an empty set has no class. ``links`` counts the documents of other classes.
     """
     sets = saved(set_sizes(rows, size), "sets")
-    links = saved(class_links(sets, incidence(rows, size), threshold), "all-links")
-    found = saved(connected_components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("group")), "components")
-    return sets.join(found, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    links = class_links(sets, incidence(rows, size), threshold)
+    found = connected_components(links.filter("a <> b"), "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    counts = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    return sets, saved(found.join(counts, "cls"), "components")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) per row of ``docs``.
+    """(doc_id, n_shingles, cls, component_id, n_links) per row of ``docs``.
 
     Two documents are linked when 100 * intersection >= threshold * union of their sets of word n-grams;
-    component_id is the smallest doc_id reachable. Texts that are null, empty or without words have size 0, a null
-    cls and are linked with nothing: their component is their own doc_id. Repeated rows and equal texts share a class.
-    A null doc_id names no component: such a row gets the smallest doc_id it is linked to, or null. An empty table
-    gives no rows; other columns are not read. Words and sets are told apart by 64-bit hashes.
+    component_id is the smallest doc_id reachable, n_links the number of other rows that a row is linked with. Texts that are null,
+    empty or without words have size 0, a null cls and are linked with nothing: their component is their own doc_id. Repeated rows
+    and equal texts share a class. A null doc_id names no component: such a row gets the smallest doc_id it is
+    linked to, or null. An empty table gives no rows; other columns are not read. Words and sets are told apart by 64-bit hashes.
     """
-    rows = grouped(docs.select("doc_id", F.col("text").cast("string").alias("text")), threshold, size)
-    lowest = rows.filter("cls IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(lowest, "group", "left")
-    return out.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets, found = grouped(docs.select("doc_id", F.col("text").cast("string").alias("text")), threshold, size)
+    own = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("own_lowest"), (F.count(F.lit(1)) - 1).alias("others"))
+    classes = own.join(found, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    lowest = classes.groupBy("group").agg(F.min("own_lowest").alias("lowest"))
+    named = classes.join(lowest, "group").select("cls", "lowest", (F.col("others") + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sets.join(saved(named, "classes"), "cls", "left")
+    return out.select("doc_id", "n_shingles", "cls", F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -324,9 +368,11 @@ def representatives(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
     """
     tag = fresh(docs, "tag")
     tagged = docs.withColumn(tag, row_tag("doc_id", "text"))
-    rows = grouped(tagged.select("doc_id", F.col(tag).alias("tag"), F.col("text").cast("string").alias("text")), threshold, size)
-    first = rows.filter("cls IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "tag")).alias("r")).select("r.tag")
-    chosen = saved(first.unionByName(rows.filter("cls IS NULL").select("tag").distinct()), "chosen")
+    sets, found = grouped(tagged.select("doc_id", F.col(tag).alias("tag"), F.col("text").cast("string").alias("text")), threshold, size)
+    own = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "tag")).alias("r"))
+    classes = own.join(found, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    first = classes.groupBy("group").agg(F.min("r").alias("r")).select("r.tag")
+    chosen = saved(first.unionByName(sets.filter("cls IS NULL").select("tag").distinct()), "chosen")
     released(docs.sparkSession)
     kept = tagged.join(chosen.withColumnRenamed("tag", tag), tag, "left_semi")
     return one_each(kept, tag).select(*docs.columns)
@@ -344,6 +390,7 @@ o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.
 l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.d WHERE r.m < e.y)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE r.d = d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE r.d = d.doc_id) AS component_id,
+       (SELECT count(*) FROM e WHERE e.x = d.doc_id)::BIGINT AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 """

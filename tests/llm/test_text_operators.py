@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -54,12 +55,61 @@ def families(n):
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [2000, 7])
-def test_jaccard_components(spark, monkeypatch, block_rows):
+def plain_links(rows):
+    sets = [shingles(r[1]) for r in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    return [sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block_rows, items", [(2000, 1 << 20), (7, 1 << 20), (2000, 900)])
+def test_jaccard_components(spark, monkeypatch, block_rows, items):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_ITEMS", items)
+    monkeypatch.setattr(ngram_join, "ITEMS_AT_ONCE", 500)
     rows = awkward() + [(100 + r[0], *r[1:]) for r in families(25)]
-    found = ngram_join.jaccard_components(documents(spark, rows)).select("doc_id", "n_shingles", "component_id")
-    assert by_row(found) == plain_components(rows)
+    found = ngram_join.jaccard_components(documents(spark, rows))
+    assert by_row(found.select("doc_id", "n_shingles", "component_id")) == plain_components(rows)
+    links = Counter((r.doc_id, r.n_links) for r in found.collect())
+    assert links == Counter((r[0], n) for r, n in zip(rows, plain_links(rows)))
+
+
+def chance_family(n, seed=0):
+    """Texts over a few words: n-grams hold all of them together, and next to none are linked."""
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(24)), "en", "a", 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("block_rows", [40, 8])
+def test_jaccard_by_gram_equals_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    rows = chance_family(400)
+    # copies and near copies of some of them, also such that share a frequent n-gram
+    rows += [(1000 + i, r[1], "en", "a", 0) for i, r in enumerate(rows[:9])]
+    rows += [(2000 + i, r[1] + " m", "en", "a", 0) for i, r in enumerate(rows[:30])]
+    found = ngram_join.jaccard_components(documents(spark, rows))
+    assert by_row(found.select("doc_id", "n_shingles", "component_id")) == plain_components(rows)
+    assert sorted((r.doc_id, r.n_links) for r in found.collect()) == sorted((r[0], n) for r, n in zip(rows, plain_links(rows)))
+
+
+def test_unlinked_families_are_laid_out_in_proportion(spark, monkeypatch):
+    laid_out = {}
+    plain = ngram_join._block_product
+    for n in (3000, 6000):
+        counted = spark.sparkContext.accumulator(0)
+
+        def product(threshold, n_buckets):
+            def run(table):
+                counted.add(table.num_rows)
+                return plain(threshold, n_buckets)(table)
+
+            return run
+
+        monkeypatch.setattr(ngram_join, "_block_product", product)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 100)
+        assert ngram_join.jaccard_components(documents(spark, chance_family(n))).filter("n_links > 0").count() < n / 50
+        laid_out[n] = counted.value
+    # a class has some four n-grams in its prefix; every part of a family with every other would be 60 rows a class
+    assert all(rows < 6 * n for n, rows in laid_out.items())
 
 
 def test_jaccard_frequent_shingles(spark, monkeypatch):
