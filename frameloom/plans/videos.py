@@ -16,7 +16,7 @@ from frameloom.config import (
 from frameloom.functions import media
 from frameloom.functions import vectors as V
 from frameloom.operators import groups as G
-from frameloom.operators import ranking
+from frameloom.operators import ranking, selection
 from frameloom.operators.components import connected_components
 from frameloom.operators.index import videos
 from frameloom.operators.matching import (
@@ -124,6 +124,14 @@ def large_videos(
     return ranking.mark_top(ranking.rank_by_size(sized), rules)
 
 
+def marked_videos(
+    assets: DataFrame, resources: DataFrame | None = None, rules: LargeVideoRules = LARGE_VIDEOS
+) -> DataFrame:
+    """Videos with resolved size and the top fraction flagged, without their ranks: nothing is sorted."""
+    sized = resolve_or_estimate(videos(assets).select("asset_id", "duration", "file_size"), resources, rules)
+    return selection.mark_top(cut_lineage(sized.select("asset_id", "file_size")), rules)
+
+
 def filter_large(marked: DataFrame, mode: str, size_filter: str) -> DataFrame:
     """The top part or all videos, then the named size filter."""
     base = marked.filter("is_top") if mode == "top15" else marked

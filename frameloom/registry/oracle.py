@@ -533,6 +533,12 @@ ORACLE: dict[str, str] = {
            UNION ALL SELECT 'video', asset_id FROM cache_state WHERE kind = 'video' AND NOT has_frames""",
         "cache_state",
     ),
+    "stored_needs_analysis": _sql(
+        """SELECT v.variant, asset_id FROM cache_state CROSS JOIN (VALUES ('duplicate'), ('similar')) AS v(variant)
+           WHERE kind = 'photo' AND NOT (is_fresh AND has_hash AND has_vector)
+           UNION ALL SELECT 'video', asset_id FROM cache_state WHERE kind = 'video' AND NOT has_frames""",
+        "cache_state",
+    ),
     "cache_hits": _sql(
         """SELECT 'duplicate' AS variant, asset_id FROM cache_state WHERE kind = 'photo' AND is_fresh AND has_hash AND has_vector
            UNION ALL SELECT 'similar', asset_id FROM cache_state WHERE kind = 'photo' AND is_fresh AND has_vector

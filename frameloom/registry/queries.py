@@ -21,8 +21,8 @@ from frameloom.plans import videos as VD
 from frameloom.schemas import PHOTO_FINGERPRINTS
 from frameloom.session import cut_lineage, scratch_path
 from frameloom.sources.derived import INDEXED_AT, NOW, DerivedLibrary, timestamp
-from frameloom.sources.images import scan_assets
-from frameloom.sources.store import load_index, read_index, write_index
+from frameloom.sources.scan import scan_folder
+from frameloom.sources.store import load_index, read_index, write_bucketed, write_index
 from frameloom.streaming import changes as stream_changes
 from frameloom.streaming import deletions as stream_deletions
 from frameloom.streaming import fingerprints as stream_prints
@@ -98,7 +98,10 @@ def _bin(lib: DerivedLibrary) -> DataFrame:
 
 @_query
 def scan_assets_query(lib):
-    return scan_assets(lib.images).select("asset_id", "path", "kind", "pixel_width", "pixel_height", "source")
+    """Picture files written from the tables, listed and opened as far as their headers, newest first."""
+    folder = _scratch(lib, "files")
+    lib.write_image_files(folder)
+    return scan_folder(lib.spark, folder).select("asset_id", "path", "kind", "pixel_width", "pixel_height", "source")
 
 
 QUERIES["scan_assets"] = QUERIES.pop("scan_assets_query")
@@ -353,7 +356,7 @@ def normalize_vectors(lib):
 
 @_query
 def top15_share(lib):
-    totals = ranking.top_totals(_large_videos(lib))
+    totals = ranking.top_totals(VD.marked_videos(lib.assets, lib.resources))
     share = media.percent(F.col("top_bytes"), F.col("total_bytes"))
     return totals.select(F.round(F.when(F.col("videos") > 0, share).otherwise(F.lit(0.0)), 6).alias("top_percent"))
 
@@ -434,6 +437,14 @@ def cache_hits(lib):
     return _fingerprint_states(lib).filter("is_hit").select("variant", "asset_id")
 
 
+@_query
+def stored_needs_analysis(lib):
+    """What is missing, from an index and fingerprints that are stored in buckets of asset_id: joined where they lie."""
+    tables = {"index": lib.assets, "photos": lib.photo_fingerprints, "videos": lib.video_fingerprints}
+    stored = [write_bucketed(rows, _scratch(lib, name)) for name, rows in tables.items()]
+    return FP.fingerprint_states(*stored).filter("is_missing").select("variant", "asset_id")
+
+
 @_query
 def bucket_candidates(lib):
     return blocking.bucket_candidates(P.photo_tiers(lib.assets))
@@ -619,7 +630,7 @@ def total_cleanable(lib):
 
 @_query
 def large_video_totals(lib):
-    return ranking.top_totals(_large_videos(lib))
+    return ranking.top_totals(VD.marked_videos(lib.assets, lib.resources))
 
 
 @_query

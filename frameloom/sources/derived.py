@@ -318,6 +318,36 @@ class DerivedLibrary:
             ).alias("image")
         )
 
+    def write_image_files(self, folder: str) -> int:
+        """The images as PNG files below ``folder``, and beside them a file that is no picture for each hundredth; returns their number."""
+
+        def run(batches):
+            import struct
+            import zlib
+
+            import pyarrow as pa
+
+            from frameloom.sources.scan import _opened
+
+            store, root = _opened(folder)
+            store.create_dir(f"{root}/library", recursive=True)
+            chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+            for batch in batches:
+                for i, image in enumerate(batch.column("image").to_pylist()):
+                    width, height = image["width"], image["height"]
+                    lines = b"".join(b"\0" + image["data"][y * width : (y + 1) * width] for y in range(height))
+                    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+                    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+                    name = f"{root}{image['origin']}"
+                    with store.open_output_stream(name) as out:
+                        out.write(png)
+                    if i % 100 == 0:
+                        with store.open_output_stream(f"{name}.part.png") as out:
+                            out.write(png[:7])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        return self.images.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
     @cached_property
     def raw_codes(self) -> DataFrame:
         """Undecoded platform values per asset, unknown ones included."""

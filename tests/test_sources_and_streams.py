@@ -1,5 +1,8 @@
 """Versioned tables, image scan and featurizer, streams."""
 
+import datetime
+import os
+import pathlib
 import struct
 import zlib
 
@@ -10,9 +13,10 @@ from pyspark.sql import functions as F
 from frameloom import session
 from frameloom.operators import bin as B
 from frameloom.operators import fingerprints as FP
+from frameloom.sources import scan
 from frameloom.sources.images import read_file_facts, read_images, scan_assets
 from frameloom.schemas import PHOTO_FINGERPRINTS, VIDEO_FINGERPRINTS
-from frameloom.sources.store import load_index, read_index, read_table, write_index, write_table
+from frameloom.sources.store import load_index, read_index, read_table, write_bucketed, write_index, write_table
 from frameloom.streaming import changes, deletions
 from frameloom.streaming import fingerprints as stream_fp
 from tests.test_decisions import INDEX, moment, now, record
@@ -51,6 +55,56 @@ def test_scan_lists_decodable_pictures(spark, pictures):
     assert all(r.file_size > 0 and r.creation_date is not None for r in rows)
 
 
+def test_headers_give_the_size():
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF" + bytes(10) + b"\xff\xff\xc2" + struct.pack(">HBHH", 11, 8, 480, 640) + bytes(20)
+    cases = {
+        jpeg: (640, 480),
+        b"GIF89a" + struct.pack("<HH", 7, 9) + bytes(20): (7, 9),
+        b"BM" + bytes(16) + struct.pack("<ii", 31, -17) + bytes(9): (31, 17),
+        b"\xff\xd8\xff\xda" + struct.pack(">H", 4) + bytes(30): None,
+        b"\xff\xd8": None,
+        b"not a picture": None,
+        b"": None,
+    }
+    for data, size in cases.items():
+        assert scan.picture_size(lambda at, n: data[at : at + n]) == size
+
+
+def test_scan_opens_what_is_new_enough_newest_first(spark, pictures):
+    deeper = f"{pictures}/more/and more"
+    os.makedirs(deeper)
+    for i in range(5):
+        png(pathlib.Path(deeper, f"p{i}.png"), np.zeros((4 + i, 9)))
+    for i, name in enumerate(["ramp.png", "ramp_small.png", "back.png", "flat.png", "more/and more/p3.png"]):
+        os.utime(f"{pictures}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    rows = scan.scan_folder(spark, pictures).collect()
+    assert len(rows) == 9 and [r.asset_id for r in rows[-5:]] == ["p3", "flat", "back", "ramp_small", "ramp"]
+    assert [(r.path, r.pixel_width, r.pixel_height) for r in rows if r.asset_id == "p3"] == [("/more/and more/p3.png", 9, 7)]
+    assert all(r.file_size == os.path.getsize(pictures + r.path) for r in rows)
+    since = datetime.datetime.fromtimestamp(1_700_000_002, datetime.timezone.utc)
+    newer = scan.scan_folder(spark, f"file://{pictures}", since)
+    assert {r.asset_id for r in newer.collect()} == {r.asset_id for r in rows} - {"ramp", "ramp_small"}
+    # the reader was told: it would fail on a file that it need not open
+    reader = scan._Reader({"path": pictures})
+    list(reader.pushFilters([scan.GreaterThanOrEqual(("modified",), since)]))
+    found = [name for part in reader.partitions() for batch in reader.read(part) for name in batch.column("asset_id").to_pylist()]
+    assert sorted(found) == sorted({r.asset_id for r in rows} - {"ramp", "ramp_small"})
+    reader.tasks = 1
+    assert sorted(n for part in reader.partitions() for b in reader.read(part) for n in b.column("asset_id").to_pylist()) == sorted(found)
+
+
+def test_stored_tables_are_joined_where_they_lie(spark, tmp_path):
+    index = spark.createDataFrame([record(x) for x in "abcd"], INDEX)
+    new = index.filter("asset_id <> 'c'").select("asset_id", F.lit(1).cast("long").alias("dhash"), F.array(F.lit(1.0)).alias("feature_vector"))
+    prints = FP.fingerprint_rows(new, index, now())
+    one, other = write_bucketed(index, str(tmp_path / "i"), 4), write_bucketed(prints, str(tmp_path / "p"), 4)
+    missing = FP.needs_analysis(one, other, "similar")
+    assert [r.asset_id for r in missing.collect()] == ["c"]
+    with_hints = FP.needs_analysis(one.hint("merge"), other, "similar")
+    plan = with_hints._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_default_featurizer(spark, pictures):
     rows = {r.asset_id: r for r in FP.featurize(read_images(spark, pictures)).collect()}
     assert set(rows) == {"ramp", "ramp_small", "back"}  # a flat picture has no direction
