@@ -4,8 +4,8 @@ A text's features are its distinct lower-cased words, the first bytes of long on
 between, hashed to ``2**BITS`` places. FTRL-proximal keeps a rate per coordinate and L1 sparsity, so the weights are few and small enough to send to
 every task: never more than the table of places.
 
-Training reads a bounded sample of the labelled rows, at most TRAIN_ROWS in a seeded order, in one task; scoring reads
-every text.
+Training reads the features of a bounded sample of the labelled rows, at most TRAIN_ROWS in a seeded order, in one task; texts
+stay where they are. Scoring reads every text.
 """
 
 from __future__ import annotations
@@ -85,13 +85,22 @@ class Ftrl:
         self.n[self.bias] = n0 + g * g
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text in place of the text."""
+    for batch in batches:
+        for lo, hi, place, ends in features(batch.column("text")):
+            part = batch.slice(lo, hi - lo)
+            lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("turn", "doc_id", "tie", "toxic")), lists], ["turn", "doc_id", "tie", "toxic", "places"])
+
+
 def _train(epochs: int):
     def run(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by([("turn", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        sample = sample.sort_by([("turn", "ascending"), ("doc_id", "ascending"), ("tie", "ascending")])
         labels = np.asarray(sample.column("toxic"))
-        rows: list[np.ndarray] = []
-        for lo, hi, place, ends in features(sample.column("text")):
-            rows += np.split(place.astype(np.int32), ends[:-1])
+        lists = sample.column("places").combine_chunks()
+        ends = np.asarray(lists.offsets)
+        rows = np.split(np.asarray(lists.flatten()), (ends - ends[0])[1:-1]) if len(labels) else []
         model = Ftrl(1 << BITS)
         for _ in range(epochs):
             for places, label in zip(rows, labels):
@@ -110,11 +119,15 @@ def _turn():
 def train(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[int, float]:
     """Weights by place, the bias at -1, from ``docs`` and their labels (doc_id, toxic), one row each.
 
-    The sample is the first ``rows`` labels in the seeded order, so it is small enough to be sent to the texts, and at
-    most ``rows`` texts come back.
+    The sample is the first ``rows`` labels in the seeded order, so it is small enough to be sent to the texts; what comes back is the
+    features of at most ``rows`` texts, at most 2 ** BITS each.
     """
     chosen = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), _turn().alias("turn")).orderBy("turn", "doc_id").limit(rows)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("turn", "doc_id", "text").limit(rows)
+    known_texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    known_texts = known_texts.withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
+    kind = known_texts.schema["doc_id"].dataType.simpleString()
+    found = known_texts.mapInArrow(K.thrifty(_places), f"turn string, doc_id {kind}, tie string, toxic int, places array<int>")
+    sample = found.orderBy("turn", "doc_id", "tie").limit(rows)
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(_train(epochs), "place long, weight double")
     return {r.place: r.weight for r in saved(fitted, "weights").collect()}  # at most 2 ** BITS + 1 rows
 

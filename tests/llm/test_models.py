@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frameloom.llm import ann, pii, quality, toxicity
-from tests.llm.helpers import SCHEMA, awkward, documents, prose
+from tests.llm.helpers import SCHEMA, awkward, documents, prose, words
 
 
 def labelled(n):
@@ -175,3 +178,53 @@ def test_label_models_recover_planted_reliabilities():
     soft = np.array([0.1, 0.9])
     weights = pii.fit_classifier(np.array([[pii.NO] * 6, [pii.YES] * 6]), np.array([50.0, 50.0]), soft)
     assert pii.span_features(np.array([[pii.YES] * 6])) @ weights > 0 > pii.span_features(np.array([[pii.NO] * 6])) @ weights
+
+
+# --- 6: the updates of the toxicity model ----------------------------------------
+
+
+def plain_features(text):
+    w = []
+    for x in words(text):
+        x = re.sub("[A-Z]", lambda m: m.group().lower(), x)
+        x = x[1:] if len(x) > 1 and x[0] in ".,;:!?\"'()[]" else x
+        w.append(x[:-1] if len(x) > 1 and x[-1] in ".,;:!?\"'()[]" else x)
+    stems = {("stem", x.encode()[:5]) for x in w if len(x.encode()) > 5}
+    return {("word", x) for x in w} | stems | {("pair", *p) for p in zip(w, w[1:])} | {("skip", *p) for p in zip(w, w[2:])}
+
+
+def plain_ftrl(rows, epochs):
+    """The textbook's updates, a feature at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        rate = (toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA
+        if f == "bias":
+            return -z[f] / rate
+        return 0.0 if abs(z[f]) <= toxicity.L1 else -(z[f] - math.copysign(toxicity.L1, z[f])) / (rate + toxicity.L2)
+
+    score = lambda text: 1 / (1 + math.exp(-sum(map(weight, plain_features(text))) - weight("bias")))
+    for _ in range(epochs):
+        for text, label in rows:
+            g = score(text) - label
+            for f in [*plain_features(text), "bias"]:
+                w = weight(f)
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w
+                n[f] += g * g
+    return score
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(11)
+    good, bad = [f"fine{x}" for x in "abcdefgh"], ["Awful,", "(nasty", "vile!", "ärger"]
+    texts = [" ".join(rng.choice(good + bad * (i % 3 == 0)) for _ in range(rng.randint(4, 12))) for i in range(240)] + ["", None, " "]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    learned.sort(key=lambda i: hashlib.md5(f"{toxicity.SEED}|{i}".encode()).hexdigest())
+    score = plain_ftrl([(texts[i], int(i % 3 == 0)) for i in learned], toxicity.EPOCHS)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == len(texts) and len({round(r.score, 3) for r in got.values()}) > 50
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i].score, score(text), abs_tol=1e-9)
+        assert got[i].held_out == (i not in set(learned)) and got[i].predicted == (got[i].score >= 0.7)
