@@ -54,7 +54,12 @@ def seeded_order(seed: str, *columns: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    """The rows of ``docs``, all columns, as often as the mix takes them.
+
+    Rows of equal doc_id, source and text count together, and what is taken of them is one of these rows, as often as all of them
+    are. Null and empty texts have no words; they are taken as often as their place in the order says, at the cost of nothing. A
+    null source is a source. An empty table gives no rows.
+    """
     tag, times = fresh(docs, "tag"), fresh(docs, "times")
     tagged = docs.withColumn(tag, row_tag("doc_id", "source", "text"))
     plan = mix(tagged.select("doc_id", "source", "text", F.col(tag).alias("tag")), weights, budget, cap, seed, "tag")

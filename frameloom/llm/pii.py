@@ -288,7 +288,11 @@ def mask(text: str | None, spans: list[dict]) -> str | None:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with personal data masked in text; n_chars, where there is one, follows the text."""
+    """``docs``, all columns, with personal data masked in text; n_chars, where there is one, follows the text.
+
+    Every row stays, repeated ones and those without a doc_id too; null and empty texts stay as they are. An empty table gives
+    no rows.
+    """
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(K.thrifty(_find), _FOUND)
     good = set(accepted_patterns(found))
     at = docs.columns.index("text")

@@ -233,7 +233,11 @@ def judged(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``judged`` keeps; texts are measured twice rather than shuffled."""
+    """The rows of ``docs``, all columns, that ``judged`` keeps; texts are measured twice rather than shuffled.
+
+    Null and empty texts and those without words fail the base rules and go. Repeated rows and rows without a doc_id are
+    judged each by its own text. An empty table gives no rows.
+    """
     text = F.col("text").cast("string").alias("text")
     chances = _chances(docs.select(text).mapInArrow(K.thrifty(_measure), "".join(f"{m} long, " for m in MEASURES) + "pattern long"))
     at = docs.columns.index("text")
