@@ -18,31 +18,31 @@ NEAR_THRESHOLD = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; those without words go, repeated rows are judged each."""
     tuned(spark)
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest doc_id; every document without words stays, repeated rows are one."""
     tuned(spark)
     return ngram_join.representatives(docs, threshold=NEAR_THRESHOLD, size=NEAR_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data masked."""
+    """All documents, personal data in their texts masked; null and empty texts stay as they are."""
     tuned(spark)
     return pii.masked(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one, documents without words cost nothing."""
     tuned(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences."""
+    """Pieces of the documents in training sequences; a document without text is its end mark alone."""
     tuned(spark)
     return packing.pack_documents(docs, VOCABULARY)
 
