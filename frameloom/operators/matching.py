@@ -264,19 +264,25 @@ class FrameScorer:
         limit = self.rules.max_frame_distance
         most = min(a["frames"].shape[1], b["frames"].shape[1])
         both = a["present"][:, :most].astype(int) @ b["present"][:, :most].astype(int).T
-        total = np.zeros(both.shape)
         close = both >= self.rules.min_frames
+        # products of whole tiles as long as many pairs are left; what is left is measured pair by pair, exactly
         for k in range(most):
+            if k and close.mean() <= 0.05:
+                break
+            compared = a["present"][:, k][:, None] & b["present"][:, k][None, :]
+            close &= ~compared | (_distances(a["frames"][:, k, :], b["frames"][:, k, :]) <= limit + 1e-6)
             if not close.any():
                 return _NO_HITS
-            distance = _distances(a["frames"][:, k, :], b["frames"][:, k, :])
-            compared = a["present"][:, k][:, None] & b["present"][:, k][None, :]
-            close &= ~compared | (distance <= limit)
-            total += np.where(compared, distance, 0.0)
-        mean = total / np.maximum(both, 1)
-        close &= mean <= self.rules.max_mean_distance
         ia, ib = np.nonzero(close)
-        return ia, ib, mean[ia, ib]
+        total = np.zeros(len(ia))
+        for k in range(most):
+            compared = a["present"][ia, k] & b["present"][ib, k]
+            distance = np.where(compared, _pair_distances(a["frames"][:, k, :], b["frames"][:, k, :], ia, ib), 0.0)
+            near = distance <= limit
+            ia, ib, total = ia[near], ib[near], (total + distance)[near]
+        mean = total / np.maximum(both[ia, ib], 1)
+        close_enough = mean <= self.rules.max_mean_distance
+        return ia[close_enough], ib[close_enough], mean[close_enough]
 
     def split(self, nodes: DataFrame) -> DataFrame:
         return nodes
@@ -609,10 +615,11 @@ class Cells:
 
     parts: tuple[Pivots | PrincipalGrid, ...] = ()
 
-    def place(self, data: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def place(self, data: dict, most: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(row, cell, whether it is the row's own): its own cell and every cell before it that could hold a match.
 
-        Of two matching rows the one with the later cell thus comes to the earlier one, and only there they are scored.
+        Of two matching rows the one with the later cell thus comes to the earlier one, and only there they are scored. None
+        where a row would be looked for in more than ``most`` cells on average.
         """
         n = len(data["points"])
         home, row, cell = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64)
@@ -622,6 +629,8 @@ class Cells:
             count = np.bincount(of, minlength=n)
             start = np.cumsum(count) - count
             times = count[row]
+            if times.sum() > most * n:
+                return None
             at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[row], times)
             cell = np.repeat(cell, times) * part.size + bin_[at]
             row = np.repeat(row, times)
@@ -632,7 +641,12 @@ class Cells:
     def cost(self, data: dict, rows: int, tuning: MatchTuning) -> float:
         """Estimated work of ``rows`` rows like the sample ``data``: pairs scored plus rows moved."""
         n = len(data["points"])
-        _, cell, own = self.place(data)
+        # no saving pays for more copies than this
+        dearest = min(1024.0, max(2.0, rows / 2.0 / max(tuning.pairs_per_moved_row, 1e-9)))
+        placed = self.place(data, 2.0 * dearest)
+        if placed is None:
+            return math.inf
+        _, cell, own = placed
         _, cell = np.unique(cell, return_inverse=True)
         owned, held = np.bincount(cell[own], minlength=cell.max() + 1).astype(float), np.bincount(cell).astype(float)
         pairs = (owned * (held - owned) + owned * np.maximum(owned - 1, 0) / 2.0).sum() / max(1, n * (n - 1))
