@@ -315,10 +315,12 @@ def class_links(sets: DataFrame, shingles: DataFrame, threshold: int = THRESHOLD
     large = of_family.filter("parts > 1")
     n_buckets = 1
     if large.limit(1).count():
-        by_gram = prefix.join(families, "cls").join(large.select("family"), "family").groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("items"))
+        # only the classes of large families meet their prefixes
+        in_large = saved(families.join(large.select("family"), "family"), "in-large")
+        by_gram = prefix.join(in_large, "cls").groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("items"))
         dealt = by_gram.groupBy("family").agg(F.sum(F.col("c") * _parts(F.col("c"), F.col("items"))).alias("dealt"), F.sum("c").alias("entries"))
         ways = saved(large.join(dealt, "family").withColumn("by_gram", F.col("dealt") < F.col("members") * F.col("parts")), "ways")
-        of_large = rows.join(families, "cls").join(ways.select("family", "parts", "by_gram", "entries"), "family")
+        of_large = rows.join(in_large, "cls").join(ways.select("family", "parts", "by_gram", "entries"), "family")
         whole = of_large.filter("NOT by_gram").withColumn("bucket", nowhere)
         blocks = blocks.unionByName(_pairs_of_parts(whole, F.concat_ws("/", F.lit("f"), "family")))
         entries = ways.filter("by_gram").agg(F.sum("entries")).first()[0] or 0
