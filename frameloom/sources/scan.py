@@ -1,8 +1,9 @@
 """Data source that lists picture files and reads no more of them than their headers.
 
 ``spark.read.format("media_scan").load(folder)`` gives asset_id, path, kind, pixel_width, pixel_height, file_size, modified and source.
-The driver lists folders level by level until there are enough of them for the tasks; each task lists its own folder and opens the
-files it finds. A filter on ``modified`` is pushed into the listing, so files out of its range are not opened. Files whose header
+The driver counts folders level by level until there are enough of them for the tasks; each task lists its own folder and opens the
+files it finds. The files of a large folder are dealt by a hash of their names. Local and shared folders are walked entry by entry, so
+no process holds a folder's list, and a file is looked at by its own task alone; other stores give Arrow a whole folder at a time. A filter on ``modified`` is pushed into the listing, so files out of its range are not opened. Files whose header
 is not that of a picture are skipped.
 
 Folders are opened with Arrow's file systems (local and shared folders, object stores); for stores that only Spark reaches there is
@@ -11,8 +12,10 @@ Folders are opened with Arrow's file systems (local and shared folders, object s
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -67,6 +70,21 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, bool, fs.FileInfo | None]]:
+    """(path, is a folder, is a file, what the listing told of it) of what lies in a folder itself, one at a time."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                yield entry.path, entry.is_dir(), entry.is_file(), None
+    else:
+        for info in store.get_file_info(fs.FileSelector(folder)):
+            yield info.path, info.type == fs.FileType.Directory, info.type == fs.FileType.File, info
+
+
+def _share_of(path: str, shares: int) -> int:
+    return zlib.crc32(os.fsencode(path.rsplit("/", 1)[-1])) % shares
+
+
 class _Share(InputPartition):
     """A folder with all below it, or a share of the files that lie in a folder itself."""
 
@@ -101,21 +119,32 @@ class _Reader(DataSourceReader):
         while level and len(found) + len(level) < self.tasks:
             below = []
             for folder in level:
-                entries = store.get_file_info(fs.FileSelector(folder))
-                folders = [e.path for e in entries if e.type == fs.FileType.Directory]
-                files = len(entries) - len(folders)
+                files = 0
+                for path, is_folder, _, _ in _entries(store, folder):
+                    if is_folder:
+                        below.append(path)
+                    else:
+                        files += 1
                 shares = min(self.tasks, -(-files // BATCH_FILES))
                 found += [_Share(folder, False, i, shares) for i in range(shares)]
-                below += folders
             level = below
         return found + [_Share(folder, True, 0, 1) for folder in level]
 
+    def _files(self, store: fs.FileSystem, partition: _Share) -> Iterator[fs.FileInfo]:
+        folders = [partition.folder]
+        while folders:
+            for path, is_folder, is_file, info in _entries(store, folders.pop()):
+                if is_folder and partition.recursive:
+                    folders.append(path)
+                elif is_file and _share_of(path, partition.shares) == partition.share:
+                    yield info or store.get_file_info(path)
+
     def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
         store, root = _opened(self.path)
-        entries = [e for e in store.get_file_info(fs.FileSelector(partition.folder, recursive=partition.recursive)) if e.type == fs.FileType.File]
-        entries = sorted(entries, key=lambda e: e.path)[partition.share :: partition.shares]
         rows = []
-        for entry in entries:
+        for entry in self._files(store, partition):
+            if entry.type != fs.FileType.File:  # gone meanwhile
+                continue
             modified = datetime.fromtimestamp((entry.mtime_ns or 0) // 1000 / 1e6, timezone.utc)
             if not self._wanted(modified):
                 continue

@@ -70,6 +70,21 @@ def test_headers_give_the_size():
         assert scan.picture_size(lambda at, n: data[at : at + n]) == size
 
 
+def test_no_task_lists_a_whole_folder(pictures, monkeypatch):
+    def whole(*args, **kwargs):
+        raise AssertionError("a folder was listed as a whole")
+
+    pathlib.Path(pictures, "below").mkdir()
+    png(pathlib.Path(pictures, "below", "deep.png"), np.full((16, 16), 80))
+    monkeypatch.setattr(scan.fs, "FileSelector", whole)
+    monkeypatch.setattr(scan, "BATCH_FILES", 2)
+    reader = scan._Reader({"path": pictures, "tasks": "4"})
+    parts = reader.partitions()
+    assert sum(p.folder == pictures for p in parts) == 3
+    found = [name for p in parts for batch in reader.read(p) for name in batch.column("asset_id").to_pylist()]
+    assert sorted(found) == ["back", "deep", "flat", "ramp", "ramp_small"]
+
+
 def test_scan_opens_what_is_new_enough_newest_first(spark, pictures):
     deeper = f"{pictures}/more/and more"
     os.makedirs(deeper)
