@@ -74,6 +74,8 @@ class MatchTuning:
     tile_rows: int = 512
     # scopes above this many rows are split on vector cells (and hash bands where the scorer has hashes)
     split_rows: int = 50_000
+    # scopes of photos with hashes above this many rows are parted into those of close hashes before vectors are moved
+    hash_rows: int = 4096
     # bounds of what is collected and shipped to the tasks
     max_pivots: int = 1024
     # pivots every row is matched with to find hot families; 256 miss one of 5 % of the rows once in 500,000 runs,

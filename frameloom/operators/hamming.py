@@ -38,7 +38,7 @@ def _choice(rows: int, bits: int, radius: int) -> int:
     return min(range(radius + 1, min(bits, radius + 7) + 1), key=work)
 
 
-def _all_pairs(hashes: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[Pairs]:
+def all_pairs(hashes: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[Pairs]:
     """Close pairs of places whose row lies before ``ends`` of the first."""
     n = len(hashes)
     count = ends - np.arange(n) - 1
@@ -64,7 +64,7 @@ def close_pairs(hashes: np.ndarray, radius: int) -> Iterator[Pairs]:
     differ = np.bitwise_or.reduce(hashes ^ hashes[0])
     bits = np.array([b for b in range(64) if int(differ) >> b & 1])
     if n <= SET_ROWS or len(bits) <= radius + 1:
-        yield from _all_pairs(hashes, np.full(n, n), radius)
+        yield from all_pairs(hashes, np.full(n, n), radius)
         return
     k = _choice(n, len(bits), radius)
     masks = _groups(bits, k)
@@ -77,7 +77,7 @@ def close_pairs(hashes: np.ndarray, radius: int) -> Iterator[Pairs]:
         # sets of one row have no pairs, large ones are cut again
         small = order[np.repeat((sizes > 1) & (sizes <= SET_ROWS), sizes)]
         kept = sizes[(sizes > 1) & (sizes <= SET_ROWS)]
-        parts = [(small, _all_pairs(hashes[small], np.repeat(np.cumsum(kept), kept), radius))]
+        parts = [(small, all_pairs(hashes[small], np.repeat(np.cumsum(kept), kept), radius))]
         for at in np.flatnonzero(sizes > SET_ROWS):
             rows = order[heads[at] : heads[at] + sizes[at]]
             parts.append((rows, close_pairs(hashes[rows], radius)))

@@ -48,7 +48,7 @@ from frameloom.config import (
     SimilarPhotoRules,
 )
 from frameloom.operators.components import connected_components, join_labels
-from frameloom.operators.hamming import close_pairs
+from frameloom.operators.hamming import SET_ROWS, all_pairs, close_pairs
 from frameloom.session import cut_lineage
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -834,6 +834,120 @@ def _with_vector_cells(
     return placed.withColumn("has_guests", F.lit(any(g.cells.parts for g in guides.values())))
 
 
+# --- close hashes first ---------------------------------------------------------------------------
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Tables of about ``most`` rows from batches sorted by ``key``; rows of one key stay together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            of = table[key].to_numpy()
+            # the last run may go on
+            cut = int(np.flatnonzero(np.append(True, of[1:] != of[:-1]))[-1])
+            if cut:
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _run_ends(of: np.ndarray) -> np.ndarray:
+    """For every row the place after the last one of its run."""
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    sizes = np.diff(np.append(starts, len(of)))
+    return np.repeat(starts + sizes, sizes)
+
+
+def _hash_links(hashes: DataFrame, scorer: DuplicateScorer, tasks: int, tuning: MatchTuning) -> DataFrame:
+    """Links (node, root) between distinct hashes of one scope, enough to connect all that are close; hashes are named by a number.
+
+    Numbers are hashes themselves: two that fall together connect more, never less.
+    """
+    narrow = hashes.select("scope", "dhash", F.xxhash64("scope", "dhash").alias("node"))
+    cells = scorer.split(narrow).select(F.xxhash64("scope", "cell").alias("cell"), "dhash", "node")
+    largest = cells.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    if largest > tuning.block_rows:
+        # more of one band than a task should hold: dealt in blocks
+        named = narrow.select(F.col("node").cast("string").alias("node"), "scope", F.lit(1).alias("weight"), "dhash")
+        found = match_nodes(cut_lineage(named), HashScorer(scorer.rules), tuning, connectivity_only=True)
+        return found.select(F.col("node").cast("long").alias("node"), F.col("root").cast("long").alias("root"))
+
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        cell, hashes = table["cell"].combine_chunks().to_numpy(zero_copy_only=False), _hashes(table["dhash"])[0]
+        label = np.arange(len(cell))
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sizes = np.diff(np.append(starts, len(cell)))
+        few = np.repeat((sizes > 1) & (sizes <= SET_ROWS), sizes)
+        kept = sizes[(sizes > 1) & (sizes <= SET_ROWS)]
+        small = np.flatnonzero(few)
+        parts = [(small, all_pairs(hashes[small], np.repeat(np.cumsum(kept), kept), scorer.rules.max_hamming))]
+        for i in np.flatnonzero(sizes > SET_ROWS):
+            rows = np.arange(starts[i], starts[i] + sizes[i])
+            parts.append((rows, close_pairs(hashes[rows], scorer.rules.max_hamming)))
+        for rows, found in parts:
+            for ia, ib, _ in found:
+                label = join_labels(label, rows[ia], rows[ib])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        node = table["node"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["node", "root"])
+
+    dealt = cells.repartition(tasks, "cell").sortWithinPartitions("cell")
+    run = lambda batches: (linked(table) for table in _whole_runs(batches, "cell", tuning.block_rows))
+    return dealt.mapInArrow(run, "node long, root long").filter("node <> root")
+
+
+def within_close_hashes(nodes: DataFrame, scorer: DuplicateScorer, tasks: int, tuning: MatchTuning = TUNING) -> DataFrame:
+    """``nodes`` with scopes cut down to those whose hashes a chain of close ones connects; nodes alone in theirs are left out.
+
+    Matching nodes have close hashes, so no match is lost, and until then only hashes are moved.
+    """
+    narrow = nodes.filter("dhash IS NOT NULL").select("node", "scope", "dhash")
+    hashes = cut_lineage(narrow.select("scope", "dhash").distinct())
+    linked = connected_components(_hash_links(hashes, scorer, tasks, tuning), "node", "root")
+    family = linked.select(F.col("node").alias("_hash"), F.col("component").alias("_family"))
+    named = narrow.withColumn("_hash", F.xxhash64("scope", "dhash")).join(family, "_hash", "left")
+    named = named.select("node", F.col("scope").alias("_scope"), F.concat_ws("/", "scope", F.coalesce("_family", "_hash")).alias("_within"))
+    several = named.groupBy("_within").agg(F.count("*").alias("in_scope")).filter("in_scope >= 2")
+    named = named.join(several, "_within")
+    return nodes.withColumnRenamed("scope", "_scope").join(named, ["node", "_scope"]).withColumnRenamed("_within", "scope").select(*nodes.columns, "in_scope")
+
+
+def _match_small(nodes: DataFrame, scorer: DuplicateScorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
+    """``match_nodes`` of scopes of few rows each, many of them at a time; rows are moved once."""
+
+    def scored(rows: pa.Table) -> pa.RecordBatch:
+        data = scorer.prepare(rows)
+        node, weight, settled = rows["node"].to_numpy(), rows["weight"].to_numpy().astype(float), _settled_codes(rows)
+        n = rows.num_rows
+        matches, total, best, label = np.zeros(n), np.zeros(n), np.full(n, np.inf), np.arange(n)
+        for ia, ib, _ in all_pairs(data["hash"], _run_ends(rows["scope"].to_numpy()), scorer.rules.max_hamming):
+            keep = data["known"][ia] & data["known"][ib] & ((settled[ia] < 0) | (settled[ia] != settled[ib]))
+            ia, ib = ia[keep], ib[keep]
+            value = _pair_distances(data["points"], data["points"], ia, ib)
+            near = value <= scorer.rules.max_distance
+            ia, ib, value = ia[near], ib[near], value[near]
+            for one, other in () if connectivity_only else ((ia, ib), (ib, ia)):
+                np.add.at(matches, one, weight[other])
+                np.add.at(total, one, value * weight[other])
+                np.minimum.at(best, one, value)
+            label = join_labels(label, ia, ib)
+        hit = np.flatnonzero(label != np.arange(n) if connectivity_only else matches > 0)
+        columns = [pa.array(node[hit], pa.string()), pa.array(node[label[hit]], pa.string()), pa.array(matches[hit].astype(np.int64)), pa.array(total[hit])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(best[hit], mask=~np.isfinite(best[hit]))], names=["node", "root", "matches", "score_sum", "best_score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, "scope", 16 * tuning.tile_rows):
+            widths = scorer.widths(table)
+            for width in np.unique(widths):
+                yield scored(table.take(np.flatnonzero(widths == width)).combine_chunks())
+
+    return nodes.repartition(tasks, "scope").sortWithinPartitions("scope", "node").mapInArrow(run, MATCH_SCHEMA)
+
+
 # --- the operator ---------------------------------------------------------------------------------
 
 
@@ -921,6 +1035,26 @@ def match_nodes(
     nodes = nodes.select("node", "scope", "weight", *scorer.columns, scorer.row_bytes().alias("row_bytes"), *(["settled"] if named else []))
     # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if isinstance(scorer, DuplicateScorer) and _largest_scope(nodes) > tuning.hash_rows:
+        nodes = cut_lineage(within_close_hashes(nodes, scorer, tasks, tuning))
+        most = nodes.agg(F.max("in_scope")).first()[0] or 0
+        found = _match_small(nodes.filter(F.col("in_scope") <= tuning.tile_rows).drop("in_scope"), scorer, tuning, connectivity_only, tasks)
+        # only the large ones are laid out in blocks, and only the largest cut into cells
+        for low, high in ((tuning.tile_rows, tuning.split_rows), (max(tuning.tile_rows, tuning.split_rows), math.inf)):
+            if most > low and high > low:
+                part = nodes.filter((F.col("in_scope") > low) & (F.col("in_scope") <= F.lit(float(high)))).drop("in_scope")
+                found = found.unionByName(_match(cut_lineage(part), scorer, tuning, connectivity_only, tasks))
+        return found
+    return _match(nodes, scorer, tuning, connectivity_only, tasks)
+
+
+def _largest_scope(nodes: DataFrame) -> int:
+    return nodes.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+
+
+def _match(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
+    """``match_nodes`` without a look at hashes first."""
+    named = "settled" in nodes.columns
     factor = getattr(scorer, "block_factor", 1)
     blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("bytes"), tasks, tuning, factor))
     sizes = nodes.groupBy("scope").agg(F.count("*").alias("count"), F.max("row_bytes").alias("bytes")).filter("count >= 2")

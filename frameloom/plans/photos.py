@@ -75,7 +75,7 @@ def duplicate_photo_members(
 ) -> DataFrame:
     """(asset_id, node, component) of every photo in a duplicate group: enough to exclude them elsewhere."""
     scorer = DuplicateScorer(rules)
-    rows = _duplicate_features(assets, features, rules)
+    rows = cut_lineage(_duplicate_features(assets, features, rules))  # read for the nodes and again for their assets
     nodes = collapse_copies(rows, scorer)
     found = match_nodes(nodes, scorer, tuning, connectivity_only=True)
     return _members(rows, matched_components(nodes, found, scorer))
@@ -151,7 +151,7 @@ def similar_photo_groups(
     """Groups of similar shots among the photos not excluded, with their mean verified similarity."""
     scorer = SimilarScorer(rules)
     left = without_ids(photos(assets), excluded_ids)
-    rows = _similar_features(left, features)
+    rows = cut_lineage(_similar_features(left, features))
     nodes = collapse_copies(rows, scorer)
     found = cut_lineage(match_similar(nodes, scorer, tuning))
     components = cut_lineage(matched_components(nodes, found, scorer))
@@ -187,7 +187,7 @@ def duplicate_matches(
 ) -> DataFrame:
     """Per photo with a verified duplicate: how many, and the nearest and mean distance."""
     scorer = DuplicateScorer(rules)
-    rows = _duplicate_features(assets, features, rules)
+    rows = cut_lineage(_duplicate_features(assets, features, rules))  # read for the nodes and again for their assets
     nodes = collapse_copies(rows, scorer)
     return _per_asset(rows, nodes, match_nodes(nodes, scorer, tuning), scorer).select(
         "asset_id",
@@ -207,7 +207,7 @@ def similar_matches(
     """Per photo with a verified similar shot: how many, and the best and mean cosine."""
     scorer = SimilarScorer(rules)
     left = photos(assets) if excluded_ids is None else without_ids(photos(assets), excluded_ids)
-    rows = _similar_features(left, features)
+    rows = cut_lineage(_similar_features(left, features))
     nodes = collapse_copies(rows, scorer)
     return _per_asset(rows, nodes, match_nodes(nodes, scorer, tuning), scorer).select(
         "asset_id",

@@ -111,6 +111,28 @@ def test_duplicates_equal_brute_force(spark, tuning):
     check(spark, nodes, M.DuplicateScorer(), tuning, [r[0] for r in rows], edges)
 
 
+@pytest.mark.parametrize(
+    "tuning", [MatchTuning(hash_rows=0), MatchTuning(hash_rows=0, block_rows=5, tile_rows=3, split_rows=6, max_pivots=16, sample_rows=64)], ids=["small", "cells"]
+)
+def test_only_rows_of_close_hashes_are_laid_out(spark, tuning, monkeypatch):
+    rows = photo_rows(3, spread=0.012)
+    # loose rows of the same scopes, one without a hash
+    rng = np.random.default_rng(4)
+    rows += [(f"x{i:03d}", f"s{i % 2}", 1, int(rng.integers(0, 2**62)) if i else None, unit(rng.normal(size=DIMS)).tolist(), 1.0) for i in range(60)]
+    schema = "node string, scope string, weight long, dhash long, vec array<double>, aspect double"
+    nodes = cut_lineage(spark.createDataFrame(rows, schema).drop("aspect"))
+    edges = [
+        (a[0], b[0], float(np.linalg.norm(np.subtract(a[4], b[4]))))
+        for a, b in itertools.combinations([r for r in rows if r[3] is not None], 2)
+        if a[1] == b[1] and hamming(a[3], b[3]) <= 4 and np.linalg.norm(np.subtract(a[4], b[4])) <= 0.05
+    ]
+    assert len(edges) > 50
+    check(spark, nodes, M.DuplicateScorer(), tuning, [r[0] for r in rows], edges)
+    kept = M.within_close_hashes(nodes, M.DuplicateScorer(), 4, tuning).collect()
+    assert {r.node for r in kept} <= {r[0] for r in rows[:72]} and max(r.in_scope for r in kept) <= 12
+    assert len({r.scope for r in kept}) >= 6
+
+
 @TUNINGS
 def test_similar_equal_brute_force(spark, tuning):
     rows = [(n, "s", w, None if i % 9 == 0 else h, v, a) for i, (n, s, w, h, v, a) in enumerate(photo_rows(2, spread=0.12))]
