@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from frameloom.config import BIN, BinRules
-from frameloom.streaming.state import ENTRY_EVENTS, FirstDeletion, append_available
+from frameloom.streaming.state import ENTRY_EVENTS, FirstDeletion, append_available, bin_events
 
 
 def fill_bin(
@@ -26,9 +26,8 @@ def fill_bin(
     rows = timed.select("asset_id", "kind", "file_size", "deleted_at", micros, sequence.alias("sequence"))
     known = None
     if existing is not None:
-        known = existing.filter("deleted_at IS NOT NULL").select("asset_id", "kind", "file_size", micros).groupBy("asset_id")
-    processor = FirstDeletion(rules.retention_days - 1)
-    events = rows.groupBy("asset_id").transformWithStateInPandas(processor, ENTRY_EVENTS, "Append", "EventTime", known)
+        known = existing.filter("deleted_at IS NOT NULL").select("asset_id", "kind", "file_size", micros)
+    events = bin_events(rows, FirstDeletion(rules.retention_days - 1), known)
     return append_available(events, path, checkpoint)
 
 

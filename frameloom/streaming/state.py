@@ -1,6 +1,9 @@
 """Keyed state of streams: what is known of an asset is in the state store, a micro-batch touches only its own assets.
 
 The state store is RocksDB's, so state may be larger than memory; checkpoints of it lie with the query's checkpoint.
+
+Assets have few rows each, so processors take plain rows: a pandas frame for each asset would cost more than all else. Times are microseconds
+in them, and become timestamps once the rows have left.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,13 +54,25 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> Streaming
         )
 
 
+def _timed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` in the layout of ``schema``, with every time from its microseconds."""
+    fields = (field.split() for field in schema.split(", "))
+    return rows.select(*(F.timestamp_micros(f"{name}_us").alias(name) if kind == "timestamp" else F.col(name) for name, kind in fields))
+
+
 def _whole(x) -> int:
     return int(np.int64(x))
 
 
+def _last_if_null(x) -> tuple:
+    return x is None, 0 if x is None else x
+
+
 # --- the bin --------------------------------------------------------------------------------------
 
 ENTRY_EVENTS = "asset_id string, kind string, file_size bigint, deleted_at timestamp, event string, event_at timestamp"
+_ENTRY_ROWS = "asset_id string, kind string, file_size bigint, deleted_at_us bigint, event string, event_at_us bigint"
+_Entry = Row("asset_id", "kind", "file_size", "deleted_at_us", "event", "event_at_us")
 _FIRST = "kind string, file_size bigint, deleted_us bigint"
 
 
@@ -70,38 +86,45 @@ class FirstDeletion(StatefulProcessor):
         self.handle = handle
         self.first = handle.getValueState("first", _FIRST)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._keep(initialState.sort_values("deleted_us", kind="stable").iloc[0])
+    def _leaves_ms(self, at: int) -> int:
+        return at // 1000 + self.stay_ms
 
-    def _keep(self, row) -> tuple:
-        size = None if pd.isna(row["file_size"]) else _whole(row["file_size"])
-        at = _whole(row["deleted_us"])
-        self.first.update((row["kind"], size, at))
-        self.handle.registerTimer(at // 1000 + self.stay_ms)
-        return row["kind"], size, at
+    def _keep(self, row: Row) -> None:
+        self.first.update((row.kind, row.file_size, row.deleted_us))
+        self.handle.registerTimer(self._leaves_ms(row.deleted_us))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        # called for every entry of the asset; the earliest counts
+        known = self.first.get()
+        if known is not None:
+            if known[2] <= initialState.deleted_us:
+                return
+            self.handle.deleteTimer(self._leaves_ms(known[2]))
+        self._keep(initialState)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # drained before anything else: state and rows come over one connection
-        rows = pd.concat(list(rows), ignore_index=True)
-        if self.first.exists():
-            return
-        kind, size, at = self._keep(rows.sort_values(["deleted_us", "sequence"], kind="stable").iloc[0])
-        yield self._event(key, kind, size, at, "entered", at)
+        row = min(rows, key=lambda r: (r.deleted_us, _last_if_null(r.sequence)))
+        if not self.first.exists():
+            self._keep(row)
+            yield _Entry(key[0], row.kind, row.file_size, row.deleted_us, "entered", row.deleted_us)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         kind, size, at = self.first.get()
         self.first.clear()
-        yield self._event(key, kind, size, _whole(at), "left", _whole(at) + self.stay_ms * 1000)
-
-    @staticmethod
-    def _event(key, kind, size, at: int, event: str, event_us: int) -> pd.DataFrame:
-        moment = lambda us: pd.to_datetime([us], unit="us", utc=True)
-        return pd.DataFrame({"asset_id": [key[0]], "kind": [kind], "file_size": pd.array([size], "Int64"), "deleted_at": moment(at), "event": [event], "event_at": moment(event_us)})
+        yield _Entry(key[0], kind, size, at, "left", at + self.stay_ms * 1000)
 
     def close(self) -> None:
         pass
 
 
+def bin_events(rows: DataFrame, processor: FirstDeletion, known: DataFrame | None) -> DataFrame:
+    """ENTRY_EVENTS of a stream of (asset_id, kind, file_size, deleted_us, sequence, time of the watermark)."""
+    known = None if known is None else known.groupBy("asset_id")
+    events = rows.groupBy("asset_id").transformWithState(processor, _ENTRY_ROWS, "Append", "EventTime", known)
+    return _timed(events, ENTRY_EVENTS)
+
+
 # --- the change feed ------------------------------------------------------------------------------
 
 CHANGE_EVENTS = "asset_id string, op string, change_ts timestamp, sequence bigint"

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from frameloom import session
@@ -17,7 +18,7 @@ from frameloom.sources import scan
 from frameloom.sources.images import read_file_facts, read_images, scan_assets
 from frameloom.schemas import PHOTO_FINGERPRINTS, VIDEO_FINGERPRINTS
 from frameloom.sources.store import load_index, read_index, read_table, write_bucketed, write_index, write_table
-from frameloom.streaming import changes, deletions
+from frameloom.streaming import changes, deletions, state
 from frameloom.streaming import fingerprints as stream_fp
 from tests.test_decisions import INDEX, moment, now, record
 
@@ -244,6 +245,62 @@ def test_bin_stream_first_deletion_wins_and_entries_leave_by_age(spark, tmp_path
     assert not {a for a, _ in left} & {"c"}
 
 
+def test_bin_stream_keeps_whole_sizes_and_the_earliest_known_entry(spark, tmp_path):
+    large = (1 << 53) + 1  # no double
+    rows = [("a", "photo", large, moment("2024-02-01"), 1), ("a", "photo", None, moment("2024-02-02"), 2), ("twice", "photo", 3, moment("2024-02-10"), 3)]
+    known = [("twice", "photo", 1, moment("2024-02-05"), 0), ("twice", "photo", 2, moment("2024-01-05"), 0), ("twice", "photo", 4, moment("2024-02-07"), 0)]
+    later = [("z", "photo", 5, moment("2024-02-20"), 4)]
+    path = str(tmp_path / "events")
+    existing = spark.createDataFrame(known, ENTRIES)
+    in_steps(spark, str(tmp_path / "in"), [rows, later], ENTRIES, lambda s: deletions.fill_bin(s, path, str(tmp_path / "cp"), existing))
+    events = deletions.read_events(spark, path)
+    assert sorted((r.asset_id, r.file_size) for r in deletions.bin_entries(events).collect()) == [("a", large), ("z", 5)]
+    # one timer of the earliest entry, 29 days after it
+    left = [(r.asset_id, r.file_size, r.event_at) for r in events.filter("event = 'left'").collect()]
+    assert left == [("twice", 2, moment("2024-02-03"))]
+
+
+class Kept:
+    """Stands for the state of one asset, and counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.get() is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+def _plain_rows(processor, rows, known=()):
+    """What a processor gives for the plain rows of one asset, and its state: no frame is made for it."""
+    kept = Kept()
+    processor.init(kept)
+    for row in known:
+        processor.handleInitialState(("a",), row, None)
+    kept.asked = 0
+    found = list(processor.handleInputRows(("a",), iter(rows), None))
+    assert all(isinstance(r, Row) for r in found) and kept.asked == 1
+    return [tuple(r) for r in found], kept
+
+
+def test_bin_takes_plain_rows():
+    row = Row("kind", "file_size", "deleted_us", "sequence")
+    found, kept = _plain_rows(state.FirstDeletion(29), [row("photo", 1, 5000, None), row("photo", 2, 5000, 7), row("photo", 3, 9000, 1)])
+    assert found == [("a", "photo", 2, 5000, "entered", 5000)] and kept.timer == 5 + 29 * state.DAY_MS
+
+
 def test_stateful_first_deletions(spark, tmp_path):
     schema = "asset_id string, deleted_at timestamp"
     batches = [[("a", moment("2024-01-01")), ("b", moment("2024-01-02"))], [("a", moment("2024-01-03"))]]
