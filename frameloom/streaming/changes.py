@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from frameloom.streaming.state import CHANGE_EVENTS, NO_TIME, LastChange, append_available
+from frameloom.streaming.state import CHANGE_EVENTS, NO_TIME, append_available, last_changes
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -54,8 +54,7 @@ def maintain_index(stream: DataFrame, index: DataFrame, path: str, checkpoint: s
     micros = F.coalesce(F.unix_micros("change_ts"), F.lit(NO_TIME))
     rows = stream.select("asset_id", "op", micros.alias("change_us"), F.coalesce("sequence", F.lit(0)).alias("sequence"))
     known = index.select("asset_id", F.unix_micros("modification_date").alias("modified_us"))
-    last = rows.groupBy("asset_id").transformWithStateInPandas(LastChange(), CHANGE_EVENTS, "Append", "None", known.groupBy("asset_id"))
-    return append_available(last, path, checkpoint)
+    return append_available(last_changes(rows, known), path, checkpoint)
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:

@@ -60,10 +60,6 @@ def _timed(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*(F.timestamp_micros(f"{name}_us").alias(name) if kind == "timestamp" else F.col(name) for name, kind in fields))
 
 
-def _whole(x) -> int:
-    return int(np.int64(x))
-
-
 def _last_if_null(x) -> tuple:
     return x is None, 0 if x is None else x
 
@@ -130,33 +126,38 @@ def bin_events(rows: DataFrame, processor: FirstDeletion, known: DataFrame | Non
 CHANGE_EVENTS = "asset_id string, op string, change_ts timestamp, sequence bigint"
 
 
+_CHANGE_ROWS = "asset_id string, op string, change_ts_us bigint, sequence bigint"
+_Change = Row("asset_id", "op", "change_ts_us", "sequence")
+
+
 class LastChange(StatefulProcessor):
     """The last change of an asset, deletions included; what is earlier than it or than the index row is late and dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "change_us bigint, sequence bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        at = initialState["modified_us"].max()
-        if not pd.isna(at):
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        at, known = initialState.modified_us, self.last.get()
+        if at is not None and (known is None or known[0] < at):
             # a change of the very time of the index row is not late
-            self.last.update((_whole(at), -(1 << 63)))
+            self.last.update((at, -(1 << 63)))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows), ignore_index=True)
-        row = rows.sort_values(["change_us", "sequence", "op"], kind="stable").iloc[-1]
-        at, sequence = _whole(row["change_us"]), _whole(row["sequence"])
-        if self.last.exists():
-            known = self.last.get()
-            if (at, sequence) <= (_whole(known[0]), _whole(known[1])):
-                return
-        self.last.update((at, sequence))
-        yield pd.DataFrame({"asset_id": [key[0]], "op": [row["op"]], "change_ts": pd.to_datetime([None if at == NO_TIME else at], unit="us", utc=True), "sequence": [sequence]})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        row = max(rows, key=lambda r: (r.change_us, r.sequence, r.op is None, r.op or ""))
+        change, known = (row.change_us, row.sequence), self.last.get()
+        if known is None or change > tuple(known):
+            self.last.update(change)
+            yield _Change(key[0], row.op, None if row.change_us == NO_TIME else row.change_us, row.sequence)
 
     def close(self) -> None:
         pass
 
 
+def last_changes(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """CHANGE_EVENTS of a stream of (asset_id, op, change_us, sequence)."""
+    return _timed(rows.groupBy("asset_id").transformWithState(LastChange(), _CHANGE_ROWS, "Append", "None", known.groupBy("asset_id")), CHANGE_EVENTS)
+
+
 # --- fingerprints ---------------------------------------------------------------------------------
 
 PRINT_EVENTS = "asset_id string, signature_key string, dhash bigint, feature_vector array<double>"

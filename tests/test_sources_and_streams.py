@@ -301,6 +301,16 @@ def test_bin_takes_plain_rows():
     assert found == [("a", "photo", 2, 5000, "entered", 5000)] and kept.timer == 5 + 29 * state.DAY_MS
 
 
+def test_change_feed_takes_plain_rows():
+    row, known = Row("op", "change_us", "sequence"), Row("modified_us")
+    rows = [row("add", 7, 1), row("delete", 7, 2), row("modify", 6, 9)]
+    dates = [known(3), known(None), known(8), known(5)]
+    assert _plain_rows(state.LastChange(), rows, dates[:2])[0] == [("a", "delete", 7, 2)]
+    # the latest of the dates counts
+    assert _plain_rows(state.LastChange(), rows, dates)[0] == []
+    assert _plain_rows(state.LastChange(), [row("add", state.NO_TIME, 1)])[0] == [("a", "add", None, 1)]
+
+
 def test_stateful_first_deletions(spark, tmp_path):
     schema = "asset_id string, deleted_at timestamp"
     batches = [[("a", moment("2024-01-01")), ("b", moment("2024-01-02"))], [("a", moment("2024-01-03"))]]
