@@ -33,7 +33,7 @@ def fingerprint_new_images(
     known = known.select("asset_id", "signature_key", F.when(F.col("is_missing").isNull(), F.col("signature_key")).alias("printed_key"))
     name = F.regexp_extract("image.origin", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("asset_id")
     images = stream.select(name, "image.height", "image.width", "image.nChannels", "image.data")
-    prints = images.groupBy("asset_id").transformWithStateInPandas(NewImage(featurizer), PRINT_EVENTS, "Append", "None", known.groupBy("asset_id"))
+    prints = images.groupBy("asset_id").transformWithState(NewImage(featurizer), PRINT_EVENTS, "Append", "None", known.groupBy("asset_id"))
     return append_available(prints, path, checkpoint)
 
 

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -161,6 +160,7 @@ def last_changes(rows: DataFrame, known: DataFrame) -> DataFrame:
 # --- fingerprints ---------------------------------------------------------------------------------
 
 PRINT_EVENTS = "asset_id string, signature_key string, dhash bigint, feature_vector array<double>"
+_Print = Row("asset_id", "signature_key", "dhash", "feature_vector")
 
 
 class NewImage(StatefulProcessor):
@@ -172,23 +172,23 @@ class NewImage(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getValueState("known", "signature_key string, printed_key string")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.known.update((row["signature_key"], row["printed_key"]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows), ignore_index=True)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        # called for every row of the asset; the first counts
         if not self.known.exists():
+            self.known.update((initialState.signature_key, initialState.printed_key))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        known = self.known.get()
+        if known is None or known[0] is None or known[1] == known[0]:
             return
-        current, printed = self.known.get()
-        if current is None or printed == current:
-            return
-        for row in rows.itertuples(index=False):
+        current = known[0]
+        for row in rows:
             pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(np.float64)
             found = self.featurizer(pixels)
             if found is not None:
                 self.known.update((current, current))
-                yield pd.DataFrame({"asset_id": [key[0]], "signature_key": [current], "dhash": [int(found[0])], "feature_vector": [[float(x) for x in found[1]]]})
+                yield _Print(key[0], current, int(found[0]), [float(x) for x in found[1]])
                 return
 
     def close(self) -> None:

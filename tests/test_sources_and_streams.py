@@ -311,6 +311,15 @@ def test_change_feed_takes_plain_rows():
     assert _plain_rows(state.LastChange(), [row("add", state.NO_TIME, 1)])[0] == [("a", "add", None, 1)]
 
 
+def test_new_images_take_plain_rows():
+    row, known = Row("height", "width", "nChannels", "data"), Row("signature_key", "printed_key")
+    rows = [row(1, 2, 1, bytes([0, 0])), row(1, 2, 1, bytes([3, 4]))]
+    seen = lambda pixels: (int(pixels.sum()), pixels.ravel()) if pixels.any() else None
+    found, kept = _plain_rows(state.NewImage(seen), rows, [known("k", None), known("other", "other")])
+    assert found == [("a", "k", 7, [3.0, 4.0])] and kept.value == ("k", "k")
+    assert _plain_rows(state.NewImage(seen), rows, [known("k", "k")])[0] == []
+
+
 def test_stateful_first_deletions(spark, tmp_path):
     schema = "asset_id string, deleted_at timestamp"
     batches = [[("a", moment("2024-01-01")), ("b", moment("2024-01-02"))], [("a", moment("2024-01-03"))]]
