@@ -27,7 +27,7 @@ value of ``settled`` are not compared with each other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +85,14 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray
     return out
 
 
+def _pair_cosines(points: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ia))
+    step = max(1, (1 << 20) // max(1, points.shape[1]))
+    for i in range(0, len(ia), step):
+        out[i : i + step] = (points[ia[i : i + step]] * points[ib[i : i + step]]).sum(axis=1)
+    return np.clip(out, -1.0, 1.0)
+
+
 # Hash bands: with 4 differing bits spread over 5 bands, one band is equal.
 def band_edges(max_hamming: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of max_hamming + 1 bands over 64 bits."""
@@ -129,6 +137,15 @@ class DuplicateScorer:
         near = distance <= self.rules.max_distance
         return ia[near], ib[near], distance[near]
 
+    def pairs_of_runs(self, data: dict, ends: np.ndarray) -> Iterator[Hits]:
+        """Matches of places whose row lies before ``ends`` of the first, in parts."""
+        for ia, ib, _ in all_pairs(data["hash"], ends, self.rules.max_hamming):
+            known = data["known"][ia] & data["known"][ib]
+            ia, ib = ia[known], ib[known]
+            distance = _pair_distances(data["points"], data["points"], ia, ib)
+            near = distance <= self.rules.max_distance
+            yield ia[near], ib[near], distance[near]
+
     def split(self, nodes: DataFrame) -> DataFrame:
         keys = [
             F.struct(
@@ -189,7 +206,9 @@ class SimilarScorer:
             return _NO_HITS
         close &= np.abs(a["aspect"][:, None] - b["aspect"][None, :]) <= self.rules.max_aspect_difference
         ia, ib = np.nonzero(close)
-        value = cosine[ia, ib]
+        return self._but_duplicates(a, b, ia, ib, cosine[ia, ib])
+
+    def _but_duplicates(self, a: dict, b: dict, ia: np.ndarray, ib: np.ndarray, value: np.ndarray) -> Hits:
         bits = np.bitwise_count(a["hash"][ia] ^ b["hash"][ib])
         duplicate = (
             (value >= self.rules.duplicate_ceiling)
@@ -199,6 +218,15 @@ class SimilarScorer:
         )
         return ia[~duplicate], ib[~duplicate], value[~duplicate]
 
+    def pairs_of_runs(self, data: dict, ends: np.ndarray) -> Iterator[Hits]:
+        """Matches of places whose row lies before ``ends`` of the first, in parts."""
+        for ia, ib, _ in all_pairs(np.zeros(len(ends), np.uint64), ends, 0):
+            near = np.abs(data["aspect"][ia] - data["aspect"][ib]) <= self.rules.max_aspect_difference
+            ia, ib = ia[near], ib[near]
+            value = _pair_cosines(data["points"], ia, ib)
+            close = value >= self.rules.threshold
+            yield self._but_duplicates(data, data, ia[close], ib[close], value[close])
+
     def split(self, nodes: DataFrame) -> DataFrame:
         own = F.floor(F.col("aspect") / self.rules.max_aspect_difference)
         return (
@@ -210,6 +238,64 @@ class SimilarScorer:
         )
 
 
+# Steps of a code on each side of zero, and what room codes need: no vector of at most this many components is further from its code.
+CODE_STEPS = 32767
+CODE_WIDTH = 1 << 16
+CODE_SLACK = 0.005
+
+
+@dataclass(frozen=True)
+class CodeScorer:
+    """Whether ``SimilarScorer`` could match two vectors, by whole numbers that stand for them: every match is among the hits.
+
+    ``digits`` times ``scale`` is the vector but for ``slack``, so a product of codes is that of the vectors but for both slacks.
+    """
+
+    rules: SimilarPhotoRules = SIMILAR_PHOTOS
+    columns = ("digits", "scale", "slack", "aspect")
+    best = "max"
+    has_points = True
+    self_score = 1.0
+    # rows are a quarter as wide as vectors
+    block_factor = 2
+
+    @property
+    def radius(self) -> float:
+        return SimilarScorer(self.rules).radius + 2.0 * CODE_SLACK
+
+    widths = staticmethod(lambda rows: pc.binary_length(rows["digits"]).to_numpy() // 2)
+
+    @staticmethod
+    def row_bytes() -> Column:
+        return F.greatest(F.length("digits"), F.lit(8))
+
+    def prepare(self, rows: pa.Table) -> dict:
+        scale = rows["scale"].to_numpy().astype(np.float32)
+        column = rows["digits"].combine_chunks()
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + rows.num_rows + 1]
+        points = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int16).reshape(rows.num_rows, -1).astype(np.float32)
+        points *= scale[:, None]
+        return {"points": points, "slack": rows["slack"].to_numpy(), "aspect": rows["aspect"].to_numpy()}
+
+    def score(self, a: dict, b: dict) -> Hits:
+        cosine = a["points"] @ b["points"].T
+        # rounding of single precision, in the products and in the points
+        room = 1e-7 * (a["points"].shape[1] + 100)
+        close = cosine >= self.rules.threshold - 2.0 * CODE_SLACK - room
+        if not close.any():
+            return _NO_HITS
+        close &= np.abs(a["aspect"][:, None] - b["aspect"][None, :]) <= self.rules.max_aspect_difference
+        ia, ib = np.nonzero(close)
+        value = cosine[ia, ib].astype(float)
+        one, other = a["slack"][ia], b["slack"][ib]
+        near = value + one + other + one * other + room >= self.rules.threshold
+        return ia[near], ib[near], value[near]
+
+    def split(self, nodes: DataFrame) -> DataFrame:
+        return SimilarScorer(self.rules).split(nodes)
+
+
 @dataclass(frozen=True)
 class FrameScorer:
     """Frame k against frame k, where both are there: every distance and the mean in bounds; the score is the mean.
@@ -329,7 +415,7 @@ _ROOM = 1e-9
 
 _NO_HITS: Hits = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
-Scorer = DuplicateScorer | SimilarScorer | FrameScorer | HashScorer
+Scorer = DuplicateScorer | SimilarScorer | CodeScorer | FrameScorer | HashScorer
 
 
 # --- inside a task --------------------------------------------------------------------------------
@@ -910,30 +996,72 @@ def within_close_hashes(nodes: DataFrame, scorer: DuplicateScorer, tasks: int, t
     linked = connected_components(_hash_links(hashes, scorer, tasks, tuning), "node", "root")
     family = linked.select(F.col("node").alias("_hash"), F.col("component").alias("_family"))
     named = narrow.withColumn("_hash", F.xxhash64("scope", "dhash")).join(family, "_hash", "left")
-    named = named.select("node", F.col("scope").alias("_scope"), F.concat_ws("/", "scope", F.coalesce("_family", "_hash")).alias("_within"))
+    return _within_families(nodes, named.withColumn("_family", F.coalesce("_family", "_hash")))
+
+
+def _within_families(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """``nodes`` with scopes cut down to families of several nodes, and ``in_scope``, their number. ``named``: node, scope, _family."""
+    named = named.select("node", F.col("scope").alias("_scope"), F.concat_ws("/", "scope", "_family").alias("_within"))
     several = named.groupBy("_within").agg(F.count("*").alias("in_scope")).filter("in_scope >= 2")
     named = named.join(several, "_within")
     return nodes.withColumnRenamed("scope", "_scope").join(named, ["node", "_scope"]).withColumnRenamed("_within", "scope").select(*nodes.columns, "in_scope")
 
 
-def _match_small(nodes: DataFrame, scorer: DuplicateScorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
+def _codes(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with codes for vectors: whole numbers of ``scale``, and how far from the vector they are. Nodes are named by a number."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vec")
+            lengths, flat = _lengths(column), column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            scale = np.maximum.reduceat(np.abs(flat), ends[:-1]) / CODE_STEPS if len(lengths) else np.empty(0)
+            # stored in single precision, so that codes are made for what is read
+            scale = np.maximum(scale.astype(np.float32), np.float32(1e-30))
+            wide = np.repeat(scale.astype(float), lengths)
+            steps = np.clip(np.rint(flat / wide), -CODE_STEPS, CODE_STEPS)
+            gap = flat - steps * wide
+            slack = np.sqrt(np.add.reduceat(gap * gap, ends[:-1])) if len(lengths) else np.empty(0)
+            codes = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(steps.astype(np.int16))])
+            others = [n for n in batch.schema.names if n != "vec"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), codes, pa.array(scale), pa.array(slack)], names=[*others, "digits", "scale", "slack"])
+
+    number = F.xxhash64("node").cast("string").alias("node")
+    narrow = nodes.select(number, "scope", F.lit(1).cast("long").alias("weight"), "aspect", "vec", *(["settled"] if "settled" in nodes.columns else []))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "vec")
+    return narrow.mapInArrow(code, f"{fields}, digits binary, scale float, slack double")
+
+
+def within_close_codes(nodes: DataFrame, scorer: SimilarScorer, tasks: int, tuning: MatchTuning = TUNING) -> DataFrame:
+    """``nodes`` with scopes cut down to those that a chain of close codes connects; nodes alone in theirs are left out.
+
+    Codes of matching nodes are close, so no match is lost, and until then only codes are moved. Two nodes whose numbers fall together
+    connect more, never less.
+    """
+    codes = CodeScorer(scorer.rules)
+    links = _match(cut_lineage(_codes(nodes).withColumn("row_bytes", codes.row_bytes())), codes, tuning, True, tasks)
+    linked = connected_components(links.select(F.col("node").cast("long").alias("node"), F.col("root").cast("long").alias("root")), "node", "root")
+    family = linked.select(F.col("node").alias("_hash"), F.col("component").alias("_family"))
+    return _within_families(nodes, nodes.select("node", "scope", F.xxhash64("node").alias("_hash")).join(family, "_hash"))
+
+
+def _match_small(nodes: DataFrame, scorer: DuplicateScorer | SimilarScorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
     """``match_nodes`` of scopes of few rows each, many of them at a time; rows are moved once."""
 
     def scored(rows: pa.Table) -> pa.RecordBatch:
         data = scorer.prepare(rows)
         node, weight, settled = rows["node"].to_numpy(), rows["weight"].to_numpy().astype(float), _settled_codes(rows)
         n = rows.num_rows
-        matches, total, best, label = np.zeros(n), np.zeros(n), np.full(n, np.inf), np.arange(n)
-        for ia, ib, _ in all_pairs(data["hash"], _run_ends(rows["scope"].to_numpy()), scorer.rules.max_hamming):
-            keep = data["known"][ia] & data["known"][ib] & ((settled[ia] < 0) | (settled[ia] != settled[ib]))
-            ia, ib = ia[keep], ib[keep]
-            value = _pair_distances(data["points"], data["points"], ia, ib)
-            near = value <= scorer.rules.max_distance
-            ia, ib, value = ia[near], ib[near], value[near]
+        matches, total, label = np.zeros(n), np.zeros(n), np.arange(n)
+        pick = np.minimum if scorer.best == "min" else np.maximum
+        best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
+        for ia, ib, value in scorer.pairs_of_runs(data, _run_ends(rows["scope"].to_numpy())):
+            keep = (settled[ia] < 0) | (settled[ia] != settled[ib])
+            ia, ib, value = ia[keep], ib[keep], value[keep]
             for one, other in () if connectivity_only else ((ia, ib), (ib, ia)):
                 np.add.at(matches, one, weight[other])
                 np.add.at(total, one, value * weight[other])
-                np.minimum.at(best, one, value)
+                pick.at(best, one, value)
             label = join_labels(label, ia, ib)
         hit = np.flatnonzero(label != np.arange(n) if connectivity_only else matches > 0)
         columns = [pa.array(node[hit], pa.string()), pa.array(node[label[hit]], pa.string()), pa.array(matches[hit].astype(np.int64)), pa.array(total[hit])]
@@ -1035,8 +1163,9 @@ def match_nodes(
     nodes = nodes.select("node", "scope", "weight", *scorer.columns, scorer.row_bytes().alias("row_bytes"), *(["settled"] if named else []))
     # as many tasks as the session shuffles with, fewer when there are fewer block pairs to score
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if isinstance(scorer, DuplicateScorer) and _largest_scope(nodes) > tuning.hash_rows:
-        nodes = cut_lineage(within_close_hashes(nodes, scorer, tasks, tuning))
+    within = _narrowing(nodes, scorer, tuning)
+    if within is not None:
+        nodes = cut_lineage(within(nodes, scorer, tasks, tuning))
         most = nodes.agg(F.max("in_scope")).first()[0] or 0
         found = _match_small(nodes.filter(F.col("in_scope") <= tuning.tile_rows).drop("in_scope"), scorer, tuning, connectivity_only, tasks)
         # only the large ones are laid out in blocks, and only the largest cut into cells
@@ -1048,8 +1177,16 @@ def match_nodes(
     return _match(nodes, scorer, tuning, connectivity_only, tasks)
 
 
-def _largest_scope(nodes: DataFrame) -> int:
-    return nodes.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+def _narrowing(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning) -> Callable[..., DataFrame] | None:
+    """What cuts large scopes down before vectors are moved."""
+    if not isinstance(scorer, DuplicateScorer) and type(scorer) is not SimilarScorer:
+        return None
+    widest, largest = nodes.groupBy("scope").agg(F.max(F.size("vec")).alias("w"), F.count("*").alias("n")).agg(F.max("w"), F.max("n")).first()
+    if (largest or 0) <= tuning.hash_rows:
+        return None
+    if isinstance(scorer, DuplicateScorer):
+        return within_close_hashes
+    return within_close_codes if widest <= CODE_WIDTH else None
 
 
 def _match(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:

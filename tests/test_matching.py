@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.config import MatchTuning
+from frameloom.config import MatchTuning, SimilarPhotoRules
 from frameloom.operators import matching as M
 from frameloom.operators.hamming import close_pairs
 from frameloom.session import cut_lineage
@@ -133,6 +133,57 @@ def test_only_rows_of_close_hashes_are_laid_out(spark, tuning, monkeypatch):
     assert len({r.scope for r in kept}) >= 6
 
 
+@pytest.mark.parametrize(
+    "tuning, settled",
+    [
+        (MatchTuning(hash_rows=0, block_rows=5, tile_rows=3), False),
+        (MatchTuning(hash_rows=0, block_rows=5, tile_rows=3, split_rows=6, max_pivots=16, sample_rows=64, chunk_rows=16, pairs_per_moved_row=0.0), True),
+    ],
+    ids=["blocks", "cells"],
+)
+def test_only_rows_of_close_codes_are_laid_out(spark, tuning, settled):
+    rows = [(n, "s", w, None if i % 9 == 0 else h, v, a) for i, (n, s, w, h, v, a) in enumerate(photo_rows(2, spread=0.12))]
+    # loose vectors of another length, so of another scope
+    rng = np.random.default_rng(8)
+    rows += [(f"x{i:03d}", "t", 1, i, unit(rng.normal(size=3 * DIMS)).tolist(), 1.0) for i in range(40)]
+    sets = {r[0]: "one" if settled and i < 9 else None for i, r in enumerate(rows)}
+    schema = "node string, scope string, weight long, dhash long, vec array<double>, aspect double, settled string"
+    nodes = spark.createDataFrame([(*r, sets[r[0]]) for r in rows], schema)
+    nodes = cut_lineage(nodes if settled else nodes.drop("settled"))
+    edges = []
+    for a, b in itertools.combinations(rows, 2):
+        if len(a[4]) != len(b[4]) or abs(a[5] - b[5]) > 0.35 or (sets[a[0]] and sets[a[0]] == sets[b[0]]):
+            continue
+        cosine = float(np.dot(a[4], b[4]))
+        twin = None not in (a[3], b[3]) and hamming(a[3], b[3]) <= 4 and cosine >= 0.985
+        if cosine >= 0.86 and not twin:
+            edges.append((a[0], b[0], cosine))
+    assert len(edges) > 50
+    check(spark, nodes, M.SimilarScorer(), tuning, [r[0] for r in rows], edges)
+    kept = M.within_close_codes(nodes, M.SimilarScorer(), 4, tuning).collect()
+    assert {x for a, b, _ in edges for x in (a, b)} <= {r.node for r in kept} < {r[0] for r in rows}
+    assert len({r.scope for r in kept}) >= 4
+
+
+def test_codes_lose_no_match(spark):
+    """Products of codes are those of the vectors but for the slacks, also where a component is all of a vector."""
+    rng = np.random.default_rng(9)
+    vectors = unit(np.concatenate([rng.normal(size=(60, 16)), np.eye(16), np.eye(16) + 1e-6]))
+    rows = [(f"n{i:03d}", "s", v.tolist(), 1.0) for i, v in enumerate(vectors)]
+    coded = M._codes(spark.createDataFrame(rows, "node string, scope string, vec array<double>, aspect double")).toArrow()
+    numbers = spark.createDataFrame(rows, "node string, scope string, vec array<double>, aspect double").select(F.xxhash64("node").cast("string")).collect()
+    order = [coded["node"].to_pylist().index(r[0]) for r in numbers]
+    data = M.CodeScorer().prepare(coded.take(order))
+    slack = data["slack"]
+    assert (slack <= M.CODE_SLACK).all()
+    apart = np.abs(data["points"].astype(float) @ data["points"].astype(float).T - vectors @ vectors.T)
+    assert (apart <= slack[:, None] + slack[None, :] + slack[:, None] * slack[None, :] + 1e-7).all()
+    for threshold in np.sort((vectors @ vectors.T)[np.triu_indices(len(vectors), 1)])[::97]:
+        scorer = M.CodeScorer(SimilarPhotoRules(threshold=float(threshold)))
+        ia, ib, _ = scorer.score(data, data)
+        assert set(zip(*(x.tolist() for x in np.nonzero(vectors @ vectors.T >= threshold)))) <= set(zip(ia.tolist(), ib.tolist()))
+
+
 @TUNINGS
 def test_similar_equal_brute_force(spark, tuning):
     rows = [(n, "s", w, None if i % 9 == 0 else h, v, a) for i, (n, s, w, h, v, a) in enumerate(photo_rows(2, spread=0.12))]
