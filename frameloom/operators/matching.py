@@ -47,6 +47,7 @@ from frameloom.config import (
     MatchTuning,
     SimilarPhotoRules,
 )
+from frameloom.functions import vectors as V
 from frameloom.operators.components import connected_components, join_labels
 from frameloom.operators.hamming import SET_ROWS, all_pairs, close_pairs
 from frameloom.session import cut_lineage
@@ -75,6 +76,15 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _may_be_within(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Whether rows may be so near: one product in single precision, with room for its rounding."""
+    one, other = (a * a).sum(1), (b * b).sum(1)
+    left = np.column_stack([-2.0 * a, one, np.ones(len(a))]).astype(np.float32)
+    right = np.column_stack([b, np.ones(len(b)), other]).astype(np.float32)
+    largest = max(1.0, np.fmax.reduce(one, initial=0.0), np.fmax.reduce(other, initial=0.0))
+    return left @ right.T <= np.float32(limit * limit + 1e-6 * (a.shape[1] + 100) * largest)
+
+
 def _pair_distances(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
     """Distances of single pairs by their differences: exact to the last digits, also near zero."""
     out = np.empty(len(ia))
@@ -242,6 +252,11 @@ class SimilarScorer:
 CODE_STEPS = 32767
 CODE_WIDTH = 1 << 16
 CODE_SLACK = 0.005
+# What a product of two rows costs beside a unit for each component, and what a component costs where pairs are measured singly.
+PRODUCT_COST = 24.0
+PAIR_COST = 60.0
+# Room for rounding in bounds of single precision.
+BOUND_ROOM = 1e-6
 
 
 @dataclass(frozen=True)
@@ -278,20 +293,93 @@ class CodeScorer:
         points *= scale[:, None]
         return {"points": points, "slack": rows["slack"].to_numpy(), "aspect": rows["aspect"].to_numpy()}
 
+    @staticmethod
+    def _room(width: int) -> float:
+        # rounding of single precision, in the products and in the points
+        return 1e-7 * (width + 100)
+
     def score(self, a: dict, b: dict) -> Hits:
         cosine = a["points"] @ b["points"].T
-        # rounding of single precision, in the products and in the points
-        room = 1e-7 * (a["points"].shape[1] + 100)
-        close = cosine >= self.rules.threshold - 2.0 * CODE_SLACK - room
+        close = cosine >= self.rules.threshold - 2.0 * CODE_SLACK - self._room(a["points"].shape[1])
         if not close.any():
             return _NO_HITS
         close &= np.abs(a["aspect"][:, None] - b["aspect"][None, :]) <= self.rules.max_aspect_difference
         ia, ib = np.nonzero(close)
-        value = cosine[ia, ib].astype(float)
+        return self._within_slack(a, b, ia, ib, cosine[ia, ib])
+
+    def _within_slack(self, a: dict, b: dict, ia: np.ndarray, ib: np.ndarray, value: np.ndarray) -> Hits:
+        value = value.astype(float)
         one, other = a["slack"][ia], b["slack"][ib]
-        near = value + one + other + one * other + room >= self.rules.threshold
+        near = value + one + other + one * other + self._room(a["points"].shape[1]) >= self.rules.threshold
         return ia[near], ib[near], value[near]
 
+    def bounds(self, data: dict, sample_rows: int) -> np.ndarray:
+        """Short rows whose products are at least those of the codes: leading components and the length of what is left.
+
+        How many components are taken is what costs least on a sample of the rows; all of them is always a choice.
+        """
+        points = data["points"]
+        width = points.shape[1]
+        # rows with anything but numbers match nothing
+        whole = np.isfinite(points).all(axis=1)
+        some = points[whole][:: max(1, -(-int(whole.sum()) // sample_rows))].astype(float)
+        if not len(some):
+            return points
+        directions = np.linalg.svd(some, full_matrices=False)[2].T
+        least = self.least(data)
+        if not least > 0.0:
+            return points
+
+        def shortened(rows: np.ndarray, count: int) -> np.ndarray:
+            turned = rows @ directions[:, :count]
+            left = (rows * rows).sum(axis=1) - (turned * turned).sum(axis=1)
+            # the room is more than what single precision takes off
+            return np.column_stack([turned, np.sqrt(np.maximum(left, 0.0) + BOUND_ROOM)]).astype(np.float32)
+
+        best, cost = 0, PRODUCT_COST + width
+        for count in (7, 15, 23, 31, 47, 63, 95, 127):
+            if count + 1 >= width or count > directions.shape[1]:
+                break
+            short = shortened(some, count)
+            passed = (short @ short.T >= least).mean() - 1.0 / len(some)
+            tried = PRODUCT_COST + count + 1 + PAIR_COST * width * max(passed, 0.0)
+            if tried < cost:
+                best, cost = count, tried
+        if not best:
+            return points
+        out = np.empty((len(points), best + 1), np.float32)
+        for lo in range(0, len(points), 1 << 13):
+            out[lo : lo + (1 << 13)] = shortened(points[lo : lo + (1 << 13)].astype(float), best)
+        out[~whole] = 0.0
+        return out
+
+    def least(self, data: dict) -> np.float32:
+        """What the product of two codes is at least where their vectors match."""
+        slack = float(np.fmax.reduce(data["slack"], initial=0.0))
+        least = self.rules.threshold - 2.0 * slack - slack * slack - 2.0 * self._room(data["points"].shape[1])
+        return np.float32(least - BOUND_ROOM)
+
+    def score_between(self, data: dict, least: np.float32, left: np.ndarray, right: np.ndarray) -> Hits:
+        """As ``score`` of two sets of rows, by their ``bound`` first; hits are places in the sets."""
+        # eight answers are looked at as one number
+        high = np.zeros((len(left), -(-len(right) // 8) * 8), bool)
+        np.greater_equal(data["bound"][left] @ data["bound"][right].T, least, out=high[:, : len(right)])
+        words = np.flatnonzero(high.view(np.uint64))
+        if not len(words):
+            return _NO_HITS
+        word, place = np.nonzero(high.reshape(-1, 8)[words])
+        ia, ib = np.divmod(words[word] * 8 + place, high.shape[1])
+        if len(ia) > 0.02 * high.size:
+            whole = {k: data[k] for k in ("points", "slack", "aspect")}
+            return self.score(_take(whole, left), _take(whole, right))  # one product is less work than many pairs
+        close = np.abs(data["aspect"][left[ia]] - data["aspect"][right[ib]]) <= self.rules.max_aspect_difference
+        ia, ib = ia[close], ib[close]
+        points = data["points"]
+        value = np.einsum("ij,ij->i", points[left[ia]], points[right[ib]])
+        one, other = data["slack"][left[ia]], data["slack"][right[ib]]
+        near = value + one + other + one * other + self._room(points.shape[1]) >= self.rules.threshold
+        return ia[near], ib[near], value[near].astype(float)
+
     def split(self, nodes: DataFrame) -> DataFrame:
         return SimilarScorer(self.rules).split(nodes)
 
@@ -322,6 +410,11 @@ class FrameScorer:
         rules = self.rules
         return min(rules.max_frame_distance, math.sqrt(rules.max_frame_distance * rules.max_mean_distance * rules.max_frames / rules.min_frames))
 
+    @property
+    def first_cosine(self) -> float:
+        """The least product of two first frames that are close, if they are unit vectors but for 1e-6."""
+        return 1.0 - self.rules.max_frame_distance**2 / 2.0 - 1e-5
+
     widths = staticmethod(lambda rows: _lengths(rows["frames"]) // np.maximum(_lengths(rows["present"]), 1))
 
     @staticmethod
@@ -347,28 +440,39 @@ class FrameScorer:
         return data
 
     def score(self, a: dict, b: dict) -> Hits:
-        limit = self.rules.max_frame_distance
         most = min(a["frames"].shape[1], b["frames"].shape[1])
-        both = a["present"][:, :most].astype(int) @ b["present"][:, :most].astype(int).T
-        close = both >= self.rules.min_frames
+        here, there = a["present"][:, :most], b["present"][:, :most]
+        close = here.astype(np.float32) @ there.T.astype(np.float32) >= self.rules.min_frames
         # products of whole tiles as long as many pairs are left; what is left is measured pair by pair, exactly
         for k in range(most):
             if k and close.mean() <= 0.05:
                 break
-            compared = a["present"][:, k][:, None] & b["present"][:, k][None, :]
-            close &= ~compared | (_distances(a["frames"][:, k, :], b["frames"][:, k, :]) <= limit + 1e-6)
+            near = _may_be_within(a["frames"][:, k, :], b["frames"][:, k, :], self.rules.max_frame_distance)
+            if not (here[:, k].all() and there[:, k].all()):
+                near |= ~(here[:, k][:, None] & there[:, k][None, :])
+            close &= near
             if not close.any():
                 return _NO_HITS
-        ia, ib = np.nonzero(close)
-        total = np.zeros(len(ia))
+        rows = np.flatnonzero(close.any(axis=1))
+        ia, ib = np.nonzero(close[rows])
+        return self._measured(a, b, rows[ia], ib, most)
+
+    def _measured(self, a: dict, b: dict, ia: np.ndarray, ib: np.ndarray, most: int) -> Hits:
+        """The matches among single pairs."""
+        total, both = np.zeros(len(ia)), np.zeros(len(ia), np.int64)
         for k in range(most):
             compared = a["present"][ia, k] & b["present"][ib, k]
             distance = np.where(compared, _pair_distances(a["frames"][:, k, :], b["frames"][:, k, :], ia, ib), 0.0)
-            near = distance <= limit
-            ia, ib, total = ia[near], ib[near], (total + distance)[near]
-        mean = total / np.maximum(both[ia, ib], 1)
-        close_enough = mean <= self.rules.max_mean_distance
-        return ia[close_enough], ib[close_enough], mean[close_enough]
+            near = distance <= self.rules.max_frame_distance
+            ia, ib, total, both = ia[near], ib[near], (total + distance)[near], (both + compared)[near]
+        mean = total / np.maximum(both, 1)
+        match = (mean <= self.rules.max_mean_distance) & (both >= self.rules.min_frames)
+        return ia[match], ib[match], mean[match]
+
+    def pairs_of_runs(self, data: dict, ends: np.ndarray) -> Iterator[Hits]:
+        """Matches of places whose row lies before ``ends`` of the first, in parts."""
+        for ia, ib, _ in all_pairs(np.zeros(len(ends), np.uint64), ends, 0):
+            yield self._measured(data, data, ia, ib, data["frames"].shape[1])
 
     def split(self, nodes: DataFrame) -> DataFrame:
         return nodes
@@ -412,6 +516,10 @@ class HashScorer:
 
 # Room for rounding in bounds on distances.
 _ROOM = 1e-9
+# Hits that a task holds before it joins their labels.
+EDGES_AT_ONCE = 1 << 16
+# Chunks of rows up to which a task looks for no balls of videos or codes.
+BALL_CHUNKS = 8
 
 _NO_HITS: Hits = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
@@ -550,9 +658,15 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
     pick = np.minimum if scorer.best == "min" else np.maximum
     best = np.full(n, np.inf if scorer.best == "min" else -np.inf)
     label = np.arange(n)
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def count(ia: np.ndarray, ib: np.ndarray, value: np.ndarray) -> None:
+    def link() -> None:
         nonlocal label
+        if edges:
+            label = join_labels(label, rank[np.concatenate([a for a, _ in edges])], rank[np.concatenate([b for _, b in edges])])
+            edges.clear()
+
+    def count(ia: np.ndarray, ib: np.ndarray, value: np.ndarray) -> None:
         keep = (home[ia] | home[ib]) & (vector_home[ia] | vector_home[ib])
         keep &= (settled[ia] < 0) | (settled[ia] != settled[ib])
         if band >= 0:
@@ -564,16 +678,21 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
             np.add.at(matches, one, weight[other])
             np.add.at(total, one, value * weight[other])
             pick.at(best, one, value)
-        label = join_labels(label, rank[ia], rank[ib])
+        edges.append((ia, ib))
+        if sum(len(a) for a, _ in edges) > EDGES_AT_ONCE:
+            link()
 
     if isinstance(scorer, HashScorer) and n > tile_rows:
         side = block_no == block_no.min()
         for ia, ib, value in scorer.pairs(data["hash"]):
             across = (side[ia] != side[ib]) if is_cross else np.ones(len(ia), bool)
             count(ia[across], ib[across], value[across])
+        link()
         first = first[:0]
     balls = None
-    if scorer.has_points and n > tile_rows:
+    # pairs of first frames and of codes cost little: where there are few rows, balls cost more than they spare
+    cheap = isinstance(scorer, FrameScorer | CodeScorer) and n <= BALL_CHUNKS * tuning.chunk_rows
+    if scorer.has_points and n > tile_rows and ("ball" in rows.column_names or not cheap):
         if "ball" in rows.column_names:
             ball = rows["ball"].to_numpy()
         else:
@@ -588,29 +707,43 @@ def _score_run(rows: pa.Table, scorer: Scorer, tuning: MatchTuning, connectivity
             first, second = (x[np.argsort(key[x], kind="stable")] for x in (first, second))
     if connectivity_only and n > tuning.run_hubs:
         label = _near_hubs(data, label, rank, scorer, tuning)
-        first, second = (x[np.argsort(label[rank[x]], kind="stable")] for x in (first, second))
-    # few balls to a tile, so few are near one of them; as many pairs at a time
-    high, wide = (tile_rows, tile_rows) if balls is None else (max(1, tile_rows // 4), 4 * tile_rows)
-    for i in range(0, len(first), high):
+        # families that fill a tile come one after the other, all else stays in the order of balls
+        family = np.where(np.bincount(label, minlength=n)[label] >= tile_rows // 4, label, -1)[rank]
+        first, second = (x[np.argsort(family[x], kind="stable")] for x in (first, second))
+    by_bounds = isinstance(scorer, CodeScorer) and n > tile_rows
+    if by_bounds:
+        data["bound"], least = scorer.bounds(data, tuning.direction_rows), scorer.least(data)
+        margin = scorer.rules.max_aspect_difference + _ROOM
+    few, i = max(1, tile_rows // 4), 0
+    while i < len(first):
+        # few balls to a tile, so few are near one of them; as many pairs at a time
+        high, wide = (tile_rows, tile_rows) if balls is None else (few, 4 * tile_rows)
+        if by_bounds and (balls is None or ball[first[i]] < 0):
+            high, wide = tile_rows, 2 * tile_rows
         left = first[i : i + high]
-        tile = _take(data, left)
+        tile = None if by_bounds else _take(data, left)
         places = np.arange(0 if is_cross else i, len(second))
         if balls is not None:
             places = places[balls.near(left, scorer.radius)[second[places]]]
+        if by_bounds:
+            aspect, own = data["aspect"][second[places]], data["aspect"][left]
+            places = places[(aspect >= own.min() - margin) & (aspect <= own.max() + margin)]
         for j in range(0, len(places), wide):
             at = places[j : j + wide]
             right = second[at]
             if settled[left[0]] >= 0 and (settled[left] == settled[left[0]]).all() and (settled[right] == settled[left[0]]).all():
                 continue
-            if connectivity_only and len(np.unique(label[rank[np.concatenate([left, right])]])) == 1:
+            if connectivity_only and (label[rank[left]] == label[rank[left[0]]]).all() and (label[rank[right]] == label[rank[left[0]]]).all():
                 continue
             if tally is not None:
                 tally.append(len(left) * len(right))
-            ia, ib, value = scorer.score(tile, _take(data, right))
+            ia, ib, value = scorer.score_between(data, least, left, right) if by_bounds else scorer.score(tile, _take(data, right))
             if not is_cross:
                 once = i + ia < at[ib]
                 ia, ib, value = ia[once], ib[once], value[once]
             count(left[ia], right[ib], value)
+        link()
+        i += high
 
     hit = np.flatnonzero(label[rank] != rank if connectivity_only else matches > 0)
     if not len(hit):
@@ -955,8 +1088,8 @@ def _hash_links(hashes: DataFrame, scorer: DuplicateScorer, tasks: int, tuning:
     """
     narrow = hashes.select("scope", "dhash", F.xxhash64("scope", "dhash").alias("node"))
     cells = scorer.split(narrow).select(F.xxhash64("scope", "cell").alias("cell"), "dhash", "node")
-    largest = cells.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-    if largest > tuning.block_rows:
+    largest, rows = cells.groupBy("cell").count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) > tuning.block_rows:
         # more of one band than a task should hold: dealt in blocks
         named = narrow.select(F.col("node").cast("string").alias("node"), "scope", F.lit(1).alias("weight"), "dhash")
         found = match_nodes(cut_lineage(named), HashScorer(scorer.rules), tuning, connectivity_only=True)
@@ -981,6 +1114,8 @@ def _hash_links(hashes: DataFrame, scorer: DuplicateScorer, tasks: int, tuning:
         node = table["node"].to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["node", "root"])
 
+    # a task costs more than a few rows
+    tasks = max(1, min(tasks, -(-(rows or 0) // tuning.block_rows)))
     dealt = cells.repartition(tasks, "cell").sortWithinPartitions("cell")
     run = lambda batches: (linked(table) for table in _whole_runs(batches, "cell", tuning.block_rows))
     return dealt.mapInArrow(run, "node long, root long").filter("node <> root")
@@ -1038,14 +1173,30 @@ def within_close_codes(nodes: DataFrame, scorer: SimilarScorer, tasks: int, tuni
     Codes of matching nodes are close, so no match is lost, and until then only codes are moved. Two nodes whose numbers fall together
     connect more, never less.
     """
-    codes = CodeScorer(scorer.rules)
-    links = _match(cut_lineage(_codes(nodes).withColumn("row_bytes", codes.row_bytes())), codes, tuning, True, tasks)
+    return _within_linked_codes(nodes, nodes, CodeScorer(scorer.rules), tasks, tuning)
+
+
+def within_close_frames(nodes: DataFrame, scorer: FrameScorer, tasks: int, tuning: MatchTuning = TUNING) -> DataFrame:
+    """As ``within_close_codes`` for videos, whose first frames are unit vectors and always compared: until then only codes of those are moved."""
+    nodes = nodes.filter(F.size("present") >= scorer.rules.min_frames)
+    first = F.slice("frames", F.lit(1), _frame_width()).alias("vec")
+    settled = ["settled"] if "settled" in nodes.columns else []
+    named = nodes.select("node", "scope", F.lit(0.0).alias("aspect"), first, *settled)
+    return _within_linked_codes(nodes, named, CodeScorer(SimilarPhotoRules(threshold=scorer.first_cosine, max_aspect_difference=1.0)), tasks, tuning)
+
+
+def _frame_width() -> Column:
+    return F.floor(F.size("frames") / F.greatest(F.size("present"), F.lit(1))).cast("int")
+
+
+def _within_linked_codes(nodes: DataFrame, vectors: DataFrame, codes: CodeScorer, tasks: int, tuning: MatchTuning) -> DataFrame:
+    links = _match(cut_lineage(_codes(vectors).withColumn("row_bytes", codes.row_bytes())), codes, tuning, True, tasks)
     linked = connected_components(links.select(F.col("node").cast("long").alias("node"), F.col("root").cast("long").alias("root")), "node", "root")
     family = linked.select(F.col("node").alias("_hash"), F.col("component").alias("_family"))
     return _within_families(nodes, nodes.select("node", "scope", F.xxhash64("node").alias("_hash")).join(family, "_hash"))
 
 
-def _match_small(nodes: DataFrame, scorer: DuplicateScorer | SimilarScorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
+def _match_small(nodes: DataFrame, scorer: DuplicateScorer | SimilarScorer | FrameScorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
     """``match_nodes`` of scopes of few rows each, many of them at a time; rows are moved once."""
 
     def scored(rows: pa.Table) -> pa.RecordBatch:
@@ -1067,8 +1218,10 @@ def _match_small(nodes: DataFrame, scorer: DuplicateScorer | SimilarScorer, tuni
         columns = [pa.array(node[hit], pa.string()), pa.array(node[label[hit]], pa.string()), pa.array(matches[hit].astype(np.int64)), pa.array(total[hit])]
         return pa.RecordBatch.from_arrays([*columns, pa.array(best[hit], mask=~np.isfinite(best[hit]))], names=["node", "root", "matches", "score_sum", "best_score"])
 
+    at_once = 16 * tuning.tile_rows // (scorer.rules.max_frames if isinstance(scorer, FrameScorer) else 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, "scope", 16 * tuning.tile_rows):
+        for table in _whole_runs(batches, "scope", max(1, at_once)):
             widths = scorer.widths(table)
             for width in np.unique(widths):
                 yield scored(table.take(np.flatnonzero(widths == width)).combine_chunks())
@@ -1079,14 +1232,23 @@ def _match_small(nodes: DataFrame, scorer: DuplicateScorer | SimilarScorer, tuni
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _rows_per_block(rows: Column, row_bytes: Column, tasks: int, tuning: MatchTuning, factor: int = 1) -> Column:
-    """Large blocks copy rows less often; they shrink only as far as it takes to keep all tasks busy."""
-    blocks_wanted = math.ceil(math.sqrt(2 * tasks))
+def _rows_per_block(rows: Column, work: Column, row_bytes: Column, tasks: int, tuning: MatchTuning, factor: int = 1) -> Column:
+    """Large blocks copy rows less often; they shrink only as far as it takes to keep all tasks busy, each cell by its share of ``work``."""
+    blocks_wanted = F.ceil(F.sqrt(F.lit(2.0 * tasks) * _square(rows) / work))
     most = F.least(F.lit(tuning.block_rows * factor), F.greatest(F.lit(1), F.floor(F.lit(tuning.block_bytes) / row_bytes)))
     smallest = F.least(F.lit(tuning.tile_rows), most)
     return F.least(most, F.greatest(smallest, F.ceil(rows / blocks_wanted)))
 
 
+def _square(rows: Column) -> Column:
+    return rows.cast("double") * rows.cast("double")
+
+
+def _with_work(sizes: DataFrame, rows: str) -> DataFrame:
+    """``sizes`` with the squares of all its ``rows`` together."""
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum(_square(F.col(rows))).alias("work"))))
+
+
 def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning, factor: int = 1) -> DataFrame:
     """Give every row its block and one copy per block pair it takes part in.
 
@@ -1115,7 +1277,8 @@ def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning, factor: int = 1)
         "guest": F.col("total") - F.col("total_own") - F.col("major_rows") + F.col("major_own"),
         "guest_major": F.col("major_rows") - F.col("major_own"),
     }
-    sizes = sizes.filter("total >= 2").withColumn("per_block", _rows_per_block(F.col("total"), F.col("bytes"), tasks, tuning, factor))
+    per_block = _rows_per_block(F.col("total"), F.col("work"), F.col("bytes"), tasks, tuning, factor)
+    sizes = _with_work(sizes.filter("total >= 2"), "total").withColumn("per_block", per_block)
     sizes = sizes.withColumns({f"n_{kind}": F.ceil(n / F.col("per_block")) for kind, n in rows.items()})
     sizes = sizes.select(*key, "major", *(f"n_{kind}" for kind in rows)).filter("n_own > 0 OR (n_own_major > 0 AND n_guest > 0)")
     own, own_major, guest, guest_major = (F.col(f"n_{kind}") for kind in rows)
@@ -1166,11 +1329,14 @@ def match_nodes(
     within = _narrowing(nodes, scorer, tuning)
     if within is not None:
         nodes = cut_lineage(within(nodes, scorer, tasks, tuning))
-        most = nodes.agg(F.max("in_scope")).first()[0] or 0
-        found = _match_small(nodes.filter(F.col("in_scope") <= tuning.tile_rows).drop("in_scope"), scorer, tuning, connectivity_only, tasks)
+        small = F.col("in_scope") <= tuning.tile_rows
+        most, rows = nodes.agg(F.max("in_scope"), F.count_if(small)).first()
+        # a task costs more than a few rows
+        few = max(1, min(tasks, -(-rows // (16 * tuning.tile_rows))))
+        found = _match_small(nodes.filter(small).drop("in_scope"), scorer, tuning, connectivity_only, few)
         # only the large ones are laid out in blocks, and only the largest cut into cells
         for low, high in ((tuning.tile_rows, tuning.split_rows), (max(tuning.tile_rows, tuning.split_rows), math.inf)):
-            if most > low and high > low:
+            if (most or 0) > low and high > low:
                 part = nodes.filter((F.col("in_scope") > low) & (F.col("in_scope") <= F.lit(float(high)))).drop("in_scope")
                 found = found.unionByName(_match(cut_lineage(part), scorer, tuning, connectivity_only, tasks))
         return found
@@ -1179,23 +1345,32 @@ def match_nodes(
 
 def _narrowing(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning) -> Callable[..., DataFrame] | None:
     """What cuts large scopes down before vectors are moved."""
-    if not isinstance(scorer, DuplicateScorer) and type(scorer) is not SimilarScorer:
+    if not isinstance(scorer, DuplicateScorer) and type(scorer) is not SimilarScorer and not isinstance(scorer, FrameScorer):
         return None
-    widest, largest = nodes.groupBy("scope").agg(F.max(F.size("vec")).alias("w"), F.count("*").alias("n")).agg(F.max("w"), F.max("n")).first()
+    width = _frame_width() if isinstance(scorer, FrameScorer) else F.size("vec")
+    widest, largest = nodes.groupBy("scope").agg(F.max(width).alias("w"), F.count("*").alias("n")).agg(F.max("w"), F.max("n")).first()
     if (largest or 0) <= tuning.hash_rows:
         return None
     if isinstance(scorer, DuplicateScorer):
         return within_close_hashes
-    return within_close_codes if widest <= CODE_WIDTH else None
+    if widest > CODE_WIDTH:
+        return None
+    if isinstance(scorer, SimilarScorer):
+        return within_close_codes
+    if not scorer.has_points or scorer.rules.min_frames < 1 or scorer.first_cosine < 0.5:
+        return None
+    norm = V.l2_norm(F.slice("frames", F.lit(1), width))
+    uneven = nodes.filter(F.size("present") >= scorer.rules.min_frames).filter(~F.coalesce(F.abs(norm - 1.0) <= 1e-6, F.lit(False)))
+    return within_close_frames if uneven.isEmpty() else None
 
 
 def _match(nodes: DataFrame, scorer: Scorer, tuning: MatchTuning, connectivity_only: bool, tasks: int) -> DataFrame:
     """``match_nodes`` without a look at hashes first."""
     named = "settled" in nodes.columns
     factor = getattr(scorer, "block_factor", 1)
-    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("bytes"), tasks, tuning, factor))
+    blocks = F.ceil(F.col("count") / _rows_per_block(F.col("count"), F.col("work"), F.col("bytes"), tasks, tuning, factor))
     sizes = nodes.groupBy("scope").agg(F.count("*").alias("count"), F.max("row_bytes").alias("bytes")).filter("count >= 2")
-    largest, runs = sizes.agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
+    largest, runs = _with_work(sizes, "count").agg(F.max("count"), F.sum(blocks * (blocks + 1) / 2)).first()
     is_large = (largest or 0) > tuning.split_rows * factor
     if not is_large:
         tasks = min(tasks, int(runs or 1))

@@ -87,7 +87,8 @@ def duplicate_video_groups(
     are there in turn, so a missing one shifts the rest; ``align="fraction"`` compares frames of one place only.
     """
     scorer = FrameScorer(rules, align)
-    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align)
+    # read for the nodes and again for their assets
+    rows = cut_lineage(_frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align))
     nodes = collapse_copies(rows, scorer)
     found = match_nodes(nodes, scorer, tuning, connectivity_only=True)
     components = matched_components(nodes, found, scorer)
@@ -104,7 +105,8 @@ def duplicate_video_matches(
 ) -> DataFrame:
     """Per video with a verified duplicate: how many, and the nearest and mean frame distance."""
     scorer = FrameScorer(rules, align)
-    rows = _frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align)
+    # read for the nodes and again for their assets
+    rows = cut_lineage(_frame_rows(cut_lineage(video_candidates(assets, rules)), frames, rules, align))
     nodes = collapse_copies(rows, scorer)
     statistics = node_statistics(nodes, match_nodes(nodes, scorer, tuning), scorer).drop("weight")
     return rows.select("asset_id", "node").join(statistics, "node").select(

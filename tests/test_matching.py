@@ -184,6 +184,63 @@ def test_codes_lose_no_match(spark):
         assert set(zip(*(x.tolist() for x in np.nonzero(vectors @ vectors.T >= threshold)))) <= set(zip(ia.tolist(), ib.tolist()))
 
 
+def test_bounds_of_codes_lose_no_match_and_are_short():
+    """Codes are compared by a few leading components first; rows with anything but numbers match nothing and hide nothing."""
+    rng = np.random.default_rng(11)
+    centres = unit(rng.normal(size=(40, 64)))
+    points = unit(np.concatenate([rng.normal(size=(700, 64)), np.repeat(centres, 5, axis=0) + 0.04 * rng.normal(size=(200, 64))]))
+    points[[3, 750]] = np.nan
+    n = len(points)
+    data = {"points": points.astype(np.float32), "slack": np.where(np.isnan(points[:, 0]), np.nan, 1e-4), "aspect": 1.0 + rng.integers(0, 3, n) * 0.3}
+    scorer = M.CodeScorer()
+    data["bound"] = scorer.bounds(data, 512)
+    assert data["bound"].shape[1] < 40
+    left, right = rng.permutation(n)[:500], rng.permutation(n)[:611]
+    cut = M._take({k: data[k] for k in ("points", "slack", "aspect")}, left), M._take({k: data[k] for k in ("points", "slack", "aspect")}, right)
+    expected = {(int(a), int(b)) for a, b, _ in zip(*scorer.score(*cut))}
+    assert len(expected) > 500
+    assert {(int(a), int(b)) for a, b, _ in zip(*scorer.score_between(data, scorer.least(data), left, right))} == expected
+
+
+def test_only_videos_of_close_first_frames_are_laid_out(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for c in range(14):
+        # the first frame alone does not make a match
+        first, rest = unit(rng.normal(size=DIMS)), unit(rng.normal(size=(5, 4, DIMS)))
+        for i in range(5):
+            frames = unit(np.concatenate([first[None], rest[0 if i < 3 else i]]) + rng.normal(size=(5, DIMS)) * 0.03)
+            rows.append((f"n{len(rows):03d}", "s", 1, frames[: 5 - i % 2].reshape(-1).tolist(), 5 - i % 2, [True] * (5 - i % 2)))
+    rows += [(f"x{i:03d}", "s", 1, unit(rng.normal(size=(5, DIMS))).reshape(-1).tolist(), 5, [True] * 5) for i in range(30)]
+    schema = "node string, scope string, weight long, frames array<double>, n_frames int, present array<boolean>"
+    nodes = cut_lineage(spark.createDataFrame(rows, schema))
+    edges = []
+    for a, b in itertools.combinations(rows, 2):
+        k = min(a[4], b[4]) * DIMS
+        apart = np.linalg.norm((np.array(a[3][:k]) - np.array(b[3][:k])).reshape(-1, DIMS), axis=1)
+        if (apart <= 0.22).all() and apart.mean() <= 0.16:
+            edges.append((a[0], b[0], float(apart.mean())))
+    assert len(edges) > 10
+    tuning = MatchTuning(hash_rows=0, block_rows=5, tile_rows=4)
+    assert M._narrowing(nodes, M.FrameScorer(), tuning) is M.within_close_frames
+    check(spark, nodes, M.FrameScorer(), tuning, [r[0] for r in rows], edges)
+    kept = M.within_close_frames(nodes, M.FrameScorer(), 4, tuning).collect()
+    assert {x for a, b, _ in edges for x in (a, b)} <= {r.node for r in kept} and max(r.in_scope for r in kept) <= 15
+    # products of frames of other lengths say nothing of distances
+    longer = nodes.withColumn("frames", F.transform("frames", lambda x: 2.0 * x))
+    assert M._narrowing(longer, M.FrameScorer(), tuning) is None
+
+
+def test_small_cells_are_cut_into_fewer_blocks(spark):
+    rows = [("a", i) for i in range(60)] + [(f"s{c}", i) for c in range(10) for i in range(6)]
+    cells = spark.createDataFrame([(f"n{c}{i}", c) for c, i in rows], "node string, scope string").selectExpr(
+        "*", "'' AS cell", "0L AS vector_cell", "CAST(NULL AS STRING) AS hub", "true AS home", "true AS vector_home", "false AS has_guests"
+    )
+    copies = {r.small: r["count"] for r in M._blocks(cells, 8, MatchTuning(tile_rows=1)).groupBy(F.col("node").startswith("ns").alias("small")).count().collect()}
+    # one block of 6 rows has no copies, four blocks of the large cell have four each
+    assert copies == {True: 60, False: 240}
+
+
 @TUNINGS
 def test_similar_equal_brute_force(spark, tuning):
     rows = [(n, "s", w, None if i % 9 == 0 else h, v, a) for i, (n, s, w, h, v, a) in enumerate(photo_rows(2, spread=0.12))]
