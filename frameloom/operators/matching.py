@@ -1246,7 +1246,9 @@ def _square(rows: Column) -> Column:
 
 def _with_work(sizes: DataFrame, rows: str) -> DataFrame:
     """``sizes`` with the squares of all its ``rows`` together."""
-    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum(_square(F.col(rows))).alias("work"))))
+    # one group, named by what the optimizer takes for a column, so that it is joined by key
+    named = sizes.withColumn("_one", F.col(rows) % 1)
+    return named.join(F.broadcast(named.groupBy("_one").agg(F.sum(_square(F.col(rows))).alias("work"))), "_one").drop("_one")
 
 
 def _blocks(cells: DataFrame, tasks: int, tuning: MatchTuning, factor: int = 1) -> DataFrame:
